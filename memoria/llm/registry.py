@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from memoria.llm import quality
+from memoria.llm.bpe import op10_bpe
+from memoria.llm.langid import op7_langid
 from memoria.llm.pii import op2_pii
+from memoria.llm.quality import op5_quality
 from memoria.llm.secrets import op4_secrets
+from memoria.llm.simhash import op9_simhash
+from memoria.llm.toxicity import op8_toxicity
+from memoria.sources.shipping import ship_package
+
+
+def shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op2_pii": op2_pii,
         "op4_secrets": op4_secrets,
+        "op5_quality": op5_quality,
+        "op7_langid": op7_langid,
+        "op8_toxicity": op8_toxicity,
+        "op9_simhash": op9_simhash,
+        "op10_bpe": op10_bpe,
     }
+    return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality": quality.ORACLE}
