@@ -4,9 +4,10 @@ A sequence of tokens is the encoding of a text exactly if each neighbouring pair
 bytes. So the merges define a non-deterministic transducer: its configurations are (last token, node of the
 vocabulary's trie); a byte moves along the trie, and at a node that is a token the path may end one there, if
 the pair of it and the last token is valid. Each prefix has one encoding, so one configuration at most ends at
-each byte. States of the deterministic transducer are sets of configurations with the tokens on which
-they still differ; what all agree on is emitted, which bounds the lookahead by the longest token. States and
-moves are made when a text first needs them and thrown away together when there are too many.
+each byte. States of the deterministic transducer are sets of live configurations; a move gives the token that
+ends at the byte, and where one configuration is left all tokens before it are settled and emitted: no token
+reaches further back, so the lookahead is bounded by the longest one. States and moves are made when a text first
+needs them.
 
 Decoding joins the tokens' bytes and turns them into text by an incremental UTF-8 state machine, so that a
 stream may be cut anywhere.
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 
 from memoria.llm.common import table
 
-#: Limits of a task's tables, in entries; beyond them a table starts anew, with the same results.
-MAX_STATES = 60_000
-MAX_PIECES = 120_000
-MAX_PIECE_BYTES = 32
+#: Limits of a worker's tables, in entries: moves above the limit are made anew each time; full piece and pair
+#: tables start again. Results don't depend on them.
+MAX_MOVES, MAX_PAIRS, MAX_PIECES = 400_000, 200_000, 200_000
+MAX_PIECE_CHARS = 32
+SETTLE_BYTES, LONG_TEXT = 4096, 1 << 20
 #: A vocabulary is sent to every executor; larger files than this are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -54,17 +56,20 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class State(dict):
-    """Moves by byte to (tokens emitted, next state); `rest` are the tokens still to come if the piece ends here."""
+    """Moves by byte to (token that ends there, next state)."""
 
-    __slots__ = ("machine", "paths", "rest")
+    __slots__ = ("machine", "paths")
 
     def __init__(self, machine: Transducer, paths: tuple):
         super().__init__()
         self.machine, self.paths = machine, paths
-        self.rest = next((pending for _, node, pending in paths if node is machine.trie), ())
 
     def __missing__(self, byte: int):
-        move = self[byte] = self.machine.move(self.paths, byte)
+        token, paths = self.machine.move(self.paths, byte)
+        move = (token, self.machine.state(paths))
+        if self.machine.moves < MAX_MOVES:
+            self.machine.moves += 1
+            self[byte] = move
         return move
 
 
@@ -72,28 +77,29 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.valid: dict[tuple[int, int], bool] = {}
+        self.whole: dict[int, bool] = {}
         self.trie: dict = {}
         for token, rank in ranks.items():
             node = self.trie
             for b in token:
                 node = node.setdefault(b, {})
             node[-1] = rank
-        self.whole: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.start = self.state(((-1, self.trie, ()),))
+        self.moves = 0
+        self.start = self.state(((-1, self.trie),))
 
     def state(self, paths: tuple) -> State:
-        key = tuple((last, id(node), pending) for last, node, pending in paths)
+        key = tuple((last, id(node)) for last, node in paths)
         if (found := self.states.get(key)) is None:
-            found = self.states[key] = State(self, paths)
+            found = State(self, paths)
+            if self.moves < MAX_MOVES:
+                self.states[key] = found
         return found
 
     def merge(self, piece: bytes) -> list[bytes]:
-        """The definition: again and again the pair of least rank, leftmost first. For short pieces only."""
+        """The definition: again and again the pair of least rank, leftmost first. For two tokens' bytes at most."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
@@ -113,43 +119,64 @@ class Transducer:
             return True
         pair = (last, token)
         if (known := self.valid.get(pair)) is None:
-            if len(self.valid) > 4 * MAX_STATES:
+            if len(self.valid) > MAX_PAIRS:
                 self.valid.clear()
             a, b = self.bytes_of[last], self.bytes_of[token]
             known = self.valid[pair] = self.merge(a + b) == [a, b]
         return known
 
-    def move(self, paths: tuple, byte: int) -> tuple[tuple, State]:
+    def move(self, paths: tuple, byte: int) -> tuple[int, tuple]:
+        """(the one token that ends at this byte, the paths that live on: those inside a token, and the one at its end)."""
         after, ended = [], None
-        for last, node, pending in paths:
+        for last, node in paths:
             if (below := node.get(byte)) is None:
                 continue
             token = below.get(-1)
             if ended is None and token is not None and self.is_whole(token) and self.may_follow(last, token):
-                ended = (token, self.trie, (*pending, token))
+                ended = token
             if len(below) > (token is not None):
-                after.append((last, below, pending))
+                after.append((last, below))
         if ended is None:
             raise ValueError("the ranks are no byte-level BPE vocabulary")
-        after.append(ended)
-        agreed = 0
-        shortest = min(len(p) for _, _, p in after)
-        while agreed < shortest and len({p[agreed] for _, _, p in after}) == 1:
-            agreed += 1
-        return ended[2][:agreed], self.state(tuple((last, node, p[agreed:]) for last, node, p in after))
+        after.append((ended, self.trie))
+        return ended, tuple(after)
 
     def encode_piece(self, piece: Iterable[int]) -> list[int]:
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        state, out = self.start, []
+        """The tokens that end at each byte lead back from the end; where one path is left, all before it is settled and emitted."""
+        state, ends, out = self.start, [], []
         for byte in piece:
-            tokens, state = state[byte]
-            if tokens:
-                out += tokens
-        out += state.rest
+            token, state = state[byte]
+            ends.append(token)
+            if len(ends) >= SETTLE_BYTES and len(state.paths) == 1:
+                out += self._back(ends)
+                ends = []
+        return out + self._back(ends)
+
+    def _back(self, ends: list[int]) -> list[int]:
+        out, at, length = [], len(ends), self.length
+        while at > 0:
+            out.append(token := ends[at - 1])
+            at -= length[token]
+        out.reverse()
         return out
 
 
+class Pieces(dict):
+    """Encoded pieces of this process, as packed ids; long pieces aren't kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = array("I", self.encode(piece)).tobytes()
+        if len(piece) <= MAX_PIECE_CHARS:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class Encoder:
     """Texts to token ids; pieces are split by the pattern and encoded separately."""
 
@@ -157,7 +184,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.ranks = parse_ranks(ranks)
         self.machine = Transducer(self.ranks)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces = Pieces(self.encode_piece)
 
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -165,18 +192,10 @@ class Encoder:
             return [whole]
         return self.machine.encode_piece(raw)
 
-    def encode(self, text: str) -> array:
-        ids, pieces = array("I"), self.pieces
-        for match in self.pattern.finditer(text):
-            piece = match[0]
-            if (tokens := pieces.get(piece)) is None:
-                tokens = self.encode_piece(piece)
-                if len(piece) <= MAX_PIECE_BYTES:
-                    if len(pieces) > MAX_PIECES:
-                        pieces.clear()
-                    pieces[piece] = tokens
-            ids.extend(tokens)
-        return ids
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids. The pieces of a long text are made one by one, not all at once."""
+        found = self.pattern.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in self.pattern.finditer(text))
+        return b"".join(map(self.pieces.__getitem__, found))
 
 
 class Utf8Machine:
@@ -226,7 +245,7 @@ def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: s
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _encoder(sent.value, pattern)
-        return pa.array([encoder.encode(t.as_py() or "").tobytes() for t in texts], pa.binary())
+        return pa.array([encoder.encode(t.as_py() or "") for t in texts], pa.binary())
 
     return encode(text)
 

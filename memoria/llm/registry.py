@@ -6,11 +6,13 @@ from functools import wraps
 
 from memoria.llm import quality
 from memoria.llm.bpe import op10_bpe
+from memoria.llm.decontaminate import op6_decontaminate
 from memoria.llm.langid import op7_langid
 from memoria.llm.pii import op2_pii
 from memoria.llm.quality import op5_quality
 from memoria.llm.secrets import op4_secrets
 from memoria.llm.simhash import op9_simhash
+from memoria.llm.suffixes import op1_suffixes
 from memoria.llm.toxicity import op8_toxicity
 from memoria.sources.shipping import ship_package
 
@@ -26,9 +28,11 @@ def shipped(query):
 
 def queries() -> dict:
     found = {
+        "op1_suffixes": op1_suffixes,
         "op2_pii": op2_pii,
         "op4_secrets": op4_secrets,
         "op5_quality": op5_quality,
+        "op6_decontaminate": op6_decontaminate,
         "op7_langid": op7_langid,
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
