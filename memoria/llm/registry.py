@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from memoria.llm import quality
+from memoria.llm import quality, urls
 from memoria.llm.bpe import op10_bpe
 from memoria.llm.decontaminate import op6_decontaminate
 from memoria.llm.langid import op7_langid
@@ -14,6 +14,7 @@ from memoria.llm.secrets import op4_secrets
 from memoria.llm.simhash import op9_simhash
 from memoria.llm.suffixes import op1_suffixes
 from memoria.llm.toxicity import op8_toxicity
+from memoria.llm.urls import op3_urls
 from memoria.sources.shipping import ship_package
 
 
@@ -30,6 +31,7 @@ def queries() -> dict:
     found = {
         "op1_suffixes": op1_suffixes,
         "op2_pii": op2_pii,
+        "op3_urls": op3_urls,
         "op4_secrets": op4_secrets,
         "op5_quality": op5_quality,
         "op6_decontaminate": op6_decontaminate,
@@ -42,4 +44,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.ORACLE}
+    return {"op3_urls": urls.ORACLE, "op5_quality": quality.ORACLE}
