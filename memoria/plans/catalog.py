@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from memoria.plans import conversations, evaluation, facts, graph, relational, retrieval, rollups, scope, streams, text  # noqa: F401
+from memoria.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1,0 +1,62 @@
+"""Sources of conversations: chat exports of several providers, transcript files, format detection.
+
+Every reader takes any path that Spark can read and gives (conv_id, turn, role, text).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Explicit schemas: unknown keys are dropped, nothing is inferred.
+ASSISTANT_A = "uuid string, name string, chat_messages array<struct<sender:string,text:string,created_at:string>>"
+ASSISTANT_B = "conversation_id string, title string, messages array<struct<author:struct<role:string>,content:struct<parts:array<string>>>>"
+TAKEOUT = "id string, turns array<struct<speaker:string,body:string>>"
+SPEAKER_LINE = r"^(User|Assistant):[ ]?(.*)$"
+
+
+def read_export_a(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.schema(ASSISTANT_A).json(path, multiLine=True)
+    return raw.select(F.col("uuid").alias("conv_id"), F.posexplode("chat_messages").alias("turn", "m")).select("conv_id", "turn", F.when(F.col("m.sender") == "human", "user").otherwise("assistant").alias("role"), F.col("m.text").alias("text"))
+
+
+def read_export_b(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.schema(ASSISTANT_B).json(path, multiLine=True)
+    return raw.select(F.col("conversation_id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select("conv_id", "turn", F.col("m.author.role").alias("role"), F.array_join("m.content.parts", "\n").alias("text"))
+
+
+def read_takeout(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.schema(TAKEOUT).json(path, multiLine=True)
+    return raw.select(F.col("id").alias("conv_id"), F.posexplode("turns").alias("turn", "m")).select("conv_id", "turn", F.lower("m.speaker").alias("role"), F.col("m.body").alias("text"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Whole text files with speaker lines."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("conv_id"), F.col("value").alias("body"))
+    return split_speakers(files, "conv_id", "body")
+
+
+def split_speakers(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, turn, role, text): a speaker line starts a turn, the lines behind it go on with it.
+
+    One fold over a body's lines; no shuffle.
+    """
+    lines = F.split(F.col(body), "\n")
+    turn = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
+
+    def step(acc: Column, line: Column) -> Column:
+        role = F.regexp_extract(line, SPEAKER_LINE, 1)
+        fresh = F.array_append(acc, turn(F.lower(role), F.regexp_extract(line, SPEAKER_LINE, 2)))
+        last = F.element_at(acc, -1)
+        longer = F.array_append(F.slice(acc, 1, F.size(acc) - 1), turn(last["role"], F.concat(last["text"], F.lit("\n"), line)))
+        return F.when(role != "", fresh).when(F.size(acc) > 0, longer).otherwise(acc)
+
+    turns = F.aggregate(lines, F.array().cast("array<struct<role:string,text:string>>"), step)
+    return df.select(key, F.posexplode(turns).alias("turn", "t")).select(key, F.col("turn").cast("bigint").alias("turn"), "t.role", "t.text")
+
+
+def detected_format(raw: Column) -> Column:
+    """Which export a raw text is, by the keys it has."""
+    v = F.try_parse_json(raw)
+    has = lambda key: F.schema_of_variant(v).contains(key)
+    return F.when(v.isNull(), F.when(raw.rlike(r"(?m)^(User|Assistant):"), "transcript").otherwise("unknown")).when(has("chat_messages"), "export_a").when(has("messages"), "export_b").when(has("turns"), "takeout").otherwise("json")
