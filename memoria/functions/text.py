@@ -37,7 +37,7 @@ def scrubbed(text: Column) -> Column:
 
 def loose_date(text: Column) -> Column:
     """A date from YYYY-MM-DD, YYYY-MM or YYYY within 1990 and today's century; null otherwise."""
-    found = F.regexp_extract(text, r"(19[0-9]{2}|20[0-9]{2})(-(0[1-9]|1[0-2]))?(-(0[1-9]|[12][0-9]|3[01]))?", 0)
+    found = F.regexp_extract(text, r"(19[0-9]{2}|20[0-9]{2})(-(0[1-9]|1[0-2])(-(0[1-9]|[12][0-9]|3[01]))?)?", 0)
     full = F.when(F.length(found) == 4, F.concat(found, F.lit("-01-01"))).when(F.length(found) == 7, F.concat(found, F.lit("-01"))).when(F.length(found) == 10, found)
     date = F.try_to_date(full, "yyyy-MM-dd")
     return F.when(date >= F.lit("1990-01-01").cast("date"), date)

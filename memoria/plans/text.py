@@ -34,7 +34,7 @@ def contact_scrub(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH f AS (SELECT event_id, regexp_extract(raw, '(19[0-9]{2}|20[0-9]{2})(-(0[1-9]|1[0-2]))?(-(0[1-9]|[12][0-9]|3[01]))?', 0) AS found, raw FROM (
+WITH f AS (SELECT event_id, regexp_extract(raw, '(19[0-9]{2}|20[0-9]{2})(-(0[1-9]|1[0-2])(-(0[1-9]|[12][0-9]|3[01]))?)?', 0) AS found, raw FROM (
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m') WHEN 2 THEN 'in ' || strftime(ts, '%Y') || ', maybe' ELSE event_type END AS raw FROM events))
 SELECT event_id, raw, try_cast(CASE length(found) WHEN 4 THEN found || '-01-01' WHEN 7 THEN found || '-01' WHEN 10 THEN found END AS DATE) AS day FROM f
 """)
