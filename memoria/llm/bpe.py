@@ -22,6 +22,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 
 from memoria.llm.common import table
 
-#: Limits of a worker's tables, in entries: moves above the limit are made anew each time; full piece and pair
-#: tables start again. Results don't depend on them.
-MAX_MOVES, MAX_PAIRS, MAX_PIECES = 400_000, 200_000, 200_000
+#: Limits of a worker's tables, in entries; a full one starts again, which changes no result.
+MAX_MOVES, MAX_PAIRS, MAX_PIECES, MAX_BEGINNINGS = 1_000_000, 500_000, 250_000, 100_000
+BEGINNING = 6
+TOKEN_BITS = 20
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
 MAX_PIECE_CHARS = 32
 SETTLE_BYTES, LONG_TEXT = 4096, 1 << 20
 #: A vocabulary is sent to every executor; larger files than this are refused.
@@ -50,52 +53,42 @@ def read_ranks(path: str) -> bytes:
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, data.splitlines()))}
-    if not all(bytes([b]) in ranks for b in range(256)):
-        raise ValueError("the vocabulary lacks single bytes")
+    if not all(bytes([b]) in ranks for b in range(256)) or max(ranks.values()) > TOKEN_MASK:
+        raise ValueError("the vocabulary lacks single bytes or has too large ids")
     return ranks
 
 
-class State(dict):
-    """Moves by byte to (token that ends there, next state)."""
-
-    __slots__ = ("machine", "paths")
-
-    def __init__(self, machine: Transducer, paths: tuple):
-        super().__init__()
-        self.machine, self.paths = machine, paths
-
-    def __missing__(self, byte: int):
-        token, paths = self.machine.move(self.paths, byte)
-        move = (token, self.machine.state(paths))
-        if self.machine.moves < MAX_MOVES:
-            self.machine.moves += 1
-            self[byte] = move
-        return move
-
-
 class Transducer:
+    """States and trie nodes are numbers; a move is kept as one integer under another, so that many fit a worker."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
-        self.valid: dict[tuple[int, int], bool] = {}
+        self.valid: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.trie: dict = {}
+        self.below: list[dict[int, int]] = [{}]
+        self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
-            node = self.trie
+            node = 0
             for b in token:
-                node = node.setdefault(b, {})
-            node[-1] = rank
-        self.states: dict[tuple, State] = {}
-        self.moves = 0
-        self.start = self.state(((-1, self.trie),))
-
-    def state(self, paths: tuple) -> State:
-        key = tuple((last, id(node)) for last, node in paths)
-        if (found := self.states.get(key)) is None:
-            found = State(self, paths)
-            if self.moves < MAX_MOVES:
-                self.states[key] = found
+                if (child := self.below[node].get(b)) is None:
+                    child = self.below[node][b] = len(self.below)
+                    self.below.append({})
+                    self.token_at.append(-1)
+                node = child
+            self.token_at[node] = rank
+        #: Of each state its paths: last token and node, over and over. State 0 is the start.
+        self.paths: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
+        self.moves: dict[int, int] = {}
+        self.beginnings: dict[bytes, tuple[int, list[int]]] = {}
+        self.state((-1, 0))
+
+    def state(self, paths: tuple[int, ...]) -> int:
+        if (found := self.number.get(paths)) is None:
+            found = self.number[paths] = len(self.paths)
+            self.paths.append(paths)
         return found
 
     def merge(self, piece: bytes) -> list[bytes]:
@@ -117,7 +110,7 @@ class Transducer:
     def may_follow(self, last: int, token: int) -> bool:
         if last < 0:
             return True
-        pair = (last, token)
+        pair = last << TOKEN_BITS | token
         if (known := self.valid.get(pair)) is None:
             if len(self.valid) > MAX_PAIRS:
                 self.valid.clear()
@@ -125,32 +118,71 @@ class Transducer:
             known = self.valid[pair] = self.merge(a + b) == [a, b]
         return known
 
-    def move(self, paths: tuple, byte: int) -> tuple[int, tuple]:
+    def after(self, paths: tuple[int, ...], byte: int) -> tuple[int, tuple[int, ...]]:
         """(the one token that ends at this byte, the paths that live on: those inside a token, and the one at its end)."""
-        after, ended = [], None
-        for last, node in paths:
-            if (below := node.get(byte)) is None:
+        out, ended = [], -1
+        for last, node in zip(paths[::2], paths[1::2], strict=True):
+            if (child := self.below[node].get(byte)) is None:
                 continue
-            token = below.get(-1)
-            if ended is None and token is not None and self.is_whole(token) and self.may_follow(last, token):
+            token = self.token_at[child]
+            if ended < 0 <= token and self.is_whole(token) and self.may_follow(last, token):
                 ended = token
-            if len(below) > (token is not None):
-                after.append((last, below))
-        if ended is None:
+            if self.below[child]:
+                out += (last, child)
+        if ended < 0:
             raise ValueError("the ranks are no byte-level BPE vocabulary")
-        after.append((ended, self.trie))
-        return ended, tuple(after)
+        out += (ended, 0)
+        return ended, tuple(out)
+
+    def make_move(self, state: int, byte: int) -> int:
+        token, paths = self.after(self.paths[state], byte)
+        if len(self.moves) >= MAX_MOVES:
+            self.moves.clear()
+            self.number.clear()
+            self.beginnings.clear()
+            kept = self.paths[state]
+            self.paths.clear()
+            self.state((-1, 0))
+            state = self.state(kept)
+        move = self.moves[state << 8 | byte] = self.state(paths) << TOKEN_BITS | token
+        return move
 
-    def encode_piece(self, piece: Iterable[int]) -> list[int]:
-        """The tokens that end at each byte lead back from the end; where one path is left, all before it is settled and emitted."""
-        state, ends, out = self.start, [], []
+    def walk(self, state: int, piece: bytes) -> tuple[int, list[int]]:
+        """(state behind the piece, the token that ends at each of its bytes)."""
+        known, ends = self.moves.get, []
+        keep = ends.append
         for byte in piece:
-            token, state = state[byte]
-            ends.append(token)
-            if len(ends) >= SETTLE_BYTES and len(state.paths) == 1:
-                out += self._back(ends)
-                ends = []
-        return out + self._back(ends)
+            if (move := known(state << 8 | byte)) is None:
+                move = self.make_move(state, byte)
+            keep(move & TOKEN_MASK)
+            state = move >> TOKEN_BITS
+        return state, ends
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        """The tokens that end at each byte lead back from the end; where one path is left, all before it is settled and emitted.
+
+        Pieces share their beginnings, so the walk over those is kept as one long move.
+        """
+        if len(piece) > SETTLE_BYTES:
+            return self._encode_long(piece)
+        if (found := self.beginnings.get(piece[:BEGINNING])) is None:
+            found = self.walk(0, piece[:BEGINNING])
+            if len(self.beginnings) >= MAX_BEGINNINGS:
+                self.beginnings.clear()
+            self.beginnings[piece[:BEGINNING]] = found
+        state, ends = found
+        return self._back(ends + self.walk(state, piece[BEGINNING:])[1])
+
+    def _encode_long(self, piece: bytes) -> list[int]:
+        state, held, out = 0, [], []
+        for at in range(0, len(piece), SETTLE_BYTES):
+            for byte in piece[at : at + SETTLE_BYTES]:
+                state, ends = self.walk(state, bytes((byte,)))
+                held += ends
+                if len(held) >= SETTLE_BYTES and len(self.paths[state]) == 2:
+                    out += self._back(held)
+                    held = []
+        return out + self._back(held)
 
     def _back(self, ends: list[int]) -> list[int]:
         out, at, length = [], len(ends), self.length
@@ -221,8 +253,8 @@ class Utf8Machine:
 
 def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], portion: int = 1 << 14) -> Iterator[str]:
     machine, ids = Utf8Machine(), iter(ids)
-    while some := [bytes_of[i] for _, i in zip(range(portion), ids, strict=False)]:
-        yield machine.feed(b"".join(some))
+    while some := b"".join(map(bytes_of.__getitem__, islice(ids, portion))):
+        yield machine.feed(some)
     yield machine.feed(b"", last=True)
 
 
