@@ -3,8 +3,8 @@
 Texts are compared as lower-case ASCII letters, digits and other bytes with single blanks. An item of m bytes
 may have e = ERROR_RATE * m errors (rounded down); it is split into e + 1 pieces, of which one at least must
 occur unchanged wherever the item occurs with so few errors. Exact piece hits come from one automaton over all
-pieces; each hit places the item, windows around the places are tested by the q-gram lemma (an edit changes at
-most Q grams) and verified with Myers' bit-parallel distance, whose words are as wide as the item.
+pieces. Around a hit larger and larger parts of the item are verified, each with its share of the errors, and at last the
+item, with Myers' bit-parallel distance, whose words are as wide as the part.
 
 Items are taken in blocks of bounded bytes, each of which is broadcast and held against all documents; so
 neither side has a limit. Defined cases: null and blank texts match nothing; items of fewer than MIN_WORDS words are
@@ -25,7 +25,6 @@ from memoria.llm.common import NULL_ID, table
 
 ERROR_RATE = 0.1
 MIN_WORDS = 5
-Q = 3
 #: Bytes of items that are broadcast at once, on average; a block of over twice as many is refused.
 BLOCK_BYTES = 4 << 20
 
@@ -43,47 +42,63 @@ def budget(item: str) -> int:
     return int(ERROR_RATE * len(item))
 
 
+def reaches(masks: dict[str, int], m: int, window: str, enough: int) -> int:
+    """Least edit distance of a pattern of m characters to any part of the window (Myers 1999, blocks as one wide integer).
+
+    Ends at the first distance of at most `enough`.
+    """
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = every, 0, m
+    best = m
+    for c in window:
+        same = masks.get(c, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        plus, minus = down | (every & ~(across | up)), up & across
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+            if score < best:
+                best = score
+                if best <= enough:
+                    return best
+        plus, minus = plus << 1, minus << 1
+        up, down = (minus | ~(vertical | plus)) & every, plus & vertical & every
+    return best
+
+
 class Item:
-    """An item with what its verification needs."""
+    """An item, split in two again and again until no error is left to give.
+
+    A part that may have k errors has two that may have k - 1 together, one of which must keep to its share; so from any
+    piece (a part without errors) the larger parts around it can be tested one after the other, the smallest first.
+    """
 
     def __init__(self, item_id: int | None, text: str):
         self.id, self.text, self.errors = item_id, text, budget(text)
-        self.grams = {text[i : i + Q] for i in range(len(text) - Q + 1)}
-        self.least_shared = len(self.grams) - Q * self.errors
-        self.masks: dict[str, int] = {}
-        for i, c in enumerate(text):
-            self.masks[c] = self.masks.get(c, 0) | 1 << i
-
-    def pieces(self) -> Iterator[tuple[int, str]]:
-        n = self.errors + 1
-        cuts = [len(self.text) * k // n for k in range(n + 1)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield a, self.text[a:b]
-
-    def may_be_in(self, window: str) -> bool:
-        grams = self.grams
-        return len(grams.intersection({window[i : i + Q] for i in range(len(window) - Q + 1)})) >= self.least_shared
+        self.pieces: list[tuple[int, int, list]] = []
+        self._split(0, len(text), self.errors, [])
+
+    def _split(self, low: int, high: int, errors: int, around: list) -> None:
+        if not errors:
+            self.pieces.append((low, high, around))
+            return
+        masks: dict[str, int] = {}
+        for i, c in enumerate(self.text[low:high]):
+            masks[c] = masks.get(c, 0) | 1 << i
+        around = [(low, high, errors, masks), *around]
+        left = (errors - 1) // 2
+        middle = low + (high - low) * (left + 1) // (errors + 1)
+        self._split(low, middle, left, around)
+        self._split(middle, high, errors - 1 - left, around)
 
     def distance(self, window: str) -> int:
-        """Least edit distance of the item to any part of the window (Myers 1999, blocks as one wide integer)."""
-        m = len(self.text)
-        every, top, masks = (1 << m) - 1, 1 << (m - 1), self.masks
-        up, down, score = every, 0, m
-        best = m
-        for c in window:
-            same = masks.get(c, 0)
-            vertical = same | down
-            across = (((same & up) + up) ^ up) | same
-            plus, minus = down | (every & ~(across | up)), up & across
-            if plus & top:
-                score += 1
-            elif minus & top:
-                score -= 1
-                if score < best:
-                    best = score
-            plus, minus = plus << 1, minus << 1
-            up, down = (minus | ~(vertical | plus)) & every, plus & vertical & every
-        return best
+        """Least edit distance of the item to any part of the window."""
+        if not self.errors:
+            return 0 if self.text in window else len(self.text)
+        _, _, _, masks = self.pieces[0][2][-1]
+        return reaches(masks, len(self.text), window, 0)
 
 
 class Matcher:
@@ -91,27 +106,34 @@ class Matcher:
         self.items = [Item(i, t) for i, t in items]
         self.automaton = ahocorasick.Automaton()
         for k, item in enumerate(self.items):
-            for at, piece in item.pieces():
+            for low, high, around in item.pieces:
+                piece = item.text[low:high]
                 if piece not in self.automaton:
-                    self.automaton.add_word(piece, (len(piece), []))
-                self.automaton.get(piece)[1].append((k, at))
+                    self.automaton.add_word(piece, (high - low, []))
+                self.automaton.get(piece)[1].append((k, low, around))
         self.automaton.make_automaton()
 
     def find(self, text: str) -> dict[int, int]:
         """{item number: least distance} of the items within their budgets."""
-        places: dict[int, set[int]] = {}
+        seen: set[tuple[int, int]] = set()
+        found: dict[int, int] = {}
         for end, (length, of) in self.automaton.iter(text):
-            for k, at in of:
+            at = end - length + 1
+            for k, low, around in of:
                 # Places of one item that are close share a window.
-                places.setdefault(k, set()).add((end - length + 1 - at) // 64)
-        found = {}
-        for k, own in places.items():
-            item = self.items[k]
-            for place in own:
-                a = max(0, place * 64 - item.errors)
-                window = text[a : place * 64 + 63 + len(item.text) + item.errors]
-                if item.may_be_in(window) and (d := item.distance(window)) <= min(item.errors, found.get(k, item.errors)):
-                    found[k] = d
+                place = (at - low) >> 6
+                if (k, place) in seen:
+                    continue
+                for a, b, errors, masks in around:
+                    start = at - low + a - errors
+                    if reaches(masks, b - a, text[start if start > 0 else 0 : at - low + b + errors], errors) > errors:
+                        break
+                else:
+                    seen.add((k, place))
+                    item = self.items[k]
+                    window = text[max(0, place * 64 - item.errors) : place * 64 + 63 + len(item.text) + item.errors]
+                    if (d := item.distance(window)) <= min(item.errors, found.get(k, item.errors)):
+                        found[k] = d
         return found
 
 

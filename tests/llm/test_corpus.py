@@ -97,11 +97,11 @@ def test_pii_spans_and_mask(spark):
 def test_secrets_ledger(spark):
     key = "AKIA" + "Z" * 16
     rows = [(1, f"token = 'abcdef12' {key} " + "0f" * 12), (2, f"token = 'abcdef12' {key} " + "0f" * 12), (3, "Password: abc secret=abcdefg"), (4, None), (5, ""), (6, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM")]
-    df = frame(spark, rows).drop("blob")
+    df = frame(spark, rows)
     out, fresh = secrets.scan(df)
     by = {r.doc_id: [(s.kind, s.start, s.end) for s in r.findings] for r in out.collect()}
     assert by[1] == by[2] == [("assign", 0, 17), ("access", 19, 39), ("hex", 40, 64)]
-    assert by[3] == [("assign", 14, 28)] and by[4] == by[5] == [] and by[6] == [("web_token", 0, 34)]
+    assert by[3] == [("assign", 14, 28)] and by[4] == by[5] == [] and by[6] == [("web_token", 0, 36)]
     assert fresh.count() == 4  # the empty blob, and one for the two copies
     again, new = secrets.scan(df, fresh)
     assert new.count() == 0
@@ -119,7 +119,7 @@ def brute_quality(text):
 
 def test_quality(spark, texts):
     rows = [r for r in texts if r[0] != 32] + [(40, "a b c a b c\nx\nx\n #$"), (41, " lead\x0btail\r\n")]
-    out = quality.judge(frame(spark, rows).drop("host"))
+    out = quality.judge(frame(spark, rows))
     got = sorted(((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out.collect()))
     assert got == sorted(brute_quality(t) for _, t in rows)
 
@@ -129,7 +129,7 @@ def test_common_lines_deplete(spark):
     line = prose(rng, 60)
     rows = [(i, line + "\n" + prose(rng, 55 if i % 2 else 80)) for i in range(30)]
     rows += [(100 + i, prose(rng, 70)) for i in range(5)]
-    out = {r.doc_id: (r.words_removed, r.kept) for r in quality.judge(frame(spark, rows).drop("host")).collect()}
+    out = {r.doc_id: (r.words_removed, r.kept) for r in quality.judge(frame(spark, rows)).collect()}
     for i in range(30):
         assert out[i] == (60, i % 2 == 0)
     assert all(out[100 + i] == (0, True) for i in range(5))
@@ -170,7 +170,9 @@ def test_myers_is_edit_distance():
     rng = random.Random(2)
     for _ in range(60):
         a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(3, 70))) for _ in range(2))
-        assert decontaminate.Item(0, a).distance(b) == brute_distance(a, b)
+        masks = {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(a)}
+        assert decontaminate.reaches(masks, len(a), b, 0) == brute_distance(a, b)
+        assert decontaminate.Item(0, a * 12).distance(b * 3) == brute_distance(a * 12, b * 3)
 
 
 def test_langid_on_held_out(spark, small):
@@ -180,7 +182,7 @@ def test_langid_on_held_out(spark, small):
     assert held.filter("lang = lang_pred").count() > 0.97 * held.count()
     assert out.filter("score < 0 or score > 1").count() == 0
     model = langid.train(docs)
-    odd = langid.predict(frame(spark, [(1, None), (2, ""), (3, "12 !"), (4, "the and of " * 9000)]).drop("score"), model)
+    odd = langid.predict(frame(spark, [(1, None), (2, ""), (3, "12 !"), (4, "the and of " * 9000)]), model)
     assert [r.lang_pred for r in odd.orderBy("doc_id").collect()] == ["und", "und", "und", "en"]
     assert langid.train(docs.limit(0)) is None
     assert langid.predict(frame(spark, [(1, "x")]), None).first().lang_pred == "und"
@@ -227,7 +229,7 @@ def test_simhash(spark, texts):
     least = {}
     for i in range(len(rows)):
         least[root(i)] = min(least.get(root(i), ids[i]), ids[i])
-    got = simhash.near_duplicates(frame(spark, rows).drop("tag")).collect()
+    got = simhash.near_duplicates(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.print % 2**64, r.component_id) for r in got) == sorted((ids[i], prints[i], least[root(i)]) for i in range(len(rows)))
     kept = simhash.keep_one(frame(spark, rows)).collect()
     assert len(kept) == len(least) and {r.doc_id if r.doc_id is not None else -(2**63) for r in kept} == set(least.values())
@@ -275,7 +277,7 @@ def test_utf8_machine_takes_any_cut():
 def test_urls(spark):
     rows = [(i, f"https://{'good' if i % 2 else 'bad'}{i}.example.{'org' if i % 2 else 'com'}/{'fr' if i % 2 else 'de'}/p{i}?q") for i in range(60)]
     rows += [(100, None), (101, ""), (102, "nothing"), (103, "HTTP://A.ORG"), (104, "http://x.example.ORG/en/12"), (105, "http://goodorg/de/"), (106, "http://bad8.example.net/de/p#x://y"), (107, "http://good9.example.net/fr/p"), (100, None)]
-    out = urls.judge(spark.createDataFrame([(i, u, "h", "s") for i, u in rows], "page_id bigint, url string, html string, threshold string"))
+    out = urls.judge(spark.createDataFrame([(i, u, "h", "s", 1, "x", "y") for i, u in rows], "page_id bigint, url string, html string, score string, times int, gram string, verdict string"))
     by = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
     assert len(by) == 68 and out.count() == 69
     assert by[100][:3] == by[101][:3] == by[102][:3] == ("", "", None)
@@ -291,8 +293,8 @@ def test_empty_tables(spark):
     none = frame(spark, [])
     assert suffixes.without_repeats(none).count() == 0
     assert pii.find_pii(none).count() == 0
-    assert secrets.scan(none.drop("blob"))[0].count() == 0
-    assert quality.judge(none.drop("host")).count() == 0
+    assert secrets.scan(none)[0].count() == 0
+    assert quality.judge(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert bpe.encode_documents(none, *bpe.vocabulary()).count() == 0
 
