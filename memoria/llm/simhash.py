@@ -214,22 +214,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, print, component_id) for each row; tag is a hash that tells rows of one doc_id apart."""
+    """(doc_id, tag, print, root, component_id) for each row.
+
+    tag is a hash that tells rows of one doc_id apart; root is the least fingerprint of the component, which names it even where
+    null or repeated ids make component_id ambiguous.
+    """
     doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
     prints = written(docs.select(doc_id.alias("doc_id"), F.xxhash64(text_col).alias("tag"), fingerprint_column(F.col(text_col)).alias("print")), "simhash-prints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("first_doc"))
     found = components(links(classes.select("print")))
     grouped = classes.join(found, classes["print"] == found["node"]).select("print", "first_doc", "root")
     least = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    linked = grouped.join(least, "root").select("print", "component_id")
-    whole = classes.join(linked, "print", "left").select("print", F.coalesce("component_id", "first_doc").alias("component_id"))
+    linked = grouped.join(least, "root").select("print", "root", "component_id")
+    whole = classes.join(linked, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("component_id", "first_doc").alias("component_id"))
     return prints.join(whole, "print")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component: that of the smallest doc_id (of several, the smallest tag)."""
     marked = near_duplicates(docs, text_col)
-    chosen = marked.groupBy("component_id").agg(F.min(F.struct("doc_id", "tag")).alias("_c")).select(F.col("_c.doc_id").alias("_keep_id"), F.col("_c.tag").alias("_keep_tag"))
+    chosen = marked.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("_c")).select(F.col("_c.doc_id").alias("_keep_id"), F.col("_c.tag").alias("_keep_tag"))
     keyed = docs.withColumns({"_keep_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_keep_tag": F.xxhash64(text_col)})
     return keyed.join(chosen, ["_keep_id", "_keep_tag"]).dropDuplicates(["_keep_id", "_keep_tag"]).drop("_keep_id", "_keep_tag")
 

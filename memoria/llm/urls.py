@@ -12,7 +12,8 @@ meet gram scores in an equi-join whose hot grams adaptive execution splits.
 
 Defined cases: a null url or one without `://` has an empty host and path and scores what its own characters give (an empty one 0);
 without samples of both kinds every score is 0 and the threshold 0, so the verdict is allow; a null page_id is an
-ordinary value; repeated rows are judged alike and count as often in the models; extra columns are never read.
+ordinary value; repeated rows are judged alike and count as often in the models; extra columns are kept, those named as the
+results replaced.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def scored_urls(pages: DataFrame, url_col: str) -> tuple[DataFrame, float]:
 
 def judge(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """`pages` with host, path, rule, score and verdict."""
-    df = with_host_and_path(pages, url_col)
+    df = with_host_and_path(pages.drop("rule", "score", "verdict"), url_col)
     rule, ruled = rule_columns(F.col("host"), F.col("path"))
     df = df.withColumns({"rule": rule, "_ruled": ruled})
     scored, threshold = scored_urls(df, url_col)
