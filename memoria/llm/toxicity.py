@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoria.llm.arrays import text_slices
-from memoria.llm.common import table
+from memoria.llm.common import table, written
 
 FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 #: Bounds of the samples that the classifier is fitted on.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 BITS = 20
+PART = 1 << 20
 #: Besides whole words, their beginnings of so many bytes: inflected forms share them.
 BEGINNINGS = (3, 4, 5, 6, 7)
 MIN_DOCS = 8
@@ -74,42 +75,57 @@ def _pairs(row: np.ndarray, value: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _features(texts: pa.Array) -> pa.Array:
-    out: list[bytes] = []
+    features, cuts, total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
     for _, raw, offsets in text_slices(texts):
         row, feature = word_features(raw, offsets)
-        cut = np.searchsorted(row, np.arange(len(offsets)))
-        out += [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.array(out, pa.binary())
+        features.append(feature.astype(np.int32))
+        cuts.append(total + np.searchsorted(row, np.arange(1, len(offsets)), "left"))
+        total += len(feature)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(cuts).astype(np.int32)), pa.array(np.concatenate(features)))
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def least_pull(prior: float, n_positive: int) -> float:
+    return max(LEAST_PULL, ERRORS * prior * np.sqrt(WORD_SHARE / max(n_positive, 1)))
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """(weights by feature, bias) of the classifier with the least non-negative risk, few weights being non-zero; Adam over the whole sample."""
-    rows = [*positive, *unlabelled]
-    n_p, n = len(positive), len(rows)
-    sizes = np.array([len(r) for r in rows])
-    features = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    row_of = np.repeat(np.arange(n), sizes)
-    common = np.bincount(features, minlength=1 << BITS) >= MIN_DOCS
-    keep = common[features]
-    names, column = np.unique(features[keep], return_inverse=True)
-    row_of = row_of[keep]
+    n_p, n = len(positive), len(positive) + len(unlabelled)
+    sizes = np.array([len(r) for part in (positive, unlabelled) for r in part])
+    features = np.concatenate([*positive, *unlabelled])
+    names = np.flatnonzero(np.bincount(features, minlength=1 << BITS) >= MIN_DOCS)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[names] = np.arange(len(names), dtype=np.int32)
+    column = number[features]
+    row_of = np.repeat(np.arange(n, dtype=np.int32), sizes)[column >= 0]
+    column = column[column >= 0]
+    del features
+    # Sums over all pairs of row and feature are made in parts, so that the driver holds a few bytes for each.
+    parts = [slice(i, i + PART) for i in range(0, len(column), PART)]
+
+    def by_row(weights: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(row_of[s], weights[column[s]], minlength=n) for s in parts), np.zeros(n))
+
+    def by_column(values: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(column[s], values[row_of[s]], minlength=len(names)) for s in parts), np.zeros(len(names)))
+
     w, b = np.zeros(len(names)), np.log(prior / (1 - prior))
-    pull = max(LEAST_PULL, ERRORS * prior * np.sqrt(WORD_SHARE / max(n_p, 1)))
+    pull = least_pull(prior, n_p)
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     is_p = np.arange(n) < n_p
     for step in range(1, STEPS + 1):
-        p = logistic(np.bincount(row_of, w[column], minlength=n) + b)
+        p = logistic(by_row(w) + b)
         as_negative = -np.log1p(-np.minimum(p, 1 - 1e-12))
         negative_risk = as_negative[~is_p].mean() - prior * as_negative[is_p].mean()
         # Gradients of the risk in each row's score: positives as positive, then all as negative.
         plus = np.where(is_p, prior / n_p * (p - 1), 0)
         minus = np.where(is_p, -prior / n_p * p, p / (n - n_p))
         g = plus + minus if negative_risk >= 0 else -minus
-        gradient = np.r_[np.bincount(column, g[row_of], minlength=len(names)), g.sum()]
+        gradient = np.r_[by_column(g), g.sum()]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         pace = RATE / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -133,21 +149,36 @@ def _sampled(df: DataFrame, n: int, most: int, *by: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float] | None:
     """The model from the learning fold, or None without positives."""
-    fold = fold_of(F.col("doc_id")) != HELD_FOLD
+    spark, fold = docs.sparkSession, fold_of(F.col("doc_id")) != HELD_FOLD
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(fold).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_marked, n_toxic = marked.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
     if not n_toxic:
         return None
-    features = F.arrow_udf(_features, "binary")
     own = docs.filter(fold).select("doc_id", F.col(text_col).alias("_text"))
     toxic = _sampled(marked.filter("toxic = 1").select("doc_id"), n_toxic, MAX_POSITIVE, "doc_id")
     # Bounded by MAX_POSITIVE (and the spread of the hash), so it may be broadcast.
-    positive = own.join(F.broadcast(toxic), "doc_id")
-    unlabelled = _sampled(own, own.count(), MAX_UNLABELLED, "doc_id", "_text")
-    rows = [[np.frombuffer(r[0], np.int32).astype(np.int64) for r in part.select(features("_text")).collect()] for part in (positive, unlabelled)]
-    if not rows[0] or not rows[1]:
+    positive = own.join(F.broadcast(toxic), "doc_id").select(F.lit(True).alias("is_p"), "_text")
+    unlabelled = _sampled(own, own.count(), MAX_UNLABELLED, "doc_id", "_text").select(F.lit(False).alias("is_p"), "_text")
+    features = F.arrow_udf(_features, "array<int>")
+    sample = written(positive.unionByName(unlabelled).select("is_p", features("_text").alias("features")), "toxicity-sample")
+    n = {r["is_p"]: r["count"] for r in sample.groupBy("is_p").count().collect()}
+    if len(n) < 2:
         return None
-    return fit_nnpu(*rows, prior=min(max(n_toxic / n_marked, 1e-3), 0.9))
+    prior = min(max(n_toxic / n_marked, 1e-3), 0.9)
+    # Only features whose pull on the risk can matter go to the driver; the counts that tell are made by Spark.
+    count = lambda is_p: F.count_if(F.col("is_p") == is_p)
+    pull = F.abs(prior * F.col("p") / n[True] - prior * F.col("u") / n[False])
+    counts = sample.select("is_p", F.explode("features").alias("feature")).groupBy("feature").agg(count(True).alias("p"), count(False).alias("u"))
+    telling = counts.filter((F.col("p") + F.col("u") >= MIN_DOCS) & (pull > least_pull(prior, n[True]) / 2)).select("feature")
+    names = spark.sparkContext.broadcast(np.array(sorted(r["feature"] for r in telling.collect()), np.int32))
+
+    def chosen(lists: pa.Array) -> pa.Array:
+        return pa.array([np.intersect1d(x.values.to_numpy(), names.value, assume_unique=True).tobytes() for x in lists], pa.binary())
+
+    rows = {True: [], False: []}
+    for r in sample.select("is_p", F.arrow_udf(chosen, "binary")("features").alias("own")).collect():
+        rows[r["is_p"]].append(np.frombuffer(r["own"], np.int32))
+    return fit_nnpu(rows[True], rows[False], prior)
 
 
 def score_column(spark: SparkSession, model: tuple[np.ndarray, float] | None, text: Column) -> Column:
