@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from memoria.llm import quality, urls
+from memoria.llm import quality, secrets, urls
 from memoria.llm.bpe import op10_bpe
 from memoria.llm.decontaminate import op6_decontaminate
 from memoria.llm.langid import op7_langid
@@ -44,4 +44,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urls.ORACLE, "op5_quality": quality.ORACLE}
+    return {"op3_urls": urls.ORACLE, "op4_secrets": secrets.ORACLE, "op5_quality": quality.ORACLE}

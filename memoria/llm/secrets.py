@@ -95,3 +95,34 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count_kind(spans, k) for k in BASE_KINDS]
     base = F.filter(spans, lambda s: s["kind"].isin(BASE_KINDS))
     return df.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
+def _kind_sql(order: int, kind: str, pattern: str) -> str:
+    p = pattern.replace("'", "''").replace("++", "+").replace("}+", "}")
+    return f"SELECT rid, {order} AS ord, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM d WHERE regexp_matches(text, '{p}')"
+
+
+_head = ASSIGN_HEAD.replace("'", "''")
+_base = str(tuple(BASE_KINDS))
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(_kind_sql(i, kind, pattern) for i, (kind, _, pattern, _) in enumerate(RULES))}),
+p AS (
+  SELECT rid, ord, kind, hits[i] AS hit,
+    (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS start
+  FROM m, unnest(range(1, len(hits) + 1)) AS r(i)
+), s AS (
+  SELECT rid, ord, kind, start, start + length(hit) AS stop, kind IN {_base} AS base FROM p
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(hit, '{_head}', '')) >= 6 WHEN 'access' THEN length(hit) >= 20 ELSE true END
+), k AS (
+  SELECT * FROM s WHERE base OR NOT EXISTS (SELECT 1 FROM s b WHERE b.rid = s.rid AND b.base AND b.start < s.stop AND s.start < b.stop)
+), a AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (base) AS base_text,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans
+  FROM k GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base_text, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""

@@ -337,3 +337,20 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, folder).count()
         stage(spark, odd.limit(0), folder).count()
+
+
+def test_items_part_the_windows_of_long_rows(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffixes, "SEGMENT", 700)
+    for n in (99, 100, 101, 699, 700, 799, 800, 5000):
+        raw = np.frombuffer(prose(random.Random(n), 5000).encode()[:n], np.uint8)
+        starts, whole = [], {}
+        for data, base, (_, first, last, anchor, _) in suffixes.items(raw, np.array([0, n])):
+            for a, b, c in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True):
+                starts += range(base + a, base + b + 1)
+                assert b <= c <= a + suffixes.GRAMS - 1
+                for p in range(a, b + 1):
+                    text = data[p : p + suffixes.LENGTH].tobytes()
+                    assert whole.setdefault(text, c - p) == c - p
+        assert starts == list(range(max(0, n - 99)))
