@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memoria.model import PROFILES_SQL, RANK_SQL, SCOPE_SQL, SCOPES, admits, derived_scope, profiles, scope_rank
+from memoria.model import PROFILES, PROFILES_SQL, RANK_SQL, SCOPE_SQL, SCOPES, admits, derived_scope, scope_rank
 from memoria.plans.registry import Tables, query
 
 CLASSES = ["direct", "indirect", "inference", "clinical"]
@@ -18,7 +18,8 @@ def scoped(t: Tables) -> DataFrame:
 
 def leak_counts(t: Tables, filtered: bool) -> DataFrame:
     """Items injected for each profile and source, and those below the ceiling, counted by rank."""
-    pairs = scoped(t).join(F.broadcast(profiles(t.spark)))  # three profiles
+    each = F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(c).alias("ceiling")) for p, c in PROFILES.items()))
+    pairs = scoped(t).select("source", "scope", F.inline(each))
     if filtered:
         pairs = pairs.filter(admits(F.col("scope"), F.col("ceiling")))
     below = scope_rank(F.col("scope")) < scope_rank(F.col("ceiling"))
