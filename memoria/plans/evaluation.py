@@ -53,10 +53,10 @@ def memory_eval(t: Tables) -> DataFrame:
     return graded.groupBy("category").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 6).alias("score"))
 
 
-@query(f"WITH {EVAL}, s AS (SELECT category, avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END) AS score FROM graded GROUP BY category) SELECT round(avg(score), 5) AS composite, count(*) AS categories FROM s")
+@query(f"WITH {EVAL}, s AS (SELECT category, round(avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END), 6) AS score FROM graded GROUP BY category) SELECT round(avg(score), 8) AS composite, count(*) AS categories FROM s")
 def memory_eval_composite(t: Tables) -> DataFrame:
     """Mean of the categories' scores."""
-    return memory_eval(t).agg(F.round(F.avg("score"), 5).alias("composite"), F.count(F.lit(1)).alias("categories"))
+    return memory_eval(t).agg(F.round(F.avg("score"), 8).alias("composite"), F.count(F.lit(1)).alias("categories"))
 
 
 @query(f"""
@@ -108,13 +108,13 @@ def preference_mining(t: Tables) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT date_trunc('week', ts)::TIMESTAMP AS week, user_id, avg(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT week, round(avg(v), 6) AS level FROM w GROUP BY week)
-SELECT week, level, round(level - first_value(level) OVER (ORDER BY week), 5) AS learned FROM m
+SELECT week, level, round(level - first_value(level) OVER (ORDER BY week), 6) AS learned FROM m
 """)
 def voice_curve(t: Tables) -> DataFrame:
     """Weekly level against the first week."""
     w = t.events.groupBy(F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week"), "user_id").agg(F.avg("value").alias("v"))
     m = w.groupBy("week").agg(F.round(F.avg("v"), 6).alias("level"))
-    return m.withColumn("learned", F.round(F.col("level") - F.first("level").over(Window.orderBy("week")), 5))
+    return m.withColumn("learned", F.round(F.col("level") - F.first("level").over(Window.orderBy("week")), 6))
 
 
 @query("""

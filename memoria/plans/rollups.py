@@ -93,10 +93,10 @@ def drift_alarm(t: Tables) -> DataFrame:
     return d.withColumn("alarm", F.coalesce(F.col("before") - F.col("composite") > SETTINGS.drift_alarm, F.lit(False)))
 
 
-@query(f"WITH {DAILY} SELECT day, composite, round(avg(composite) OVER (ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 5) AS trend FROM d")
+@query(f"WITH {DAILY} SELECT day, composite, round(avg(composite) OVER (ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 8) AS trend FROM d")
 def quality_trend(t: Tables) -> DataFrame:
     """Mean of the last four days."""
-    return daily(t).withColumn("trend", F.round(F.avg("composite").over(Window.orderBy("day").rowsBetween(-3, 0)), 5))
+    return daily(t).withColumn("trend", F.round(F.avg("composite").over(Window.orderBy("day").rowsBetween(-3, 0)), 8))
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' ORDER BY value DESC, event_id LIMIT 3")
