@@ -17,7 +17,7 @@ are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -222,7 +222,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
     prints = written(docs.select(doc_id.alias("doc_id"), F.xxhash64(text_col).alias("tag"), fingerprint_column(F.col(text_col)).alias("print")), "simhash-prints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("first_doc"))
-    found = components(links(classes.select("print")))
+    return labelled(prints, classes, components(links(classes.select("print"))))
+
+
+def labelled(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """`prints` with root and component_id, from classes (print, first_doc) and components (node, root) of their prints."""
     grouped = classes.join(found, classes["print"] == found["node"]).select("print", "first_doc", "root")
     least = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = grouped.join(least, "root").select("print", "root", "component_id")
@@ -230,9 +234,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return prints.join(whole, "print")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component: that of the smallest doc_id (of several, the smallest tag)."""
-    marked = near_duplicates(docs, text_col)
+def keep_one(docs: DataFrame, text_col: str = "text", mark: Callable[[DataFrame, str], DataFrame] = near_duplicates) -> DataFrame:
+    """`docs` with one row of each component that `mark` gives: that of the smallest doc_id (of several, the smallest tag)."""
+    marked = mark(docs, text_col)
     chosen = marked.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("_c")).select(F.col("_c.doc_id").alias("_keep_id"), F.col("_c.tag").alias("_keep_tag"))
     keyed = docs.withColumns({"_keep_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_keep_tag": F.xxhash64(text_col)})
     return keyed.join(chosen, ["_keep_id", "_keep_tag"]).dropDuplicates(["_keep_id", "_keep_tag"]).drop("_keep_id", "_keep_tag")
