@@ -96,3 +96,36 @@ def community_sizes(t: Tables) -> DataFrame:
 def link_namespaces(t: Tables) -> DataFrame:
     """Targets and links by the first part of the target."""
     return edges(t.pages).groupBy(F.split_part("target", F.lit("/"), F.lit(2)).alias("namespace")).agg(F.count_distinct("target").alias("targets"), F.count(F.lit(1)).alias("links"))
+
+
+@query(f"""
+WITH {E}, tt AS (SELECT DISTINCT a.target AS near, b.target FROM e a JOIN e b USING (page_id)), one AS (SELECT page_id AS src, target FROM e WHERE page_id % 100 = 0),
+u AS (SELECT src, target, 1 AS hops FROM one UNION ALL SELECT o.src, tt.target, 2 FROM one o JOIN tt ON tt.near = o.target)
+SELECT src, target, min(hops)::BIGINT AS hops FROM u GROUP BY src, target
+""")
+def khop2_targets(t: Tables) -> DataFrame:
+    """Targets by which every hundredth page reaches others within two hops, hubs included: the pages are those of `page_edges` at them.
+
+    Steps go from target to target by the pages that have both, so no pairs of pages are made.
+    """
+    e = edges(t.pages)
+    steps = e.withColumnRenamed("target", "near").join(e, "page_id").select("near", "target").distinct()
+    one = e.filter(F.col("page_id") % 100 == 0).select(F.col("page_id").alias("src"), "target")
+    two = one.withColumnRenamed("target", "near").join(steps, "near").select("src", "target")
+    hops = one.withColumn("hops", F.lit(1)).unionByName(two.withColumn("hops", F.lit(2)))
+    return hops.groupBy("src", "target").agg(F.min("hops").cast("bigint").alias("hops"))
+
+
+ALL_STEPS = f"{E}, s AS (SELECT target, page_id FROM e)"
+
+
+@query(f"WITH {ALL_STEPS}, {_spread_sql(3)} SELECT page_id, label FROM l3")
+def label_propagation_all(t: Tables) -> DataFrame:
+    """Communities by three rounds of spreading the least label, hubs included."""
+    return spread_labels(edges(t.pages), t.pages, 3)
+
+
+@query(f"WITH {ALL_STEPS}, {_spread_sql(3)} SELECT label, count(*) AS n_pages FROM l3 GROUP BY label HAVING count(*) > 1")
+def community_sizes_all(t: Tables) -> DataFrame:
+    """Communities of more than one page, hubs included."""
+    return label_propagation_all(t).groupBy("label").agg(F.count(F.lit(1)).alias("n_pages")).filter("n_pages > 1")
