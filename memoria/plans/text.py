@@ -83,6 +83,18 @@ def contextual_chunk_keys(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(F.concat("source", F.lit(" / "), "lang", F.lit(": "), first), 256).alias("contextual_sha"))
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
+c AS (SELECT doc_id, source, lang, (i - 1) // 180 AS chunk, list_slice(words, i, i + 199) AS part FROM w, unnest(range(1, greatest(len(words), 1) + 1, 180)) AS r(i))
+SELECT doc_id, chunk::BIGINT AS chunk, sha256(source || ' / ' || lang || ': ' || array_to_string(part, ' ')) AS contextual_sha FROM c
+""")
+def contextual_chunk_keys_all(t: Tables) -> DataFrame:
+    """The address of every chunk that `document_chunks` makes, with its document's project and language in front."""
+    parts = t.documents.select("doc_id", "source", "lang", F.posexplode(tx.chunks(tokens(F.col("text")), 200, 180)).alias("chunk", "part"))
+    keyed = F.sha2(F.concat("source", F.lit(" / "), "lang", F.lit(": "), F.array_join("part", " ")), 256)
+    return parts.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), keyed.alias("contextual_sha"))
+
+
 @query("""
 WITH x AS (SELECT event_id, event_type, value, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS given, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT event_id, coalesce(nullif(given, ''), 'unnamed') AS or_name, coalesce(given, 'unnamed') AS nullish_name, coalesce(k > 50, true) <> false AS enabled,
