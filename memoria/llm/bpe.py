@@ -3,17 +3,22 @@
 A sequence of tokens is the encoding of a text exactly if each neighbouring pair is the encoding of its own
 bytes. So the merges define a non-deterministic transducer: its configurations are (last token, node of the
 vocabulary's trie); a byte moves along the trie, and at a node that is a token the path may end one there, if
-the pair of it and the last token is valid. Each prefix has one encoding, so one configuration at most ends at
-each byte. States of the deterministic transducer are sets of live configurations; a move gives the token that
-ends at the byte, and where one configuration is left all tokens before it are settled and emitted: no token
-reaches further back, so the lookahead is bounded by the longest one. States and moves are made when a text first
-needs them.
+that token may follow the last one. Each prefix has one encoding, so one configuration at most ends at each byte.
+
+A state of the deterministic transducer is the set of the trie's nodes that are live at a byte. They are suffixes of
+the longest one, which names the state; so there are no more states than nodes, and texts share them. Beside the state
+runs the token that ends at each byte which a live configuration may start from. Where all live configurations have
+come by the same tokens, those are settled and emitted; none reaches further back than the longest token, which bounds the
+lookahead. States and moves are made when a text first needs them.
+
+Whether one token may follow another is read from their last merges: the merge that came last is taken back,
+left or right of the border, until a merge over the border would have come before it, or single bytes are left.
 
 Decoding joins the tokens' bytes and turns them into text by an incremental UTF-8 state machine, so that a
 stream may be cut anywhere.
 
 Defined cases: a null or empty text has no tokens; null ids decode to the empty text; extra columns are kept
-(a column of the output's name is replaced); a vocabulary without all single bytes is refused.
+(a column of the output's name is replaced); a vocabulary without all single bytes, or with tokens made of later ones, is refused.
 """
 
 from __future__ import annotations
@@ -31,15 +36,17 @@ from pyspark.sql import functions as F
 
 from memoria.llm.common import table
 
-#: Limits of a worker's tables, in entries; a full one starts again, which changes no result.
-MAX_MOVES, MAX_PAIRS, MAX_PIECES, MAX_BEGINNINGS = 1_000_000, 500_000, 250_000, 100_000
-BEGINNING = 6
+#: Limits of a worker's tables, in entries, about 50 MB together; a full one starts again, which changes no result.
+MAX_ENTRIES, MAX_PIECES = 250_000, 60_000
 TOKEN_BITS = 20
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
+#: Bytes after which settled tokens are looked for.
+SETTLE = 64
 MAX_PIECE_CHARS = 32
-SETTLE_BYTES, LONG_TEXT = 4096, 1 << 20
+LONG_TEXT = 1 << 20
 #: A vocabulary is sent to every executor; larger files than this are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
+NEVER = 1 << 60
 
 
 def read_ranks(path: str) -> bytes:
@@ -58,152 +65,207 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return ranks
 
 
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The definition of an encoding: again and again the pair of least rank, leftmost first."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+        if rank == NEVER:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+class Merges:
+    """Of each token the two that its last merge joins, and which tokens may stand side by side."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        n = max(ranks.values()) + 1
+        #: -1 for single bytes, which no merge made; NEVER for tokens that merges don't lead to.
+        self.made = array("q", [NEVER]) * n
+        self.left, self.right = array("i", [-1]) * n, array("i", [-1]) * n
+        self.joined: dict[int, int] = {}
+        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+            if len(token) == 1:
+                self.made[rank] = -1
+                continue
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i], -1), ranks.get(token[i:], -1)
+                if a >= 0 <= b and self.made[a] < rank > self.made[b] and self.apart(a, b, rank):
+                    self.made[rank], self.left[rank], self.right[rank] = rank, a, b
+                    self.joined[a << TOKEN_BITS | b] = rank
+                    break
+            else:
+                if len(merge(token, ranks)) == 1:
+                    raise ValueError(f"token {rank} is made of tokens of later ranks")
+
+    def apart(self, a: int, b: int, before: int = NEVER) -> bool:
+        """Whether no merge goes over the border of tokens a and b, up to the merge of rank `before`."""
+        made, joined = self.made, self.joined.get
+        while True:
+            if joined(a << TOKEN_BITS | b, NEVER) < before:
+                return False
+            if made[a] > made[b]:
+                before, a = a, self.right[a]
+            elif made[b] >= 0:
+                # Of equal merges the left one comes first: that over the border before that to its right.
+                before, b = b + 1, self.left[b]
+            else:
+                return True
+
+
+class Follows(dict):
+    """Of one token: last token to whether this one may follow it; -1 is the start."""
+
+    def __init__(self, machine: Transducer, token: int):
+        super().__init__()
+        self.machine, self.token = machine, token
+
+    def __missing__(self, last: int) -> bool:
+        found = self[last] = last < 0 or self.machine.merges.apart(last, self.token)
+        self.machine.count_entry()
+        return found
+
+
+class State(dict):
+    """Moves by byte; `node` is the longest live node, `ends` are the tokens (and their lengths) that may end here, longest first."""
+
+    def __init__(self, machine: Transducer, node: int):
+        super().__init__()
+        self.machine, self.node, ends = machine, node, []
+        while node:
+            if (token := machine.token_at[node]) >= 0:
+                ends.append((token, machine.depth[node], machine.follows(token)))
+            node = machine.suffix_of(node)
+        self.ends = tuple(ends)
+
+    def __missing__(self, byte: int) -> State:
+        found = self[byte] = self.machine.state(self.machine.next(self.node, byte))
+        self.machine.count_entry()
+        return found
+
+
 class Transducer:
-    """States and trie nodes are numbers; a move is kept as one integer under another, so that many fit a worker."""
+    """Nodes of the trie are numbers, the root 0; what belongs to them lies in flat arrays."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.merges = Merges(ranks)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.length = {rank: len(token) for token, rank in ranks.items()}
-        self.valid: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.below: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        self.below: dict[int, int] = {}
+        self.token_at, self.inner = array("i", [-1]), bytearray(1)
+        self.above, self.depth = array("i", [-1]), array("i", [0])
+        last = bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                if (child := self.below[node].get(b)) is None:
-                    child = self.below[node][b] = len(self.below)
-                    self.below.append({})
+                if (child := self.below.get(node << 8 | b)) is None:
+                    child = self.below[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.inner.append(0)
+                    self.inner[node] = 1
+                    self.above.append(node)
+                    self.depth.append(self.depth[node] + 1)
+                    last.append(b)
                 node = child
-            self.token_at[node] = rank
-        #: Of each state its paths: last token and node, over and over. State 0 is the start.
-        self.paths: list[tuple[int, ...]] = []
-        self.number: dict[tuple[int, ...], int] = {}
-        self.moves: dict[int, int] = {}
-        self.beginnings: dict[bytes, tuple[int, list[int]]] = {}
-        self.state((-1, 0))
-
-    def state(self, paths: tuple[int, ...]) -> int:
-        if (found := self.number.get(paths)) is None:
-            found = self.number[paths] = len(self.paths)
-            self.paths.append(paths)
+            self.token_at[node] = rank if self.merges.made[rank] < NEVER else -1
+        self.last = bytes(last)
+        #: Of each node the longest of its suffixes that is a node; -1 where it isn't known yet.
+        self.suffix = array("i", [-1]) * len(self.token_at)
+        self.begin()
+
+    def begin(self) -> None:
+        """Empty tables; states that are in use go on without them."""
+        self.states: dict[int, State] = {}
+        self.by_token: dict[int, Follows] = {}
+        self.entries = 0
+        self.start = self.state(0)
+
+    def count_entry(self) -> None:
+        self.entries += 1
+        if self.entries > MAX_ENTRIES:
+            self.begin()
+
+    def state(self, node: int) -> State:
+        if (found := self.states.get(node)) is None:
+            found = self.states[node] = State(self, node)
         return found
 
-    def merge(self, piece: bytes) -> list[bytes]:
-        """The definition: again and again the pair of least rank, leftmost first. For two tokens' bytes at most."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def is_whole(self, token: int) -> bool:
-        """Merges of the token's bytes lead to the token itself."""
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = len(self.merge(self.bytes_of[token])) == 1
-        return known
-
-    def may_follow(self, last: int, token: int) -> bool:
-        if last < 0:
-            return True
-        pair = last << TOKEN_BITS | token
-        if (known := self.valid.get(pair)) is None:
-            if len(self.valid) > MAX_PAIRS:
-                self.valid.clear()
-            a, b = self.bytes_of[last], self.bytes_of[token]
-            known = self.valid[pair] = self.merge(a + b) == [a, b]
-        return known
-
-    def after(self, paths: tuple[int, ...], byte: int) -> tuple[int, tuple[int, ...]]:
-        """(the one token that ends at this byte, the paths that live on: those inside a token, and the one at its end)."""
-        out, ended = [], -1
-        for last, node in zip(paths[::2], paths[1::2], strict=True):
-            if (child := self.below[node].get(byte)) is None:
-                continue
-            token = self.token_at[child]
-            if ended < 0 <= token and self.is_whole(token) and self.may_follow(last, token):
-                ended = token
-            if self.below[child]:
-                out += (last, child)
-        if ended < 0:
-            raise ValueError("the ranks are no byte-level BPE vocabulary")
-        out += (ended, 0)
-        return ended, tuple(out)
-
-    def make_move(self, state: int, byte: int) -> int:
-        token, paths = self.after(self.paths[state], byte)
-        if len(self.moves) >= MAX_MOVES:
-            self.moves.clear()
-            self.number.clear()
-            self.beginnings.clear()
-            kept = self.paths[state]
-            self.paths.clear()
-            self.state((-1, 0))
-            state = self.state(kept)
-        move = self.moves[state << 8 | byte] = self.state(paths) << TOKEN_BITS | token
-        return move
-
-    def walk(self, state: int, piece: bytes) -> tuple[int, list[int]]:
-        """(state behind the piece, the token that ends at each of its bytes)."""
-        known, ends = self.moves.get, []
-        keep = ends.append
-        for byte in piece:
-            if (move := known(state << 8 | byte)) is None:
-                move = self.make_move(state, byte)
-            keep(move & TOKEN_MASK)
-            state = move >> TOKEN_BITS
-        return state, ends
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The tokens that end at each byte lead back from the end; where one path is left, all before it is settled and emitted.
-
-        Pieces share their beginnings, so the walk over those is kept as one long move.
-        """
-        if len(piece) > SETTLE_BYTES:
-            return self._encode_long(piece)
-        if (found := self.beginnings.get(piece[:BEGINNING])) is None:
-            found = self.walk(0, piece[:BEGINNING])
-            if len(self.beginnings) >= MAX_BEGINNINGS:
-                self.beginnings.clear()
-            self.beginnings[piece[:BEGINNING]] = found
-        state, ends = found
-        return self._back(ends + self.walk(state, piece[BEGINNING:])[1])
-
-    def _encode_long(self, piece: bytes) -> list[int]:
-        state, held, out = 0, [], []
-        for at in range(0, len(piece), SETTLE_BYTES):
-            for byte in piece[at : at + SETTLE_BYTES]:
-                state, ends = self.walk(state, bytes((byte,)))
-                held += ends
-                if len(held) >= SETTLE_BYTES and len(self.paths[state]) == 2:
-                    out += self._back(held)
-                    held = []
-        return out + self._back(held)
-
-    def _back(self, ends: list[int]) -> list[int]:
-        out, at, length = [], len(ends), self.length
+    def follows(self, token: int) -> Follows:
+        if (found := self.by_token.get(token)) is None:
+            found = self.by_token[token] = Follows(self, token)
+        return found
+
+    def suffix_of(self, node: int) -> int:
+        if (found := self.suffix[node]) < 0:
+            up = self.above[node]
+            found = self.suffix[node] = self.next(self.suffix_of(up), self.last[node]) if up > 0 else 0
+        return found
+
+    def next(self, node: int, byte: int) -> int:
+        """The longest live node behind a byte."""
+        while (child := self.below.get(node << 8 | byte)) is None:
+            if not node:
+                return 0
+            node = self.suffix_of(node)
+        return child
+
+    def encode(self, piece: bytes) -> list[int]:
+        """The tokens of the piece, emitted as they are settled."""
+        #: The token that ends at each byte since the last settled one, and that one; -1 is the start.
+        state, told, out = self.start, [-1], []
+        for at in range(0, len(piece), SETTLE):
+            if at:
+                out += self.settled(state.node, told)
+            tell = told.append
+            for byte in piece[at : at + SETTLE]:
+                state = state[byte]
+                for token, length, follows in state.ends:
+                    if follows[told[-length]]:
+                        tell(token)
+                        break
+                else:
+                    raise ValueError("the ranks are no byte-level BPE vocabulary")
+        return out + self.back(told, len(told) - 1)
+
+    def settled(self, node: int, told: list[int]) -> list[int]:
+        """Takes from `told` the tokens by which all live configurations have come."""
+        at = len(told) - 1
+        live = {at}
+        while node:
+            if self.inner[node]:
+                live.add(at - self.depth[node])
+            node = self.suffix_of(node)
+        while len(live) > 1:
+            at = max(live)
+            live.remove(at)
+            live.add(at - len(self.bytes_of[told[at]]))
+        at = live.pop()
+        out = self.back(told, at)
+        del told[:at]
+        return out
+
+    def back(self, told: list[int], at: int) -> list[int]:
+        out, bytes_of = [], self.bytes_of
         while at > 0:
-            out.append(token := ends[at - 1])
-            at -= length[token]
+            out.append(token := told[at])
+            at -= len(bytes_of[token])
         out.reverse()
         return out
 
 
 class Pieces(dict):
-    """Encoded pieces of this process, as packed ids; long pieces aren't kept."""
+    """Encoded pieces of this process, as packed ids, in two generations; long pieces aren't kept."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = array("I", self.encode(piece)).tobytes()
+        if (packed := self.older.get(piece)) is None:
+            packed = array("I", self.encode(piece)).tobytes()
         if len(piece) <= MAX_PIECE_CHARS:
             if len(self) >= MAX_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -222,7 +284,7 @@ class Encoder:
         raw = piece.encode()
         if (whole := self.ranks.get(raw)) is not None:
             return [whole]
-        return self.machine.encode_piece(raw)
+        return self.machine.encode(raw)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids. The pieces of a long text are made one by one, not all at once."""
