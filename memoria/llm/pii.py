@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Native: DataFrame functions only. Defined cases: a null or empty text has no spans; extra columns are
-kept and never read; repeated rows give repeated results; an empty table gives an empty result.
+Native: DataFrame functions only; work grows in proportion to a text's length and (but for a root) its spans. Defined cases: a null
+or empty text has no spans; extra columns are kept and never read (one named as the result is replaced); repeated rows give repeated results; an empty table gives an empty result.
 Positions are code points, end exclusive.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoria.llm.common import NO_SPANS, count_kind, ordered, overlaps_any, regex_spans, spans_text, table
+from memoria.llm.common import NO_SPANS, apart_from, bound, count_kind, ordered, parts_of, piece, regex_spans, running, spans_text, table, unused
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 ADDED_KINDS = ["iban", "local_phone", "ssn"]
@@ -82,10 +82,9 @@ def valid(span: Column) -> Column:
     )
 
 
-def scored(span: Column, text: Column) -> Column:
-    """The span with its score raised where a context word stands near it."""
-    begin = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    around = F.lower(F.substring(text, (begin + 1).cast("int"), (span["end"] - begin + CONTEXT_CHARS).cast("int")))
+def scored(span: Column, parts: Column) -> Column:
+    """The span with its score raised where a context word stands near it; `parts` are those of its text."""
+    around = F.lower(piece(parts, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)), span["end"] + CONTEXT_CHARS))
     near = F.lit(False)
     for kind, (words, _) in CONTEXT.items():
         near = near | ((span["kind"] == kind) & around.rlike(words))
@@ -111,14 +110,14 @@ def pii_spans(text: Column) -> tuple[Column, Column]:
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii_spans") -> DataFrame:
     """`docs` with an array of spans (kind, start, end, value, score) in column `out`, by kind, then start."""
-    text, base, added = (f"_{out}_{x}" for x in ("text", "base", "added"))
-    some = F.coalesce(F.col(text), F.lit(""))
+    base, added, parts = unused(docs, "_base", "_added", "_parts")
+    some, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast(NO_SPANS)
     proposals = pii_spans(some)
-    df = docs.withColumn(text, F.col(text_col))
-    df = df.withColumns({base: F.when(some.rlike("[0-9@]"), proposals[0]).otherwise(F.array().cast(NO_SPANS)), added: F.when(some.rlike("[0-9]{2}"), proposals[1]).otherwise(F.array().cast(NO_SPANS))})
-    df = df.withColumns({c: F.transform(F.filter(c, valid), lambda s: scored(s, some)) for c in (base, added)})
-    extra = F.filter(added, lambda s: (s["score"] >= MIN_SCORE) & ~overlaps_any(s, F.col(base)))
-    return df.withColumn(out, ordered(F.concat(F.col(base), extra), KINDS, by_kind=True)).drop(text, base, added)
+    df = docs.withColumns({base: F.when(some.rlike("[0-9@]"), F.filter(proposals[0], valid)).otherwise(none), added: F.when(some.rlike("[0-9]{2}"), F.filter(proposals[1], valid)).otherwise(none)})
+    df = df.withColumn(parts, F.when((F.size(base) > 0) | (F.size(added) > 0), parts_of(some)))
+    df = df.withColumns({c: F.transform(c, lambda s: scored(s, F.col(parts))) for c in (base, added)})
+    extra = apart_from(F.filter(added, lambda s: s["score"] >= MIN_SCORE), F.col(base))
+    return df.withColumn(out, ordered(F.concat(F.col(base), extra), KINDS, by_kind=True)).drop(base, added, parts)
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -126,22 +125,21 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Texts without spans stay as they are (null stays null).
     """
-    spans, text = "_mask_spans", F.col(text_col)
-    df = find_pii(docs, text_col, spans)
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(gap, mark))).alias("parts"),
-        )
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-    by_start = ordered(F.col(spans), KINDS, by_kind=False)
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    masked = F.aggregate(by_start, zero, step, rest)
-    return df.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).drop(spans)
+    (name,) = unused(docs, "_spans")
+    df = find_pii(docs, text_col, name)
+    text = F.col(text_col)
+
+    def masked(of: Column) -> Column:
+        told = running(F.transform(of["spans"], lambda s: s["end"]), F.lit(0).cast("bigint"), F.greatest)
+        return bound(told, lambda ends: joined(of, ends))
+
+    def joined(of: Column, ends: Column) -> Column:
+        """`ends` has where the text before each span is told to, and at last where all is."""
+        part = lambda s, at: F.when(s.isNull(), piece(of["parts"], at, F.length(text).cast("bigint"))).when(s["start"] >= at, F.concat(piece(of["parts"], at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        return F.array_join(F.zip_with(of["spans"], ends, part), "")
+
+    whole = F.struct(ordered(F.col(name), KINDS, by_kind=False).alias("spans"), parts_of(text).alias("parts"))
+    return df.withColumn(text_col, F.when(F.size(name) > 0, bound(whole, masked)).otherwise(text)).drop(name)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
