@@ -7,8 +7,8 @@ is the mean over its characters of the difference of log probabilities, at the l
 The threshold is calibrated on labelled urls that are not counted: midway between the mean scores of the accepted and
 of the rejected (of the counted ones where there are no others).
 
-Native: DataFrame functions only. What is gathered are counts of distinct grams, added up before the shuffle; urls
-meet gram scores in an equi-join whose hot grams adaptive execution splits.
+Native: DataFrame functions only. What is gathered are counts of distinct grams, added up before the shuffle. Urls
+meet gram scores in an equi-join to which the scores of hot grams are broadcast; pages meet url scores likewise.
 
 Defined cases: a null url or one without `://` has an empty host and path and scores what its own characters give (an empty one 0);
 without samples of both kinds every score is 0 and the threshold 0, so the verdict is allow; a null page_id is an
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoria.llm.common import table, written
+from memoria.llm.common import joined_by_key, table, unused, written
 
 #: What to do, host (with its subdomains), beginning of the path.
 RULES = [
@@ -98,20 +98,22 @@ def model(learned: DataFrame) -> DataFrame:
 
 
 def gram_gains(grams: DataFrame, differences: DataFrame) -> DataFrame:
-    """(gram, gain) of each distinct gram: the difference at the longest ending that the models know; none if they know none."""
+    """(gram, times, gain) of each distinct gram: how often it occurs, and the difference at the longest ending that the models know (null if none)."""
+    own = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("times")), "url-distinct-grams")
     ends = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda n: F.substring(F.col("gram"), F.length("gram") - n + 1, n))
-    tried = grams.select("gram").distinct().select("gram", F.explode(ends).alias("g"))
-    return tried.join(differences, "g").groupBy("gram").agg(F.max_by("difference", "n").alias("gain"))
+    tried = own.select("gram", F.explode(ends).alias("g"))
+    gains = tried.join(differences, "g").groupBy("gram").agg(F.max_by("difference", "n").alias("gain"))
+    return written(own.join(gains, "gram", "left"), "url-gains")
 
 
-def scored_urls(pages: DataFrame, url_col: str) -> tuple[DataFrame, float]:
-    """(distinct urls with rule verdict and score, threshold). Each distinct url is taken apart once."""
-    urls = pages.groupBy(F.coalesce(F.col(url_col), F.lit("")).alias("url")).agg(F.first("_ruled").alias("ruled"), F.count(F.lit(1)).alias("times"))
+def scored_urls(urls: DataFrame) -> tuple[DataFrame, float]:
+    """(distinct urls with rule verdict and score, threshold) of urls(url, ruled). Each distinct url is taken apart once."""
+    urls = urls.groupBy("url").agg(F.first("ruled").alias("ruled"), F.count(F.lit(1)).alias("times"))
     urls = urls.withColumn("held", F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD_OUT))
     grams = urls.select("*", F.explode(grams_of(characters(F.col("url")))).alias("gram"))
     learned = grams.filter(F.col("ruled").isNotNull() & ~F.col("held")).select("gram", (F.col("ruled") == "allow").alias("good"), "times")
     gains = gram_gains(grams, model(learned))
-    means = grams.select("url", "gram").join(gains, "gram", "left").groupBy("url").agg(F.round(F.avg(F.coalesce("gain", F.lit(0.0))), 6).alias("score"))
+    means = joined_by_key(grams.select("url", "gram"), gains, "gram").groupBy("url").agg(F.round(F.avg(F.coalesce("gain", F.lit(0.0))), 6).alias("score"))
     scored = written(urls.join(means, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "url-scores")
     by_kind = {(r["ruled"], r["held"]): r["mean"] for r in scored.filter("ruled is not null").groupBy("ruled", "held").agg((F.sum(F.col("score") * F.col("times")) / F.sum("times")).alias("mean")).collect()}
     if ("allow", False) not in by_kind or ("block", False) not in by_kind:
@@ -123,12 +125,13 @@ def scored_urls(pages: DataFrame, url_col: str) -> tuple[DataFrame, float]:
 def judge(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """`pages` with host, path, rule, score and verdict."""
     df = with_host_and_path(pages.drop("rule", "score", "verdict"), url_col)
-    rule, ruled = rule_columns(F.col("host"), F.col("path"))
-    df = df.withColumns({"rule": rule, "_ruled": ruled})
-    scored, threshold = scored_urls(df, url_col)
-    joined = df.withColumn("_url", F.coalesce(F.col(url_col), F.lit(""))).join(scored.select(F.col("url").alias("_url"), "score"), "_url", "left")
+    ruled, url = unused(df, "_ruled", "_url")
+    rule, by_rule = rule_columns(F.col("host"), F.col("path"))
+    df = df.withColumns({"rule": rule, ruled: by_rule, url: F.coalesce(F.col(url_col), F.lit(""))})
+    scored, threshold = scored_urls(df.select(F.col(url).alias("url"), F.col(ruled).alias("ruled")))
+    joined = joined_by_key(df, scored.select(F.col("url").alias(url), "score", "times"), url)
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return joined.withColumn("verdict", F.coalesce("_ruled", by_model)).drop("_ruled", "_url")
+    return joined.withColumn("verdict", F.coalesce(ruled, by_model)).drop(ruled, url)
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
