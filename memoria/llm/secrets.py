@@ -1,12 +1,13 @@
 """Secret scan by an incremental blob ledger.
 
-Every version of a text is addressed by its SHA-256. The ledger holds one row for each blob and rule
-version that was scanned, with its findings. A scan takes the blobs of the given documents, leaves out
-pairs the ledger has, scans each remaining blob once, appends to the ledger, and joins findings back to
-every path (document) that holds the blob.
+Every version of a text is addressed by its SHA-256. The ledger holds one row for each blob and scan of it, with the
+rule versions that were scanned and their findings. A scan takes the blobs of the given documents, leaves out
+pairs of blob and rule version that the ledger has, scans each remaining blob once, appends to the ledger, and joins findings
+of the rules' present versions back to every path (document) that holds the blob.
 
 Native: DataFrame functions only. Defined cases: a null text counts as the empty text, which has no
-findings; repeated rows each get the blob's findings; extra columns are kept; empty tables give empty results.
+findings; repeated rows each get the blob's findings; extra columns are kept, those named `blob` or `findings` replaced; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoria.llm.common import NO_SPANS, count_kind, ordered, overlaps_any, regex_spans, spans_text, table, written
+from memoria.llm.common import NO_SPANS, SPAN, apart_from, count_kind, ordered, regex_spans, spans_text, table, written
 
 BASE_KINDS = ["assign", "access", "hex"]
 #: Kind, rule version, pattern, a cheap necessary condition.
@@ -30,7 +31,7 @@ RULES = [
 KINDS = [r[0] for r in RULES]
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 RULE_VERSIONS = [f"{kind}@{version}" for kind, version, _, _ in RULES]
-LEDGER_SCHEMA = f"blob binary, rules array<string>, findings {NO_SPANS}"
+LEDGER_SCHEMA = "blob binary, rules array<string>, findings array<struct<rule:string,span:" + SPAN + ">>"
 
 
 def confirmed(span: Column) -> Column:
@@ -42,55 +43,65 @@ def confirmed(span: Column) -> Column:
     )
 
 
+def named(spans: Column, rule: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(rule).alias("rule"), s.alias("span")))
+
+
 def findings_of(text: Column, due: Column) -> Column:
-    """Spans of the rules that are due; added kinds that overlap a base span are left out."""
+    """(rule version, span) of the rules that are due."""
     per_rule = []
     for (kind, _, pattern, needs), name in zip(RULES, RULE_VERSIONS, strict=True):
         possible = F.array_contains(due, name)
-        per_rule.append(regex_spans(text, kind, pattern, 1.0, possible & F.contains(text, F.lit(needs)) if needs else possible))
-    return F.filter(F.concat(*per_rule), confirmed)
+        spans = F.filter(regex_spans(text, kind, pattern, 1.0, possible & F.contains(text, F.lit(needs)) if needs else possible), confirmed)
+        per_rule.append(named(spans, name))
+    return F.concat(*per_rule)
 
 
 def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def unseen_scans(docs: DataFrame, ledger: DataFrame, text_col: str = "text") -> DataFrame:
+    """The ledger's new rows: each blob with the rule versions that the ledger hasn't got for it, scanned once.
+
+    A blob's text crosses the network once for each task that met it, never once for each copy; hot groups of copies
+    shrink before the shuffle.
+    """
+    done = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
+    texts = docs.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
+    left = F.array_except(F.array(*map(F.lit, RULE_VERSIONS)), F.coalesce("done", F.array().cast("array<string>")))
+    due = blobs.join(done, "blob", "left").select("blob", "text", left.alias("rules")).filter(F.size("rules") > 0)
+    return written(due.select("blob", "rules", findings_of(F.col("text"), F.col("rules")).alias("findings")), "blob-ledger")
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(`docs` with columns `blob` and `findings`, the ledger's new rows).
+    """(`docs` with columns `blob` and `findings`, the ledger's new rows). `ledger`: rows of LEDGER_SCHEMA from earlier scans.
 
-    `ledger`: rows of LEDGER_SCHEMA from earlier scans. A blob's text crosses the network once for each
-    task that met it, never once for each copy; hot groups of copies shrink before the shuffle.
+    Of spans that overlap one of a base kind those of added kinds are left out.
     """
-    spark = docs.sparkSession
-    ledger = ledger if ledger is not None else spark.createDataFrame([], LEDGER_SCHEMA)
-    done = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("_done"))
-    texts = docs.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    blobs = texts.groupBy("blob").agg(F.first("_text").alias("_text"))
-    every = F.array(*map(F.lit, RULE_VERSIONS))
-    due = (
-        blobs.join(done, "blob", "left")
-        .withColumn("_due", F.array_except(every, F.coalesce("_done", F.array().cast("array<string>"))))
-        .filter(F.size("_due") > 0)
-    )
-    fresh = written(due.select("blob", F.col("_due").alias("rules"), findings_of(F.col("_text"), F.col("_due")).alias("findings")), "blob-ledger")
-    found = (
-        ledger.unionByName(fresh)
-        .filter(F.size("findings") > 0)
-        .withColumn("rules", F.array_intersect("rules", every))
-        .groupBy("blob")
-        .agg(F.flatten(F.collect_list("findings")).alias("_all"))
-    )
-    keyed = docs.withColumn("blob", blob_of(F.col(text_col)))
-    joined = keyed.join(found, "blob", "left").withColumn("_all", F.coalesce("_all", F.array().cast(NO_SPANS)))
-    base = F.filter("_all", lambda s: s["kind"].isin(BASE_KINDS))
-    kept = F.filter("_all", lambda s: s["kind"].isin(BASE_KINDS) | ~overlaps_any(s, base))
-    return joined.withColumn("findings", ordered(kept, KINDS, by_kind=False)).drop("_all"), fresh
+    ledger = ledger if ledger is not None else docs.sparkSession.createDataFrame([], LEDGER_SCHEMA)
+    fresh = unseen_scans(docs, ledger, text_col)
+    # Superseded rule versions stay in the ledger but aren't joined back.
+    present = F.filter("findings", lambda f: f["rule"].isin(RULE_VERSIONS))
+    found = ledger.unionByName(fresh).select("blob", F.transform(present, lambda f: f["span"]).alias("some")).filter(F.size("some") > 0)
+    # A pair of blob and rule version may have been scanned twice by scans that ran at once.
+    found = found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("all"))
+    base = F.filter("all", lambda s: s["kind"].isin(BASE_KINDS))
+    added = apart_from(F.filter("all", lambda s: ~s["kind"].isin(BASE_KINDS)), base)
+    found = found.select("blob", ordered(F.concat(base, added), KINDS, by_kind=False).alias("findings"))
+    joined = docs.drop("findings").withColumn("blob", blob_of(F.col(text_col))).join(found, "blob", "left")
+    return joined.withColumn("findings", F.coalesce("findings", F.array().cast(NO_SPANS))), fresh
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: counts of base kinds, digest of the base spans, and all spans."""
+    """Per document: counts of base kinds, digest of the base spans, and all spans.
+
+    The blobs whose address begins with a digit below 8 were scanned before; the table is then scanned against their ledger.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    df, _ = scan(docs)
+    earlier = docs.filter(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 1) < "8")
+    df, _ = scan(docs, scan(earlier)[1])
     spans = F.col("findings")
     counts = [count_kind(spans, k) for k in BASE_KINDS]
     base = F.filter(spans, lambda s: s["kind"].isin(BASE_KINDS))
