@@ -7,8 +7,10 @@ flips from 0 to 1 are enumerated. What the tables return is verified over all 64
 
 Copies fall together before any search (one row per distinct fingerprint). A bucket never makes all its
 pairs: it gives the links of a spanning forest of its verified links, which joins the same documents. A
-bucket above BUCKET_ROWS isn't held in one task but dealt again by each byte of the other half, one of which
-two linked fingerprints must share. Components come from alternating star contraction, written each round.
+bucket above BUCKET_ROWS isn't held in one task but dealt again by segments of the other half: of 3 + k segments two linked
+fingerprints share k at least, so each row goes to every choice of k of them; groups that are still too large are dealt
+by more segments. At the last level 52 of 64 bits are given, so a group has 4,096 fingerprints at most.
+Components come from alternating star contraction, written each round.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; a null doc_id counts as the
 smallest id and its rows come back as null; repeated rows share a fingerprint, so a component; extra columns
@@ -18,6 +20,8 @@ are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoria.llm.common import NULL_ID, shuffle_width, table, written
+from memoria.llm.common import NULL_ID, joined_by_key, shuffle_width, table, unused, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -84,37 +88,27 @@ def _forest(prints: np.ndarray, is_entry: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-ROWS = "place int, bucket bigint, print bigint, entry boolean"
-
-
-def _batch(kind: np.ndarray | int, place: np.ndarray, bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(place.astype(np.int32)), pa.array(bucket.astype(np.int64)), pa.array(a), pa.array(b)],
-        names=["kind", "place", "bucket", "a", "b"],
-    )
-
-
-FOUND = "kind int, place int, bucket bigint, a bigint, b bigint"
-LINK, AGAIN = 0, 1
+ROW = ["place", "bucket", "segment", "print", "entry"]
+FOUND = "a bigint, b bigint, place int, bucket bigint, segment bigint, print bigint, entry boolean"
+#: Segments of the other half that large groups are dealt by, level after level: of so many, so many shared.
+LEVELS = [(4, 1), (6, 3), (8, 5)]
 
 
 def _search(limit: int):
-    """Buckets come sorted. Small ones give links; rows of larger ones pass on, dealt by the bytes of the other half."""
+    """Groups come sorted. Small ones give links (a, b); rows of larger ones are passed on."""
 
     def links_of(prints: np.ndarray, entry: np.ndarray) -> pa.RecordBatch | None:
         found = _forest(prints.view(np.uint64), entry)
         if not found:
             return None
         ab = np.array(found, np.uint64).view(np.int64)
-        zero = np.zeros(len(ab), np.int64)
-        return _batch(LINK, zero, zero, ab[:, 0].copy(), ab[:, 1].copy())
+        nulls = [pa.nulls(len(ab), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), *nulls], names=["a", "b", *ROW])
 
-    def again(place: int, prints: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
-        other = (prints.view(np.uint64) >> np.uint64(0 if place == 0 else 32)) & np.uint64(0xFFFFFFFF)
-        parts = [(np.uint64(j) << np.uint64(8)) | ((other >> np.uint64(8 * j)) & np.uint64(255)) for j in range(4)]
+    def again(key: tuple, prints: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
         n = len(prints)
-        return _batch(AGAIN, np.full(4 * n, place), np.concatenate(parts), np.tile(prints, 4), np.tile(entry.astype(np.int64), 4))
+        place, bucket, segment = (pa.array(np.full(n, k, t)) for k, t in zip(key, (np.int32, np.int64, np.int64), strict=True))
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), place, bucket, segment, pa.array(prints), pa.array(entry)], names=["a", "b", *ROW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, large = None, [], False
@@ -128,14 +122,15 @@ def _search(limit: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place, bucket, prints = (batch.column(c).to_numpy() for c in ("place", "bucket", "print"))
+            place, bucket, segment, prints = (batch.column(c).to_numpy() for c in ROW[:4])
             entry = batch.column("entry").to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])])
+            differs = (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1]) | (segment[1:] != segment[:-1])
+            starts = np.flatnonzero(np.r_[True, differs])
             ends = np.r_[starts[1:], len(bucket)]
             # Groups of one row that lie inside the batch can't link anything.
             real = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(bucket)))
             for s, e in zip(starts[real].tolist(), ends[real].tolist(), strict=True):
-                if (now := (place[s], bucket[s])) != key:
+                if (now := (place[s], bucket[s], segment[s])) != key:
                     if (out := close()) is not None:
                         yield out
                     key, held, large = now, [], False
@@ -143,7 +138,7 @@ def _search(limit: int):
                 if large or sum(len(p) for p, _ in held) > limit:
                     large = True
                     for p, x in held:
-                        yield again(int(key[0]), p, x)
+                        yield again(key, p, x)
                     held = []
         if (out := close()) is not None:
             yield out
@@ -163,22 +158,32 @@ def _bucket_rows(prints: DataFrame) -> DataFrame:
         )
         own = F.array(F.struct(F.lit(place).alias("place"), half.alias("bucket"), F.lit(True).alias("entry")))
         rows.append(F.concat(own, near))
-    return prints.select("print", F.inline(F.concat(*rows))).select("place", "bucket", "print", "entry")
+    return prints.select("print", F.inline(F.concat(*rows))).select("place", "bucket", F.lit(0).cast("bigint").alias("segment"), "print", "entry")
+
+
+def _dealt_again(rows: DataFrame, segments: int, shared: int) -> DataFrame:
+    """Rows of large buckets, each under every choice of `shared` of the other half's segments; the bucket stays in the key."""
+    other = F.when(F.col("place") == 0, F.col("print").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("print", 32))
+    cuts = [32 * i // segments for i in range(segments + 1)]
+    masks = [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen) for chosen in combinations(range(segments), shared)]
+    keys = F.array(*[other.bitwiseAND(F.lit(m)).cast("bigint") + F.lit(k << 32) for k, m in enumerate(masks)])
+    return rows.select("place", "bucket", F.explode(keys).alias("segment"), "print", "entry")
 
 
 def links(prints: DataFrame, limit: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): enough links within MAX_BITS between distinct fingerprints to join all that are linked."""
     width = shuffle_width(prints.sparkSession)
-
-    def searched(rows: DataFrame, most: int) -> DataFrame:
-        dealt = rows.repartition(width, "place", "bucket").sortWithinPartitions("place", "bucket")
-        return dealt.mapInArrow(_search(most), FOUND)
-
-    first = written(searched(_bucket_rows(prints), limit), "simhash-links")
-    hot = first.filter(F.col("kind") == AGAIN)
-    rows = hot.select("place", "bucket", F.col("a").alias("print"), (F.col("b") == 1).alias("entry"))
-    second = searched(rows.distinct(), 2**62)
-    return first.filter(F.col("kind") == LINK).unionByName(second).select("a", "b").distinct()
+    rows, parts = _bucket_rows(prints), []
+    for level in (None, *LEVELS):
+        last = level == LEVELS[-1]
+        dealt = rows.repartition(width, *ROW[:3]).sortWithinPartitions(*ROW[:3])
+        found = written(dealt.mapInArrow(_search(2**62 if last else limit), FOUND), "simhash-links")
+        parts.append(found.filter("a is not null").select("a", "b"))
+        large = found.filter("a is null").select("place", "bucket", "print", "entry")
+        if last or large.isEmpty():
+            break
+        rows = _dealt_again(large.distinct(), *LEVELS[0 if level is None else LEVELS.index(level) + 1])
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,25 +226,29 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
     prints = written(docs.select(doc_id.alias("doc_id"), F.xxhash64(text_col).alias("tag"), fingerprint_column(F.col(text_col)).alias("print")), "simhash-prints")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("first_doc"))
+    classes = prints.groupBy("print").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("rows"))
     return labelled(prints, classes, components(links(classes.select("print"))))
 
 
 def labelled(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """`prints` with root and component_id, from classes (print, first_doc) and components (node, root) of their prints."""
+    """`prints` with root and component_id, from classes (print, first_doc, rows) and components (node, root) of their prints."""
     grouped = classes.join(found, classes["print"] == found["node"]).select("print", "first_doc", "root")
     least = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = grouped.join(least, "root").select("print", "root", "component_id")
-    whole = classes.join(linked, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("component_id", "first_doc").alias("component_id"))
-    return prints.join(whole, "print")
+    whole = classes.join(linked, "print", "left").select("print", "rows", F.coalesce("root", "print").alias("root"), F.coalesce("component_id", "first_doc").alias("component_id"))
+    return joined_by_key(prints, written(whole, "simhash-classes"), "print", "rows")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", mark: Callable[[DataFrame, str], DataFrame] = near_duplicates) -> DataFrame:
-    """`docs` with one row of each component that `mark` gives: that of the smallest doc_id (of several, the smallest tag)."""
+    """`docs` with one row of each component that `mark` gives: that of the smallest doc_id (of several, the smallest tag).
+
+    Only ids and tags are joined to the chosen ones; of rows that share both, a second pass drops all but one.
+    """
+    id_, tag = unused(docs, "_id", "_tag")
     marked = mark(docs, text_col)
-    chosen = marked.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("_c")).select(F.col("_c.doc_id").alias("_keep_id"), F.col("_c.tag").alias("_keep_tag"))
-    keyed = docs.withColumns({"_keep_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_keep_tag": F.xxhash64(text_col)})
-    return keyed.join(chosen, ["_keep_id", "_keep_tag"]).dropDuplicates(["_keep_id", "_keep_tag"]).drop("_keep_id", "_keep_tag")
+    chosen = marked.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("c")).select(F.col("c.doc_id").alias(id_), F.col("c.tag").alias(tag))
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), tag: F.xxhash64(text_col)})
+    return keyed.join(chosen, [id_, tag], "left_semi").dropDuplicates([id_, tag]).drop(id_, tag)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
