@@ -4,11 +4,12 @@ Byte embeddings, filters of several widths, maximum over places, softmax; traine
 applied to all windows of every text in batches. A filter bank over embedded bytes is a sum of table look-ups
 (one table for each place in the filter), which is how it is computed.
 
-The fit uses a bounded sample: about DOCS_PER_LANG documents of each language, chosen by hash, with
-WINDOWS_PER_DOC windows spread over the whole text. A text's scores are the means over all its windows.
+The fit uses a bounded sample of labelled windows: all windows of all labelled texts are drawn from, each with the same chance within
+its language, by a hash of its document and place, about WINDOWS_PER_LANG of each of the MAX_LANGS most frequent languages
+and never more than MAX_WINDOWS together. A text's scores are the means over all its windows.
 
 Defined cases: a null text, one without any letter, or a corpus without languages to learn gives `und` with score 0; a null lang
-isn't learned from; a null doc_id is in the learning fold; extra columns are kept; repeated rows get the same
+isn't learned from; a null doc_id is in the learning fold; extra columns are kept, those named as the results replaced; repeated rows get the same
 prediction; an empty table gives an empty result.
 """
 
@@ -20,14 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoria.llm.arrays import text_slices
-from memoria.llm.common import table
+from memoria.llm.common import below_share, table, unused, written
 
 FOLDS, HELD_FOLD = 3, 1
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
 FILTERS, EMBEDDING = 10, 8
 #: Bounds of the sample that the network is fitted on.
-DOCS_PER_LANG, WINDOWS_PER_DOC, MAX_LANGS = 600, 3, 2_000
+WINDOWS_PER_LANG, MAX_LANGS, MAX_WINDOWS = 2_000, 2_000, 100_000
 EPOCHS, BATCH, RATE = 14, 128, 0.01
 UNKNOWN = "und"
 
@@ -121,29 +122,39 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> ByteCnn | None:
-    """The network from the learning fold's labelled documents, or None if there are none."""
-    own = docs.filter(fold_of(F.col("doc_id")) != HELD_FOLD).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def sampled_windows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, piece): about WINDOWS_PER_LANG windows of each language."""
+    own = docs.filter(fold_of(F.col("doc_id")) != HELD_FOLD).select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = own.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    # In characters, which are a byte at least.
+    windows = F.ceil(F.length("text") / WINDOW).cast("int")
+    counts = own.groupBy("lang").agg(F.sum(windows.cast("bigint")).alias("windows")).orderBy(F.desc("windows"), "lang").limit(MAX_LANGS).collect()
     if not counts:
+        return own.select("lang", F.col("text").alias("piece")).limit(0)
+    most = min(WINDOWS_PER_LANG, MAX_WINDOWS // (2 * len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["windows"]))])
+    chosen = F.filter(F.sequence(F.lit(0), windows - 1), lambda i: below_share(F.xxhash64("doc_id", "text", i), F.element_at(share, F.col("lang"))))
+    piece = lambda i: F.substring(F.col("text"), i * WINDOW + 1, F.lit(WINDOW))
+    pieces = own.filter(F.col("lang").isin([r["lang"] for r in counts])).select("lang", F.explode(F.transform(chosen, piece)).alias("piece"))
+    pieces = written(pieces, "language-windows")
+    # Rows that share id and text are all chosen or none: should they be too many, some are taken.
+    total = pieces.count()
+    return pieces if total <= MAX_WINDOWS else pieces.filter(below_share(F.xxhash64(F.monotonically_increasing_id()), MAX_WINDOWS / (2 * total)))
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> ByteCnn | None:
+    """The network from the learning fold's labelled documents, or None if there are none."""
+    rows = sorted((r["lang"], r["piece"]) for r in sampled_windows(docs, text_col, lang_col).collect())
+    if not rows:
         return None
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, DOCS_PER_LANG / r["count"]) * (1 << 20)))])
-    chosen = own.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
-    # Windows spread over the whole text, from its first to its last place; in characters, which are a byte at least.
-    room = F.greatest(F.length("text") - WINDOW, F.lit(0))
-    starts = [(room * i / max(WINDOWS_PER_DOC - 1, 1)).cast("int") + 1 for i in range(WINDOWS_PER_DOC)]
-    pieces = chosen.select("lang", F.explode(F.array_distinct(F.array(*[F.substring(F.col("text"), s, F.lit(WINDOW)) for s in starts]))).alias("piece"))
-    rows = sorted((r["lang"], r["piece"]) for r in pieces.collect())
-    langs = sorted({r["lang"] for r in counts})
+    langs = sorted({lang for lang, _ in rows})
+    number = {lang: i for i, lang in enumerate(langs)}
     x = np.zeros((len(rows), WINDOW), np.uint8)
     for i, (_, piece) in enumerate(rows):
         raw = piece.encode()[:WINDOW]
         x[i, : len(raw)] = np.frombuffer(raw, np.uint8)
     model = ByteCnn(langs)
-    model.fit(x, np.array([langs.index(lang) for lang, _ in rows]))
+    model.fit(x, np.array([number[lang] for lang, _ in rows]))
     return model
 
 
@@ -172,10 +183,11 @@ def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> D
 
     text = F.col(text_col)
     known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    df = docs.withColumn("_best", best(text))
+    (name,) = unused(docs, "_best")
+    df = docs.withColumn(name, best(text))
     return df.withColumns(
-        {"lang_pred": F.when(known, F.col("_best.lang")).otherwise(F.lit(UNKNOWN)), "score": F.when(known, F.least(F.col("_best.score"), F.lit(1.0))).otherwise(F.lit(0.0))}
-    ).drop("_best")
+        {"lang_pred": F.when(known, F.col(name)["lang"]).otherwise(F.lit(UNKNOWN)), "score": F.when(known, F.least(F.col(name)["score"], F.lit(1.0))).otherwise(F.lit(0.0))}
+    ).drop(name)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
