@@ -5,8 +5,8 @@ The risk of the unseen negatives is the unlabelled risk less the positives' shar
 positives' risk as negatives); where that difference falls below zero, which only overfitting can cause,
 its gradient is turned round. With the logistic loss the score estimates the probability of label 1.
 
-The fit uses bounded samples (MAX_POSITIVE, MAX_UNLABELLED), chosen by a hash of the row; the class prior is counted
-over all labelled rows of the fold. Scores cover every whole text.
+The fit uses bounded samples of rows (about MAX_POSITIVE and MAX_UNLABELLED, and MAX_PAIRS of row and feature together), chosen by a hash of
+the row; each with all features of its whole text. The class prior is counted over all labelled rows of the fold. Scores cover every whole text.
 
 Defined cases: a null text counts as empty and gets the model's bias; a null doc_id is in the learning fold; a
 document with several labels is toxic if one says so; null labels are ignored; without positives every score is 0;
@@ -21,17 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoria.llm.arrays import text_slices
-from memoria.llm.common import table, written
+from memoria.llm.common import below_share, table, written
 
 FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 #: Bounds of the samples that the classifier is fitted on.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
+MAX_POSITIVE, MAX_UNLABELLED, MAX_PAIRS = 4_000, 12_000, 8_000_000
 BITS = 20
-PART = 1 << 20
 #: Besides whole words, their beginnings of so many bytes: inflected forms share them.
 BEGINNINGS = (3, 4, 5, 6, 7)
-MIN_DOCS = 8
+#: A feature of one sampled document alone gets no weight.
+MIN_DOCS = 2
 STEPS, RATE = 250, 0.08
 #: A weight stays zero unless its word's pull on the risk exceeds chance: so many standard errors of a word's
 #: share (at WORD_SHARE) among the positives, and LEAST_PULL in any case.
@@ -92,40 +92,63 @@ def least_pull(prior: float, n_positive: int) -> float:
     return max(LEAST_PULL, ERRORS * prior * np.sqrt(WORD_SHARE / max(n_positive, 1)))
 
 
+class Pairs:
+    """Pairs of row and column, sorted either way, so that sums by row and by column are sums of runs."""
+
+    def __init__(self, sizes: np.ndarray, column: np.ndarray, n_columns: int):
+        self.n_rows, self.n_columns, self.column = len(sizes), n_columns, column.astype(np.int32)
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.row = row[np.argsort(self.column, kind="stable")]
+        self.rows, self.row_starts = self._runs(sizes)
+        self.columns, self.column_starts = self._runs(np.bincount(self.column, minlength=n_columns))
+
+    @staticmethod
+    def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+
+    def by_row(self, of_column: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n_rows)
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(of_column[self.column], self.row_starts)
+        return out
+
+    def by_column(self, of_row: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n_columns)
+        if len(self.columns):
+            out[self.columns] = np.add.reduceat(of_row[self.row], self.column_starts)
+        return out
+
+
+def risk_gradient(p: np.ndarray, is_p: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the non-negative risk (logistic loss) in each row's score, at probabilities p; turned round where the negatives' risk is below zero."""
+    n_p, n_u = int(is_p.sum()), int((~is_p).sum())
+    as_negative = -np.log1p(-np.minimum(p, 1 - 1e-12))
+    negative_risk = as_negative[~is_p].mean() - prior * as_negative[is_p].mean()
+    # Positives as positive, then all as negative.
+    plus = np.where(is_p, prior / n_p * (p - 1), 0)
+    minus = np.where(is_p, -prior / n_p * p, p / n_u)
+    return plus + minus if negative_risk >= 0 else -minus
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """(weights by feature, bias) of the classifier with the least non-negative risk, few weights being non-zero; Adam over the whole sample."""
     n_p, n = len(positive), len(positive) + len(unlabelled)
-    sizes = np.array([len(r) for part in (positive, unlabelled) for r in part])
     features = np.concatenate([*positive, *unlabelled])
+    row = np.repeat(np.arange(n), [len(r) for part in (positive, unlabelled) for r in part])
     names = np.flatnonzero(np.bincount(features, minlength=1 << BITS) >= MIN_DOCS)
     number = np.full(1 << BITS, -1, np.int32)
     number[names] = np.arange(len(names), dtype=np.int32)
-    column = number[features]
-    row_of = np.repeat(np.arange(n, dtype=np.int32), sizes)[column >= 0]
-    column = column[column >= 0]
-    del features
-    # Sums over all pairs of row and feature are made in parts, so that the driver holds a few bytes for each.
-    parts = [slice(i, i + PART) for i in range(0, len(column), PART)]
-
-    def by_row(weights: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(row_of[s], weights[column[s]], minlength=n) for s in parts), np.zeros(n))
-
-    def by_column(values: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(column[s], values[row_of[s]], minlength=len(names)) for s in parts), np.zeros(len(names)))
+    known = number[features] >= 0
+    pairs = Pairs(np.bincount(row[known], minlength=n), number[features[known]], len(names))
+    del features, row, known
 
     w, b = np.zeros(len(names)), np.log(prior / (1 - prior))
     pull = least_pull(prior, n_p)
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     is_p = np.arange(n) < n_p
     for step in range(1, STEPS + 1):
-        p = logistic(by_row(w) + b)
-        as_negative = -np.log1p(-np.minimum(p, 1 - 1e-12))
-        negative_risk = as_negative[~is_p].mean() - prior * as_negative[is_p].mean()
-        # Gradients of the risk in each row's score: positives as positive, then all as negative.
-        plus = np.where(is_p, prior / n_p * (p - 1), 0)
-        minus = np.where(is_p, -prior / n_p * p, p / (n - n_p))
-        g = plus + minus if negative_risk >= 0 else -minus
-        gradient = np.r_[by_column(g), g.sum()]
+        g = risk_gradient(logistic(pairs.by_row(w) + b), is_p, prior)
+        gradient = np.r_[pairs.by_column(g), g.sum()]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         pace = RATE / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -143,42 +166,34 @@ def fold_of(doc_id: Column) -> Column:
 
 def _sampled(df: DataFrame, n: int, most: int, *by: str) -> DataFrame:
     """About `most` of `n` rows, chosen by hash; all if there are no more."""
-    share = min(1.0, most / max(n, 1))
-    return df.filter(F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return df.filter(below_share(F.xxhash64(*by, F.lit("sample")), min(1.0, most / max(n, 1))))
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float] | None:
     """The model from the learning fold, or None without positives."""
-    spark, fold = docs.sparkSession, fold_of(F.col("doc_id")) != HELD_FOLD
+    fold = fold_of(F.col("doc_id")) != HELD_FOLD
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(fold).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_marked, n_toxic = marked.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
     if not n_toxic:
         return None
-    own = docs.filter(fold).select("doc_id", F.col(text_col).alias("_text"))
+    own = docs.filter(fold).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     toxic = _sampled(marked.filter("toxic = 1").select("doc_id"), n_toxic, MAX_POSITIVE, "doc_id")
-    # Bounded by MAX_POSITIVE (and the spread of the hash), so it may be broadcast.
-    positive = own.join(F.broadcast(toxic), "doc_id").select(F.lit(True).alias("is_p"), "_text")
-    unlabelled = _sampled(own, own.count(), MAX_UNLABELLED, "doc_id", "_text").select(F.lit(False).alias("is_p"), "_text")
+    # Bounded by MAX_POSITIVE and the spread of the hash over different ids, so it may be broadcast.
+    positive = own.join(F.broadcast(toxic), "doc_id").select(F.lit(True).alias("is_p"), "text")
+    unlabelled = _sampled(own, own.count(), MAX_UNLABELLED, "doc_id", "text").select(F.lit(False).alias("is_p"), "text")
     features = F.arrow_udf(_features, "array<int>")
-    sample = written(positive.unionByName(unlabelled).select("is_p", features("_text").alias("features")), "toxicity-sample")
-    n = {r["is_p"]: r["count"] for r in sample.groupBy("is_p").count().collect()}
-    if len(n) < 2:
-        return None
-    prior = min(max(n_toxic / n_marked, 1e-3), 0.9)
-    # Only features whose pull on the risk can matter go to the driver; the counts that tell are made by Spark.
-    count = lambda is_p: F.count_if(F.col("is_p") == is_p)
-    pull = F.abs(prior * F.col("p") / n[True] - prior * F.col("u") / n[False])
-    counts = sample.select("is_p", F.explode("features").alias("feature")).groupBy("feature").agg(count(True).alias("p"), count(False).alias("u"))
-    telling = counts.filter((F.col("p") + F.col("u") >= MIN_DOCS) & (pull > least_pull(prior, n[True]) / 2)).select("feature")
-    names = spark.sparkContext.broadcast(np.array(sorted(r["feature"] for r in telling.collect()), np.int32))
-
-    def chosen(lists: pa.Array) -> pa.Array:
-        return pa.array([np.intersect1d(x.values.to_numpy(), names.value, assume_unique=True).tobytes() for x in lists], pa.binary())
-
+    sample = written(positive.unionByName(unlabelled).select("is_p", features("text").alias("features")), "toxicity-sample")
+    # Long texts, or rows that share id and text and so were all chosen, can make the sample large: then some of its rows are taken.
+    total = sample.agg(F.sum(F.size("features").cast("bigint") + 1)).first()[0] or 0
+    if total > MAX_PAIRS:
+        sample = sample.filter(below_share(F.xxhash64(F.monotonically_increasing_id()), MAX_PAIRS / total))
+    packed = F.arrow_udf(lambda lists: pa.array([x.values.to_numpy().astype(np.int32).tobytes() for x in lists], pa.binary()), "binary")
     rows = {True: [], False: []}
-    for r in sample.select("is_p", F.arrow_udf(chosen, "binary")("features").alias("own")).collect():
+    for r in sample.select("is_p", packed("features").alias("own")).collect():
         rows[r["is_p"]].append(np.frombuffer(r["own"], np.int32))
-    return fit_nnpu(rows[True], rows[False], prior)
+    if not rows[True] or not rows[False]:
+        return None
+    return fit_nnpu(rows[True], rows[False], min(max(n_toxic / n_marked, 1e-3), 0.9))
 
 
 def score_column(spark: SparkSession, model: tuple[np.ndarray, float] | None, text: Column) -> Column:
