@@ -6,10 +6,12 @@ occur unchanged wherever the item occurs with so few errors. Exact piece hits co
 pieces. Around a hit larger and larger parts of the item are verified, each with its share of the errors, and at last the
 item, with Myers' bit-parallel distance, whose words are as wide as the part.
 
-Items are taken in blocks of bounded bytes, each of which is broadcast and held against all documents; so
-neither side has a limit. Defined cases: null and blank texts match nothing; items of fewer than MIN_WORDS words are
-too common to count and match nothing; null ids are carried through; repeated rows match repeatedly; extra
-columns are never read; empty tables give an empty result.
+Items are taken in blocks of bounded bytes, each of which is broadcast and held against all documents; a longer item
+is a block of its own, so neither side has a limit. Items of one text are searched once.
+
+Defined cases: null and blank texts match nothing; items of fewer than MIN_BYTES such bytes are too common to count and
+match nothing; null ids are carried through; repeated documents match repeatedly, repeated items once; extra columns are never
+read by `matches` and kept by `decontaminated`; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoria.llm.common import NULL_ID, table
+from memoria.llm.common import table, written
 
 ERROR_RATE = 0.1
-MIN_WORDS = 5
-#: Bytes of items that are broadcast at once, on average; a block of over twice as many is refused.
+MIN_BYTES = 16
+#: Bytes of items that are broadcast at once, about; longer items come alone.
 BLOCK_BYTES = 4 << 20
+#: Masks of parts up to this size are kept.
+KEPT_BYTES = 4096
 
 PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256)
@@ -68,6 +72,36 @@ def reaches(masks: dict[str, int], m: int, window: str, enough: int) -> int:
     return best
 
 
+def masks_of(text: str) -> dict[str, int]:
+    """Of each character the places where the text has it, as bits."""
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(text):
+        if c not in places:
+            places[c] = bytearray(-(-len(text) // 8))
+        places[c][i >> 3] |= 1 << (i & 7)
+    return {c: int.from_bytes(bits, "little") for c, bits in places.items()}
+
+
+class Part:
+    """A part of an item, the errors it may have, and the part that it is half of. Its masks are made when they are first needed."""
+
+    __slots__ = ("around", "errors", "high", "kept", "low", "text")
+
+    def __init__(self, text: str, low: int, high: int, errors: int, around: Part | None):
+        self.text, self.low, self.high, self.errors, self.around, self.kept = text, low, high, errors, around, None
+
+    def distance(self, window: str, enough: int) -> int:
+        masks = self.kept or masks_of(self.text[self.low : self.high])
+        if self.high - self.low <= KEPT_BYTES:
+            self.kept = masks
+        return reaches(masks, self.high - self.low, window, enough)
+
+    def near(self, text: str, at: int) -> bool:
+        """Whether the text has this part, with its errors at most, where the item would begin at `at`."""
+        start = max(0, at + self.low - self.errors)
+        return self.distance(text[start : max(0, at + self.high + self.errors)], self.errors) <= self.errors
+
+
 class Item:
     """An item, split in two again and again until no error is left to give.
 
@@ -77,17 +111,17 @@ class Item:
 
     def __init__(self, item_id: int | None, text: str):
         self.id, self.text, self.errors = item_id, text, budget(text)
-        self.pieces: list[tuple[int, int, list]] = []
-        self._split(0, len(text), self.errors, [])
+        #: Place of each piece, and the smallest part around it.
+        self.pieces: list[tuple[int, int, Part | None]] = []
+        self.whole: Part | None = None
+        self._split(0, len(text), self.errors, None)
 
-    def _split(self, low: int, high: int, errors: int, around: list) -> None:
+    def _split(self, low: int, high: int, errors: int, around: Part | None) -> None:
         if not errors:
             self.pieces.append((low, high, around))
             return
-        masks: dict[str, int] = {}
-        for i, c in enumerate(self.text[low:high]):
-            masks[c] = masks.get(c, 0) | 1 << i
-        around = [(low, high, errors, masks), *around]
+        around = Part(self.text, low, high, errors, around)
+        self.whole = self.whole or around
         left = (errors - 1) // 2
         middle = low + (high - low) * (left + 1) // (errors + 1)
         self._split(low, middle, left, around)
@@ -97,8 +131,7 @@ class Item:
         """Least edit distance of the item to any part of the window."""
         if not self.errors:
             return 0 if self.text in window else len(self.text)
-        _, _, _, masks = self.pieces[0][2][-1]
-        return reaches(masks, len(self.text), window, 0)
+        return self.whole.distance(window, 0)
 
 
 class Matcher:
@@ -124,11 +157,10 @@ class Matcher:
                 place = (at - low) >> 6
                 if (k, place) in seen:
                     continue
-                for a, b, errors, masks in around:
-                    start = at - low + a - errors
-                    if reaches(masks, b - a, text[start if start > 0 else 0 : at - low + b + errors], errors) > errors:
-                        break
-                else:
+                part = around
+                while part is not None and part.near(text, at - low):
+                    part = part.around
+                if part is None:
                     seen.add((k, place))
                     item = self.items[k]
                     window = text[max(0, place * 64 - item.errors) : place * 64 + 63 + len(item.text) + item.errors]
@@ -137,7 +169,7 @@ class Matcher:
         return found
 
 
-OUT = "doc_id bigint, tag bigint, item_id bigint, distance bigint, budget bigint"
+OUT = "doc_id bigint, tag bigint, item bigint, distance bigint, budget bigint"
 
 
 def _scan(sent):
@@ -150,36 +182,56 @@ def _scan(sent):
                     item = matcher.items[k]
                     rows.append((doc_id.as_py(), tag.as_py(), item.id, d, item.errors))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tag", "item_id", "distance", "budget"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tag", "item", "distance", "budget"])
 
     return run
 
 
+def _has_item(sent):
+    matchers: list[Matcher] = []
+
+    def found(texts: pa.Array) -> pa.Array:
+        if not matchers:
+            matchers.append(Matcher(sent.value))
+        return pa.array([bool(matchers[0].find(plain(t.as_py()))) for t in texts], pa.bool_())
+
+    return F.arrow_udf(found, "boolean")
+
+
+def blocks(items: DataFrame, item_col: str) -> Iterator[list[tuple[int, str]]]:
+    """(number, plain text) of the different item texts, in lists of about BLOCK_BYTES; the number is a hash of the text."""
+    texts = items.select(F.xxhash64(item_col).alias("item"), F.col(item_col).alias("text")).filter(F.octet_length("text") >= MIN_BYTES)
+    texts = written(texts.groupBy("item", "text").count(), "benchmark-items")
+    size = F.octet_length("text").cast("bigint")
+    small, large = texts.filter(size <= BLOCK_BYTES // 4), texts.filter(size > BLOCK_BYTES // 4)
+    # With no item over a quarter of a block, blocks by hash differ little in size.
+    n = 1 + (small.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES
+    parts = [small.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+    parts += [large.filter(F.col("item") == r["item"]) for r in large.select("item").distinct().orderBy("item").toLocalIterator()]
+    for part in parts:
+        rows = [(r["item"], plain(r["text"])) for r in part.select("item", "text").toLocalIterator()]
+        rows = sorted(r for r in rows if len(r[1]) >= MIN_BYTES)
+        if rows:
+            yield rows
+
+
 def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "text") -> DataFrame:
     """(doc_id, tag, item_id, distance, budget) of each document and benchmark item in it; tag tells rows of one doc_id apart."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    texts = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col(item_col).alias("text")).filter(F.col("text").isNotNull())
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // BLOCK_BYTES
     found = spark.createDataFrame([], OUT)
-    for block in range(blocks):
-        part = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        size = part.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        if size > 2 * BLOCK_BYTES:
-            raise ValueError(f"a block of items has {size} bytes; more than {2 * BLOCK_BYTES} are not broadcast")
-        rows = [(r["item_id"], plain(r["text"])) for r in part.collect()]
-        rows = [r for r in rows if r[1].count(" ") + 1 >= MIN_WORDS]
-        if rows:
-            found = found.unionByName(own.mapInArrow(_scan(spark.sparkContext.broadcast(rows)), OUT))
-    return found
+    for rows in blocks(items, item_col):
+        found = found.unionByName(own.mapInArrow(_scan(spark.sparkContext.broadcast(rows)), OUT))
+    ids = items.select(F.xxhash64(item_col).alias("item"), F.col("item_id").cast("bigint").alias("item_id")).distinct()
+    return found.join(ids, "item").select("doc_id", "tag", "item_id", "distance", "budget")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without the documents in which a benchmark item occurs."""
-    bad = matches(docs, items, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_bad_id"), F.col("tag").alias("_bad_tag")).distinct()
-    keyed = docs.withColumns({"_bad_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_bad_tag": F.xxhash64(text_col)})
-    return keyed.join(bad, ["_bad_id", "_bad_tag"], "left_anti").drop("_bad_id", "_bad_tag")
+    """`docs` without the documents in which a benchmark item occurs. No row leaves its task."""
+    spark = docs.sparkSession
+    for rows in blocks(items, item_col="text"):
+        docs = docs.filter(~_has_item(spark.sparkContext.broadcast(rows))(F.col(text_col)))
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
