@@ -11,16 +11,18 @@ of consecutive windows with one anchor; items part a text's windows, some forty
    an earlier one of the task, and sends front-coded runs: length of the prefix shared with the item before, and the rest.
 3. Runs of one part of the hash range meet in one task, which merges them by a loser tree. The players keep the
    prefix length they share with the last winner; longer ones win unseen and equal ones are compared behind it, so no
-   known prefix is read again. The merged order has all items of one gram together: equal ones after the first are
-   repeats as a whole; different ones are compared window by window in order of documents.
+   known prefix is read again. The merged order has all items of one gram together. Neighbours' common prefixes tell which
+   windows agree behind their anchors: those of a stretch of items none of which shares less. Of these only the bytes
+   before the anchors are compared.
 4. Removed ranges go back to their documents.
 
-Texts cross the network twice, compressed. A hot copy group shrinks in step 1 and 2 to an item for each task; a task
-of step 3 holds the different surroundings of one gram at a time.
+Texts cross the network twice, compressed. A hot copy group shrinks in step 1 and 2 to an item for each task. A task of step 3 holds
+one part's runs, compressed, and up to GROUP_ITEMS different surroundings of one gram; of a gram with more of them the windows are
+dealt by their own hashes and meet by aggregation.
 
 Defined cases: a null text counts as empty; matches never cross documents; rows that share doc_id and text count as one
 document (each gets its result); rows that share only doc_id are ordered by a hash of the text; a null doc_id is the
-smallest; extra columns are kept; an empty table gives an empty result.
+smallest; extra columns are kept, those named as the results replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoria.llm.arrays import text_slices
-from memoria.llm.common import NULL_ID, shuffle_width, table
+from memoria.llm.common import NULL_ID, joined_by_key, shuffle_width, table, unused, written
 
 LENGTH, GRAM = 100, 24
 GRAMS = LENGTH - GRAM + 1
@@ -42,6 +45,8 @@ SEGMENT = 1 << 20
 PLACE_BITS = 22
 #: Parts of the hash range for each shuffle partition, so that parts differ little.
 PARTS_PER_TASK = 8
+#: Different items of one gram that a task compares at once.
+GROUP_ITEMS = 4096
 
 _random = np.random.default_rng(5)
 BYTE_VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64)
@@ -193,21 +198,35 @@ def _by_document(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, *values: np
     )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors whose gram another blob of the part has as well, or that are known."""
-    parts: dict[int, list] = {}
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(kind, blobs) of rows that come sorted by part: known ones one by one, the others of a part together."""
+    now, held = None, []
     for batch in batches:
         for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
-            (ids, tags, doc, anchor, flags, low), _ = _unzip(blob)
             if kind == KNOWN:
-                yield _by_document(ids.view(np.int64), tags.view(np.int64), doc, anchor)
-            else:
-                parts.setdefault(part, []).append((ids, tags, doc, anchor, np.unpackbits(flags)[: len(doc)].astype(bool), low))
-    for blobs in parts.values():
+                yield KNOWN, [blob]
+                continue
+            if part != now and held:
+                yield SEARCH, held
+                held = []
+            now = part
+            held.append(blob)
+    if held:
+        yield SEARCH, held
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors whose gram another blob of the part has as well, or that are known."""
+    for kind, packed in _by_part(batches):
+        blobs = [_unzip(blob)[0] for blob in packed]
         shift = np.cumsum([0, *(len(b[0]) for b in blobs)])
         ids, tags = (np.concatenate([b[i] for b in blobs]).view(np.int64) for i in (0, 1))
         doc = np.concatenate([b[2].astype(np.int64) + s for b, s in zip(blobs, shift, strict=False)])
-        anchor, flag = (np.concatenate([b[i] for b in blobs]) for i in (3, 4))
+        anchor = np.concatenate([b[3] for b in blobs])
+        if kind == KNOWN:
+            yield _by_document(ids, tags, doc, anchor)
+            continue
+        flag = np.concatenate([np.unpackbits(b[4])[: len(b[2])].astype(bool) for b in blobs])
         wide = np.zeros((len(doc), 8), np.uint8)
         wide[:, :5] = np.concatenate([b[5] for b in blobs]).reshape(-1, 5)
         _, at, n = np.unique(wide.reshape(-1).view(np.uint64), return_inverse=True, return_counts=True)
@@ -331,65 +350,112 @@ def merged(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int
             node //= 2
 
 
-def repeats(group: list[tuple[bytes, tuple]]) -> Iterator[tuple[int, int, int, int]]:
-    """(doc_id, tag, start, end) of what repeats in items that share their gram."""
-    first: dict[tuple[bytes, int], tuple] = {}
-    for string, (left, *key) in group:
-        kind, key = (string, left), tuple(key)
-        if kind not in first or key < first[kind]:
-            first[kind] = key
-    for string, (left, *key) in group:
-        if tuple(key) != first[string, left]:
-            yield key[0], key[1], key[2], key[2] + len(string)
-    if len(first) == 1:
-        return
-    order = sorted((key, string[len(string) - left :] + string[: len(string) - left], left) for (string, left), key in first.items())
-    again: dict[tuple, list[int]] = {}
-    # Equal windows have their anchors at equal places: one place after the other, so that few windows are held.
-    for before in range(GRAMS):
-        seen: set[bytes] = set()
-        for key, text, left in order:
-            j = left - before
-            if 0 <= j <= len(text) - LENGTH:
-                window = text[j : j + LENGTH]
-                if window in seen:
-                    again.setdefault(key, []).append(key[2] + j)
-                seen.add(window)
-    for (doc_id, tag, _), starts in again.items():
-        for s in starts:
-            yield doc_id, tag, s, s + LENGTH
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
+def repeats(strings: list[bytes], shared: list[int], of: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+    """(doc_id, tag, start, end) of what repeats in different items of one gram, which come in merged order.
+
+    `shared` are the prefixes that items share with the one before; `of` are (bytes left of the anchor, doc_id, tag, first window).
+    """
+    least: dict[tuple[int, int, bytes], int] = {}
+    #: Of each number of bytes the first item of the stretch that shares so many.
+    stretch = [0] * (LENGTH + 1)
+    again: dict[int, set[int]] = {}
+    for i, (string, (left, *_)) in enumerate(zip(strings, of, strict=True)):
+        if i and shared[i] < LENGTH:
+            stretch[shared[i] + 1 :] = [i] * (LENGTH - shared[i])
+        # A window with so many bytes before its anchor is another's only if a neighbour shares the rest.
+        most = min(len(string) - left, max(shared[i] if i else 0, shared[i + 1] if i + 1 < len(shared) else 0), LENGTH)
+        for before in range(max(0, LENGTH - most), min(left, GRAMS - 1) + 1):
+            key = (before, stretch[LENGTH - before], string[len(string) - before :])
+            j = least.setdefault(key, i)
+            if j != i:
+                later = i
+                if of[i][1:] < of[j][1:]:
+                    later, least[key] = j, i
+                again.setdefault(later, set()).add(before)
+    for i, befores in again.items():
+        left, doc_id, tag, place = of[i]
+        for before in befores:
+            start = place + left - before
+            yield doc_id, tag, start, start + LENGTH
+
+
+MERGED = "window string, doc_id bigint, tag bigint, places binary"
+
+
+def _told(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    ids, tags, start, end = np.array(found, np.int64).T
+    docs, doc = np.unique(np.stack([ids, tags], 1), axis=0, return_inverse=True)
+    return _by_document(docs[:, 0], docs[:, 1], doc.reshape(-1), start, end)
+
+
+def _as_merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.string()), *batch.columns], names=["window", *batch.schema.names])
+
+
+def _windows(strings: list[bytes], of: list[tuple]) -> pa.RecordBatch:
+    """Each window of the items by its own hash; places are its start."""
+    hashes, ids, tags, starts = [], [], [], []
+    for string, (left, doc_id, tag, place) in zip(strings, of, strict=True):
+        text = string[len(string) - left :] + string[: len(string) - left]
+        n = len(text) - LENGTH + 1
+        hashes += [xxhash.xxh3_128_hexdigest(text[j : j + LENGTH]) for j in range(n)]
+        ids += [doc_id] * n
+        tags += [tag] * n
+        starts += [np.uint32(place + j).tobytes() for j in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.binary())], names=["window", "doc_id", "tag", "places"])
+
+
+def _merge(most: int):
+    """Ranges to remove; of grams with more than `most` different items their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, blobs in _by_part(batches):
             if kind == KNOWN:
-                (ids, tags, doc, start, end), _ = _unzip(blob)
-                yield _by_document(ids.view(np.int64), tags.view(np.int64), doc, start, end)
-            else:
-                parts.setdefault(part, []).append(blob)
-
-    def told(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        ids, tags, start, end = np.array(found, np.int64).T
-        docs, doc = np.unique(np.stack([ids, tags], 1), axis=0, return_inverse=True)
-        return _by_document(docs[:, 0], docs[:, 1], doc.reshape(-1), start, end)
-
-    for blobs in parts.values():
-        found, group = [], []
-        for shared, string, of in merged([read_run(b) for b in blobs]):
-            if group and shared < GRAM:
-                if len(group) > 1:
-                    found += repeats(group)
-                group = []
-                if len(found) > 1 << 16:
-                    yield told(found)
-                    found = []
-            group.append((string, of))
-        if len(group) > 1:
-            found += repeats(group)
-        if found:
-            yield told(found)
+                (ids, tags, doc, start, end), _ = _unzip(blobs[0])
+                yield _as_merged(_by_document(ids.view(np.int64), tags.view(np.int64), doc, start, end))
+                continue
+            found, large = [], False
+            strings, prefixes, of = [], [], []
+            for shared, string, own in merged([read_run(b) for b in blobs]):
+                if strings and shared < GRAM:
+                    if large:
+                        yield _windows(strings, of)
+                    elif len(strings) > 1:
+                        found += repeats(strings, prefixes, of)
+                    strings, prefixes, of, large = [], [], [], False
+                    if len(found) > 1 << 16:
+                        yield _as_merged(_told(found))
+                        found = []
+                if strings and string == strings[-1] and own[0] == of[-1][0]:
+                    # The whole item repeats: the later one goes, the earlier one stands for both.
+                    if own[1:] == of[-1][1:]:
+                        continue
+                    first, second = sorted([of[-1], own], key=lambda x: x[1:])
+                    of[-1] = first
+                    found.append((second[1], second[2], second[3], second[3] + len(string)))
+                    continue
+                strings.append(string)
+                prefixes.append(shared)
+                of.append(own)
+                if len(strings) > most:
+                    yield _windows(strings, of)
+                    strings, prefixes, of, large = strings[-1:], prefixes[-1:], of[-1:], True
+            if large:
+                yield _windows(strings, of)
+            elif len(strings) > 1:
+                found += repeats(strings, prefixes, of)
+            if found:
+                yield _as_merged(_told(found))
+
+    return run
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Starts of windows to their ranges."""
+    for batch in batches:
+        if batch.num_rows:
+            start = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.uint32).astype(np.int64)
+            yield _told(list(zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), start.tolist(), (start + LENGTH).tolist(), strict=True)))
 
 
 def _keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -410,29 +476,40 @@ def _keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("kept", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]))
 
 
-def repeated_ranges(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def repeated_ranges(docs: DataFrame, text_col: str = "text", most: int = GROUP_ITEMS) -> DataFrame:
     """(doc_id, tag, places): for each document with repeats, start and end of ranges as pairs of 32-bit integers; ranges may overlap."""
     width = shuffle_width(docs.sparkSession)
     parts = width * PARTS_PER_TASK
+    dealt = lambda df: df.repartition(width, "part").sortWithinPartitions("part")
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= LENGTH)
-    known = own.mapInArrow(_send_grams(parts), BLOBS).repartition(width, "part").mapInArrow(_candidates, PLACES)
+    known = dealt(own.mapInArrow(_send_grams(parts), BLOBS)).mapInArrow(_candidates, PLACES)
     wanted = known.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
     packed = own.select("doc_id", "tag", F.arrow_udf(_pack, "binary")("text").alias("packed"))
     runs = packed.join(wanted, ["doc_id", "tag"]).mapInArrow(_send_runs(parts), BLOBS)
-    return runs.repartition(width, "part").mapInArrow(_merge, PLACES)
-
-
-def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    found = written(dealt(runs).mapInArrow(_merge(most), MERGED), "suffix-ranges")
+    ranges = found.filter("window is null").select("doc_id", "tag", "places")
+    windows = found.filter("window is not null")
+    if windows.isEmpty():
+        return ranges
+    at = F.struct("doc_id", "tag", F.reverse("places").alias("start"))
+    first = written(windows.groupBy("window").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1"), "suffix-windows")
+    later = joined_by_key(windows, first, "window").filter(F.col("first").isNotNull() & (at != F.col("first")))
+    return ranges.unionByName(later.select("doc_id", "tag", "places").mapInArrow(_starts, PLACES))
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", most: int = GROUP_ITEMS) -> DataFrame:
     """`docs` with kept (the remaining bytes), n_bytes, n_removed, n_spans."""
-    ranges = repeated_ranges(docs, text_col).groupBy("doc_id", "tag").agg(F.collect_list("places").alias("_places"))
-    ranges = ranges.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "_places")
+    id_, tag, packed, places, part, whole = unused(docs, "_id", "_tag", "_packed", "_places", "_part", "_whole")
+    ranges = repeated_ranges(docs, text_col, most).groupBy("doc_id", "tag").agg(F.collect_list("places").alias(places))
+    ranges = ranges.select(F.col("doc_id").alias(id_), F.col("tag").alias(tag), places)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_tag": F.xxhash64(text_col), "_packed": F.arrow_udf(_pack, "binary")(text)}).drop(text_col)
-    joined = keyed.join(ranges, ["_id", "_tag"], "left")
-    part = F.arrow_udf(_keep, "struct<kept:binary,n_removed:bigint,n_spans:bigint>")("_packed", "_places")
-    df = joined.withColumns({"_part": part, "_whole": F.arrow_udf(_whole, "binary")(F.when(F.col("_places").isNull(), F.col("_packed")))})
-    df = df.withColumns({"kept": F.coalesce("_part.kept", "_whole"), "n_removed": F.coalesce("_part.n_removed", F.lit(0).cast("bigint")), "n_spans": F.coalesce("_part.n_spans", F.lit(0).cast("bigint"))})
-    return df.withColumn("n_bytes", F.octet_length("kept").cast("bigint") + F.col("n_removed")).drop("_id", "_tag", "_packed", "_places", "_part", "_whole")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), tag: F.xxhash64(text_col), packed: F.arrow_udf(_pack, "binary")(text)}).drop(text_col)
+    joined = keyed.join(ranges, [id_, tag], "left")
+    kept = F.arrow_udf(_keep, "struct<kept:binary,n_removed:bigint,n_spans:bigint>")(packed, places)
+    df = joined.withColumns({part: kept, whole: F.arrow_udf(_whole, "binary")(F.when(F.col(places).isNull(), F.col(packed)))})
+    count = lambda name: F.coalesce(F.col(part)[name], F.lit(0).cast("bigint"))
+    df = df.withColumns({"kept": F.coalesce(F.col(part)["kept"], F.col(whole)), "n_removed": count("n_removed"), "n_spans": count("n_spans")})
+    return df.withColumn("n_bytes", F.octet_length("kept").cast("bigint") + F.col("n_removed")).drop(id_, tag, packed, places, part, whole)
 
 
 def _whole(values: pa.Array) -> pa.Array:
