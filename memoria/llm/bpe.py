@@ -9,7 +9,7 @@ A state of the deterministic transducer is the set of the trie's nodes that are
 the longest one, which names the state; so there are no more states than nodes, and texts share them. Beside the state
 runs the token that ends at each byte which a live configuration may start from. Where all live configurations have
 come by the same tokens, those are settled and emitted; none reaches further back than the longest token, which bounds the
-lookahead. States and moves are made when a text first needs them.
+lookahead. States and moves are made when a text first needs them. Short pieces run through the transducer in lock step, byte after byte.
 
 Whether one token may follow another is read from their last merges: the merge that came last is taken back,
 left or right of the border, until a merge over the border would have come before it, or single bytes are left.
@@ -26,9 +26,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,13 +38,17 @@ from pyspark.sql import functions as F
 from memoria.llm.common import table
 
 #: Limits of a worker's tables, in entries, about 50 MB together; a full one starts again, which changes no result.
-MAX_ENTRIES, MAX_PIECES = 250_000, 60_000
+MAX_ENTRIES, MAX_PIECES = 20_000, 120_000
+#: Entries of the tables of moves and pairs that short pieces share; a new entry takes an old one's place.
+MOVE_BITS, PAIR_BITS = 16, 18
 TOKEN_BITS = 20
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
-#: Bytes after which settled tokens are looked for.
+#: Pieces of more bytes are encoded one by one; settled tokens are looked for after every SETTLE bytes.
+SHORT = 256
 SETTLE = 64
 MAX_PIECE_CHARS = 32
-LONG_TEXT = 1 << 20
+#: Characters of texts whose pieces are encoded together; pieces of one lock step.
+CHARS, ROWS = 1 << 21, 8192
 #: A vocabulary is sent to every executor; larger files than this are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 NEVER = 1 << 60
@@ -253,43 +258,190 @@ class Transducer:
         return out
 
 
-class Pieces(dict):
-    """Encoded pieces of this process, as packed ids, in two generations; long pieces aren't kept."""
+class LockStep:
+    """The transducer over many short pieces at once, on flat arrays."""
+
+    def __init__(self, machine: Transducer):
+        self.token_at, self.depth = np.array(machine.token_at), np.array(machine.depth)
+        self.length = np.zeros(len(machine.merges.made), np.int32)
+        self.length[list(machine.bytes_of)] = [len(x) for x in machine.bytes_of.values()]
+        keys = np.array(list(machine.below), np.int64)
+        order = np.argsort(keys)
+        self.below, self.child = keys[order], np.array(list(machine.below.values()), np.int32)[order]
+        keys = np.array(list(machine.merges.joined), np.int64)
+        order = np.argsort(keys)
+        self.joined, self.joined_to = keys[order], np.array(list(machine.merges.joined.values()), np.int64)[order]
+        self.made, self.left, self.right = (np.array(x) for x in (machine.merges.made, machine.merges.left, machine.merges.right))
+        n = len(self.token_at)
+        #: Of each node its longest suffix that is a node, and the longest node that is itself or a suffix of it and a token.
+        self.suffix, self.token_end, self.next_end = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        above, last = np.array(machine.above), np.frombuffer(machine.last, np.uint8)
+        for d in range(1, int(self.depth.max()) + 1):
+            nodes = np.flatnonzero(self.depth == d)
+            if d > 1:
+                self.suffix[nodes] = self.next(self.suffix[above[nodes]], last[nodes])
+            self.next_end[nodes] = self.token_end[self.suffix[nodes]]
+            self.token_end[nodes] = np.where(self.token_at[nodes] >= 0, nodes, self.next_end[nodes])
+        self.move_key, self.move_to = np.full(1 << MOVE_BITS, -1, np.int64), np.zeros(1 << MOVE_BITS, np.int32)
+        self.pair_key, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+
+    @staticmethod
+    def slot(key: np.ndarray, bits: int) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+    def next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The longest live nodes behind a byte each."""
+        node, to = node.astype(np.int64), np.zeros(len(node), np.int32)
+        left = np.arange(len(node))
+        while len(left):
+            key = node[left] << 8 | byte[left]
+            at = np.minimum(np.searchsorted(self.below, key), len(self.below) - 1)
+            found = self.below[at] == key
+            to[left[found]] = self.child[at[found]]
+            left = left[~found & (node[left] > 0)]
+            node[left] = self.suffix[node[left]]
+        return to
+
+    def moved(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) << 8 | byte
+        slot = self.slot(key, MOVE_BITS)
+        to, new = self.move_to[slot], np.flatnonzero(self.move_key[slot] != key)
+        if len(new):
+            to[new] = self.next(state[new], byte[new])
+            self.move_key[slot[new]], self.move_to[slot[new]] = key[new], to[new]
+        return to
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As Merges.apart, for many pairs."""
+        a, b, before, out = a.astype(np.int64), b.astype(np.int64), np.full(len(a), NEVER), np.ones(len(a), bool)
+        left = np.arange(len(a))
+        while len(left):
+            x, y = a[left], b[left]
+            key = x << TOKEN_BITS | y
+            at = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
+            over = (self.joined[at] == key) & (self.joined_to[at] < before[left])
+            out[left[over]] = False
+            made_x, made_y = self.made[x], self.made[y]
+            back_a, back_b = ~over & (made_x > made_y), ~over & (made_x <= made_y) & (made_y >= 0)
+            before[left[back_a]], a[left[back_a]] = x[back_a], self.right[x[back_a]]
+            before[left[back_b]], b[left[back_b]] = y[back_b] + 1, self.left[y[back_b]]
+            left = left[back_a | back_b]
+        return out
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.older = encode, {}
+    def may_follow(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        key = last.astype(np.int64) << TOKEN_BITS | token
+        slot = self.slot(key, PAIR_BITS)
+        ok, new = self.pair_ok[slot], np.flatnonzero(self.pair_key[slot] != key)
+        if len(new):
+            ok[new] = self.apart(last[new], token[new])
+            self.pair_key[slot[new]], self.pair_ok[slot[new]] = key[new], ok[new]
+        return ok
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The tokens of each piece as packed ids."""
+        out: list[bytes] = [b""] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]), reverse=True)
+        for at in range(0, len(order), ROWS):
+            own = order[at : at + ROWS]
+            for i, packed in zip(own, self._encode([pieces[i] for i in own]), strict=True):
+                out[i] = packed
+        return out
 
-    def __missing__(self, piece: str) -> bytes:
-        if (packed := self.older.get(piece)) is None:
-            packed = array("I", self.encode(piece)).tobytes()
-        if len(piece) <= MAX_PIECE_CHARS:
-            if len(self) >= MAX_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = packed
-        return packed
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces come longest first, so those that go on are the first ones."""
+        sizes = np.array([len(x) for x in pieces])
+        raw, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+        #: The token that ends at each byte; -1 is the start.
+        told = np.full((int(sizes[0]) + 1, len(pieces)), -1, np.int32)
+        state = np.zeros(len(pieces), np.int32)
+        for i in range(int(sizes[0])):
+            k = int(np.searchsorted(-sizes, -i, "left"))
+            state = self.moved(state[:k], raw[starts[:k] + i])
+            rows, end = np.arange(k), self.token_end[state]
+            while len(rows):
+                token, last = self.token_at[end], told[i + 1 - self.depth[end], rows]
+                ok = last < 0
+                ask = np.flatnonzero(~ok)
+                ok[ask] = self.may_follow(last[ask], token[ask])
+                told[i + 1, rows[ok]] = token[ok]
+                rows, end = rows[~ok], self.next_end[end[~ok]]
+                if len(end) and not end.all():
+                    raise ValueError("the ranks are no byte-level BPE vocabulary")
+        rows, at, found = np.arange(len(pieces)), sizes.copy(), []
+        while len(rows):
+            token = told[at[rows], rows]
+            found.append((rows, token))
+            at[rows] -= self.length[token]
+            rows = rows[at[rows] > 0]
+        row, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        # Tokens were found from the last to the first.
+        order = np.lexsort((-np.arange(len(row)), row))
+        packed = token[order].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(row, minlength=len(pieces)))
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 class Encoder:
-    """Texts to token ids; pieces are split by the pattern and encoded separately."""
+    """Texts to token ids; pieces are split by the pattern and encoded separately, each different one once where it is known."""
 
     def __init__(self, ranks: bytes, pattern: str):
         self.pattern = regex.compile(pattern)
         self.ranks = parse_ranks(ranks)
         self.machine = Transducer(self.ranks)
-        self.pieces = Pieces(self.encode_piece)
-
-    def encode_piece(self, piece: str) -> list[int]:
-        raw = piece.encode()
-        if (whole := self.ranks.get(raw)) is not None:
-            return [whole]
-        return self.machine.encode(raw)
+        self.lock_step = LockStep(self.machine)
+        #: Packed ids of pieces, in two generations.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def know(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of these pieces at least."""
+        if len(self.young) > MAX_PIECES:
+            self.young, self.old = {}, self.young
+        new, made, short = pieces.difference(self.young), {}, {}
+        again = new.intersection(self.old)
+        for piece in new.difference(again):
+            raw = piece.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                made[piece] = whole.to_bytes(4, "little")
+            elif len(raw) <= SHORT:
+                short[piece] = raw
+            else:
+                made[piece] = np.array(self.machine.encode(raw), "<u4").tobytes()
+        if short:
+            made.update(zip(short, self.lock_step.encode(list(short.values())), strict=True))
+        made.update((x, self.old[x]) for x in again)
+        long = [x for x in made if len(x) > MAX_PIECE_CHARS]
+        if long:
+            known = self.young | made
+            for x in long:
+                del made[x]
+            self.young.update(made)
+            return known
+        self.young.update(made)
+        return self.young
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. Pieces of a run of texts are encoded together, those of a long text part by part."""
+        out, row = [], 0
+        while row < len(texts):
+            to, size = row, 0
+            while to < len(texts) and (to == row or size + len(texts[to]) <= CHARS):
+                size += len(texts[to])
+                to += 1
+            if size > CHARS:
+                found, parts = self.pattern.finditer(texts[row]), []
+                while part := [m[0] for m in islice(found, CHARS // 8)]:
+                    parts.append(b"".join(map(self.know(set(part)).__getitem__, part)))
+                out.append(b"".join(parts))
+            else:
+                split = [self.pattern.findall(t) for t in texts[row:to]]
+                known = self.know(set().union(*split))
+                out += [b"".join(map(known.__getitem__, s)) for s in split]
+            row = to
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids. The pieces of a long text are made one by one, not all at once."""
-        found = self.pattern.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in self.pattern.finditer(text))
-        return b"".join(map(self.pieces.__getitem__, found))
+        return self.encode_all([text])[0]
 
 
 class Utf8Machine:
@@ -320,15 +472,15 @@ def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], portion: int =
     yield machine.feed(b"", last=True)
 
 
-_made: dict[tuple[str, str], Encoder] = {}
+_made: dict[tuple[str, str], object] = {}
 
 
-def _encoder(ranks: bytes, pattern: str) -> Encoder:
-    """One for each vocabulary in a worker process, so that its tables serve all its tasks."""
-    key = (hashlib.sha256(ranks).hexdigest(), pattern)
+def _kept(ranks: bytes, of: str, make: Callable[[], object]) -> object:
+    """What `make` makes of a vocabulary, one for each use in a worker process, so that its tables serve all its tasks."""
+    key = (hashlib.sha256(ranks).hexdigest(), of)
     if key not in _made:
         _made.clear()
-        _made[key] = Encoder(ranks, pattern)
+        _made[key] = make()
     return _made[key]
 
 
@@ -338,30 +490,32 @@ def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: s
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(sent.value, pattern)
-        return pa.array([encoder.encode(t.as_py() or "") for t in texts], pa.binary())
+        encoder = _kept(sent.value, pattern, lambda: Encoder(sent.value, pattern))
+        return pa.array(encoder.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     return encode(text)
 
 
-def decode_column(spark: SparkSession, ids: Column, ranks_path: str, pattern: str) -> Column:
+def decode_column(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
     """The text of token ids."""
     sent = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("string")
     def decode(values: pa.Array) -> pa.Array:
-        bytes_of = _encoder(sent.value, pattern).machine.bytes_of
-        return pa.array(["".join(decode_stream(memoryview(v.as_py() or b"").cast("I"), bytes_of)) for v in values], pa.string())
+        bytes_of = _kept(sent.value, "decode", lambda: {rank: token for token, rank in parse_ranks(sent.value).items()})
+        return pa.array(["".join(decode_stream(memoryview(v.as_py()).cast("I"), bytes_of)) for v in values], pa.string())
 
-    return decode(ids)
+    # Were the ids another function's result as they are, both functions would go as one to Python, and ids that are asked for beside
+    # the text would be made twice.
+    return decode(F.coalesce(ids, F.lit(b"")))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     return docs.withColumn(ids_col, encode_column(docs.sparkSession, F.col(text_col), ranks_path, pattern))
 
 
-def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
-    return docs.withColumn(out, decode_column(docs.sparkSession, F.col(ids_col), ranks_path, pattern))
+def decode_documents(docs: DataFrame, ranks_path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
+    return docs.withColumn(out, decode_column(docs.sparkSession, F.col(ids_col), ranks_path))
 
 
 def vocabulary() -> tuple[str, str]:
@@ -374,7 +528,8 @@ def vocabulary() -> tuple[str, str]:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids, digest of the text decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    df = decode_documents(encode_documents(docs, *vocabulary()), *vocabulary())
+    ranks, pattern = vocabulary()
+    df = decode_documents(encode_documents(docs, ranks, pattern), ranks)
     return df.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),

@@ -257,7 +257,7 @@ def test_bpe_matches_library(spark, texts):
     rng = random.Random(4)
     alphabet = ["a", "the", "  ", "\n", "é", "日本", "😀", "'ll", "12", "\x00", "\u0301", "<|endoftext|>", "_", "!!"]
     rows = texts + [(100 + i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(999, "z" * 9000)]
-    df = bpe.decode_documents(bpe.encode_documents(frame(spark, rows), path, pattern), path, pattern)
+    df = bpe.decode_documents(bpe.encode_documents(frame(spark, rows), path, pattern), path)
     for r in df.collect():
         assert list(memoryview(bytes(r.token_ids)).cast("I")) == library.encode_ordinary(r.text or "")
         assert r.decoded == (r.text or "")
