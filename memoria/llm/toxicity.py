@@ -15,6 +15,8 @@ extra columns are kept; repeated rows get the same score; an empty table gives a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,8 @@ THRESHOLD = 0.3
 #: Bounds of the samples that the classifier is fitted on.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_PAIRS = 4_000, 12_000, 8_000_000
 BITS = 20
+#: Pairs whose values are added up at once.
+PART = 1 << 18
 #: Besides whole words, their beginnings of so many bytes: inflected forms share them.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: A feature of one sampled document alone gets no weight.
@@ -93,30 +97,30 @@ def least_pull(prior: float, n_positive: int) -> float:
 
 
 class Pairs:
-    """Pairs of row and column, sorted either way, so that sums by row and by column are sums of runs."""
+    """Pairs of row and column, sorted either way, so that sums by row and by column are sums of runs; made in parts to hold little."""
 
     def __init__(self, sizes: np.ndarray, column: np.ndarray, n_columns: int):
-        self.n_rows, self.n_columns, self.column = len(sizes), n_columns, column.astype(np.int32)
+        """`column` has the columns of the rows one after the other, `sizes` how many each row has."""
+        self.column = column
+        self.by_row = self._sums(column, sizes)
         row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.row = row[np.argsort(self.column, kind="stable")]
-        self.rows, self.row_starts = self._runs(sizes)
-        self.columns, self.column_starts = self._runs(np.bincount(self.column, minlength=n_columns))
+        self.by_column = self._sums(row[np.argsort(column, kind="stable").astype(np.int32)], np.bincount(column, minlength=n_columns))
 
     @staticmethod
-    def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+    def _sums(index: np.ndarray, sizes: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        runs, ends = np.flatnonzero(sizes), np.cumsum(sizes)
+        starts = (ends - sizes)[runs]
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(index), PART)))
+        parts = list(zip(cuts, [*cuts[1:], len(runs)], strict=True))
 
-    def by_row(self, of_column: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n_rows)
-        if len(self.rows):
-            out[self.rows] = np.add.reduceat(of_column[self.column], self.row_starts)
-        return out
+        def sums(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(sizes))
+            for a, b in parts:
+                first = starts[a]
+                out[runs[a:b]] = np.add.reduceat(values[index[first : ends[runs[b - 1]]]], starts[a:b] - first)
+            return out
 
-    def by_column(self, of_row: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n_columns)
-        if len(self.columns):
-            out[self.columns] = np.add.reduceat(of_row[self.row], self.column_starts)
-        return out
+        return sums
 
 
 def risk_gradient(p: np.ndarray, is_p: np.ndarray, prior: float) -> np.ndarray:
@@ -130,22 +134,23 @@ def risk_gradient(p: np.ndarray, is_p: np.ndarray, prior: float) -> np.ndarray:
     return plus + minus if negative_risk >= 0 else -minus
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
-    """(weights by feature, bias) of the classifier with the least non-negative risk, few weights being non-zero; Adam over the whole sample."""
-    n_p, n = len(positive), len(positive) + len(unlabelled)
-    features = np.concatenate([*positive, *unlabelled])
-    row = np.repeat(np.arange(n), [len(r) for part in (positive, unlabelled) for r in part])
+def fit_nnpu(features: np.ndarray, sizes: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """(weights by feature, bias) of the classifier with the least non-negative risk, few weights being non-zero; Adam over the whole sample.
+
+    `features` has those of the rows one after the other, `sizes` how many each row has, `is_p` which rows are positive.
+    """
+    n_p = int(is_p.sum())
     names = np.flatnonzero(np.bincount(features, minlength=1 << BITS) >= MIN_DOCS)
     number = np.full(1 << BITS, -1, np.int32)
     number[names] = np.arange(len(names), dtype=np.int32)
-    known = number[features] >= 0
-    pairs = Pairs(np.bincount(row[known], minlength=n), number[features[known]], len(names))
-    del features, row, known
+    column = number[features]
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[column >= 0]
+    pairs = Pairs(np.bincount(row, minlength=len(sizes)), column[column >= 0], len(names))
+    del column, row
 
     w, b = np.zeros(len(names)), np.log(prior / (1 - prior))
     pull = least_pull(prior, n_p)
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    is_p = np.arange(n) < n_p
     for step in range(1, STEPS + 1):
         g = risk_gradient(logistic(pairs.by_row(w) + b), is_p, prior)
         gradient = np.r_[pairs.by_column(g), g.sum()]
@@ -187,13 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> tuple[n
     total = sample.agg(F.sum(F.size("features").cast("bigint") + 1)).first()[0] or 0
     if total > MAX_PAIRS:
         sample = sample.filter(below_share(F.xxhash64(F.monotonically_increasing_id()), MAX_PAIRS / total))
-    packed = F.arrow_udf(lambda lists: pa.array([x.values.to_numpy().astype(np.int32).tobytes() for x in lists], pa.binary()), "binary")
-    rows = {True: [], False: []}
-    for r in sample.select("is_p", packed("features").alias("own")).collect():
-        rows[r["is_p"]].append(np.frombuffer(r["own"], np.int32))
-    if not rows[True] or not rows[False]:
+    rows = sample.toArrow().combine_chunks()
+    is_p, lists = rows["is_p"].to_numpy(), rows["features"].combine_chunks()
+    if is_p.all() or not is_p.any():
         return None
-    return fit_nnpu(rows[True], rows[False], min(max(n_toxic / n_marked, 1e-3), 0.9))
+    sizes = np.diff(lists.offsets.to_numpy())
+    return fit_nnpu(lists.flatten().to_numpy(), sizes, is_p, min(max(n_toxic / n_marked, 1e-3), 0.9))
 
 
 def score_column(spark: SparkSession, model: tuple[np.ndarray, float] | None, text: Column) -> Column:
