@@ -420,28 +420,35 @@ class Encoder:
         self.young.update(made)
         return self.young
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Pieces of a run of texts are encoded together, those of a long text part by part."""
-        out, row = [], 0
-        while row < len(texts):
-            to, size = row, 0
-            while to < len(texts) and (to == row or size + len(texts[to]) <= CHARS):
-                size += len(texts[to])
-                to += 1
-            if size > CHARS:
-                found, parts = self.pattern.finditer(texts[row]), []
-                while part := [m[0] for m in islice(found, CHARS // 8)]:
-                    parts.append(b"".join(map(self.know(set(part)).__getitem__, part)))
-                out.append(b"".join(parts))
-            else:
-                split = [self.pattern.findall(t) for t in texts[row:to]]
-                known = self.know(set().union(*split))
-                out += [b"".join(map(known.__getitem__, s)) for s in split]
-            row = to
-        return out
+        run, size = [], 0
+        for text in texts:
+            if len(text) > CHARS:
+                yield from self._run(run)
+                run, size = [], 0
+                yield self._long(text)
+                continue
+            if size + len(text) > CHARS:
+                yield from self._run(run)
+                run, size = [], 0
+            run.append(text)
+            size += len(text)
+        yield from self._run(run)
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        split = [self.pattern.findall(t) for t in texts]
+        known = self.know(set().union(*split))
+        return [b"".join(map(known.__getitem__, s)) for s in split]
+
+    def _long(self, text: str) -> bytes:
+        found, parts = self.pattern.finditer(text), []
+        while part := [m[0] for m in islice(found, CHARS // 8)]:
+            parts.append(b"".join(map(self.know(set(part)).__getitem__, part)))
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return next(self.encode_all([text]))
 
 
 class Utf8Machine:
@@ -491,7 +498,7 @@ def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: s
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _kept(sent.value, pattern, lambda: Encoder(sent.value, pattern))
-        return pa.array(encoder.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
+        return pa.array(encoder.encode_all(t.as_py() or "" for t in texts), pa.binary(), size=len(texts))
 
     return encode(text)
 
