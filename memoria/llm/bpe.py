@@ -26,7 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -35,10 +35,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoria.llm.common import table
+from memoria.llm.common import table, unused
 
 #: Limits of a worker's tables, in entries, about 50 MB together; a full one starts again, which changes no result.
-MAX_ENTRIES, MAX_PIECES = 20_000, 120_000
+MAX_ENTRIES, MAX_PIECES = 20_000, 60_000
 #: Entries of the tables of moves and pairs that short pieces share; a new entry takes an old one's place.
 MOVE_BITS, PAIR_BITS = 16, 18
 TOKEN_BITS = 20
@@ -48,7 +48,7 @@ SHORT = 256
 SETTLE = 64
 MAX_PIECE_CHARS = 32
 #: Characters of texts whose pieces are encoded together; pieces of one lock step.
-CHARS, ROWS = 1 << 21, 8192
+CHARS, ROWS = 1 << 20, 8192
 #: A vocabulary is sent to every executor; larger files than this are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 NEVER = 1 << 60
@@ -479,26 +479,29 @@ def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], portion: int =
     yield machine.feed(b"", last=True)
 
 
-_made: dict[tuple[str, str], object] = {}
+_made: dict[tuple[str, str], Encoder] = {}
 
 
-def _kept(ranks: bytes, of: str, make: Callable[[], object]) -> object:
-    """What `make` makes of a vocabulary, one for each use in a worker process, so that its tables serve all its tasks."""
-    key = (hashlib.sha256(ranks).hexdigest(), of)
+def _encoder(ranks: bytes, pattern: str) -> Encoder:
+    """One for each vocabulary in a worker process, so that its tables serve all its tasks."""
+    key = (hashlib.sha256(ranks).hexdigest(), pattern)
     if key not in _made:
         _made.clear()
-        _made[key] = make()
+        _made[key] = Encoder(ranks, pattern)
     return _made[key]
 
 
+def _decoded(ids: bytes, bytes_of: dict[int, bytes]) -> str:
+    return "".join(decode_stream(memoryview(ids).cast("I"), bytes_of))
+
+
 def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:
     """Token ids as little-endian unsigned 32-bit integers in a binary value."""
     sent = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _kept(sent.value, pattern, lambda: Encoder(sent.value, pattern))
-        return pa.array(encoder.encode_all(t.as_py() or "" for t in texts), pa.binary(), size=len(texts))
+        return pa.array(_encoder(sent.value, pattern).encode_all(t.as_py() or "" for t in texts), pa.binary(), size=len(texts))
 
     return encode(text)
 
@@ -509,12 +512,24 @@ def decode_column(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(values: pa.Array) -> pa.Array:
-        bytes_of = _kept(sent.value, "decode", lambda: {rank: token for token, rank in parse_ranks(sent.value).items()})
-        return pa.array(["".join(decode_stream(memoryview(v.as_py()).cast("I"), bytes_of)) for v in values], pa.string())
+        bytes_of = {rank: token for token, rank in parse_ranks(sent.value).items()}
+        return pa.array((_decoded(v.as_py() or b"", bytes_of) for v in values), pa.string(), size=len(values))
+
+    return decode(ids)
 
-    # Were the ids another function's result as they are, both functions would go as one to Python, and ids that are asked for beside
-    # the text would be made twice.
-    return decode(F.coalesce(ids, F.lit(b"")))
+
+def round_trip_column(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:
+    """Token ids and the text decoded from them, made in one go: as two functions they would take the ids to Python and back."""
+    sent = spark.sparkContext.broadcast(read_ranks(ranks_path))
+
+    @F.arrow_udf("struct<token_ids:binary,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        encoder = _encoder(sent.value, pattern)
+        ids = pa.array(encoder.encode_all(t.as_py() or "" for t in texts), pa.binary(), size=len(texts))
+        back = pa.array((_decoded(v.as_py(), encoder.machine.bytes_of) for v in ids), pa.string(), size=len(ids))
+        return pa.StructArray.from_arrays([ids, back], names=["token_ids", "decoded"])
+
+    return both(text)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
@@ -525,6 +540,13 @@ def decode_documents(docs: DataFrame, ranks_path: str, ids_col: str = "token_ids
     return docs.withColumn(out, decode_column(docs.sparkSession, F.col(ids_col), ranks_path))
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """`docs` with token_ids, and decoded from them."""
+    (name,) = unused(docs, "_both")
+    df = docs.drop("token_ids", "decoded").withColumn(name, round_trip_column(docs.sparkSession, F.col(text_col), ranks_path, pattern))
+    return df.withColumns({c: F.col(name)[c] for c in ("token_ids", "decoded")}).drop(name)
+
+
 def vocabulary() -> tuple[str, str]:
     """Path and pattern of the vocabulary that the queries use."""
     import public_tokenizers
@@ -535,8 +557,7 @@ def vocabulary() -> tuple[str, str]:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids, digest of the text decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranks, pattern = vocabulary()
-    df = decode_documents(encode_documents(docs, ranks, pattern), ranks)
+    df = round_trip(docs, *vocabulary())
     return df.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
