@@ -7,27 +7,60 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder names that are never read, and parts of paths that are skipped.
-EXCLUDED_FOLDERS = ["node_modules", ".git", ".venv", "venv", "__pycache__", "dist", "build", "target", ".cache", "vendor"]
-SKIPPED_PARTS = [".min.", ".lock", "package-lock", ".map", ".log"]
+from memoria.functions.text import chunks, tokens
+
+#: Folder names that are never read.
+EXCLUDED_FOLDERS = [
+    "node_modules", ".git", ".venv", "venv", "env", "__pycache__", ".mypy_cache", ".pytest_cache", "dist", "build", "out", ".next", ".cache", "target",
+    ".obsidian", ".idea", ".vscode", "checkpoints", "wandb", ".ipynb_checkpoints", "site-packages",
+]
+#: Parts of paths (in any case) that mark copies and backups, which are skipped.
+SKIPPED_PARTS = ["- copy", "copy (", "_copy", " (copy)", "backup", " - bak", ".bak", " - old", "(old)"]
 
 
 def crawl(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, project, name, size, modified, sha) of every file; a project is a folder right below `folder`."""
+    """(path, project, name, size, modified, sha) of every file; a project is a folder right below `folder`, null for files beside it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    below = F.regexp_replace(F.col("path"), f"^.*{folder.rstrip('/')}/", "")
-    return found.select("path", F.split_part(below, F.lit("/"), F.lit(1)).alias("project"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha"))
+    return found.select("path", project_of(F.col("path"), folder).alias("project"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha"))
+
+
+def project_of(path: Column, folder: str) -> Column:
+    """The first folder of a path below `folder`, whatever characters that has; paths may begin with a scheme."""
+    prefix = folder.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    at = F.locate(prefix, path)
+    below = F.substring(path, at + len(prefix), F.length(path))
+    return F.when((at > 0) & F.contains(below, F.lit("/")), F.split_part(below, F.lit("/"), F.lit(1)))
 
 
 def is_readable(path: Column) -> Column:
     """Not in an excluded folder and without a skipped part."""
     in_excluded = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, EXCLUDED_FOLDERS)))
-    skipped = F.lit(False)
-    for part in SKIPPED_PARTS:
-        skipped = skipped | F.contains(F.lower(path), F.lit(part))
+    skipped = F.exists(F.array(*map(F.lit, SKIPPED_PARTS)), lambda part: F.contains(F.lower(path), part))
     return ~in_excluded & ~skipped
 
 
+def is_captured(folder: Column, excluded: list[str], own: Column) -> Column:
+    """Whether a session is captured: its folder isn't one of `excluded` or below it, and it wasn't begun by this library itself."""
+    inside = lambda e: (folder == e) | folder.startswith(e.rstrip("/") + "/")
+    shut = F.lit(False)
+    for e in excluded:
+        shut = shut | inside(e)
+    return ~F.coalesce(shut, F.lit(False)) & ~F.coalesce(own, F.lit(False))
+
+
+def ingested(spark: SparkSession, folder: str, index: DataFrame | None = None, size: int = 200, step: int = 180) -> DataFrame:
+    """(path, project, sha, chunk, words) of the readable text files below `folder` whose content `index(path, sha)` hasn't got."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(is_readable(F.col("path")))
+    texts = found.select("path", project_of(F.col("path"), folder).alias("project"), F.sha2("content", 256).alias("sha"), F.decode("content", "UTF-8").alias("body"))
+    new = texts if index is None else unseen(texts, index)
+    return new.select("path", "project", "sha", F.posexplode(chunks(tokens(F.col("body")), size, step)).alias("chunk", "words"))
+
+
+def table_columns(tables: dict[str, DataFrame]) -> list[tuple[str, int, str, str]]:
+    """(table, place, column, type) of each column; read from the schemas alone."""
+    return [(name, i, c, kind) for name, df in tables.items() for i, (c, kind) in enumerate(df.dtypes)]
+
+
 def unseen(items: DataFrame, index: DataFrame, path: str = "path", sha: str = "sha") -> DataFrame:
     """Items whose path and content the index doesn't have."""
     return items.join(index.select(path, sha), [path, sha], "left_anti")
@@ -59,3 +92,19 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], out:
     """The table at `path` with new rows put in or over it, written to `out` (a table isn't read and replaced at once)."""
     old = spark.read.parquet(path)
     old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True).write.mode("overwrite").parquet(out)
+
+
+def write_facts(facts: DataFrame, folder: str) -> None:
+    """Facts as JSON lines: clinical ones to `clinical`, the others to `facts`; a null flag counts as clinical."""
+    clinical = F.coalesce("clinical", F.lit(True))
+    facts.filter(~clinical).drop("clinical").write.mode("overwrite").json(f"{folder}/facts")
+    facts.filter(clinical).drop("clinical").write.mode("overwrite").json(f"{folder}/clinical")
+
+
+def write_tiered(df: DataFrame, is_cold: Column, path: str) -> None:
+    """One folder for each tier, so that reading the hot one never opens the cold one."""
+    df.withColumn("tier", F.when(is_cold, "cold").otherwise("hot")).write.partitionBy("tier").mode("overwrite").parquet(path)
+
+
+def hot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("tier = 'hot'").drop("tier")

@@ -37,26 +37,42 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_speakers(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, turn, role, text): a speaker line starts a turn, the lines behind it go on with it.
+    """(key, turn, role, text): a speaker line starts a turn, the lines behind it go on with it; what comes before the first goes.
 
-    One fold over a body's lines; no shuffle.
+    The body is split where a line begins with a speaker; no shuffle, and work grows with the body's length.
     """
-    lines = F.split(F.col(body), "\n")
-    turn = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
+    parts = F.filter(F.split(F.col(body), r"(?<=\A|\n)(?=(?:User|Assistant):)"), lambda p: p.rlike(r"\A(?:User|Assistant):"))
 
-    def step(acc: Column, line: Column) -> Column:
-        role = F.regexp_extract(line, SPEAKER_LINE, 1)
-        fresh = F.array_append(acc, turn(F.lower(role), F.regexp_extract(line, SPEAKER_LINE, 2)))
-        last = F.element_at(acc, -1)
-        longer = F.array_append(F.slice(acc, 1, F.size(acc) - 1), turn(last["role"], F.concat(last["text"], F.lit("\n"), line)))
-        return F.when(role != "", fresh).when(F.size(acc) > 0, longer).otherwise(acc)
+    def turns(all_: Column) -> Column:
+        # The line break before the next speaker belongs to neither.
+        own = lambda p, i: F.when(i < F.size(all_) - 1, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
+        return F.transform(all_, lambda p, i: F.struct(F.lower(F.split_part(p, F.lit(":"), F.lit(1))).alias("role"), F.regexp_replace(own(p, i), r"\A(?:User|Assistant):[ ]?", "").alias("text")))
 
-    turns = F.aggregate(lines, F.array().cast("array<struct<role:string,text:string>>"), step)
-    return df.select(key, F.posexplode(turns).alias("turn", "t")).select(key, F.col("turn").cast("bigint").alias("turn"), "t.role", "t.text")
+    # As an element of an array the parts are made once, not for each turn.
+    once = F.get(F.transform(F.array(parts), turns), F.lit(0))
+    return df.select(key, F.posexplode(once).alias("turn", "t")).select(key, F.col("turn").cast("bigint").alias("turn"), "t.role", "t.text")
+
+
+#: What each export is told by: a key that holds an array.
+EXPORT_KEYS = {"export_a": "chat_messages", "export_b": "messages", "takeout": "turns"}
 
 
 def detected_format(raw: Column) -> Column:
-    """Which export a raw text is, by the keys it has."""
+    """Which export a raw text is, by the arrays that it (or the first element of an array) has."""
     v = F.try_parse_json(raw)
-    has = lambda key: F.schema_of_variant(v).contains(key)
-    return F.when(v.isNull(), F.when(raw.rlike(r"(?m)^(User|Assistant):"), "transcript").otherwise("unknown")).when(has("chat_messages"), "export_a").when(has("messages"), "export_b").when(has("turns"), "takeout").otherwise("json")
+    is_array = lambda key: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")), F.schema_of_variant(F.try_variant_get(v, f"$[0].{key}", "variant"))).startswith("ARRAY")
+    found = F.when(v.isNull(), F.when(raw.rlike(r"(?m)^(User|Assistant):"), "transcript").otherwise("unknown"))
+    for name, key in EXPORT_KEYS.items():
+        found = found.when(is_array(key), name)
+    return found.otherwise("json")
+
+
+#: Explicit schemas of what evaluations read, one JSON object a line.
+PROBES = "id string, profile string, class string, prompt string"
+QUESTIONS = "id string, category string, question string, expect array<string>"
+FACTS = "key string, statement string, evidence string, date string, bucket string, scope string"
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines by a fixed schema: unknown keys are dropped, lines that can't be read too."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

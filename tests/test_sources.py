@@ -20,20 +20,20 @@ def test_exports_and_transcripts(spark, tmp_path):
 
 
 def test_crawl_skip_and_sinks(spark, tmp_path):
-    for p, text in (("in/one/a.md", "a"), ("in/one/node_modules/b.md", "b"), ("in/two/c.lock", "c"), ("in/two/d.md", "d")):
+    for p, text in (("in/one/a.md", "a"), ("in/one/node_modules/b.md", "b"), ("in/two/d - Copy.md", "c"), ("in/two/c.lock", "c"), ("in/two/d.md", "d")):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(text)
     found = files.crawl(spark, str(tmp_path / "in"))
     readable = found.filter(files.is_readable(F.col("path")))
-    assert sorted((r.project, r.name) for r in readable.collect()) == [("one", "a.md"), ("two", "d.md")]
+    assert sorted((r.project, r.name) for r in readable.collect()) == [("one", "a.md"), ("two", "c.lock"), ("two", "d.md")]
     index = readable.filter("name = 'a.md'").select("path", "sha")
-    assert [r.name for r in files.unseen(readable, index).collect()] == ["d.md"]
+    assert sorted(r.name for r in files.unseen(readable, index).collect()) == ["c.lock", "d.md"]
     assert files.stale(index, readable.filter("name = 'd.md'")).count() == 1
     out = str(tmp_path / "table")
     readable.select("path", "sha").write.parquet(out)
     new = readable.filter("name = 'd.md'").select("path", F.lit("new").alias("sha"))
     files.upsert(spark, new, out, ["path"], out + "2")
-    assert sorted(len(r.sha) for r in spark.read.parquet(out + "2").collect()) == [3, 64]
+    assert sorted(len(r.sha) for r in spark.read.parquet(out + "2").collect()) == [3, 64, 64]
     files.append_log(new, str(tmp_path / "log"))
     files.append_log(new, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
@@ -48,3 +48,65 @@ def test_inbox_stream(spark, tmp_path):
         (tmp_path / "raw" / f"{i}.md").write_text(f"note {i}\nmore")
     got = live.drained(live.watch_text(spark, str(tmp_path / "raw"), max_files=1))
     assert sorted(r.body for r in got.collect()) == [f"note {i}\nmore" for i in range(3)]
+
+
+def test_projects_of_odd_folders(spark, tmp_path):
+    folder = tmp_path / "a(1)+b"
+    for p in ("x/one.md", "x/deep/two.md", "beside.md"):
+        (folder / p).parent.mkdir(parents=True, exist_ok=True)
+        (folder / p).write_text("words " * 300)
+    assert sorted((r.project or "", r.name) for r in files.crawl(spark, str(folder)).collect()) == [("", "beside.md"), ("x", "one.md"), ("x", "two.md")]
+    first = files.ingested(spark, str(folder))
+    assert sorted((r.path.rsplit("/", 1)[1], r.chunk, len(r.words)) for r in first.collect()) == [(n, c, w) for n in ("beside.md", "one.md", "two.md") for c, w in ((0, 200), (1, 120))]
+    assert files.ingested(spark, str(folder), first.select("path", "sha").distinct()).count() == 0
+
+
+def test_documented_lists_and_captures(spark):
+    assert len(files.EXCLUDED_FOLDERS) == 21 and len(files.SKIPPED_PARTS) == 9
+    rows = spark.createDataFrame([("/home/a", False), ("/home/a/b", False), ("/home/ab", False), ("/home/c", True), ("/home/c", None)], "folder string, own boolean")
+    assert [r[0] for r in rows.select(files.is_captured(F.col("folder"), ["/home/a"], F.col("own"))).collect()] == [False, False, True, False, True]
+
+
+def test_lines_facts_and_tiers(spark, tmp_path):
+    (tmp_path / "probes.jsonl").write_text('{"id":"p1","profile":"work","class":"indirect","prompt":"x","more":1}\nbroken\n')
+    (tmp_path / "eval.jsonl").write_text('{"id":"q1","category":"recall","question":"which","expect":["fact:a"]}\n')
+    assert [tuple(r) for r in transcripts.read_lines(spark, str(tmp_path / "probes.jsonl"), transcripts.PROBES).collect()] == [("p1", "work", "indirect", "x")]
+    assert transcripts.read_lines(spark, str(tmp_path / "eval.jsonl"), transcripts.QUESTIONS).first().expect == ["fact:a"]
+    facts = spark.createDataFrame([("k1", "s", False), ("k2", "t", True), ("k3", "u", None)], "key string, statement string, clinical boolean")
+    files.write_facts(facts, str(tmp_path / "out"))
+    read = lambda name: {r.key for r in transcripts.read_lines(spark, str(tmp_path / "out" / name), transcripts.FACTS).collect()}
+    assert read("facts") == {"k1"} and read("clinical") == {"k2", "k3"}
+    files.write_tiered(facts, F.col("key") == "k1", str(tmp_path / "tiers"))
+    left = files.hot(spark, str(tmp_path / "tiers"))
+    assert {r.key for r in left.collect()} == {"k2", "k3"}
+    assert "PartitionFilters: [isnotnull(tier" in left._jdf.queryExecution().toString()
+    assert files.table_columns({"f": facts})[2] == ("f", 2, "clinical", "boolean")
+
+
+def test_long_transcripts_split_in_proportion(spark):
+    body = "".join(f"User: {i}\nmore\nAssistant: yes\n" for i in range(20_000))
+    turns = transcripts.split_speakers(spark.createDataFrame([(1, body), (2, None), (3, ""), (4, "no speaker")], "id int, body string"), "id", "body")
+    assert turns.count() == 40_000
+    assert turns.filter("id = 1 and turn = 39998").first().text == "19999\nmore"
+
+
+def test_formats_are_told_by_arrays(spark):
+    raws = ['{"note":"messages","x":{"messages":[]}}', '[{"chat_messages":[]}]', '{"turns":[1]}', '{"messages":"text"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string").select("i", transcripts.detected_format(F.col("raw")).alias("f"))
+    assert [r.f for r in df.orderBy("i").collect()] == ["json", "export_a", "takeout", "json"]
+
+
+def test_inbox_and_notes_part_and_the_latest_counts(spark, tmp_path):
+    paths = spark.createDataFrame([("/x/raw/a.md",), ("/x/wiki/b.md",), ("/x/raw/wiki/c.md",), ("/x/wiki.md",), ("/x/y/d.md",)], "p string")
+    assert [r[0] for r in paths.select(live.work_for(F.col("p"))).collect()] == ["compile", "index", "index", None, None]
+    inbox, table, point = (str(tmp_path / x) for x in ("raw", "table", "point"))
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.md").write_text("first")
+    live.kept_current(live.watch_text(spark, inbox), table, point)
+    (tmp_path / "raw" / "a2.md").write_text("other")
+    (tmp_path / "raw" / "b.md").write_text("second")
+    live.kept_current(live.watch_text(spark, inbox), table, point)
+    assert sorted((r.path.rsplit("/", 1)[1], r.work, r.body) for r in live.current(spark, table).collect()) == [("a.md", "compile", "first"), ("a2.md", "compile", "other"), ("b.md", "compile", "second")]
+    newer = live.current(spark, table).filter("body = 'first'").selectExpr("path", "changed + interval 1 day AS changed", "work", "sha", "'newer' AS body")
+    newer.write.parquet(f"{table}/batch=99")
+    assert {r.body for r in live.current(spark, table).collect()} == {"newer", "other", "second"}
