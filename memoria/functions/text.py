@@ -35,12 +35,47 @@ def scrubbed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, EMAIL, "[email]"), PHONE, "[phone]")
 
 
-def loose_date(text: Column) -> Column:
-    """A date from YYYY-MM-DD, YYYY-MM or YYYY within 1990 and today's century; null otherwise."""
-    found = F.regexp_extract(text, r"(19[0-9]{2}|20[0-9]{2})(-(0[1-9]|1[0-2])(-(0[1-9]|[12][0-9]|3[01]))?)?", 0)
+FIRST_YEAR = 1990
+
+
+def loose_date(text: Column, today: Column | None = None) -> Column:
+    """A date from YYYY-MM-DD, YYYY-MM or YYYY from FIRST_YEAR to today; null otherwise. A month or year counts from its first day."""
+    found = F.regexp_extract(text, r"(?<![0-9])(19[0-9]{2}|20[0-9]{2})(-(0[1-9]|1[0-2])(-(0[1-9]|[12][0-9]|3[01]))?)?(?![0-9])", 0)
     full = F.when(F.length(found) == 4, F.concat(found, F.lit("-01-01"))).when(F.length(found) == 7, F.concat(found, F.lit("-01"))).when(F.length(found) == 10, found)
     date = F.try_to_date(full, "yyyy-MM-dd")
-    return F.when(date >= F.lit("1990-01-01").cast("date"), date)
+    return F.when(date.between(F.lit(f"{FIRST_YEAR}-01-01").cast("date"), F.current_date() if today is None else today), date)
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+
+
+def padded(text: Column, size: int, fill: str = " ") -> Column:
+    """Filled up at its end to `size` characters; a longer text stays whole."""
+    return F.when(F.length(text) < size, F.rpad(text, size, fill)).otherwise(text)
+
+
+def leading_integer(version: Column) -> Column:
+    """The number that a version begins with (an initial v aside); null without one."""
+    return F.regexp_extract(trimmed(version), r"^v?([0-9]{1,9})", 1).try_cast("int")
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """`template` with each {{name}} replaced by its value; a null value counts as empty."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return template
+
+
+#: What a field is filled with before anybody fills it.
+PLACEHOLDERS = ["todo", "tbd", "your name", "changeme", "..."]
+
+
+def is_placeholder(value: Column) -> Column:
+    """Null, blank, or one of the words that stand for a value to come, also in brackets."""
+    bare = F.lower(F.regexp_replace(trimmed(value), r"^[<\[{]+|[>\]}]+$", ""))
+    return F.coalesce((bare == "") | bare.isin(PLACEHOLDERS), F.lit(True))
 
 
 def chunks(words: Column, size: int, step: int) -> Column:
@@ -56,3 +91,9 @@ def front_matter(body: Column) -> Column:
 def note_links(body: Column) -> Column:
     """Targets of [[links]], without alias and heading."""
     return F.regexp_extract_all(body, F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
+
+
+def without_preamble(body: Column) -> Column:
+    """What comes before the front matter taken off; a body without one stays as it is."""
+    at = F.locate("---\n", body)
+    return F.when((at > 1) & F.contains(F.substring(body, at + 4, F.length(body)), F.lit("\n---")), F.substring(body, at, F.length(body))).otherwise(body)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,46 +30,74 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
 
 
+def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the vectors of `size` numbers, those vectors); null ones, ones of another length and ones with null numbers are left out."""
+    column = column.cast(pa.large_list(pa.float64()))
+    values = column.flatten()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+    right = (sizes == size) & np.asarray(column.is_valid())
+    flat = values.to_numpy(zero_copy_only=False)[np.repeat(right, sizes)].reshape(-1, size) if size else np.zeros((int(right.sum()), 0))
+    whole = ~np.isnan(flat).any(1)
+    return np.flatnonzero(right)[whole], flat[whole]
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the `keep` largest finite scores of each row, of equal ones those with the smallest ids."""
+    keep = min(keep, score.shape[1])
+    if not keep:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
+    row, column = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    order = np.lexsort((ids[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < keep], column[place < keep]
+
+
 def _best(sent, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, allowed = sent.value
+        asked, ids, vectors, allowed = sent.value
         for batch in batches:
-            if not batch.num_rows:
+            at, data = matrix(batch.column("vector"), vectors.shape[1])
+            if not len(at):
                 continue
-            own = batch.column("id").to_numpy()
-            data = np.stack([np.asarray(v, np.float64) for v in batch.column("vector").to_pylist()])
+            own = batch.column("id").to_numpy()[at]
             score = np.round(vectors @ _unit(data).T, 6)
             if allowed is not None:
-                score[~(batch.column("rank").to_numpy()[None, :] >= allowed[:, None])] = -np.inf
-            q, hit = np.repeat(np.arange(len(ids)), min(keep, len(own))), []
-            for row in score:
-                hit.append(np.lexsort((own, -row))[:keep])
-            at = np.concatenate(hit)
-            value = score[q, at]
-            real = np.isfinite(value)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[real]]), pa.array(own[at[real]]), pa.array(value[real])], names=["query_id", "id", "score"])
+                rank = batch.column("rank").to_numpy(zero_copy_only=False)[at]
+                score[~(rank[None, :] >= allowed[:, None])] = -np.inf
+            q, hit = best_of(score, own, keep)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[q]), pa.array(own[hit]), pa.array(score[q, hit])], names=["asked", "query_id", "id", "score"])
 
     return run
 
 
+FOUND = "asked bigint, query_id bigint, id bigint, score double"
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
-    """(query_id, id, score, place): the `keep` rows of vectors(id, vector[, rank]) closest to each of queries(query_id, vector[, least_rank]).
+    """The `keep` rows of vectors(id, vector[, rank]) closest to each of queries(query_id, vector[, least_rank][, ...]), with the queries' other columns,
+    id, score and place.
 
-    Queries come in blocks of bounded size; each task gives its own best rows, so what is shuffled
-    is a few rows for each query and task. A query with least_rank sees only rows of at least that rank.
+    Queries come in blocks of bounded size, each read once; each task gives its own best rows, so what is shuffled is a few rows for each
+    query and task. A query with least_rank sees only rows of at least that rank. Null vectors and those of another length match nothing.
     """
     spark = vectors.sparkSession
+    others = [c for c in queries.columns if c not in ("query_id", "vector", "least_rank")]
     ranked = "least_rank" in queries.columns
-    total = queries.count()
-    blocks = 1 + total // BLOCK
-    found = spark.createDataFrame([], "query_id bigint, id bigint, score double")
+    numbered = queries.filter("query_id is not null and vector is not null").select(F.xxhash64("query_id", *(["least_rank"] if ranked else []), *others).alias("asked"), "*")
+    blocks = 1 + numbered.count() // BLOCK
+    found = spark.createDataFrame([], FOUND)
     for block in range(blocks):
-        part = sorted(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect(), key=lambda r: r["query_id"])
-        if part:
-            ids = np.array([r["query_id"] for r in part], np.int64)
-            data = _unit(np.array([r["vector"] for r in part], np.float64))
-            least = np.array([r["least_rank"] for r in part], np.int64) if ranked else None
-            sent = spark.sparkContext.broadcast((ids, data, least))
-            found = found.unionByName(vectors.mapInArrow(_best(sent, keep), "query_id bigint, id bigint, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+        part = sorted(numbered.filter(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block).collect(), key=lambda r: r["asked"])
+        for size in sorted({len(r["vector"]) for r in part}):
+            own = [r for r in part if len(r["vector"]) == size]
+            asked, ids = (np.array([r[c] for r in own], np.int64) for c in ("asked", "query_id"))
+            least = np.array([r["least_rank"] for r in own], np.int64) if ranked else None
+            sent = spark.sparkContext.broadcast((asked, ids, _unit(np.array([r["vector"] for r in own], np.float64)), least))
+            found = found.unionByName(vectors.mapInArrow(_best(sent, keep), FOUND))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
+    placed = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+    if others:
+        placed = placed.join(numbered.select("asked", *others), "asked")
+    return placed.select(*others, "query_id", "id", "score", "place")

@@ -9,20 +9,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; on one machine without such a setting a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from memoria.sources.shared import shared_folder
 
 
 def watch_text(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -69,6 +61,38 @@ def _run(stream: DataFrame, base: str, mode: str, each: Callable[[DataFrame], Da
         raise q.exception()
 
 
+#: Files of the inbox are compiled to notes and then indexed; notes are indexed only, or each note would be compiled anew for ever.
+INBOX, NOTES = "raw", "wiki"
+
+
+def work_for(path: Column) -> Column:
+    """`compile` for files of the inbox, `index` for notes, null for what is neither; by the last of both folders in the path."""
+    last = F.try_element_at(F.filter(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), lambda p: p.isin(INBOX, NOTES)), F.lit(-1))
+    return F.when(last == INBOX, "compile").when(last == NOTES, "index")
+
+
+def kept_current(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Runs a stream of changed files (path, changed, body) into `table`, batch by batch, until the source is used up.
+
+    A batch that is run again after a failure writes over its own folder; `current` tells the latest version of each path.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("path", "changed", work_for(F.col("path")).alias("work"), F.sha2("body", 256).alias("sha"), "body").filter("work is not null")
+        rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(put).start()
+    query.awaitTermination()
+    return query
+
+
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """(path, changed, work, sha, body): the latest version of each path."""
+    rows = spark.read.parquet(table)
+    latest = rows.groupBy("path").agg(F.max_by(F.struct("changed", "work", "sha", "body"), F.struct("changed", "batch")).alias("v"))
+    return latest.select("path", "v.*")
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:
     """The first row of each key within the watermark: a session captured twice counts once."""
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
