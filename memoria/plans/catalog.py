@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memoria.plans import conversations, evaluation, facts, graph, relational, retrieval, rollups, scope, streams, text  # noqa: F401
+from memoria.plans import conversations, evaluation, facts, graph, relational, retrieval, rollups, scope, streams, text, tools  # noqa: F401
 from memoria.plans.registry import ORACLES, QUERIES
 
 

@@ -149,14 +149,20 @@ def required_and_present(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS path FROM pages)
-SELECT page_id, path, len(list_intersect(string_split(path, '/'), ['de', 'dist', 'build', 'target', 'vendor', 'node_modules', '.git'])) = 0 AND NOT contains(lower(path), '.html') AS readable FROM p
+WITH p AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN '/env' WHEN 1 THEN '/notes/.obsidian' WHEN 2 THEN '/docs' WHEN 3 THEN '/wandb' ELSE '' END || regexp_extract(url, '://[^/]*(/[^?#]*)', 1)
+  || CASE page_id % 5 WHEN 0 THEN ' - Copy' WHEN 1 THEN '.bak' WHEN 2 THEN ' (OLD)' ELSE '' END AS path FROM pages)
+SELECT page_id, path, len(list_intersect(string_split(path, '/'), ['node_modules', '.git', '.venv', 'venv', 'env', '__pycache__', '.mypy_cache', '.pytest_cache', 'dist', 'build', 'out', '.next',
+  '.cache', 'target', '.obsidian', '.idea', '.vscode', 'checkpoints', 'wandb', '.ipynb_checkpoints', 'site-packages'])) = 0
+  AND NOT contains(lower(path), '- copy') AND NOT contains(lower(path), 'copy (') AND NOT contains(lower(path), '_copy') AND NOT contains(lower(path), 'backup')
+  AND NOT contains(lower(path), '.bak') AND NOT contains(lower(path), ' - bak') AND NOT contains(lower(path), ' - old') AND NOT contains(lower(path), '(old)') AS readable FROM p
 """)
 def path_excludes(t: Tables) -> DataFrame:
-    """Paths outside excluded folders and without skipped parts."""
-    p = t.pages.select("page_id", F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1).alias("path"))
-    outside = ~F.arrays_overlap(F.split("path", "/"), F.array(F.lit("de"))) & files.is_readable(F.col("path"))
-    return p.withColumn("readable", outside & ~F.contains(F.lower("path"), F.lit(".html")))
+    """Paths outside excluded folders and without marks of copies."""
+    k = F.col("page_id")
+    before = F.when(k % 7 == 0, "/env").when(k % 7 == 1, "/notes/.obsidian").when(k % 7 == 2, "/docs").when(k % 7 == 3, "/wandb").otherwise("")
+    behind = F.when(k % 5 == 0, " - Copy").when(k % 5 == 1, ".bak").when(k % 5 == 2, " (OLD)").otherwise("")
+    p = t.pages.select("page_id", F.concat(before, F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1), behind).alias("path"))
+    return p.withColumn("readable", files.is_readable(F.col("path")))
 
 
 @query("""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoria.operators.links import edges, shared_target_steps, spread_labels
+from memoria.functions.text import first_given
+from memoria.operators.links import both_ways, edges, orphan_notes, resolved, shared_target_steps, spread_labels
 from memoria.plans.registry import Tables, query
+from memoria.tools import explore, related
 
 E = "e AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages)"
 #: Targets with more links are hubs, which every page shares.
@@ -129,3 +131,76 @@ def label_propagation_all(t: Tables) -> DataFrame:
 def community_sizes_all(t: Tables) -> DataFrame:
     """Communities of more than one page, hubs included."""
     return label_propagation_all(t).groupBy("label").agg(F.count(F.lit(1)).alias("n_pages")).filter("n_pages > 1")
+
+
+def notes(t: Tables) -> DataFrame:
+    """Pages as notes: their titles, and the title's first and last words as aliases."""
+    title = first_given(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("none"))
+    words = F.split(title, " ")
+    return t.pages.select("page_id", title.alias("title"), F.array(F.element_at(words, 1), F.element_at(words, -1)).alias("aliases"))
+
+
+def note_links(t: Tables) -> DataFrame:
+    return resolved(edges(t.pages), notes(t))
+
+
+def _slug_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+RESOLVED = f"""{E}, n AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), 'none') AS title FROM pages),
+names AS (
+  SELECT page_id, 0 AS rank, {_slug_sql("title")} AS name FROM n UNION ALL SELECT page_id, 1, {_slug_sql("string_split(title, ' ')[1]")} FROM n
+  UNION ALL SELECT page_id, 1, {_slug_sql("string_split(title, ' ')[-1]")} FROM n
+), named AS (SELECT name, min((rank, page_id)) AS m FROM names WHERE name <> '' GROUP BY name),
+l AS (SELECT e.page_id, e.target, m[2] AS dst, m[1] = 0 AS by_title FROM e LEFT JOIN named ON name = {_slug_sql("target")}),
+k AS (SELECT page_id, dst FROM l WHERE dst IS NOT NULL AND dst <> page_id),
+w AS (SELECT page_id, other, sum(o)::BIGINT AS n_out, sum(b)::BIGINT AS n_back FROM (
+  SELECT page_id, dst AS other, 1 AS o, 0 AS b FROM k UNION ALL SELECT dst, page_id, 0, 1 FROM k) GROUP BY page_id, other)"""
+
+
+@query(f"WITH {RESOLVED} SELECT page_id, target, dst, by_title FROM l")
+def resolved_links(t: Tables) -> DataFrame:
+    """Links with the note that each names by title or alias; null where none does."""
+    return note_links(t)
+
+
+@query(f"WITH {RESOLVED} SELECT page_id, other, n_out, n_back FROM w")
+def note_backlinks(t: Tables) -> DataFrame:
+    """Notes that a link joins, seen from either end."""
+    return both_ways(note_links(t))
+
+
+@query(f"WITH {RESOLVED} SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM w)")
+def note_orphans(t: Tables) -> DataFrame:
+    """Notes that no link joins to another."""
+    return orphan_notes(note_links(t), t.pages)
+
+
+@query(f"WITH {RESOLVED} SELECT x.page_id, count(*) AS links FROM (SELECT dst AS page_id FROM k WHERE page_id = 0 UNION ALL SELECT page_id FROM k WHERE dst = 0) x GROUP BY x.page_id")
+def tool_related(t: Tables) -> DataFrame:
+    """Notes beside the first note."""
+    return related(note_links(t), 0)
+
+
+@query(f"""
+WITH {RESOLVED}, s AS (SELECT page_id AS start FROM pages WHERE page_id % 100 = 0),
+h1 AS (SELECT DISTINCT start, other AS page_id FROM s JOIN w ON w.page_id = start WHERE other <> start),
+h2 AS (SELECT DISTINCT start, other AS page_id FROM h1 JOIN w USING (page_id) WHERE other <> start AND (start, other) NOT IN (SELECT start, page_id FROM h1))
+SELECT start, page_id, 1::BIGINT AS hops FROM h1 UNION ALL SELECT start, page_id, 2 FROM h2
+""")
+def tool_explore(t: Tables) -> DataFrame:
+    """Notes within two links of every hundredth note, hubs included."""
+    found = note_links(t).filter("dst is not null and dst <> page_id")
+    return explore(found, t.pages.filter(F.col("page_id") % 100 == 0).select(F.col("page_id").alias("start")), 2)
+
+
+@query(f"WITH {RESOLVED} SELECT split_part(split_part(url, '://', 2), '/', 2) AS domain, count(*) AS notes, count(o.page_id) AS orphans, coalesce(sum(d), 0)::BIGINT AS links, max(title) AS last_title FROM pages JOIN n USING (page_id) LEFT JOIN (SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM w)) o USING (page_id) LEFT JOIN (SELECT page_id, sum(n_out) AS d FROM w GROUP BY page_id) x USING (page_id) GROUP BY 1")
+def master_index(t: Tables) -> DataFrame:
+    """The master index: notes, links and orphans by domain."""
+    links = note_links(t)
+    lone = orphan_notes(links, t.pages).withColumn("lone", F.lit(True))
+    out = both_ways(links).groupBy("page_id").agg(F.sum("n_out").alias("d"))
+    domain = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(2))
+    df = t.pages.select("page_id", domain.alias("domain")).join(notes(t).select("page_id", "title"), "page_id").join(lone, "page_id", "left").join(out, "page_id", "left")
+    return df.groupBy("domain").agg(F.count(F.lit(1)).alias("notes"), F.count("lone").alias("orphans"), F.coalesce(F.sum("d"), F.lit(0)).alias("links"), F.max("title").alias("last_title"))

@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 from memoria.functions.text import tokens
 from memoria.functions.vectors import nearest
 from memoria.model import FIXTURE_THRESHOLD, PROFILES, RANK_SQL, SCOPE_SQL, SCOPES, SETTINGS, derived_scope, scope_rank
-from memoria.operators.lexical import bm25, postings, reciprocal_rank_fusion
+from memoria.operators.lexical import Terms, bm25, reciprocal_rank_fusion
 from memoria.plans.registry import Tables, query
+from memoria.tools import gate
 
 EVERY = 100
+#: The gate's threshold for the given vectors, in place of SETTINGS.threshold.
+GATE_THRESHOLD = 0.3
 K, POOL = SETTINGS.top_k, SETTINGS.rerank_pool
 
 
@@ -71,7 +74,7 @@ SELECT query_id, doc_id, score, place::BIGINT AS place FROM r WHERE place <= 20
 def bm25_topk(t: Tables) -> DataFrame:
     """The 20 best documents for the words of each query item."""
     asked = t.benchmark.filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
-    return bm25(t.documents, asked, 20).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
+    return bm25(Terms(t.documents), asked, 20).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
 
 
 RARE = 8
@@ -96,12 +99,9 @@ SELECT query_id, doc_id, score, place::BIGINT AS place FROM r WHERE place <= {K}
 """)
 def hybrid_rrf(t: Tables) -> DataFrame:
     """Dense and lexical rankings fused; a document asks with its rarest words that others have too."""
-    terms = postings(t.documents).select("doc_id", "term").distinct()
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
-    mine = terms.filter(F.col("doc_id") % EVERY == 0).join(df, "term")
-    order = Window.partitionBy("doc_id").orderBy("df", "term")
-    asked = mine.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= RARE).select(F.col("doc_id").alias("query_id"), "term")
-    lexical = bm25(t.documents, asked, POOL)
+    terms = Terms(t.documents)
+    mine = terms.rows.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "term")
+    lexical = bm25(terms, terms.rarest(mine, "query_id", RARE, at_least=2), POOL)
     dense = nearest(ranked_vectors(t).drop("rank"), vector_queries(t), POOL).withColumnRenamed("id", "doc_id")
     fused = reciprocal_rank_fusion([lexical, dense], K)
     return fused.select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
@@ -151,18 +151,15 @@ s AS (
   SELECT profile, q.id AS query_id, v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v JOIN v q ON q.id % 100 = 0 JOIN p ON v.rank >= least WHERE v.id <> q.id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY profile, query_id ORDER BY score DESC, id) AS place FROM s),
 g AS (
-  SELECT profile, query_id, max(score) AS best, count(*) FILTER (score >= 0.3e0) AS hits FROM r WHERE place <= {K} GROUP BY profile, query_id
+  SELECT profile, query_id, max(score) AS best, count(*) FILTER (score >= {GATE_THRESHOLD}) AS hits FROM r WHERE place <= {K} GROUP BY profile, query_id
 )
 SELECT profile, query_id, hits > 0 AS inject, hits::BIGINT AS hits, best FROM g
 """)
 def gate_decision(t: Tables) -> DataFrame:
     """For each profile and query: inject or stay silent, number of hits, best score."""
-    parts = []
-    for profile, ceiling in PROFILES.items():
-        asked = vector_queries(t).withColumn("least_rank", F.lit(rank_of(ceiling)).cast("bigint"))
-        found = nearest(ranked_vectors(t), asked, K + 1).filter("id <> query_id")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        best = found.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= K)
-        hits = F.count_if(F.col("score") >= 0.3)
-        parts.append(best.groupBy("query_id").agg(F.max("score").alias("best"), hits.alias("hits")).select(F.lit(profile).alias("profile"), "query_id", (F.col("hits") > 0).alias("inject"), "hits", "best"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    least = F.explode(F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(rank_of(c)).cast("bigint").alias("least_rank")) for p, c in PROFILES.items())))
+    asked = vector_queries(t).withColumn("p", least).select("query_id", "vector", "p.profile", "p.least_rank")
+    found = nearest(ranked_vectors(t), asked, K + 1).filter("id <> query_id")
+    order = Window.partitionBy("profile", "query_id").orderBy(F.desc("score"), "id")
+    best = found.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= K)
+    return gate(best, ["profile", "query_id"], GATE_THRESHOLD).select("profile", "query_id", "inject", "hits", "best")

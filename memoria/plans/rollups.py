@@ -132,7 +132,7 @@ def tier_totals(t: Tables) -> DataFrame:
     return t.documents.groupBy(tier.alias("tier"), derived_scope(F.col("doc_id")).alias("scope")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("""
+HYGIENE = """
 WITH c AS (
   SELECT 'documents without text' AS name, count(*) FILTER (text IS NULL OR text = '') AS bad, count(*) AS n FROM documents
   UNION ALL SELECT 'documents with wrong length', count(*) FILTER (n_chars <> length(text)), count(*) FROM documents
@@ -141,7 +141,10 @@ WITH c AS (
   UNION ALL SELECT 'vectors without document', count(*) FILTER (d.doc_id IS NULL), count(*) FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
   UNION ALL SELECT 'labels without document', count(*) FILTER (d.doc_id IS NULL), count(*) FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id)
 SELECT name, bad, CASE WHEN bad = 0 THEN 'PASS' WHEN bad * 10 <= n THEN 'WARN' ELSE 'FAIL' END AS status FROM c
-""")
+"""
+
+
+@query(HYGIENE)
 def hygiene_checks(t: Tables) -> DataFrame:
     """Integrity of the store: status of each check."""
     d = t.documents
@@ -163,6 +166,14 @@ def hygiene_checks(t: Tables) -> DataFrame:
     return whole.select("name", "bad", F.when(F.col("bad") == 0, "PASS").when(F.col("bad") * 10 <= F.col("n"), "WARN").otherwise("FAIL").alias("status"))
 
 
+@query(f"WITH h AS ({HYGIENE}) SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'WARN') AS warned, count(*) FILTER (status = 'FAIL') AS failed, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 1 ELSE 0 END AS exit_code FROM h")
+def hygiene_summary(t: Tables) -> DataFrame:
+    """Checks by status, and what the process would exit with."""
+    n = lambda status, name: F.count_if(F.col("status") == status).alias(name)
+    counts = hygiene_checks(t).agg(n("PASS", "passed"), n("WARN", "warned"), n("FAIL", "failed"))
+    return counts.withColumn("exit_code", F.when(F.col("failed") > 0, 1).otherwise(0))
+
+
 @query("""
 WITH h AS (SELECT event_type, ts::DATE < DATE '2024-01-16' AS early, count(*) AS n FROM events GROUP BY 1, 2),
 s AS (SELECT early, sum(n) AS total FROM h GROUP BY early)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memoria.model import PROFILES, PROFILES_SQL, RANK_SQL, SCOPE_SQL, SCOPES, admits, derived_scope, scope_rank
+from memoria.functions.text import tokens
+from memoria.model import PROFILES, PROFILES_SQL, RANK_SQL, SCOPE_SQL, SCOPES, SETTINGS, admits, derived_scope, scope_rank
+from memoria.operators.lexical import Terms, bm25
 from memoria.plans.registry import Tables, query
+from memoria.plans.retrieval import BM25_SQL
 
 CLASSES = ["direct", "indirect", "inference", "clinical"]
 
@@ -37,7 +40,7 @@ _parts = {"scope": SCOPE_SQL, "rank_s": RANK_SQL.format("scope"), "rank_c": RANK
 
 @query(LEAKS_SQL.format(where="WHERE s >= c", **_parts))
 def scope_leaks_by_profile(t: Tables) -> DataFrame:
-    """All leaks are zero with the ceiling in place."""
+    """Items that each profile may see, by source; `probe_leaks` is the evaluation over what retrieval returns."""
     return leak_counts(t, filtered=True)
 
 
@@ -115,3 +118,55 @@ def personal_projects(t: Tables) -> DataFrame:
     low = t.documents.join(labels.filter("quality = 0"), "doc_id", "left_semi").select("source").distinct()
     own = t.documents.select("doc_id", "source").join(low, "source", "left_semi").join(labels.select("doc_id", "toxic"), "doc_id", "left")
     return own.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("marked"), F.count(F.lit(1)).alias("items"))
+
+
+#: Words of a probe that are asked for: the rarest.
+PROBE_TERMS = 8
+
+
+def _ceilings() -> Column:
+    return F.create_map(*[F.lit(x) for p, c in PROFILES.items() for x in (p, SCOPES.index(c) + 1)])
+
+
+def probes(t: Tables) -> DataFrame:
+    """Benchmark items as probes of a boundary and a class each."""
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("item_id") % len(names) + 1).cast("int"))
+    own = t.benchmark.select("item_id", pick(["full", "work", "public"]).alias("profile"), pick(CLASSES).alias("class"), "text")
+    return own.withColumn("ceiling", F.element_at(_ceilings(), F.col("profile")))
+
+
+def probe_results(t: Tables, with_ceiling: bool) -> DataFrame:
+    """(profile, class, probes, injected, leaks): what retrieval returns for each probe, and how much of it ranks below the profile's ceiling."""
+    terms = Terms(t.documents.select("doc_id", "text", scope_rank(derived_scope(F.col("doc_id"))).alias("rank")))
+    asked = terms.rarest(probes(t).select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")), "query_id", PROBE_TERMS)
+    own = probes(t).select(F.col("item_id").alias("query_id"), "profile", "class", "ceiling")
+    if with_ceiling:
+        asked = asked.join(own.select("query_id", F.col("ceiling").alias("least_rank")), "query_id")
+    found = own.join(bm25(terms, asked, SETTINGS.top_k), "query_id", "left")
+    return found.groupBy("profile", "class").agg(F.count_distinct("query_id").alias("probes"), F.count("doc_id").alias("injected"), F.count_if(F.col("rank") < F.col("ceiling")).alias("leaks"))
+
+
+PROBE_SQL = f"""
+WITH {BM25_SQL}, p AS (
+  SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'work' ELSE 'public' END AS profile, CASE item_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 5 END AS ceiling,
+    CASE item_id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'indirect' WHEN 2 THEN 'inference' ELSE 'clinical' END AS class FROM benchmark
+), pt AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM p),
+rare AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS n FROM pt JOIN df USING (term)),
+ranks AS (SELECT doc_id, {RANK_SQL.format(SCOPE_SQL)} AS rank FROM documents),
+s AS (SELECT item_id, doc_id, rank, round(sum(gain), 6) AS score FROM rare JOIN gain USING (term) JOIN ranks USING (doc_id) JOIN p USING (item_id) WHERE n <= {PROBE_TERMS} /*where*/ GROUP BY item_id, doc_id, rank),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s)
+SELECT profile, class, count(DISTINCT p.item_id) AS probes, count(doc_id) AS injected, count(*) FILTER (rank < ceiling) AS leaks
+FROM p LEFT JOIN (SELECT * FROM r WHERE place <= {SETTINGS.top_k}) x ON x.item_id = p.item_id GROUP BY profile, class
+"""
+
+
+@query(PROBE_SQL.replace("/*where*/", "AND rank >= ceiling"))
+def probe_leaks(t: Tables) -> DataFrame:
+    """What retrieval injects for each probe, and leaks, by boundary and class: none with the ceiling in place."""
+    return probe_results(t, with_ceiling=True)
+
+
+@query(PROBE_SQL)
+def probe_leaks_without_ceiling(t: Tables) -> DataFrame:
+    """The same probes over retrieval without the ceiling, which leaks."""
+    return probe_results(t, with_ceiling=False)

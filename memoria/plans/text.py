@@ -35,14 +35,17 @@ def contact_scrub(t: Tables) -> DataFrame:
 
 @query(r"""
 WITH f AS (SELECT event_id, regexp_extract(raw, '(19[0-9]{2}|20[0-9]{2})(-(0[1-9]|1[0-2])(-(0[1-9]|[12][0-9]|3[01]))?)?', 0) AS found, raw FROM (
-  SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m') WHEN 2 THEN 'in ' || strftime(ts, '%Y') || ', maybe' ELSE event_type END AS raw FROM events))
-SELECT event_id, raw, try_cast(CASE length(found) WHEN 4 THEN found || '-01-01' WHEN 7 THEN found || '-01' WHEN 10 THEN found END AS DATE) AS day FROM f
+  SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'in ' || (1970 + event_id % 131) || ', born' WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%d') WHEN event_id % 4 = 1 THEN strftime(ts, '%Y-%m') WHEN event_id % 4 = 2 THEN 'in ' || strftime(ts, '%Y') || ', maybe' ELSE event_type END AS raw FROM events))
+SELECT event_id, raw, CASE WHEN day BETWEEN DATE '1990-01-01' AND current_date THEN day END AS day FROM (
+  SELECT event_id, raw, try_cast(CASE length(found) WHEN 4 THEN found || '-01-01' WHEN 7 THEN found || '-01' WHEN 10 THEN found END AS DATE) AS day FROM f)
 """)
 def loose_dates(t: Tables) -> DataFrame:
-    """Dates of varying precision, as people write them, parsed or null."""
+    """Dates of varying precision, as people write them, from 1990 to today, parsed or null."""
     k = F.col("event_id") % 4
+    far = F.concat(F.lit("in "), (1970 + F.col("event_id") % 131).cast("string"), F.lit(", born"))
     raw = (
-        F.when(k == 0, F.date_format("ts", "yyyy-MM-dd"))
+        F.when(F.col("event_id") % 97 == 0, far)
+        .when(k == 0, F.date_format("ts", "yyyy-MM-dd"))
         .when(k == 1, F.date_format("ts", "yyyy-MM"))
         .when(k == 2, F.concat(F.lit("in "), F.date_format("ts", "yyyy"), F.lit(", maybe")))
         .otherwise(F.col("event_type"))
@@ -155,3 +158,59 @@ def wiki_notes(t: Tables) -> DataFrame:
     body = F.concat(F.lit("---\ntitle: "), title, F.lit("\nurl: "), F.col("url"), F.lit("\n---\nSee [["), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("]] and [[home|start]]."))
     n = t.pages.select("page_id", body.alias("body"))
     return n.select("page_id", F.regexp_extract(tx.front_matter(F.col("body")), "title: ([^\n]*)", 1).alias("title"), F.length(tx.front_matter(F.col("body"))).cast("bigint").alias("front_length"), F.array_join(tx.note_links(F.col("body")), ",").alias("links"))
+
+
+@query(r"""
+WITH x AS (SELECT page_id, url, 'v' || (page_id % 30) || '.' || (page_id % 7) || '.0' AS version, CASE page_id % 6 WHEN 0 THEN '<TODO>' WHEN 1 THEN ' ' WHEN 2 THEN NULL WHEN 3 THEN '{{your name}}' ELSE url END AS owner,
+  chr(9) || ' ' || split_part(url, '://', 1) || chr(10) AS spaced FROM pages)
+SELECT page_id, (page_id % 30)::INT AS major, owner IS NULL OR trim(owner) = '' OR owner IN ('<TODO>', '{{your name}}') AS unfilled, split_part(url, '://', 1) AS trimmed,
+  CASE WHEN length(split_part(url, '://', 1)) < 5 THEN rpad(split_part(url, '://', 1), 5, '.') ELSE split_part(url, '://', 1) END AS padded, 'note ' || page_id || ' of ' || coalesce(owner, '') AS filled FROM x
+""")
+def field_functions(t: Tables) -> DataFrame:
+    """Leading number of a version, placeholders, trim of all white space, padding that never cuts, filled templates."""
+    k = F.col("page_id")
+    version = F.concat(F.lit("v"), (k % 30).cast("string"), F.lit("."), (k % 7).cast("string"), F.lit(".0"))
+    owner = F.when(k % 6 == 0, "<TODO>").when(k % 6 == 1, " ").when(k % 6 == 2, None).when(k % 6 == 3, "{{your name}}").otherwise(F.col("url"))
+    scheme = F.split_part("url", F.lit("://"), F.lit(1))
+    return t.pages.select(
+        "page_id", tx.leading_integer(version).alias("major"), tx.is_placeholder(owner).alias("unfilled"), tx.trimmed(F.concat(F.lit("\t "), scheme, F.lit("\n"))).alias("trimmed"),
+        tx.padded(scheme, 5, ".").alias("padded"), tx.filled(F.lit("note {{id}} of {{owner}}"), {"id": k, "owner": owner}).alias("filled"),
+    )
+
+
+@query("""
+WITH f AS (SELECT 'biography' AS bucket, md5(split_part(text, '.', 1)) AS statement, source AS evidence, doc_id FROM documents
+  UNION ALL SELECT 'voice_style', md5(lower(substr(text, 1, 40))), lang, doc_id FROM documents UNION ALL SELECT 'voice_style', md5(substr(text, 1, 40)), lang, doc_id FROM documents)
+SELECT bucket, statement, min(doc_id) AS first_doc, count(*) AS times, array_to_string(list_sort(list(DISTINCT evidence)), ',') AS evidence FROM f GROUP BY bucket, statement
+""")
+def facets_merged(t: Tables) -> DataFrame:
+    """Facets of several passes merged: equal statements of a bucket become one, with all their evidence."""
+    md5 = lambda c: F.md5(c.cast("binary"))
+    facet = lambda bucket, statement, evidence: F.struct(F.lit(bucket).alias("bucket"), md5(statement).alias("statement"), evidence.alias("evidence"))
+    head = F.substring("text", 1, 40)
+    own = t.documents.select("doc_id", F.inline(F.array(facet("biography", F.split_part("text", F.lit("."), F.lit(1)), F.col("source")), facet("voice_style", F.lower(head), F.col("lang")), facet("voice_style", head, F.col("lang")))))
+    return own.groupBy("bucket", "statement").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("times"), F.array_join(F.array_sort(F.collect_set("evidence")), ",").alias("evidence"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, '---' || chr(10) || 'title: ' || source || chr(10) || 'always_on: ' || CASE WHEN doc_id % 10 = 0 THEN 'true' ELSE 'false' END || chr(10) || '---' || chr(10) || 'Thinking aloud.' AS body, doc_id % 20 = 0 AS sensitive FROM documents)
+SELECT doc_id, source AS title FROM d WHERE doc_id % 10 = 0 AND NOT sensitive
+""")
+def always_on_docs(t: Tables) -> DataFrame:
+    """Documents that every session gets: those whose front matter says so and that aren't sensitive; talk before the front matter is dropped."""
+    flag = F.when(F.col("doc_id") % 10 == 0, "true").otherwise("false")
+    body = F.concat(F.lit("Here is the document.\n---\ntitle: "), F.col("source"), F.lit("\nalways_on: "), flag, F.lit("\n---\nThinking aloud."))
+    d = t.documents.select("doc_id", tx.without_preamble(body).alias("body"), (F.col("doc_id") % 20 == 0).alias("sensitive"))
+    front = tx.front_matter(F.col("body"))
+    return d.filter(front.rlike(r"(?m)^always_on:\s*true\s*$") & ~F.col("sensitive")).select("doc_id", F.regexp_extract(front, r"(?m)^title:\s*(.*)$", 1).alias("title"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[.!?]+\s'), lambda s: length(trim(s)) > 0) AS sentences FROM documents)
+SELECT doc_id, len(sentences)::BIGINT AS n_sentences, md5(trim(coalesce(sentences[1], ''))) AS first_md5 FROM w
+""".replace("\\\\", "\\"))
+def extractive_summaries(t: Tables) -> DataFrame:
+    """A stand-in for written summaries: a document's number of sentences and its first one."""
+    sentences = F.filter(F.split("text", r"[.!?]+\s"), lambda s: F.length(F.trim(s)) > 0)
+    d = t.documents.select("doc_id", sentences.alias("s"))
+    return d.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.md5(F.trim(F.coalesce(F.get("s", 0), F.lit(""))).cast("binary")).alias("first_md5"))
