@@ -133,7 +133,8 @@ def near_dup_exact(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT md5(text) AS k, any_value(text) AS text FROM conversations GROUP BY 1),
+WITH t AS (SELECT text FROM conversations UNION ALL SELECT regexp_replace(text, '\\s+\\S+$', '') FROM conversations WHERE turn = 0),
+s AS (SELECT md5(text) AS k, any_value(text) AS text FROM t GROUP BY 1),
 w AS (SELECT k, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM s),
 g AS (SELECT DISTINCT k, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle FROM w, unnest(range(1, len(words) - 3)) AS r(i)),
 n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
@@ -141,5 +142,6 @@ p AS (SELECT a.k AS a, b.k AS b, count(*) AS both_n FROM g a JOIN g b ON a.shing
 SELECT a, b, round(both_n / (x.n + y.n - both_n)::DOUBLE, 6) AS similarity FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE both_n >= 0.8 * (x.n + y.n - both_n)
 """)
 def near_dup_statements(t: Tables) -> DataFrame:
-    """Pairs of different statements that share four fifths of their five-word shingles."""
-    return similar_statements(t.conversations, "text")
+    """Pairs of different statements that share four fifths of their five-word shingles; each first turn comes without its last word as well."""
+    shorter = t.conversations.filter("turn = 0").select(F.regexp_replace("text", r"\s+\S+$", "").alias("text"))
+    return similar_statements(t.conversations.select("text").unionByName(shorter), "text")
