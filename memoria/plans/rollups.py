@@ -201,3 +201,21 @@ def every_and_some(t: Tables) -> DataFrame:
         F.bool_and(F.col("c_acctbal") > -900).alias("all_solvent"), F.bool_or(F.col("c_acctbal") > 9900).alias("some_rich"),
         F.count_if(F.col("c_acctbal") < 0).alias("in_debt"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("segments"),
     )
+
+
+DAY = "2024-01-30"
+
+
+@query(f"""
+WITH h AS ({HYGIENE}), e AS (SELECT event_type, count(*) AS n FROM events WHERE ts::DATE = DATE '{DAY}' GROUP BY 1),
+b AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS p FROM events WHERE ts::DATE = DATE '{DAY}')
+SELECT 'events' AS section, event_type AS name, n FROM e UNION ALL SELECT 'brief', 'event ' || event_id, p FROM b WHERE p <= 3 UNION ALL SELECT 'alarms', name, bad FROM h WHERE status <> 'PASS'
+""")
+def daily_digest(t: Tables) -> DataFrame:
+    """A day's digest: counts of its events, its three largest, and the store's alarms."""
+    day = t.events.filter(F.col("ts").cast("date") == F.lit(DAY).cast("date"))
+    counts = day.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("events").alias("section"), F.col("event_type").alias("name"), "n")
+    top = day.orderBy(F.desc("value"), "event_id").limit(3)
+    brief = top.select(F.lit("brief").alias("section"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("name"), F.row_number().over(Window.orderBy(F.desc("value"), "event_id")).cast("bigint").alias("n"))
+    alarms = hygiene_checks(t).filter("status <> 'PASS'").select(F.lit("alarms").alias("section"), "name", F.col("bad").alias("n"))
+    return counts.unionByName(brief).unionByName(alarms)

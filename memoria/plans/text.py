@@ -214,3 +214,31 @@ def extractive_summaries(t: Tables) -> DataFrame:
     sentences = F.filter(F.split("text", r"[.!?]+\s"), lambda s: F.length(F.trim(s)) > 0)
     d = t.documents.select("doc_id", sentences.alias("s"))
     return d.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.md5(F.trim(F.coalesce(F.get("s", 0), F.lit(""))).cast("binary")).alias("first_md5"))
+
+
+@query("""
+SELECT page_id, len(list_filter(string_split(html, '>'), lambda l: len(list_filter(string_split(l, '"'), lambda w: len(list_filter(string_split(w, '/'), lambda x: x = 'the' OR x = 'der')) > 0)) > 0)) > 0 AS some_link,
+  len(list_filter(string_split(html, '>'), lambda l: len(list_filter(string_split(l, '"'), lambda w: length(w) >= 4000)) > 0)) = 0 AS all_short FROM pages
+""")
+def nested_some(t: Tables) -> DataFrame:
+    """Some tag has some attribute with some part of a name; every part of every tag is short."""
+    tags = F.split("html", ">")
+    some = F.exists(tags, lambda tag: F.exists(F.split(tag, '"'), lambda word: F.exists(F.split(word, "/"), lambda x: x.isin("the", "der"))))
+    every = F.forall(tags, lambda tag: F.forall(F.split(tag, '"'), lambda word: F.length(word) < 4000))
+    return t.pages.select("page_id", some.alias("some_link"), every.alias("all_short"))
+
+
+#: Words of the given tables that stand for remarks on style.
+STYLE_WORDS = ["whan", "thes", "erand"]
+
+
+@query(f"""
+SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations
+WHERE role = 'user' AND regexp_matches(lower(text), '\\b({"|".join(STYLE_WORDS)})') AND NOT regexp_matches(text, '[0-9]') AND NOT regexp_matches(lower(text), '{"|".join(LEXICON)}')
+""")
+def voice_corrections(t: Tables) -> DataFrame:
+    """What users say on style and nothing else: remarks with numbers, which may state facts, and clinical ones are left out."""
+    text = F.col("text")
+    styled = F.lower(text).rlike(r"\b(" + "|".join(STYLE_WORDS) + ")")
+    own = t.conversations.filter((F.col("role") == "user") & styled & ~text.rlike("[0-9]") & ~tx.is_clinical(text, LEXICON))
+    return own.select("conv_id", "turn", F.md5(text.cast("binary")).alias("text_md5"))

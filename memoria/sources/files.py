@@ -108,3 +108,14 @@ def write_tiered(df: DataFrame, is_cold: Column, path: str) -> None:
 
 def hot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).filter("tier = 'hot'").drop("tier")
+
+
+def write_graph(notes: DataFrame, links: DataFrame, path: str) -> None:
+    """The graph as two tables: `vertices` of notes(page_id, title) and `edges` of links(page_id, dst), unresolved ones left out."""
+    notes.select(F.col("page_id").alias("id"), "title").write.mode("overwrite").parquet(f"{path}/vertices")
+    links.filter("dst is not null").select(F.col("page_id").alias("src"), "dst").distinct().write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def reindexed(items: DataFrame, index: DataFrame, force: bool = False, key: str = "path", sha: str = "sha") -> DataFrame:
+    """What is to be embedded: items whose content the index hasn't got, or all of them if forced."""
+    return items if force else unseen(items, index, key, sha)

@@ -110,3 +110,12 @@ def test_inbox_and_notes_part_and_the_latest_counts(spark, tmp_path):
     newer = live.current(spark, table).filter("body = 'first'").selectExpr("path", "changed + interval 1 day AS changed", "work", "sha", "'newer' AS body")
     newer.write.parquet(f"{table}/batch=99")
     assert {r.body for r in live.current(spark, table).collect()} == {"newer", "other", "second"}
+
+
+def test_graph_sink_and_forced_index(spark, tmp_path):
+    notes = spark.createDataFrame([(1, "a"), (2, "b")], "page_id bigint, title string")
+    links = spark.createDataFrame([(1, 2), (1, 2), (2, None)], "page_id bigint, dst bigint")
+    files.write_graph(notes, links, str(tmp_path))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "edges")).collect()] == [(1, 2)] and spark.read.parquet(str(tmp_path / "vertices")).count() == 2
+    items = spark.createDataFrame([("p", "1"), ("q", "2")], "path string, sha string")
+    assert files.reindexed(items, items.limit(1)).count() == 1 and files.reindexed(items, items, force=True).count() == 2
