@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoria.llm.arrays import text_slices
-from memoria.llm.common import below_share, table, unused, written
+from memoria.llm.common import below_share, bound, table, unused, written
 
 FOLDS, HELD_FOLD = 3, 1
 WINDOW = 192
@@ -133,7 +133,8 @@ def sampled_windows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         return own.select("lang", F.col("text").alias("piece")).limit(0)
     most = min(WINDOWS_PER_LANG, MAX_WINDOWS // (2 * len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["windows"]))])
-    chosen = F.filter(F.sequence(F.lit(0), windows - 1), lambda i: below_share(F.xxhash64("doc_id", "text", i), F.element_at(share, F.col("lang"))))
+    row = F.struct(F.element_at(share, F.col("lang")).alias("share"), F.xxhash64("doc_id", "text").alias("tag"))
+    chosen = bound(row, lambda r: F.filter(F.sequence(F.lit(0), windows - 1), lambda i: below_share(F.xxhash64(r["tag"], i), r["share"])))
     piece = lambda i: F.substring(F.col("text"), i * WINDOW + 1, F.lit(WINDOW))
     pieces = own.filter(F.col("lang").isin([r["lang"] for r in counts])).select("lang", F.explode(F.transform(chosen, piece)).alias("piece"))
     pieces = written(pieces, "language-windows")
