@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from memoria.functions.text import tokens
 from memoria.model import PROFILES, PROFILES_SQL, RANK_SQL, SCOPE_SQL, SCOPES, SETTINGS, admits, derived_scope, scope_rank
