@@ -33,7 +33,7 @@ def found(spark, name):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_registered_query_gives_its_sql_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     want = con.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, SMALL)
