@@ -14,12 +14,6 @@ def edges(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(F.array_distinct(found)).alias("target")).distinct()
 
 
-def shared_target_steps(links: DataFrame, max_degree: int) -> DataFrame:
-    """(target, page_id) of targets that at most `max_degree` pages link to; hubs would join everything to everything."""
-    degree = links.groupBy("target").agg(F.count(F.lit(1)).alias("degree"))
-    return links.join(degree.filter(F.col("degree").between(2, max_degree)), "target").select("target", "page_id")
-
-
 def spread_labels(steps: DataFrame, pages: DataFrame, rounds: int) -> DataFrame:
     """(page_id, label): in each round a page takes the least label of the pages it shares a target with.
 

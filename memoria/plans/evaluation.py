@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memoria.plans.facts import AS_OF, V, versions
+from memoria.functions.text import tokens
 from memoria.operators.intervals import valid_at
+from memoria.operators.shares import best_shares
+from memoria.plans.facts import AS_OF, V, versions
 from memoria.plans.registry import Tables, query
 
 
@@ -78,13 +80,9 @@ SELECT item_id, coalesce(best, 0e0) AS best, coalesce(best, 0e0) >= 0.9 AS injec
 """)
 def gate_restraint(t: Tables) -> DataFrame:
     """For each question the best share of its words that one document has, and whether the gate opens."""
-    words = lambda df, key: df.select(key, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("words"))
+    words = lambda df, key: df.select(key, F.array_distinct(tokens(F.col("text"))).alias("words"))
     g = words(t.benchmark, "item_id")
-    w = g.select("item_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    # Words that no question has stay where they are.
-    d = words(t.documents, "doc_id").select("doc_id", F.explode("words").alias("word"))
-    hits = d.join(w, "word").groupBy("item_id", "doc_id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("hit"))
-    best = hits.groupBy("item_id").agg(F.round(F.max(F.col("hit") / F.col("n")), 6).alias("best"))
+    best = best_shares(words(t.documents, "doc_id"), g, "item_id")
     b = F.coalesce("best", F.lit(0.0))
     return g.select("item_id").join(best, "item_id", "left").select("item_id", b.alias("best"), (b >= 0.9).alias("inject"))
 
@@ -94,16 +92,25 @@ WITH a AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'v
 SELECT a.event_id, count(b.ts) AS followed, round(coalesce(sum(b.value), 0e0), 4) AS worth FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 26 HOUR GROUP BY a.event_id
 """)
 def preference_mining(t: Tables) -> DataFrame:
-    """Feedback within 26 hours of each draft.
+    """Feedback within 26 hours behind each draft.
 
-    An interval join as two running totals over one sort: the total up to the window's end less that up to its start.
+    Time is cut into stretches of 26 hours, so that a draft's window lies in its own stretch and the next one: what is left of its own behind the draft,
+    and the next up to the window's end. Each is a running total in one stretch of one user, so a user of many events is dealt to many tasks.
     """
-    e = t.events.filter(F.col("event_type").isin("view", "purchase"))
+    width = 26 * 3600 * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = e.select("user_id", "event_id", at.alias("at"), (F.col("event_type") == "purchase").alias("is_b"), "value")
-    order = Window.partitionBy("user_id").orderBy("at").rangeBetween(1, 26 * 3600 * 1_000_000)
-    seen = rows.withColumns({"followed": F.count_if("is_b").over(order), "worth": F.sum(F.when(F.col("is_b"), F.col("value"))).over(order)})
-    return seen.filter(~F.col("is_b")).select("event_id", "followed", F.round(F.coalesce("worth", F.lit(0.0)), 4).alias("worth"))
+    rows = t.events.filter(F.col("event_type").isin("view", "purchase")).select("user_id", "event_id", at.alias("at"), (F.col("event_type") == "purchase").alias("is_b"), "value")
+    begin = F.struct("at", F.lit(True).alias("begins"))
+    end = F.struct((F.col("at") + width).alias("at"), F.lit(False).alias("begins"))
+    drafts = rows.filter(~F.col("is_b")).select("user_id", "event_id", F.inline(F.array(begin, end)), F.lit(False).alias("is_b"), F.lit(None).cast("double").alias("value"))
+    both = rows.filter("is_b").select("user_id", "event_id", "at", F.lit(False).alias("begins"), "is_b", "value").unionByName(drafts).withColumn("stretch", F.floor(F.col("at") / width))
+    stretch = Window.partitionBy("user_id", "stretch")
+    up_to = stretch.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    n, worth = F.count_if("is_b"), F.sum(F.when(F.col("is_b"), F.col("value")).otherwise(0.0))
+    seen = both.withColumns({"n": n.over(up_to), "all_n": n.over(stretch), "sum": worth.over(up_to), "all_sum": worth.over(stretch)})
+    part = lambda whole, before: F.sum(F.when(F.col("begins"), F.col(whole) - F.col(before)).otherwise(F.col(before)))
+    own = seen.filter(~F.col("is_b")).groupBy("user_id", "event_id").agg(part("all_n", "n").alias("followed"), part("all_sum", "sum").alias("worth"))
+    return own.select("event_id", "followed", F.round("worth", 4).alias("worth"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memoria.functions.text import first_given
-from memoria.operators.links import both_ways, edges, orphan_notes, resolved, shared_target_steps, spread_labels
+from memoria.operators.links import both_ways, edges, orphan_notes, resolved, spread_labels
 from memoria.plans.registry import Tables, query
 from memoria.tools import explore, related
 
@@ -41,27 +41,6 @@ def unlinked_pages(t: Tables) -> DataFrame:
     return named.join(e.filter(F.contains("target", F.lit("-"))), "page_id", "left_anti").select("page_id")
 
 
-STEPS = f"{E}, deg AS (SELECT target FROM e GROUP BY target HAVING count(*) BETWEEN 2 AND {HUB}), s AS (SELECT target, page_id FROM e JOIN deg USING (target))"
-
-
-@query(f"""
-WITH {STEPS}, one AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM s a JOIN s b USING (target) WHERE a.page_id % 100 = 0 AND a.page_id <> b.page_id),
-two AS (SELECT DISTINCT o.src, b.page_id AS dst FROM one o JOIN s a ON a.page_id = o.dst JOIN s b ON b.target = a.target WHERE b.page_id <> o.src),
-u AS (SELECT src, dst, 1 AS hops FROM one UNION ALL SELECT src, dst, 2 FROM two)
-SELECT src, dst, min(hops)::BIGINT AS hops FROM u GROUP BY src, dst
-""")
-def khop2(t: Tables) -> DataFrame:
-    """Neighbours within two hops of every hundredth page, by way of shared targets without hubs."""
-    s = shared_target_steps(edges(t.pages), HUB)
-    there = s.select("target", F.col("page_id").alias("dst"))
-    start = s.filter(F.col("page_id") % 100 == 0).select(F.col("page_id").alias("src"), "target")
-    one = start.join(there, "target").filter("src <> dst").select("src", "dst").distinct()
-    onward = one.join(s.select(F.col("page_id").alias("dst"), "target"), "dst").select("src", "target").distinct()
-    two = onward.join(there, "target").filter("src <> dst").select("src", "dst")
-    hops = one.withColumn("hops", F.lit(1)).unionByName(two.withColumn("hops", F.lit(2)))
-    return hops.groupBy("src", "dst").agg(F.min("hops").cast("bigint").alias("hops"))
-
-
 @query(f"""
 WITH {E} SELECT (SELECT count(*) FROM pages) + (SELECT count(DISTINCT target) FROM e) AS entities, (SELECT count(*) FROM e) AS relations,
   (SELECT count(*) FROM (SELECT target FROM e GROUP BY target HAVING count(*) > {HUB})) AS hubs
@@ -82,18 +61,6 @@ def _spread_sql(rounds: int) -> str:
     return out
 
 
-@query(f"WITH {STEPS}, {_spread_sql(3)} SELECT page_id, label FROM l3")
-def label_propagation(t: Tables) -> DataFrame:
-    """Communities by three rounds of spreading the least label."""
-    return spread_labels(shared_target_steps(edges(t.pages), HUB), t.pages, 3)
-
-
-@query(f"WITH {STEPS}, {_spread_sql(3)} SELECT label, count(*) AS n_pages FROM l3 GROUP BY label HAVING count(*) > 1")
-def community_sizes(t: Tables) -> DataFrame:
-    """Communities of more than one page."""
-    return label_propagation(t).groupBy("label").agg(F.count(F.lit(1)).alias("n_pages")).filter("n_pages > 1")
-
-
 @query(f"WITH {E} SELECT split_part(target, '/', 2) AS namespace, count(DISTINCT target) AS targets, count(*) AS links FROM e GROUP BY 1")
 def link_namespaces(t: Tables) -> DataFrame:
     """Targets and links by the first part of the target."""

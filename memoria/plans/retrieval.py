@@ -5,6 +5,8 @@ Query sets are the rows whose id is divisible by 100, held against all rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +14,11 @@ from pyspark.sql.window import Window
 from memoria.functions.text import tokens
 from memoria.functions.vectors import nearest
 from memoria.model import FIXTURE_THRESHOLD, PROFILES, RANK_SQL, SCOPE_SQL, SCOPES, SETTINGS, derived_scope, scope_rank
+from memoria.operators.cells import Cells, build
 from memoria.operators.lexical import Terms, bm25, reciprocal_rank_fusion
+from memoria.operators.postings import Postings
 from memoria.plans.registry import Tables, query
+from memoria.sources.shared import shared_folder
 from memoria.tools import gate
 
 EVERY = 100
@@ -77,6 +82,49 @@ def bm25_topk(t: Tables) -> DataFrame:
     return bm25(Terms(t.documents), asked, 20).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
 
 
+@query(f"""
+WITH {BM25_SQL}, q AS (
+  SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark WHERE item_id % 100 = 0
+), s AS (SELECT query_id, doc_id, round(sum(gain), 6) AS score FROM q JOIN gain USING (term) GROUP BY query_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s)
+SELECT query_id, doc_id, score, place::BIGINT AS place FROM r WHERE place <= {K}
+""")
+def saved_index_topk(t: Tables) -> DataFrame:
+    """The best documents for the words of each query item, from a saved index that got its documents in two parts."""
+    index = Postings(t.spark, f"{shared_folder(t.spark)}/postings-{uuid.uuid4().hex}")
+    index.add(t.documents.filter("doc_id % 3 <> 0"))
+    index.add(t.documents.filter("doc_id % 3 = 0"))
+    asked = t.benchmark.filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
+    return index.search(asked, K).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
+
+
+def vector_index(t: Tables) -> Cells:
+    return build(ranked_vectors(t), f"{shared_folder(t.spark)}/cells-{uuid.uuid4().hex}", keep=K)
+
+
+@query()
+def vector_index_topk(t: Tables) -> DataFrame:
+    """The closest permitted vectors of each query in the cells around it: what `dense_topk_scoped` finds, but for a few that lie in other cells."""
+    asked = vector_queries(t).withColumn("least_rank", F.lit(rank_of(PROFILES["work"])).cast("bigint"))
+    found = vector_index(t).search(asked, K)
+    return found.select("query_id", "id", "score", F.col("place").cast("bigint").alias("place"))
+
+
+@query(f"""
+WITH {VECTORS_SQL}, s AS (
+  SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v JOIN v q ON q.id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s)
+SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reached FROM r WHERE place <= {K}
+""")
+def vector_index_recall(t: Tables) -> DataFrame:
+    """Queries, their true neighbours, and whether the search by cells has nine tenths of these."""
+    asked = vector_queries(t)
+    true = nearest(ranked_vectors(t).drop("rank"), asked, K).select("query_id", "id")
+    found = vector_index(t).search(asked, K).select("query_id", "id", F.lit(1).alias("hit"))
+    both = true.join(found, ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
 RARE = 8
 
 

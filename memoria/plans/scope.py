@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memoria.functions.text import tokens
 from memoria.model import PROFILES, PROFILES_SQL, RANK_SQL, SCOPE_SQL, SCOPES, SETTINGS, admits, derived_scope, scope_rank
 from memoria.operators.lexical import Terms, bm25
+from memoria.operators.pins import pinned
 from memoria.plans.registry import Tables, query
 from memoria.plans.retrieval import BM25_SQL
 
@@ -81,18 +82,15 @@ PINS = [("/", "full"), ("/en", "work"), ("/en/1", "public"), ("/fr", "work")]
 @query(f"""
 WITH p AS (SELECT page_id, '/' || split_part(split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1), '/', 2) || CASE WHEN split_part(split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1), '/', 3) <> '' THEN '/' || split_part(split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1), '/', 3) ELSE '' END AS path FROM pages),
 pins(pin, profile) AS (VALUES {", ".join(map(str, PINS))})
-SELECT page_id, path, (SELECT arg_max(profile, length(pin)) FROM pins WHERE starts_with(path, pin)) AS profile FROM p
+SELECT page_id, path, (SELECT arg_max(profile, length(pin)) FROM pins WHERE pin = '/' OR path = pin OR starts_with(path, pin || '/')) AS profile FROM p
 """)
 def profile_by_path(t: Tables) -> DataFrame:
-    """The profile that a working path is pinned to; the longest pin wins."""
+    """The profile that a working path is pinned to: the longest pin that is the path or a folder above it."""
     parts = F.split(F.split_part(F.split_part(F.split_part(F.col("url"), F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "/")
     third = F.coalesce(F.get(parts, 2), F.lit(""))
     path = F.concat(F.lit("/"), F.coalesce(F.get(parts, 1), F.lit("")), F.when(third != "", F.concat(F.lit("/"), third)).otherwise(""))
-    df = t.pages.select("page_id", path.alias("path"))
-    chosen = F.lit(None).cast("string")
-    for pin, profile in sorted(PINS, key=lambda p: len(p[0])):
-        chosen = F.when(F.col("path").startswith(pin), profile).otherwise(chosen)
-    return df.withColumn("profile", chosen)
+    pins = t.spark.createDataFrame(PINS, "pin string, profile string")
+    return pinned(t.pages.select("page_id", path.alias("path")), pins).select("page_id", "path", "profile")
 
 
 @query("""

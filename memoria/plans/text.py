@@ -24,7 +24,7 @@ def clinical_reroute(t: Tables) -> DataFrame:
 
 @query(rf"""
 SELECT doc_id, md5(s) AS scrubbed_md5, len(regexp_extract_all(s, '\[email\]'))::BIGINT AS emails, len(regexp_extract_all(s, '\[phone\]'))::BIGINT AS phones
-FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '{tx.EMAIL}', '[email]', 'g'), '{tx.PHONE}', '[phone]', 'g') AS s FROM documents)
+FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '{tx.PLAIN_EMAIL}', '[email]', 'g'), '{tx.PHONE}', '[phone]', 'g') AS s FROM documents)
 """)
 def contact_scrub(t: Tables) -> DataFrame:
     """E-mail addresses and phone numbers taken out of statements."""
@@ -76,16 +76,6 @@ def document_chunks(t: Tables) -> DataFrame:
     return parts.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.size("part").cast("bigint").alias("n_words"), F.md5(F.array_join("part", " ").cast("binary")).alias("chunk_md5"))
 
 
-@query(r"""
-WITH w AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents)
-SELECT doc_id, sha256(source || ' / ' || lang || ': ' || array_to_string(list_slice(words, 1, 200), ' ')) AS contextual_sha FROM w
-""")
-def contextual_chunk_keys(t: Tables) -> DataFrame:
-    """The address of each document's first chunk with its project and language in front, as it is embedded anew."""
-    first = F.array_join(F.slice(tokens(F.col("text")), 1, 200), " ")
-    return t.documents.select("doc_id", F.sha2(F.concat("source", F.lit(" / "), "lang", F.lit(": "), first), 256).alias("contextual_sha"))
-
-
 @query(r"""
 WITH w AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
 c AS (SELECT doc_id, source, lang, (i - 1) // 180 AS chunk, list_slice(words, i, i + 199) AS part FROM w, unnest(range(1, greatest(len(words), 1) + 1, 180)) AS r(i))

@@ -89,9 +89,48 @@ def route_by_flag(df: DataFrame, flag: str, path: str) -> None:
 
 
 def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], out: str) -> None:
-    """The table at `path` with new rows put in or over it, written to `out` (a table isn't read and replaced at once)."""
-    old = spark.read.parquet(path)
-    old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True).write.mode("overwrite").parquet(out)
+    """The table at `path` (none yet: an empty one) with new rows put in or over it, written whole to `out`; `upsert_parts` writes only what changes."""
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        new = old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    new.write.mode("overwrite").parquet(out)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark can reach."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+#: Folders that the keys of an upserted table are dealt to, unless its first write says otherwise.
+PARTS = 64
+
+
+def upsert_parts(spark: SparkSession, new: DataFrame, path: str, keys: list[str], time: str, parts: int = PARTS) -> None:
+    """Puts rows into the table at `path`, which may not exist yet; of rows of a key the latest by `time` stays.
+
+    Keys are dealt by their hash to the folders of the table, whose number the first write settles. Only folders that new rows fall into are read and
+    written again, each replaced as a whole; the files of the others stay. Of rows with equal times the new one stays, of such in
+    `new` the largest by all columns; a null time is before all others, and null keys are equal to each other.
+    """
+    from memoria.sources.shared import written
+
+    if exists(spark, f"{path}/_parts"):
+        parts = spark.read.schema("parts int").json(f"{path}/_parts").first()["parts"]
+    else:
+        spark.range(1).select(F.lit(parts).alias("parts")).coalesce(1).write.json(f"{path}/_parts")
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    fresh = new.withColumns({"part": part, "_fresh": F.lit(1)})
+    touched = sorted(r["part"] for r in fresh.select("part").distinct().collect())
+    if any(exists(spark, f"{path}/part={p}") for p in touched):
+        old = spark.read.parquet(path).filter(F.col("part").isin(touched)).withColumn("_fresh", F.lit(0))
+        fresh = old.unionByName(fresh, allowMissingColumns=True)
+    columns = [c for c in fresh.columns if c not in (*keys, "part", "_fresh")]
+    order = F.struct(F.col(time).isNotNull(), time, "_fresh", F.xxhash64(*columns), *[F.to_json(F.struct(c)) for c in columns])
+    latest = fresh.groupBy("part", *keys).agg(F.max_by(F.struct(*columns), order).alias("_row")).select(*keys, "_row.*", "part")
+    # Written apart first: the folders are read to the end before one is replaced, also where a task runs again.
+    written(latest, "upsert").repartition("part").write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_facts(facts: DataFrame, folder: str) -> None:

@@ -5,12 +5,21 @@ Every reader takes any path that Spark can read and gives (conv_id, turn, role,
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Explicit schemas: unknown keys are dropped, nothing is inferred.
+#: A: the account export of claude.ai, conversations.json: a list of conversations with `chat_messages` in order; projects/*.json: a project with its `docs`.
 ASSISTANT_A = "uuid string, name string, chat_messages array<struct<sender:string,text:string,created_at:string>>"
-ASSISTANT_B = "conversation_id string, title string, messages array<struct<author:struct<role:string>,content:struct<parts:array<string>>>>"
+PROJECT_A = "uuid string, name string, description string, docs array<struct<uuid:string,filename:string,content:string>>"
+#: B: the data export of chatgpt.com, conversations.json: a list of conversations whose messages are a tree, `mapping` from node id to message, parent and children, with the
+#: leaf that was last open in `current_node`. A message's parts that aren't text (images) are objects, which are kept as their JSON.
+NODE_B = "struct<message:struct<author:struct<role:string>,content:struct<content_type:string,parts:array<string>>>,parent:string>"
+#: Where a conversation has a plain list of such messages instead, each is taken to follow the one before.
+ASSISTANT_B = f"conversation_id string, id string, title string, current_node string, mapping map<string,{NODE_B}>, messages array<struct<author:struct<role:string>,content:struct<content_type:string,parts:array<string>>>>"
+#: No published schema is known for the takeout of assistant activity; this is a plain list of turns.
 TAKEOUT = "id string, turns array<struct<speaker:string,body:string>>"
 SPEAKER_LINE = r"^(User|Assistant):[ ]?(.*)$"
 
@@ -20,9 +29,61 @@ def read_export_a(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("uuid").alias("conv_id"), F.posexplode("chat_messages").alias("turn", "m")).select("conv_id", "turn", F.when(F.col("m.sender") == "human", "user").otherwise("assistant").alias("role"), F.col("m.text").alias("text"))
 
 
-def read_export_b(spark: SparkSession, path: str) -> DataFrame:
+def read_projects_a(spark: SparkSession, path: str) -> DataFrame:
+    """(project, name, file, text): the documents of the export's projects."""
+    raw = spark.read.schema(PROJECT_A).json(path, multiLine=True)
+    return raw.select(F.col("uuid").alias("project"), "name", F.explode("docs").alias("d")).select("project", "name", F.col("d.filename").alias("file"), F.col("d.content").alias("text"))
+
+
+def branch_turns(ids: list[str], parents: list[str | None], current: str | None) -> list[tuple[int, int, int]]:
+    """(branch, depth, place of the node) of a tree of messages: branch 0 goes from the root to `current` (null or unknown: the last leaf).
+
+    Each other leaf, in the order of nodes, makes a branch of the nodes above it that no branch has yet. Nodes whose parent is missing are roots; a ring of parents ends where it closes.
+    """
+    place = {node: i for i, node in enumerate(ids)}
+    inner = {p for p in parents if p is not None}
+    leaves = [node for node in ids if node not in inner]
+    if current not in place:
+        current = leaves[-1] if leaves else (ids[-1] if ids else None)
+    depth: dict[str, int] = {}
+    out = []
+    for branch, leaf in enumerate([current, *(x for x in leaves if x != current)] if current is not None else []):
+        way = []
+        own: set[str] = set()
+        node = leaf
+        while node in place and node not in depth and node not in own:
+            way.append(node)
+            own.add(node)
+            node = parents[place[node]]
+        above = depth.get(node, -1)
+        for node in reversed(way):
+            above += 1
+            depth[node] = above
+            out.append((branch, above, place[node]))
+    return out
+
+
+def read_export_b(spark: SparkSession, path: str, branches: bool = False) -> DataFrame:
+    """Turns of the branch that was last open; with `branches` also those of the others, told apart by a column of that name.
+
+    A node without a message (the root is one) is no turn; turns count from 0 along a branch, those of another branch from where it leaves the ones before.
+    """
+
+    @F.arrow_udf("array<struct<branch:bigint,depth:bigint,place:int>>")
+    def walked(ids: pa.Array, parents: pa.Array, current: pa.Array) -> pa.Array:
+        rows = zip(ids.to_pylist(), parents.to_pylist(), current.to_pylist(), strict=True)
+        turns = [[dict(zip(("branch", "depth", "place"), t, strict=True)) for t in branch_turns(i or [], p or [], c)] for i, p, c in rows]
+        return pa.array(turns, pa.list_(pa.struct([("branch", pa.int64()), ("depth", pa.int64()), ("place", pa.int32())])))
+
     raw = spark.read.schema(ASSISTANT_B).json(path, multiLine=True)
-    return raw.select(F.col("conversation_id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select("conv_id", "turn", F.col("m.author.role").alias("role"), F.array_join("m.content.parts", "\n").alias("text"))
+    listed = F.transform("messages", lambda m, i: F.struct(m.alias("message"), F.when(i > 0, (i - 1).cast("string")).alias("parent")))
+    ids = F.coalesce(F.map_keys("mapping"), F.transform("messages", lambda m, i: i.cast("string")))
+    nodes = raw.select(F.coalesce("conversation_id", "id").alias("conv_id"), ids.alias("ids"), F.coalesce(F.map_values("mapping"), listed).alias("nodes"), "current_node")
+    nodes = nodes.withColumn("parents", F.col("nodes.parent")).withColumn("turns", walked("ids", "parents", "current_node"))
+    flat = nodes.select("conv_id", "nodes", F.explode("turns").alias("t")).select("conv_id", "t.branch", "t.depth", F.get("nodes", F.col("t.place"))["message"].alias("m"))
+    flat = flat.filter(F.col("m").isNotNull() if branches else F.col("m").isNotNull() & (F.col("branch") == 0))
+    turn = F.row_number().over(Window.partitionBy("conv_id", "branch").orderBy("depth")) - 1
+    return flat.select("conv_id", *(["branch"] if branches else []), turn.alias("turn"), F.col("m.author.role").alias("role"), F.coalesce(F.array_join("m.content.parts", "\n"), F.lit("")).alias("text"))
 
 
 def read_takeout(spark: SparkSession, path: str) -> DataFrame:
@@ -53,17 +114,20 @@ def split_speakers(df: DataFrame, key: str, body: str) -> DataFrame:
     return df.select(key, F.posexplode(once).alias("turn", "t")).select(key, F.col("turn").cast("bigint").alias("turn"), "t.role", "t.text")
 
 
-#: What each export is told by: a key that holds an array.
+#: What each export is told by: a key that holds an array, or for the tree of messages an object.
 EXPORT_KEYS = {"export_a": "chat_messages", "export_b": "messages", "takeout": "turns"}
+TREE_KEY = "mapping"
 
 
 def detected_format(raw: Column) -> Column:
-    """Which export a raw text is, by the arrays that it (or the first element of an array) has."""
+    """Which export a raw text is, by the arrays (or the tree) that it or the first element of an array has."""
     v = F.try_parse_json(raw)
-    is_array = lambda key: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")), F.schema_of_variant(F.try_variant_get(v, f"$[0].{key}", "variant"))).startswith("ARRAY")
+    held = lambda key: F.coalesce(F.try_variant_get(v, f"$.{key}", "variant"), F.try_variant_get(v, f"$[0].{key}", "variant"))
+    is_kind = lambda key, kind: F.schema_of_variant(held(key)).startswith(kind)
     found = F.when(v.isNull(), F.when(raw.rlike(r"(?m)^(User|Assistant):"), "transcript").otherwise("unknown"))
+    found = found.when(is_kind(TREE_KEY, "OBJECT"), "export_b")
     for name, key in EXPORT_KEYS.items():
-        found = found.when(is_array(key), name)
+        found = found.when(is_kind(key, "ARRAY"), name)
     return found.otherwise("json")
 
 

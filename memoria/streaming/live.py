@@ -18,7 +18,7 @@ from memoria.sources.shared import shared_folder
 
 
 def watch_text(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Changed files of an inbox, whole, at most `max_files` in a batch."""
+    """New files of an inbox, whole, at most `max_files` in a batch; a path is read once, and `changed_files` also gives those changed later."""
     raw = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).load(folder)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"), F.col("value").alias("body"))
 
@@ -71,26 +71,52 @@ def work_for(path: Column) -> Column:
     return F.when(last == INBOX, "compile").when(last == NOTES, "index")
 
 
-def kept_current(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Runs a stream of changed files (path, changed, body) into `table`, batch by batch, until the source is used up.
+def kept_current(stream: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Runs a stream of changed files (path, changed[, gone], body) into `table`, batch by batch: until the source is used up, or with `every`
+    (such as `10 seconds`) on and on, until the query that is given back is stopped.
 
     A batch that is run again after a failure writes over its own folder; `current` tells the latest version of each path.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("path", "changed", work_for(F.col("path")).alias("work"), F.sha2("body", 256).alias("sha"), "body").filter("work is not null")
+        gone = F.col("gone") if "gone" in batch.columns else F.lit(False)
+        rows = batch.select("path", "changed", gone.alias("gone"), work_for(F.col("path")).alias("work"), F.sha2("body", 256).alias("sha"), "body").filter("work is not null")
         rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(put).start()
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    if every is not None:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
-    """(path, changed, work, sha, body): the latest version of each path."""
+    """(path, changed, work, sha, body): the latest version of each path that isn't gone; a later batch counts before a later time of change."""
     rows = spark.read.parquet(table)
-    latest = rows.groupBy("path").agg(F.max_by(F.struct("changed", "work", "sha", "body"), F.struct("changed", "batch")).alias("v"))
-    return latest.select("path", "v.*")
+    latest = rows.groupBy("path").agg(F.max_by(F.struct("changed", "gone", "work", "sha", "body"), F.struct("batch", "changed")).alias("v"))
+    return latest.filter("not v.gone").select("path", "v.changed", "v.work", "v.sha", "v.body")
+
+
+def compacted(spark: SparkSession, table: str) -> None:
+    """Brings the table's batches, but for the last, down to one with the latest version of each path, so that `current` reads no history.
+
+    Older batches go only when the new one stands, and until then say nothing that it doesn't; a path that is gone keeps a row without a body.
+    """
+    from memoria.sources.shared import written
+
+    rows = spark.read.parquet(table)
+    batches = sorted(r["batch"] for r in rows.select("batch").distinct().collect())
+    if len(batches) < 3:
+        return
+    old, into = batches[:-1], batches[-2]
+    latest = rows.filter(F.col("batch").isin(old)).groupBy("path").agg(F.max_by(F.struct("changed", "gone", "work", "sha", "body"), F.struct("batch", "changed")).alias("v"))
+    kept = written(latest.select("path", "v.*"), "compacted")
+    kept.write.mode("overwrite").parquet(f"{table}/batch={into}")
+    jvm = spark._jvm
+    for batch in old[:-1]:
+        place = jvm.org.apache.hadoop.fs.Path(f"{table}/batch={batch}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:

@@ -15,6 +15,7 @@ from memoria.functions.text import is_clinical, tokens
 from memoria.functions.vectors import nearest
 from memoria.model import PROFILES, SCOPES, SETTINGS, scope_rank
 from memoria.operators.lexical import Terms, bm25
+from memoria.operators.postings import Postings
 from memoria.sources.shared import shared_folder
 
 
@@ -23,11 +24,15 @@ def least_rank(profile: str) -> int:
     return SCOPES.index(PROFILES[profile]) + 1 if profile in PROFILES else len(SCOPES) + 1
 
 
-def search_memory(items: DataFrame | Terms, prompt: str, profile: str = "work", k: int = SETTINGS.top_k) -> DataFrame:
+def search_memory(items: DataFrame | Terms | Postings, prompt: str, profile: str = "work", k: int = SETTINGS.top_k) -> DataFrame:
     """(doc_id, score, place): the k best of items(doc_id, text, scope) for a prompt's words that the profile may see.
 
-    Terms made before (of items with their rank) can be given instead of the items, so that many prompts share them.
+    Terms made before (of items with their rank) can be given instead of the items, so that many prompts share them, or a saved index of them,
+    of which only the folders of the prompt's words are read.
     """
+    if isinstance(items, Postings):
+        asked = items.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(least_rank(profile)).alias("least_rank"), F.explode(tokens(F.lit(prompt))).alias("term"))
+        return items.search(asked, k).select("doc_id", "score", F.col("place").cast("bigint").alias("place"))
     terms = items if isinstance(items, Terms) else Terms(items.select("doc_id", "text", scope_rank(F.col("scope")).alias("rank")))
     one = terms.rows.sparkSession.range(1)
     asked = one.select(F.lit(0).alias("query_id"), F.lit(least_rank(profile)).alias("least_rank"), F.explode(tokens(F.lit(prompt))).alias("term"))

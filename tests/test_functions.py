@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,3 +46,13 @@ def test_reconcile(spark):
     a = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "k int, v int")
     b = spark.createDataFrame([(2, 6), (3, 8), (4, 9)], "k int, v int")
     assert {r.k: r.status for r in reconciled(a, b, ["k"], "v").collect()} == {1: "kept", 2: "same", 3: "conflict", 4: "new"}
+
+
+def test_scrub_of_long_runs_takes_no_time_or_stack(spark):
+    texts = ["x@b" + ".c" * 3000, "a" * 1_000_000, "a@" * 200_000, "1 " * 300_000, "x@b.c_d@e.f x.y@z", "+1 (555) 123-4567 or a.b@c-d.e."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df.select(scrubbed(F.col("t"))).limit(1).collect()
+    began = time.time()
+    got = [r[0] for r in df.orderBy("i").select(scrubbed(F.col("t"))).collect()]
+    assert time.time() - began < 10
+    assert got[0] == "[email]" and got[1:3] == texts[1:3] and got[4:] == ["[email][email] x.y@z", "[phone] or [email]."]

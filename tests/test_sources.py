@@ -1,9 +1,10 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from memoria.sources import files, transcripts
-from memoria.streaming import live
+from memoria.streaming import changes, live
 
 
 def test_exports_and_transcripts(spark, tmp_path):
@@ -107,9 +108,94 @@ def test_inbox_and_notes_part_and_the_latest_counts(spark, tmp_path):
     (tmp_path / "raw" / "b.md").write_text("second")
     live.kept_current(live.watch_text(spark, inbox), table, point)
     assert sorted((r.path.rsplit("/", 1)[1], r.work, r.body) for r in live.current(spark, table).collect()) == [("a.md", "compile", "first"), ("a2.md", "compile", "other"), ("b.md", "compile", "second")]
-    newer = live.current(spark, table).filter("body = 'first'").selectExpr("path", "changed + interval 1 day AS changed", "work", "sha", "'newer' AS body")
-    newer.write.parquet(f"{table}/batch=99")
-    assert {r.body for r in live.current(spark, table).collect()} == {"newer", "other", "second"}
+
+
+def test_files_changed_in_place_and_gone(spark, tmp_path):
+    inbox, table, point, listings = (str(tmp_path / x) for x in ("raw", "table", "point", "listings"))
+    (tmp_path / "raw").mkdir()
+    run = lambda: live.kept_current(changes.changed_files(spark, inbox, listings), table, point)
+    now = lambda: sorted((r.path.rsplit("/", 1)[1], r.body) for r in live.current(spark, table).collect())
+    (tmp_path / "raw" / "a.md").write_text("first")
+    (tmp_path / "raw" / "b.md").write_text("other")
+    (tmp_path / "raw" / "c.bin").write_text("not text")
+    run()
+    assert now() == [("a.md", "first"), ("b.md", "other")]
+    (tmp_path / "raw" / "a.md").write_text("second, changed")
+    run()
+    assert now() == [("a.md", "second, changed"), ("b.md", "other")]
+    run()
+    assert spark.read.parquet(table).count() == 3  # nothing changed, nothing comes twice
+    (tmp_path / "raw" / "b.md").unlink()
+    (tmp_path / "raw" / "d.md").write_text("new")
+    run()
+    assert now() == [("a.md", "second, changed"), ("d.md", "new")]
+    live.compacted(spark, table)
+    assert now() == [("a.md", "second, changed"), ("d.md", "new")]
+    assert spark.read.parquet(table).count() < 6
+    (tmp_path / "raw" / "a.md").write_text("third")
+    query = live.kept_current(changes.changed_files(spark, inbox, listings), table, point, every="1 second")
+    for _ in range(60):
+        time.sleep(0.5)
+        if ("a.md", "third") in now():
+            break
+    query.stop()
+    assert now() == [("a.md", "third"), ("d.md", "new")]
+
+
+def test_a_batch_run_again_gives_the_same_paths(tmp_path):
+    (tmp_path / "in").mkdir()
+    reader = lambda: changes.ChangesReader(str(tmp_path / "in"), str(tmp_path / "listings"), (".md",), 2)
+    one, offsets = reader(), [reader().initialOffset()]
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.md").write_text("x" * i)
+        if i in (1, 4):
+            offsets.append(one.latestOffset())
+    assert offsets[1:] == [{"listing": 1}, {"listing": 2}] and one.latestOffset() == offsets[2]
+    paths = lambda r, a, b: [[p.rsplit("/", 1)[1] for p, _ in part.paths] for part in r.partitions(a, b)]
+    assert paths(reader(), offsets[0], offsets[1]) == [["0.md", "1.md"]]
+    assert paths(reader(), offsets[1], offsets[2]) == paths(one, offsets[1], offsets[2]) == [["2.md", "3.md"], ["4.md"]]
+    two = reader()
+    assert two.latestOffset() == offsets[2]
+    (tmp_path / "in" / "0.md").unlink()
+    end = two.latestOffset()
+    (gone,) = two.partitions(offsets[2], end)
+    assert [(g, b) for _, _, g, b in two.read(gone)] == [(True, None)]
+    two.commit(end)
+    assert sorted(p.name for p in (tmp_path / "listings").iterdir()) == ["000000002.json", "000000003.json"]
+
+
+def test_upsert_touches_only_its_parts(spark, tmp_path):
+    path = str(tmp_path / "table")
+    frame = lambda rows: spark.createDataFrame(rows, "k bigint, at int, v string")
+    put = lambda rows: files.upsert_parts(spark, frame(rows), path, ["k"], "at", parts=8)
+    rows = lambda: sorted((-1 if r.k is None else r.k, r.at, r.v) for r in spark.read.parquet(path).collect())
+    listed = lambda: {str(p.relative_to(path)) for p in (tmp_path / "table").rglob("part-*.parquet")}
+    put([(i, 1, f"a{i}") for i in range(40)] + [(3, 2, "newer"), (3, 0, "older"), (None, 1, "n")])
+    want = {i: (1, f"a{i}") for i in range(40)} | {3: (2, "newer"), -1: (1, "n")}
+    assert rows() == sorted((k, *v) for k, v in want.items())
+    before = listed()
+    files.upsert_parts(spark, frame([(5, 1, "again"), (7, 0, "too old"), (None, None, "no time")]), path, ["k"], "at", parts=3)
+    want |= {5: (1, "again")}
+    assert rows() == sorted((k, *v) for k, v in want.items())
+    assert len(before & listed()) >= len({p.split("/")[0] for p in before}) - 3 and before != listed()
+    put([])
+    assert rows() == sorted((k, *v) for k, v in want.items())
+
+
+def test_export_with_a_tree_of_messages(spark, tmp_path):
+    node = lambda parent, role=None, *parts: {"id": "x", "parent": parent, "children": [], "message": role and {"author": {"role": role}, "content": {"content_type": "text", "parts": list(parts)}}}
+    tree = {"r": node(None), "c": node("b", "assistant", "first answer"), "a": node("r", "system", ""), "b": node("a", "user", "question", {"image": 1}), "d": node("b", "assistant", "second answer"), "e": node("d", "user", "thanks")}
+    export = [{"title": "t", "conversation_id": "k", "current_node": "e", "mapping": tree, "more": 1}, {"id": "ring", "mapping": {"p": node("q", "user", "1"), "q": node("p", "user", "2")}}, {"id": "none", "mapping": {}}]
+    (tmp_path / "conversations.json").write_text(json.dumps(export))
+    rows = transcripts.read_export_b(spark, str(tmp_path / "conversations.json")).orderBy("conv_id", "turn").collect()
+    assert [tuple(r) for r in rows if r.conv_id == "k"] == [("k", 0, "system", ""), ("k", 1, "user", 'question\n{"image": 1}'), ("k", 2, "assistant", "second answer"), ("k", 3, "user", "thanks")]
+    assert sorted(r.text for r in rows if r.conv_id == "ring") == ["1", "2"] and not [r for r in rows if r.conv_id == "none"]
+    both = transcripts.read_export_b(spark, str(tmp_path / "conversations.json"), branches=True).filter("branch = 1").collect()
+    assert [tuple(r) for r in both] == [("k", 1, 0, "assistant", "first answer")]
+    raw = spark.createDataFrame([(json.dumps(export),), (json.dumps(export[0]),), ('{"mapping":[]}',)], "raw string")
+    assert [r[0] for r in raw.select(transcripts.detected_format(F.col("raw"))).collect()] == ["export_b", "export_b", "json"]
+    (tmp_path / "p.json").write_text(json.dumps({"uuid": "u", "name": "n", "docs": [{"filename": "f.md", "content": "body", "x": 1}]}))
+    assert [tuple(r) for r in transcripts.read_projects_a(spark, str(tmp_path / "p.json")).collect()] == [("u", "n", "f.md", "body")]
 
 
 def test_graph_sink_and_forced_index(spark, tmp_path):
