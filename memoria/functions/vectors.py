@@ -80,9 +80,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
     id, score and place.
 
     Queries come in blocks of bounded size, each read once; each task gives its own best rows, so what is shuffled is a few rows for each
-    query and task. A query with least_rank sees only rows of at least that rank. Null vectors and those of another length match nothing.
+    query and task. A query with least_rank sees only rows of at least that rank. Null vectors, those of another length and those without an id match nothing.
     """
-    spark = vectors.sparkSession
+    spark, vectors = vectors.sparkSession, vectors.filter("id is not null")
     others = [c for c in queries.columns if c not in ("query_id", "vector", "least_rank")]
     ranked = "least_rank" in queries.columns
     numbered = queries.filter("query_id is not null and vector is not null").select(F.xxhash64("query_id", *(["least_rank"] if ranked else []), *others).alias("asked"), "*")

@@ -66,7 +66,8 @@ class Cells:
         placed.repartitionByRange("cell", "id").write.partitionBy("cell").mode("append").parquet(f"{self.path}/vectors")
 
     def stored(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/vectors")
+        schema = spark.read.parquet(f"{self.path}/shape").schema.add("cell", "integer")
+        return spark.read.schema(schema).parquet(f"{self.path}/vectors")
 
     def search(self, queries: DataFrame, keep: int, probes: int | None = None) -> DataFrame:
         """(query_id, id, score, place): the `keep` closest vectors in the probed cells for each of queries(query_id, vector[, least_rank]).
@@ -143,6 +144,7 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, keep: int = 4
     index = Cells(path, _unit(np.array(centres, np.float64).reshape(len(centres), size)), len(centres))
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centres)]
     spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+    own.limit(0).write.parquet(f"{path}/shape")
     index.add(own)
     index.probes = calibrated(index, spark, n, keep, recall)
     spark.createDataFrame([(index.probes,)], "probes int").coalesce(1).write.parquet(f"{path}/probes")

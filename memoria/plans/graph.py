@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memoria.functions.text import first_given
+from memoria.operators import communities as modules
 from memoria.operators.links import both_ways, edges, orphan_notes, resolved, spread_labels
 from memoria.plans.registry import Tables, query
 from memoria.tools import explore, related
@@ -61,6 +62,17 @@ def _spread_sql(rounds: int) -> str:
     return out
 
 
+@query()
+def communities(t: Tables) -> DataFrame:
+    """Pages and the community of each, by modularity over the links to their targets; a page without links is its own."""
+    page, target = F.concat(F.lit("page:"), F.col("page_id").cast("string")), F.concat(F.lit("target:"), F.col("target"))
+    placed, _ = modules.communities(edges(t.pages).select(page.alias("src"), target.alias("dst")))
+    # Named by its smallest page, as its nodes' own names are none that a reader knows.
+    own = t.pages.select("page_id", page.alias("node")).join(placed, "node", "left").select("page_id", F.coalesce("com", "node").alias("com"))
+    names = own.groupBy("com").agg(F.min("page_id").alias("community"))
+    return own.join(names, "com").select("page_id", "community")
+
+
 @query(f"WITH {E} SELECT split_part(target, '/', 2) AS namespace, count(DISTINCT target) AS targets, count(*) AS links FROM e GROUP BY 1")
 def link_namespaces(t: Tables) -> DataFrame:
     """Targets and links by the first part of the target."""
