@@ -476,12 +476,23 @@ def _keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("kept", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]))
 
 
+def once_each(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, tag, text) with each doc_id and tag once. Texts move only where rows repeat, and of those one for each task."""
+    keys = ["doc_id", "tag"]
+    again = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*keys), "suffix-repeated-rows")
+    if again.isEmpty():
+        return rows
+    one = rows.join(again, keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text"))
+    return rows.join(again, keys, "left_anti").unionByName(one)
+
+
 def repeated_ranges(docs: DataFrame, text_col: str = "text", most: int = GROUP_ITEMS) -> DataFrame:
     """(doc_id, tag, places): for each document with repeats, start and end of ranges as pairs of 32-bit integers; ranges may overlap."""
     width = shuffle_width(docs.sparkSession)
     parts = width * PARTS_PER_TASK
     dealt = lambda df: df.repartition(width, "part").sortWithinPartitions("part")
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= LENGTH)
+    own = once_each(own)
     known = dealt(own.mapInArrow(_send_grams(parts), BLOBS)).mapInArrow(_candidates, PLACES)
     wanted = known.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
     packed = own.select("doc_id", "tag", F.arrow_udf(_pack, "binary")("text").alias("packed"))
