@@ -24,7 +24,8 @@ RULES = [
     ("access", 1, r"AKIA[A-Z0-9]++", "AKIA"),
     ("hex", 1, r"[0-9a-f]{24,}+", None),
     ("private_key", 1, r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----", "PRIVATE KEY"),
-    ("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
+    # Its last alternative takes the rest of a run that is no token, or each `eyJ` of the run would be tried to the run's end; such matches aren't confirmed.
+    ("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|eyJ[A-Za-z0-9_-]*+", "eyJ"),
     ("host_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}+", "gh"),
     ("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}+", "xox"),
 ]
@@ -39,6 +40,7 @@ def confirmed(span: Column) -> Column:
     return (
         F.when(span["kind"] == "assign", F.length(F.regexp_replace(value, ASSIGN_HEAD, "")) >= 6)
         .when(span["kind"] == "access", F.length(value) >= 20)
+        .when(span["kind"] == "web_token", F.contains(value, F.lit(".")))
         .otherwise(F.lit(True))
     )
 
@@ -109,7 +111,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kind_sql(order: int, kind: str, pattern: str) -> str:
-    p = pattern.replace("'", "''").replace("++", "+").replace("}+", "}")
+    p = pattern.replace("'", "''").replace("++", "+").replace("}+", "}").replace("*+", "*")
     return f"SELECT rid, {order} AS ord, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM d WHERE regexp_matches(text, '{p}')"
 
 
@@ -124,7 +126,7 @@ p AS (
   FROM m, unnest(range(1, len(hits) + 1)) AS r(i)
 ), s AS (
   SELECT rid, ord, kind, start, start + length(hit) AS stop, kind IN {_base} AS base FROM p
-  WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(hit, '{_head}', '')) >= 6 WHEN 'access' THEN length(hit) >= 20 ELSE true END
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(hit, '{_head}', '')) >= 6 WHEN 'access' THEN length(hit) >= 20 WHEN 'web_token' THEN contains(hit, '.') ELSE true END
 ), k AS (
   SELECT * FROM s WHERE base OR NOT EXISTS (SELECT 1 FROM s b WHERE b.rid = s.rid AND b.base AND b.start < s.stop AND s.start < b.stop)
 ), a AS (
