@@ -5,7 +5,8 @@ distinct documents that hold a line is counted; lines above the limit are boiler
 a document that loses too much is depleted and rejected. Documents carry no url, so `source` is the host.
 
 Native: DataFrame functions only. Texts never cross the network: what is shuffled is one small row for
-each distinct line of a document, added up before the shuffle, so a hot host or a hot line stays small.
+each distinct line of a document, added up before the shuffle, so a hot host or a hot line stays small. The lines above the limit are written; where
+they are few they are broadcast to the documents' lines, else the rows of the most frequent ones are dealt evenly (`joined_by_key`).
 
 Defined cases: a null text has no words and fails the base rules; a null source is a host of its own;
 a null doc_id is an ordinary value; repeated rows count as so many documents and each get a row; extra
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoria.llm.common import NULL_ID, table
+from memoria.llm.common import NULL_ID, joined_by_key, table, written
 
 BLANK = r"\x20\x09-\x0D"
 WORD_GAP = f"[{BLANK}]+"
@@ -85,12 +86,17 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return df.select("_k1", "_k2", "host", F.inline(pairs))
 
 
+def line_key() -> Column:
+    return F.concat_ws(":", F.col("line").cast("string"), "host").alias("_line")
+
+
 def judge(docs: DataFrame, max_docs_per_line: int = MAX_DOCS_PER_LINE, min_words_left: float = MIN_WORDS_LEFT) -> DataFrame:
     """`docs(doc_id, text, source)` with base metrics, words_removed, words_left and kept."""
     keyed = docs.select("doc_id", "text", F.coalesce("source", F.lit("\0none")).alias("host"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("_k1"), F.xxhash64("text").alias("_k2"))
     lines = document_lines(keyed)
-    common = lines.groupBy("host", "line").agg(F.sum("first").alias("n_docs")).filter(F.col("n_docs") > max_docs_per_line)
-    hits = lines.join(common.select("host", "line"), ["host", "line"])
+    counted = lines.groupBy("host", "line").agg(F.sum("first").alias("n_docs"), F.count(F.lit(1)).alias("times")).filter(F.col("n_docs") > max_docs_per_line)
+    common = written(counted.select(line_key(), "times", F.lit(True).alias("common")), "common-lines")
+    hits = joined_by_key(lines.withColumn("_line", line_key()), common, "_line").filter("common")
     # Repeated rows share a key; dividing by their number gives what one of them loses.
     lost = hits.groupBy("_k1", "_k2", "host").agg((F.sum("words") / (F.count(F.lit(1)) / F.count_distinct("at"))).cast("bigint").alias("words_removed"))
     metrics = base_metrics(keyed).drop("text")
