@@ -9,8 +9,8 @@ item, with Myers' bit-parallel distance, whose words are as wide as the part.
 Items are taken in blocks of bounded bytes, each of which is broadcast and held against all documents; a longer item
 is a block of its own, so neither side has a limit. Items of one text are searched once.
 
-Defined cases: null and blank texts match nothing; items of fewer than MIN_BYTES such bytes are too common to count and
-match nothing; null ids are carried through; repeated documents match repeatedly, repeated items once; extra columns are never
+Defined cases: null and blank texts match nothing; items of fewer than `min_bytes` such bytes (MIN_BYTES unless said otherwise) are too
+common to count and match nothing; with a limit of 0 all items are matched, the short ones as whole words; null ids are carried through; repeated documents match repeatedly, repeated items once; extra columns are never
 read by `matches` and kept by `decontaminated`; empty tables give an empty result.
 """
 
@@ -43,7 +43,13 @@ def plain(text: str | None) -> str:
 
 
 def budget(item: str) -> int:
-    return int(ERROR_RATE * len(item))
+    """Short items, which stand between blanks, must occur unchanged."""
+    return int(ERROR_RATE * len(item)) if len(item.strip(" ")) >= MIN_BYTES else 0
+
+
+def as_asked(item: str) -> str:
+    """A short item counts only as whole words, between blanks."""
+    return item if len(item) >= MIN_BYTES else f" {item} "
 
 
 def reaches(masks: dict[str, int], m: int, window: str, enough: int) -> int:
@@ -148,6 +154,7 @@ class Matcher:
 
     def find(self, text: str) -> dict[int, int]:
         """{item number: least distance} of the items within their budgets."""
+        text = f" {text} "
         seen: set[tuple[int, int]] = set()
         found: dict[int, int] = {}
         for end, (length, of) in self.automaton.iter(text):
@@ -198,9 +205,10 @@ def _has_item(sent):
     return F.arrow_udf(found, "boolean")
 
 
-def blocks(items: DataFrame, item_col: str) -> Iterator[list[tuple[int, str]]]:
+def blocks(items: DataFrame, item_col: str, min_bytes: int = MIN_BYTES) -> Iterator[list[tuple[int, str]]]:
     """(number, plain text) of the different item texts, in lists of about BLOCK_BYTES; the number is a hash of the text."""
-    texts = items.select(F.xxhash64(item_col).alias("item"), F.col(item_col).alias("text")).filter(F.octet_length("text") >= MIN_BYTES)
+    least = max(min_bytes, 1)
+    texts = items.select(F.xxhash64(item_col).alias("item"), F.col(item_col).alias("text")).filter(F.octet_length("text") >= least)
     texts = written(texts.groupBy("item", "text").count(), "benchmark-items")
     size = F.octet_length("text").cast("bigint")
     small, large = texts.filter(size <= BLOCK_BYTES // 4), texts.filter(size > BLOCK_BYTES // 4)
@@ -210,26 +218,29 @@ def blocks(items: DataFrame, item_col: str) -> Iterator[list[tuple[int, str]]]:
     parts += [large.filter(F.col("item") == r["item"]) for r in large.select("item").distinct().orderBy("item").toLocalIterator()]
     for part in parts:
         rows = [(r["item"], plain(r["text"])) for r in part.select("item", "text").toLocalIterator()]
-        rows = sorted(r for r in rows if len(r[1]) >= MIN_BYTES)
+        rows = sorted((i, as_asked(text)) for i, text in rows if len(text) >= least)
         if rows:
             yield rows
 
 
-def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "text") -> DataFrame:
-    """(doc_id, tag, item_id, distance, budget) of each document and benchmark item in it; tag tells rows of one doc_id apart."""
+def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(doc_id, tag, item_id, distance, budget) of each document and benchmark item in it; tag tells rows of one doc_id apart.
+
+    Items of fewer than `min_bytes` such bytes are left out; with 0 all are searched, those of fewer than MIN_BYTES as whole words without errors.
+    """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     found = spark.createDataFrame([], OUT)
-    for rows in blocks(items, item_col):
+    for rows in blocks(items, item_col, min_bytes):
         found = found.unionByName(own.mapInArrow(_scan(spark.sparkContext.broadcast(rows)), OUT))
     ids = items.select(F.xxhash64(item_col).alias("item"), F.col("item_id").cast("bigint").alias("item_id")).distinct()
     return found.join(ids, "item").select("doc_id", "tag", "item_id", "distance", "budget")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without the documents in which a benchmark item occurs. No row leaves its task."""
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """`docs` without the documents in which a benchmark item (of `min_bytes` at least) occurs. No row leaves its task."""
     spark = docs.sparkSession
-    for rows in blocks(items, item_col="text"):
+    for rows in blocks(items, "text", min_bytes):
         docs = docs.filter(~_has_item(spark.sparkContext.broadcast(rows))(F.col(text_col)))
     return docs
 
