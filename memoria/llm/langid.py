@@ -123,19 +123,18 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def sampled_windows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, piece): about WINDOWS_PER_LANG windows of each language."""
+    """(lang, piece): about WINDOWS_PER_LANG windows of each language, cut as `windows_of` cuts them, wherever that is within a letter."""
     own = docs.filter(fold_of(F.col("doc_id")) != HELD_FOLD).select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # In characters, which are a byte at least.
-    windows = F.ceil(F.length("text") / WINDOW).cast("int")
+    windows = F.ceil(F.octet_length("text") / WINDOW).cast("int")
     counts = own.groupBy("lang").agg(F.sum(windows.cast("bigint")).alias("windows")).orderBy(F.desc("windows"), "lang").limit(MAX_LANGS).collect()
     if not counts:
-        return own.select("lang", F.col("text").alias("piece")).limit(0)
+        return own.select("lang", F.col("text").cast("binary").alias("piece")).limit(0)
     most = min(WINDOWS_PER_LANG, MAX_WINDOWS // (2 * len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["windows"]))])
     row = F.struct(F.element_at(share, F.col("lang")).alias("share"), F.xxhash64("doc_id", "text").alias("tag"))
     chosen = bound(row, lambda r: F.filter(F.sequence(F.lit(0), windows - 1), lambda i: below_share(F.xxhash64(r["tag"], i), r["share"])))
-    piece = lambda i: F.substring(F.col("text"), i * WINDOW + 1, F.lit(WINDOW))
+    piece = lambda i: F.substring(F.col("text").cast("binary"), i * WINDOW + 1, F.lit(WINDOW))
     pieces = own.filter(F.col("lang").isin([r["lang"] for r in counts])).select("lang", F.explode(F.transform(chosen, piece)).alias("piece"))
     pieces = written(pieces, "language-windows")
     # Rows that share id and text are all chosen or none: should they be too many, some are taken.
@@ -145,15 +144,14 @@ def sampled_windows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> ByteCnn | None:
     """The network from the learning fold's labelled documents, or None if there are none."""
-    rows = sorted((r["lang"], r["piece"]) for r in sampled_windows(docs, text_col, lang_col).collect())
+    rows = sorted((r["lang"], bytes(r["piece"])) for r in sampled_windows(docs, text_col, lang_col).collect())
     if not rows:
         return None
     langs = sorted({lang for lang, _ in rows})
     number = {lang: i for i, lang in enumerate(langs)}
     x = np.zeros((len(rows), WINDOW), np.uint8)
     for i, (_, piece) in enumerate(rows):
-        raw = piece.encode()[:WINDOW]
-        x[i, : len(raw)] = np.frombuffer(raw, np.uint8)
+        x[i, : len(piece)] = np.frombuffer(piece, np.uint8)
     model = ByteCnn(langs)
     model.fit(x, np.array([number[lang] for lang, _ in rows]))
     return model
