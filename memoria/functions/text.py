@@ -87,6 +87,28 @@ def chunks(words: Column, size: int, step: int) -> Column:
     return F.transform(starts, lambda i: F.slice(words, i, size))
 
 
+#: A border between chunks stands behind a word where the digest of the WINDOW words up to it begins with BORDER: behind every 256th on average.
+WINDOW, BORDER = 4, "00"
+#: Stretches without a border are cut every so many words.
+LONGEST = 1024
+
+
+def content_chunks(words: Column) -> Column:
+    """Chunks whose borders follow from the words around them, so that a change of some words changes the chunks it touches and leaves the others as they are."""
+
+    def cut(all_: Column) -> Column:
+        n = F.size(all_)
+        ends = F.filter(F.when(n >= WINDOW, F.sequence(F.lit(WINDOW), n)).otherwise(F.array().cast("array<int>")), lambda i: F.md5(F.array_join(F.slice(all_, i - WINDOW + 1, WINDOW), " ").cast("binary")).startswith(BORDER))
+        ends = F.array_distinct(F.array_append(ends, n))
+        return F.get(F.transform(F.array(ends), lambda e: F.flatten(F.transform(e, lambda end, k: pieces(all_, F.when(k > 0, F.get(e, k - 1)).otherwise(0), end)))), 0)
+
+    def pieces(all_: Column, begin: Column, end: Column) -> Column:
+        starts = F.when(end > begin, F.sequence(begin, end - 1, F.lit(LONGEST))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.slice(all_, s + 1, F.least(F.lit(LONGEST), end - s)))
+
+    return F.get(F.transform(F.array(words), cut), 0)
+
+
 def front_matter(body: Column) -> Column:
     return F.regexp_extract(body, r"(?s)^---\n(.*?)\n---", 1)
 

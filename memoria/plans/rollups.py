@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memoria.model import SCOPE_SQL, SETTINGS, derived_scope
+from memoria.operators import sketches
 from memoria.plans.registry import Tables, query
+from memoria.sources.shared import written
 
 NOW = "2024-01-31 00:00:00"
 HALF_LIFE_DAYS = 7.0
@@ -219,3 +221,35 @@ def daily_digest(t: Tables) -> DataFrame:
     brief = top.select(F.lit("brief").alias("section"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("name"), F.row_number().over(Window.orderBy(F.desc("value"), "event_id")).cast("bigint").alias("n"))
     alarms = hygiene_checks(t).filter("status <> 'PASS'").select(F.lit("alarms").alias("section"), "name", F.col("bad").alias("n"))
     return counts.unionByName(brief).unionByName(alarms)
+
+
+@query("""
+WITH e AS (SELECT date_trunc('week', ts)::TIMESTAMP AS week, user_id, value FROM events),
+u AS (SELECT DISTINCT week, user_id FROM e),
+b AS (SELECT a.week, count(*) AS shared FROM u a JOIN u p ON p.user_id = a.user_id AND p.week = a.week - INTERVAL 7 DAY GROUP BY a.week)
+SELECT week, count(*) AS n, count(DISTINCT user_id) AS users, coalesce(any_value(shared), 0) AS shared, true AS users_close, true AS shared_close, true AS median_close FROM e LEFT JOIN b USING (week) GROUP BY week
+""")
+def sketched_weeks(t: Tables) -> DataFrame:
+    """Weeks from the sketches of their days, beside exact counts: users, users that the week before had too, and the median, each within its sketch's bound."""
+    e = t.events.withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz"))
+    days = written(sketches.daily(t.events, "ts", "user_id", "value"), "daily-sketches")
+    weeks = sketches.merged(days, F.date_trunc("week", "day").cast("timestamp_ntz").alias("week"))
+    before = weeks.select((F.col("week") + F.expr("INTERVAL 7 DAYS")).alias("week"), F.col("key_set").alias("last_set"))
+    told = weeks.join(before, "week", "left").select("week", "n", sketches.n_keys().alias("users_about"), F.coalesce(sketches.n_shared("key_set", "last_set"), F.lit(0)).alias("shared_about"), "quantiles")
+    users = e.select("week", "user_id").distinct()
+    both = users.join(users.select((F.col("week") + F.expr("INTERVAL 7 DAYS")).alias("week"), "user_id"), ["week", "user_id"]).groupBy("week").agg(F.count(F.lit(1)).alias("shared"))
+    exact = e.groupBy("week").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(F.lit(0.5 - sketches.RANK_ERROR), F.lit(0.5 + sketches.RANK_ERROR))).alias("around"))
+    x = told.join(exact, "week").join(both, "week", "left").withColumn("shared", F.coalesce("shared", F.lit(0)).cast("bigint"))
+    near = lambda a, b, of: F.abs(F.col(a) - F.col(b)) <= sketches.COUNT_ERROR * F.col(of)
+    median = sketches.quantile(0.5).between(F.get("around", 0), F.get("around", 1))
+    return x.select("week", "n", "users", "shared", near("users_about", "users", "users").alias("users_close"), near("shared_about", "shared", "users").alias("shared_close"), median.alias("median_close"))
+
+
+@query()
+def sketched_drift(t: Tables) -> DataFrame:
+    """How far the values of each kind moved from one half of the month to the other, from the days' sketches."""
+    days = written(sketches.daily(t.events, "ts", "user_id", "value", ["event_type"]), "daily-sketches")
+    halves = sketches.merged(days, "event_type", (F.col("day") < F.lit("2024-01-16").cast("date")).alias("early"))
+    a = halves.filter("early").select("event_type", F.col("quantiles").alias("before"))
+    b = halves.filter("not early").select("event_type", F.col("quantiles").alias("after"))
+    return a.join(b, "event_type").select("event_type", F.round(sketches.drift("before", "after"), 6).alias("drift"))

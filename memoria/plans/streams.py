@@ -101,3 +101,49 @@ def timeline(t: Tables) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.floor((micros - F.lag(micros).over(order)) / 60_000_000)
     return t.events.select("user_id", "event_id", "ts", gap.alias("gap_minutes"), (F.dayofweek("ts") == 1).alias("on_sunday"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"))
+
+
+WITHIN_HOURS = 24
+
+
+def event_stream(t: Tables) -> DataFrame:
+    return live.table_stream(t.spark, t.folder, "events").select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"))
+
+
+def with_end(t: Tables, stream: DataFrame) -> DataFrame:
+    """The stream and behind it one event of nobody, a quarter after the last."""
+    last = t.events.agg(F.max(F.col("ts").cast("timestamp")).alias("at"))
+    none = last.select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), (F.col("at") + F.expr("INTERVAL 90 DAYS")).alias("at"))
+    return live.closed_by(stream, none.select(*[F.col(c).cast(k) for c, k in stream.dtypes]))
+
+
+@query(f"SELECT * FROM ({FIRE}) WHERE waited_s < {WITHIN_HOURS * 3600}")
+def prospective_fire_within(t: Tables) -> DataFrame:
+    """The rule that expires a day after it was armed, over a stream with event-time timers."""
+    return live.drained(live.when_then_within(with_end(t, event_stream(t)), "view", "purchase", WITHIN_HOURS * 3600, "40 days"))
+
+
+@query("""
+WITH a AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'), b AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase')
+SELECT a.event_id, count(b.ts) AS followed, round(coalesce(sum(b.value), 0e0), 4) AS worth FROM a JOIN b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 26 HOUR GROUP BY a.event_id
+""")
+def preference_stream(t: Tables) -> DataFrame:
+    """Drafts with feedback within 26 hours, from a join of two streams in which every event comes twice."""
+    twice = event_stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    again = event_stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    drafts = twice.filter("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("draft_id"))
+    feedback = again.filter("event_type = 'purchase'").select("user_id", "at", F.col("event_id").alias("feedback_id"), "value")
+    pairs = live.drained(live.followed_by(drafts, feedback, "user_id", "26 HOURS", "40 days"))
+    return pairs.groupBy(F.col("draft_id").alias("event_id")).agg(F.count(F.lit(1)).alias("followed"), F.round(F.sum("value"), 4).alias("worth"))
+
+
+@query(f"""
+WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > INTERVAL {GAP_HOURS} HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, session
+""")
+def session_stream(t: Tables) -> DataFrame:
+    """Each user's sessions, over a stream."""
+    stream = with_end(t, event_stream(t))
+    found = live.drained(live.sessions(stream, ["user_id"], "at", f"{GAP_HOURS} hours", "40 days"))
+    return found.filter("user_id <> -1").select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "n")

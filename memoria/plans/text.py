@@ -76,6 +76,20 @@ def document_chunks(t: Tables) -> DataFrame:
     return parts.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.size("part").cast("bigint").alias("n_words"), F.md5(F.array_join("part", " ").cast("binary")).alias("chunk_md5"))
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
+b AS (SELECT doc_id, i FROM w, unnest(range(4, len(words) + 1)) AS r(i) WHERE starts_with(md5(array_to_string(words[i - 3:i], ' ')), '00') UNION SELECT doc_id, len(words) FROM w),
+g AS (SELECT doc_id, i, lag(i, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM b),
+c AS (SELECT doc_id, s, least(s + 1024, i) AS e FROM g, unnest(range(a, i, 1024)) AS r(s)),
+k AS (SELECT doc_id, s, sha256(array_to_string(words[s + 1:e], ' ')) AS chunk_sha, e - s AS n_words FROM c JOIN w USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk, n_words, chunk_sha FROM k
+""")
+def content_chunks(t: Tables) -> DataFrame:
+    """Chunks cut where the words say so, content-addressed: a changed document has most of its keys as before."""
+    parts = t.documents.select("doc_id", F.posexplode(tx.content_chunks(tokens(F.col("text")))).alias("chunk", "part"))
+    return parts.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.size("part").cast("bigint").alias("n_words"), F.sha2(F.array_join("part", " "), 256).alias("chunk_sha"))
+
+
 @query(r"""
 WITH w AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
 c AS (SELECT doc_id, source, lang, (i - 1) // 180 AS chunk, list_slice(words, i, i + 199) AS part FROM w, unnest(range(1, greatest(len(words), 1) + 1, 180)) AS r(i))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoria import tools
-from memoria.model import RANK_SQL, SCOPE_SQL, SETTINGS, derived_scope
+from memoria import sql, tools
+from memoria.model import RANK_SQL, SCOPE_SQL, SETTINGS, derived_scope, scope_rank
+from memoria.operators.lexical import Terms
 from memoria.plans.registry import Tables, query
 from memoria.plans.retrieval import BM25_SQL
 from memoria.plans.text import LEXICON
@@ -63,6 +64,23 @@ def tool_timeline(t: Tables) -> DataFrame:
     return tools.timeline(t.events, "2024-01-10", "2024-01-12").select("user_id", "event_id", "ts", "gap_minutes")
 
 
+@query("""
+WITH e AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12')
+SELECT user_id, event_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) // 60000000 AS gap_minutes FROM e
+""")
+def sql_timeline(t: Tables) -> DataFrame:
+    """The timeline as a table function of SQL."""
+    sql.register(t.spark, events=t.events)
+    return t.spark.sql("SELECT * FROM timeline(TIMESTAMP_NTZ '2024-01-10', TIMESTAMP_NTZ '2024-01-12')")
+
+
+@query(f"WITH {SEARCH_SQL} SELECT doc_id, score, place::BIGINT AS place FROM r WHERE place <= {K}")
+def sql_search_memory(t: Tables) -> DataFrame:
+    """The search as a table function of SQL."""
+    sql.register(t.spark, terms=Terms(items(t).select("doc_id", "text", scope_rank(F.col("scope")).alias("rank"))))
+    return t.spark.sql(f"SELECT * FROM search_memory('{PROMPT}', 'work', {K})")
+
+
 FACETS_SQL = "f AS (SELECT doc_id AS facet_id, source AS bucket, split_part(text, '.', 1) AS statement, n_chars AS weight FROM documents)"
 OPEN_SQL = f"bucket <> 'src3' AND NOT regexp_matches(lower(statement), '{'|'.join(LEXICON)}')"
 

@@ -53,7 +53,8 @@ def _run(stream: DataFrame, base: str, mode: str, each: Callable[[DataFrame], Da
     else:
 
         def put(batch: DataFrame, batch_id: int) -> None:
-            each(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+            # In complete mode every batch gives all rows, so the last one stands for those before.
+            each(batch).write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else batch_id}")
 
         q = writer.foreachBatch(put).start()
     q.awaitTermination()
@@ -165,3 +166,95 @@ def when_then(stream: DataFrame, when: str, then: str) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=WhenThen(when, then), outputStructType="user_id bigint, event_id bigint, waited_s bigint", outputMode="append", timeMode="None"
     )
+
+
+def closed_by(stream: DataFrame, row: DataFrame) -> DataFrame:
+    """A stream with the rows of a written table at its end, such as one of a time beyond all others: with it the watermark passes the last real row."""
+    spark, path = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/end-{uuid.uuid4().hex}"
+    row.select(*stream.columns).coalesce(1).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def sessions(stream: DataFrame, by: list[str], time: str, gap: str, lateness: str) -> DataFrame:
+    """(by, started, ended, n) of each session: rows whose distance is below `gap`; a session is given when the watermark passes its end."""
+    window = F.session_window(time, gap)
+    counted_ = stream.withWatermark(time, lateness).groupBy(*by, window.alias("_w")).agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count(F.lit(1)).alias("n"))
+    return counted_.select(*by, "started", "ended", "n")
+
+
+def followed_by(drafts: DataFrame, feedback: DataFrame, by: str, within: str, lateness: str) -> DataFrame:
+    """(by, draft_id, feedback_id, value): each draft with each feedback of the same `by` after it and within the interval, as a join of two streams.
+
+    drafts(by, at, draft_id) and feedback(by, at, feedback_id, value) may be late by `lateness` and may repeat; each id counts once. Both watermarks bound what is kept: a draft until no
+    feedback of its interval can come any more, feedback until no draft before it can.
+    """
+    a = deduplicated(drafts, ["draft_id"], "at", lateness).select(F.col(by).alias("_a"), F.col("at").alias("a_at"), "draft_id")
+    b = deduplicated(feedback, ["feedback_id"], "at", lateness).select(F.col(by).alias("_b"), F.col("at").alias("b_at"), "feedback_id", "value")
+    near = F.expr(f"_a = _b AND b_at > a_at AND b_at <= a_at + INTERVAL {within}")
+    return a.join(b, near).select(F.col("_a").alias(by), "draft_id", "feedback_id", "value")
+
+
+class WhenThenWithin(StatefulProcessor):
+    """Fires for a user's first `then` event at most `within` microseconds behind a `when` event; the next `when` arms it anew, and any `then` disarms it.
+
+    Events wait until the watermark has passed them and are then taken in order, so what a batch holds and in which order it comes changes nothing. A timer
+    stands at the earliest waiting event, or where the rule would expire, when its state goes.
+    """
+
+    def __init__(self, when: str, then: str, within: int):
+        self.when, self.then, self.within = when, then, within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.armed = handle.getValueState("armed", "since bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, kind string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        passed = timer_values.getCurrentWatermarkInMs()
+        new = [(int(at), int(i), kind) for df in rows for at, i, kind in zip(df["at"], df["event_id"], df["event_type"], strict=True)]
+        new = [e for e in new if e[0] // 1000 >= passed and e[2] in (self.when, self.then)]  # later ones are too late
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0] // 1000 + 1)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(set(tuple(e) for e in self.waiting.get()))
+        due, left = [e for e in waiting if e[0] // 1000 < passed], [e for e in waiting if e[0] // 1000 >= passed]
+        since = int(self.armed.get()[0]) if self.armed.exists() else None
+        fired = []
+        for at, event_id, kind in due:
+            if kind == self.when:
+                since = at
+            else:
+                if since is not None and at - since <= self.within:
+                    fired.append((key[0], event_id, (at - since) // 1_000_000))
+                since = None
+        if since is not None and since + self.within < passed * 1000 and not left:
+            since = None
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        if since is None:
+            self.armed.clear()
+        else:
+            self.armed.update((since,))
+            self.handle.registerTimer((since + self.within) // 1000 + 2)
+        yield self._frame(fired)
+
+    @staticmethod
+    def _frame(fired: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(fired, columns=["user_id", "event_id", "waited_s"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def when_then_within(stream: DataFrame, when: str, then: str, within_s: int, lateness: str) -> DataFrame:
+    """(user_id, event_id, waited_s) of every firing within `within_s` seconds, of a stream(user_id, event_id, event_type, at) that is late by `lateness` at most."""
+    rows = stream.withWatermark("at", lateness).select("user_id", "event_id", "event_type", F.unix_micros("at").alias("at"), F.col("at").alias("_time"))
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=WhenThenWithin(when, then, within_s * 1_000_000), outputStructType="user_id bigint, event_id bigint, waited_s bigint", outputMode="append", timeMode="EventTime"
+    )
