@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors that are broadcast at once: at 1,000 dimensions 16 MB.
-BLOCK = 2_000
+from memoria.sources.shared import written
+
+#: Bytes of the vectors of a block: at 1,000 dimensions 128 of them.
+BLOCK_BYTES = 1 << 20
+#: Blocks of queries up to this size together are broadcast; more of them are dealt, with the vectors, to LANES lanes.
+BROADCAST_BYTES, LANES = 64 << 20, 64
+NONE = -(2**62)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,48 +59,86 @@ def best_of(score: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray,
     return row[place < keep], column[place < keep]
 
 
-def _best(sent, keep: int):
+PARTS = ("ids", "tags", "levels", "data")
+BLOCK = "cell int, size int, ids binary, tags binary, levels binary, data binary"
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows(cell, id, tag, level, vector) in blocks of one cell and one length of vectors, as arrays of numbers and unit vectors.
+
+    Null vectors and those with null numbers are left out; a null level is below every other. Blocks hold at most about BLOCK_BYTES.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [batch.column(c).cast(pa.int64()).fill_null(NONE).to_numpy(zero_copy_only=False) for c in ("id", "tag", "level")]
+            cells, out = batch.column("cell").to_numpy(zero_copy_only=False), []
+            sizes = pc.fill_null(pc.list_value_length(batch.column("vector")), 0).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                at, data = matrix(batch.column("vector"), size)
+                order = np.argsort(cells[at], kind="stable")
+                at, data, most = at[order], _unit(data[order]), max(1, BLOCK_BYTES // (8 * size))
+                own = cells[at]
+                borders = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist() + [len(own)] if len(own) else [0]
+                for begin, end in zip(borders[:-1], borders[1:], strict=True):
+                    for i in range(begin, end, most):
+                        rows_ = slice(i, min(i + most, end))
+                        out.append((int(own[i]), size, *(x[at[rows_]].tobytes() for x in numbers), data[rows_].tobytes()))
+            if out:
+                columns = list(zip(*out, strict=True))
+                arrays = [pa.array(c, pa.int32()) for c in columns[:2]] + [pa.array(c, pa.binary()) for c in columns[2:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["cell", "size", *PARTS])
+
+    return rows.mapInArrow(pack, BLOCK)
+
+
+FOUND = "asked bigint, query_id bigint, id bigint, score double"
+
+
+def best_pairs(pairs: DataFrame, keep: int, ranked: bool) -> DataFrame:
+    """(asked, query_id, id, score): of each pair of a block of queries (columns named q_...) and one of vectors the `keep` closest vectors of each query."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, ids, vectors, allowed = sent.value
         for batch in batches:
-            at, data = matrix(batch.column("vector"), vectors.shape[1])
-            if not len(at):
-                continue
-            own = batch.column("id").to_numpy()[at]
-            score = np.round(vectors @ _unit(data).T, 6)
-            if allowed is not None:
-                rank = batch.column("rank").to_numpy(zero_copy_only=False)[at]
-                score[~(rank[None, :] >= allowed[:, None])] = -np.inf
-            q, hit = best_of(score, own, keep)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[q]), pa.array(own[hit]), pa.array(score[q, hit])], names=["asked", "query_id", "id", "score"])
+            for i in range(batch.num_rows):
+                value = lambda c, kind=np.int64, i=i: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                size, ids = batch.column("size")[i].as_py(), value("ids")
+                score = np.round(value("q_data", np.float64).reshape(-1, size) @ value("data", np.float64).reshape(-1, size).T, 6)
+                score[:, ids == NONE] = -np.inf
+                if ranked:
+                    score[value("levels")[None, :] < value("q_levels")[:, None]] = -np.inf
+                q, hit = best_of(score, ids, keep)
+                yield pa.RecordBatch.from_arrays([pa.array(value("q_tags")[q]), pa.array(value("q_ids")[q]), pa.array(ids[hit]), pa.array(score[q, hit])], names=["asked", "query_id", "id", "score"])
 
-    return run
+    return pairs.select("size", *[f"q_{c}" for c in PARTS], *PARTS).mapInArrow(run, FOUND)
 
 
-FOUND = "asked bigint, query_id bigint, id bigint, score double"
+def as_queries(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumnsRenamed({c: f"q_{c}" for c in PARTS})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
     """The `keep` rows of vectors(id, vector[, rank]) closest to each of queries(query_id, vector[, least_rank][, ...]), with the queries' other columns,
     id, score and place.
 
-    Queries come in blocks of bounded size, each read once; each task gives its own best rows, so what is shuffled is a few rows for each
-    query and task. A query with least_rank sees only rows of at least that rank. Null vectors, those of another length and those without an id match nothing.
+    Queries and vectors are packed in blocks, which meet in one pass over the vectors: the queries' blocks are broadcast if they are measured to be small, or else both
+    sides are dealt to lanes. Each pair of blocks gives its own best rows, so what is shuffled then is a few rows for each query. A query with least_rank sees only
+    rows of at least that rank. Null vectors, those of another length and those without an id match nothing.
     """
-    spark, vectors = vectors.sparkSession, vectors.filter("id is not null")
     others = [c for c in queries.columns if c not in ("query_id", "vector", "least_rank")]
     ranked = "least_rank" in queries.columns
     numbered = queries.filter("query_id is not null and vector is not null").select(F.xxhash64("query_id", *(["least_rank"] if ranked else []), *others).alias("asked"), "*")
-    blocks = 1 + numbered.count() // BLOCK
-    found = spark.createDataFrame([], FOUND)
-    for block in range(blocks):
-        part = sorted(numbered.filter(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block).collect(), key=lambda r: r["asked"])
-        for size in sorted({len(r["vector"]) for r in part}):
-            own = [r for r in part if len(r["vector"]) == size]
-            asked, ids = (np.array([r[c] for r in own], np.int64) for c in ("asked", "query_id"))
-            least = np.array([r["least_rank"] for r in own], np.int64) if ranked else None
-            sent = spark.sparkContext.broadcast((asked, ids, _unit(np.array([r["vector"] for r in own], np.float64)), least))
-            found = found.unionByName(vectors.mapInArrow(_best(sent, keep), FOUND))
+    zero, level = F.lit(0).alias("cell"), lambda given, c: (F.col(c).cast("bigint") if given else F.lit(None).cast("bigint")).alias("level")
+    few = numbered.repartition(1 + numbered.count() // 10_000)
+    mine = written(packed(few.select(zero, F.col("query_id").alias("id"), F.col("asked").alias("tag"), level(ranked, "least_rank"), "vector")), "query-blocks")
+    theirs = packed(vectors.filter("id is not null").select(zero, "id", F.lit(0).alias("tag"), level("rank" in vectors.columns, "rank"), "vector"))
+    if (mine.agg(F.sum(F.octet_length("data").cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES:
+        pairs = theirs.drop("cell").join(F.broadcast(as_queries(mine.drop("cell"))), "size")
+    else:
+        lane = F.pmod(F.xxhash64("data"), F.lit(LANES)).cast("int")
+        lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
+        pairs = theirs.withColumn("cell", lane).join(as_queries(mine.withColumn("cell", lanes)), ["cell", "size"])
+    found = best_pairs(pairs, keep, ranked)
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
     placed = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
     if others:

@@ -9,7 +9,6 @@ Vectors are of one length (that of most in the sample); null ones and others are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memoria.functions.vectors import _unit, best_of, matrix, nearest
+from memoria.functions.vectors import _unit, as_queries, best_pairs, matrix, nearest, packed
 
 SAMPLE, CALIBRATION = 50_000, 300
 #: Cells where no number is given: the root of the number of vectors, within these bounds.
 FEWEST, MOST = 4, 4096
-#: Bytes of the vectors of a block; blocks of queries meet blocks of vectors of the same cell.
-BLOCK_BYTES = 1 << 20
 RECALL = 0.95
 
 
@@ -80,54 +77,14 @@ class Cells:
         wanted = [r["cell"] for r in asked.select("cell").distinct().collect()]  # no more than there are cells
         stored = self.stored(spark).filter(F.col("cell").isin(wanted))
         rank = F.col("rank").cast("bigint") if "rank" in stored.columns else F.lit(None).cast("bigint")
-        size = self.centres.shape[1]
-        mine = packed(asked.repartitionByRange("cell", "query_id").sortWithinPartitions("cell").select("cell", F.col("query_id").alias("id"), "vector", F.col("least").alias("level")), size)
-        theirs = packed(stored.select("cell", "id", "vector", rank.alias("level")), size)
-        pairs = mine.select("cell", *[F.col(c).alias(f"q_{c}") for c in BLOCK_COLUMNS]).join(theirs, "cell")
-        ranked = "rank" in stored.columns and "least_rank" in queries.columns
-        found = pairs.drop("cell").mapInArrow(lambda batches: _best_pairs(batches, size, keep, ranked), "query_id bigint, id bigint, score double")
+        dealt = asked.repartitionByRange("cell", "query_id").sortWithinPartitions("cell")
+        mine = packed(dealt.select("cell", F.col("query_id").alias("id"), F.lit(0).alias("tag"), F.col("least").alias("level"), "vector"))
+        theirs = packed(stored.select("cell", "id", F.lit(0).alias("tag"), rank.alias("level"), "vector"))
+        found = best_pairs(theirs.join(as_queries(mine), ["cell", "size"]), keep, "rank" in stored.columns and "least_rank" in queries.columns).drop("asked")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
 
 
-BLOCK_COLUMNS = ("ids", "levels", "data")
-BLOCK = "cell int, ids binary, levels binary, data binary"
-NO_LEVEL = -(2**62)
-
-
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """rows(cell, id, vector, level) in blocks of one cell, as arrays of numbers; a null level is below every other."""
-    most = max(1, BLOCK_BYTES // (8 * max(size, 1)))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, data = matrix(batch.column("vector"), size)
-            cell = batch.column("cell").to_numpy(zero_copy_only=False)[at]
-            order = np.argsort(cell, kind="stable")
-            at, data, cell = at[order], _unit(data[order]), cell[order]
-            ids = batch.column("id").cast(pa.int64()).fill_null(NO_LEVEL).to_numpy(zero_copy_only=False)[at]
-            levels = batch.column("level").cast(pa.int64()).fill_null(NO_LEVEL).to_numpy(zero_copy_only=False)[at]
-            borders = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1, append=cell[-1:] + 1))
-            out = [(int(cell[a]), *(x[a : min(a + most, end)].tobytes() for x in (ids, levels, data))) for begin, end in zip(borders[:-1], borders[1:], strict=True) for a in range(begin, end, most)]
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["cell", *BLOCK_COLUMNS])
-
-    return rows.mapInArrow(pack, BLOCK)
-
-
-def _best_pairs(batches: Iterator[pa.RecordBatch], size: int, keep: int, ranked: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            asked, ids, least, level = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "ids", "q_levels", "levels"))
-            score = np.round(np.frombuffer(row["q_data"]).reshape(-1, size) @ np.frombuffer(row["data"]).reshape(-1, size).T, 6)
-            score[:, ids == NO_LEVEL] = -np.inf
-            if ranked:
-                score[level[None, :] < least[:, None]] = -np.inf
-            q, hit = best_of(score, ids, keep)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[hit]), pa.array(score[q, hit])], names=["query_id", "id", "score"])
-
-
 def build(vectors: DataFrame, path: str, cells: int | None = None, keep: int = 4, recall: float = RECALL, seed: int = 7) -> Cells:
     """Fits centres, writes vectors(id, vector[, rank]) to `path` cell by cell, and finds how many cells to probe for `keep` neighbours."""
     spark = vectors.sparkSession
@@ -152,10 +109,15 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, keep: int = 4
 
 
 def calibrated(index: Cells, spark: SparkSession, n: int, keep: int, recall: float) -> int:
-    """The fewest cells that hold the share `recall` of the `keep` nearest others of about CALIBRATION stored vectors."""
+    """The fewest cells that hold the share `recall` of the `keep` nearest others of about CALIBRATION stored vectors.
+
+    Where vectors have ranks, only those of the highest rank count as others: a search that sees less finds its neighbours further away.
+    """
     stored = index.stored(spark)
     asked = stored.filter(hash_share(F.col("id"), CALIBRATION / max(n, 1))).select(F.col("id").alias("query_id"), "vector")
-    true = nearest(stored.select("id", "vector"), asked, keep + 1).filter("id <> query_id")
+    if "rank" in stored.columns:
+        asked = asked.withColumn("least_rank", F.lit(stored.agg(F.max("rank")).first()[0]).cast("bigint"))
+    true = nearest(stored.drop("cell"), asked, keep + 1).filter("id <> query_id")
     ordered = asked.select("query_id", index.ordered(spark, F.col("vector"), len(index.centres)).alias("cells"))
     place = F.array_position("cells", F.col("cell"))
     needed = true.join(ordered, "query_id").join(stored.select("id", "cell"), "id").groupBy(place.cast("int").alias("place")).count().orderBy("place").collect()
