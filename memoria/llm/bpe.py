@@ -9,7 +9,8 @@ A state of the deterministic transducer is the set of the trie's nodes that are
 the longest one, which names the state; so there are no more states than nodes, and texts share them. Beside the state
 runs the token that ends at each byte which a live configuration may start from. Where all live configurations have
 come by the same tokens, those are settled and emitted; none reaches further back than the longest token, which bounds the
-lookahead. States and moves are made when a text first needs them. Short pieces run through the transducer in lock step, byte after byte.
+lookahead. States, moves and suffix links are made when a text first needs them.
+Short pieces run through the transducer in lock step, byte after byte; they too emit after every SETTLE bytes what is settled then.
 
 Whether one token may follow another is read from their last merges: the merge that came last is taken back,
 left or right of the border, until a merge over the border would have come before it, or single bytes are left.
@@ -259,7 +260,7 @@ class Transducer:
 
 
 class LockStep:
-    """The transducer over many short pieces at once, on flat arrays."""
+    """The transducer over many short pieces at once, on flat arrays; what is settled is emitted every SETTLE bytes."""
 
     def __init__(self, machine: Transducer):
         self.token_at, self.depth = np.array(machine.token_at), np.array(machine.depth)
@@ -273,15 +274,11 @@ class LockStep:
         self.joined, self.joined_to = keys[order], np.array(list(machine.merges.joined.values()), np.int64)[order]
         self.made, self.left, self.right = (np.array(x) for x in (machine.merges.made, machine.merges.left, machine.merges.right))
         n = len(self.token_at)
-        #: Of each node its longest suffix that is a node, and the longest node that is itself or a suffix of it and a token.
-        self.suffix, self.token_end, self.next_end = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-        above, last = np.array(machine.above), np.frombuffer(machine.last, np.uint8)
-        for d in range(1, int(self.depth.max()) + 1):
-            nodes = np.flatnonzero(self.depth == d)
-            if d > 1:
-                self.suffix[nodes] = self.next(self.suffix[above[nodes]], last[nodes])
-            self.next_end[nodes] = self.token_end[self.suffix[nodes]]
-            self.token_end[nodes] = np.where(self.token_at[nodes] >= 0, nodes, self.next_end[nodes])
+        #: Of each node its longest suffix that is a node (-1 where no piece needed it yet), and the longest node that is itself or a suffix of it and a token.
+        self.suffix, self.token_end, self.next_end = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.suffix[0] = 0
+        self.above, self.last = np.array(machine.above), np.frombuffer(machine.last, np.uint8)
+        self.inner = np.frombuffer(bytes(machine.inner), np.uint8).astype(bool)
         self.move_key, self.move_to = np.full(1 << MOVE_BITS, -1, np.int64), np.zeros(1 << MOVE_BITS, np.int32)
         self.pair_key, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
@@ -289,6 +286,26 @@ class LockStep:
     def slot(key: np.ndarray, bits: int) -> np.ndarray:
         return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
 
+    def link(self, nodes: np.ndarray) -> None:
+        """Makes the suffix links of nodes that haven't got them, and of the nodes that these lead to."""
+        new = nodes[self.suffix[nodes] < 0]
+        if not len(new):
+            return
+        new = np.unique(new)
+        # Suffixes are shorter, so shorter nodes come first.
+        for d in np.unique(self.depth[new]).tolist():
+            own = new[(self.depth[new] == d) & (self.suffix[new] < 0)]
+            if d == 1:
+                self.suffix[own] = 0
+            else:
+                up = self.above[own]
+                self.link(up)
+                to = self.next(self.suffix[up], self.last[own])
+                self.link(to)
+                self.suffix[own] = to
+            self.next_end[own] = self.token_end[self.suffix[own]]
+            self.token_end[own] = np.where(self.token_at[own] >= 0, own, self.next_end[own])
+
     def next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The longest live nodes behind a byte each."""
         node, to = node.astype(np.int64), np.zeros(len(node), np.int32)
@@ -299,6 +316,7 @@ class LockStep:
             found = self.below[at] == key
             to[left[found]] = self.child[at[found]]
             left = left[~found & (node[left] > 0)]
+            self.link(node[left])
             node[left] = self.suffix[node[left]]
         return to
 
@@ -347,6 +365,44 @@ class LockStep:
                 out[i] = packed
         return out
 
+    def settled(self, state: np.ndarray, told: np.ndarray, at: int) -> np.ndarray:
+        """Of each row, with `at` bytes read, the place up to which all its live configurations have come by the same tokens.
+
+        They start where an inner node among the state's suffixes begins, or here; the latest start that isn't the only one is taken back by its token, until one is left.
+        """
+        rows = np.arange(len(state))
+        live, node = np.zeros((int(self.depth.max()) + 1 + int(self.length.max()), len(state)), bool), state.astype(np.int64)
+        live[0] = True
+        while node.any():
+            own = rows[self.inner[node]]
+            live[self.depth[node[own]], own] = True
+            self.link(node)
+            node = self.suffix[node].astype(np.int64)
+        count = live.sum(0)
+        to = np.full(len(state), -1, np.int64)
+        for back in range(len(live)):
+            here = rows[live[back] & (to < 0)]
+            only = count[here] == 1
+            to[here[only]] = at - back
+            more = here[~only]
+            if len(more):
+                further = back + self.length[told[at - back, more]]
+                count[more] -= live[further, more]
+                live[further, more] = True
+            if not (to < 0).any():
+                break
+        return to
+
+    def emit(self, told: np.ndarray, base: np.ndarray, to: np.ndarray, found: list) -> None:
+        """The tokens from `base` to `to` of the rows, from the last to the first."""
+        rows, at, time = np.arange(len(to)), to.copy(), len(found)
+        rows = rows[at > base[: len(to)]]
+        while len(rows):
+            token = told[at[rows], rows]
+            found.append((time, rows, token))
+            at[rows] -= self.length[token]
+            rows = rows[at[rows] > base[rows]]
+
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         """Pieces come longest first, so those that go on are the first ones."""
         sizes = np.array([len(x) for x in pieces])
@@ -354,9 +410,17 @@ class LockStep:
         #: The token that ends at each byte; -1 is the start.
         told = np.full((int(sizes[0]) + 1, len(pieces)), -1, np.int32)
         state = np.zeros(len(pieces), np.int32)
+        #: Where each row's tokens are emitted up to, and what was: rows, tokens, from the last to the first of each time.
+        base, found = np.zeros(len(pieces), np.int64), []
         for i in range(int(sizes[0])):
             k = int(np.searchsorted(-sizes, -i, "left"))
-            state = self.moved(state[:k], raw[starts[:k] + i])
+            state = state[:k]
+            if i and i % SETTLE == 0:
+                to = self.settled(state, told, i)
+                self.emit(told, base, to, found)
+                base[:k] = to
+            state = self.moved(state, raw[starts[:k] + i])
+            self.link(state)
             rows, end = np.arange(k), self.token_end[state]
             while len(rows):
                 token, last = self.token_at[end], told[i + 1 - self.depth[end], rows]
@@ -367,15 +431,9 @@ class LockStep:
                 rows, end = rows[~ok], self.next_end[end[~ok]]
                 if len(end) and not end.all():
                     raise ValueError("the ranks are no byte-level BPE vocabulary")
-        rows, at, found = np.arange(len(pieces)), sizes.copy(), []
-        while len(rows):
-            token = told[at[rows], rows]
-            found.append((rows, token))
-            at[rows] -= self.length[token]
-            rows = rows[at[rows] > 0]
-        row, token = (np.concatenate(x) for x in zip(*found, strict=True))
-        # Tokens were found from the last to the first.
-        order = np.lexsort((-np.arange(len(row)), row))
+        self.emit(told, base, sizes, found)
+        row, token, time = (np.concatenate(x) for x in zip(*((r, t, np.full(len(r), time)) for time, r, t in found), strict=True))
+        order = np.lexsort((-np.arange(len(row)), time, row))
         packed = token[order].astype("<u4").tobytes()
         ends = 4 * np.cumsum(np.bincount(row, minlength=len(pieces)))
         return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
