@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memoria.functions import text as tx
 from memoria.functions.text import first_given, loose_date, scrubbed, slug, tokens
+from memoria.operators import notes
 from memoria.plans.registry import Tables, query
 
 #: Words of the given tables that stand for the clinical lexicon.
@@ -196,6 +197,24 @@ def facets_merged(t: Tables) -> DataFrame:
     return own.groupBy("bucket", "statement").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("times"), F.array_join(F.array_sort(F.collect_set("evidence")), ",").alias("evidence"))
 
 
+@query(r"""
+WITH f AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, source AS domain, sha256(text) AS sha, text FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '\s*')) AS lines FROM f),
+n AS (SELECT *, coalesce(nullif(trim(substr(regexp_replace(coalesce(lines[1], ''), '^#+ *', ''), 1, 60)), ''), path) AS title FROM l),
+s AS (SELECT *, nullif(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '') AS stem FROM n)
+SELECT doc_id, title, coalesce(stem || '-', '') || substr(md5(path), 1, 8) AS name, domain,
+  md5('---' || chr(10) || 'title: ' || title || chr(10) || 'aliases: []' || chr(10) || 'domain: ' || domain || chr(10) || 'updated: ' || chr(10) || 'provenance: ' || path || ' ' || sha || chr(10) || '---' || chr(10) || text) AS note_md5
+FROM s
+""".replace("\\\\", "\\"))
+def compiled_notes(t: Tables) -> DataFrame:
+    """Documents as inbox files, compiled to notes."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    files = t.documents.select(path.alias("path"), F.col("source").alias("domain"), F.lit(None).cast("timestamp").alias("changed"), F.sha2("text", 256).alias("sha"), F.col("text").alias("body"))
+    made = notes.compiled(files)
+    doc_id = F.regexp_extract("path", r"([0-9]+)\.md$", 1).cast("bigint")
+    return made.select(doc_id.alias("doc_id"), "title", "name", "domain", F.md5(F.col("note").cast("binary")).alias("note_md5"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, source, '---' || chr(10) || 'title: ' || source || chr(10) || 'always_on: ' || CASE WHEN doc_id % 10 = 0 THEN 'true' ELSE 'false' END || chr(10) || '---' || chr(10) || 'Thinking aloud.' AS body, doc_id % 20 = 0 AS sensitive FROM documents)
 SELECT doc_id, source AS title FROM d WHERE doc_id % 10 = 0 AND NOT sensitive

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoria.functions.text import chunks, tokens
+from memoria.operators.notes import entities
 
 #: Folder names that are never read.
 EXCLUDED_FOLDERS = [
@@ -134,10 +138,12 @@ def upsert_parts(spark: SparkSession, new: DataFrame, path: str, keys: list[str]
 
 
 def write_facts(facts: DataFrame, folder: str) -> None:
-    """Facts as JSON lines: clinical ones to `clinical`, the others to `facts`; a null flag counts as clinical."""
+    """Facts as JSON lines: clinical ones to `clinical`, the others to `facts`; a null flag counts as clinical. The people and themes of the others go to `entities`."""
     clinical = F.coalesce("clinical", F.lit(True))
     facts.filter(~clinical).drop("clinical").write.mode("overwrite").json(f"{folder}/facts")
     facts.filter(clinical).drop("clinical").write.mode("overwrite").json(f"{folder}/clinical")
+    if {"bucket", "statement", "evidence"} <= set(facts.columns):
+        entities(facts.filter(~clinical)).write.mode("overwrite").json(f"{folder}/entities")
 
 
 def write_tiered(df: DataFrame, is_cold: Column, path: str) -> None:
@@ -158,3 +164,25 @@ def write_graph(notes: DataFrame, links: DataFrame, path: str) -> None:
 def reindexed(items: DataFrame, index: DataFrame, force: bool = False, key: str = "path", sha: str = "sha") -> DataFrame:
     """What is to be embedded: items whose content the index hasn't got, or all of them if forced."""
     return items if force else unseen(items, index, key, sha)
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Each row of files(name, body) as a file of that name in `folder`, in any store that pyarrow reaches; returns how many.
+
+    A file is written under another name and then moved, so that a task that runs again, or is lost half-way, leaves whole files alone. Names may hold folders.
+    """
+    from memoria.streaming.changes import store_of
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = store_of(folder)
+        for batch in batches:
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                path = f"{base.rstrip('/')}/{name}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
+                    f.write((body or "").encode())
+                store.move(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.filter("name is not null").select("name", "body").mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

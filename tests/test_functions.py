@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from memoria.functions.text import chunks, first_given, loose_date, scrubbed, slug
+from memoria.functions.voice import corrections
 from memoria.operators.intervals import closed_intervals, reconciled
 
 
@@ -56,3 +57,14 @@ def test_scrub_of_long_runs_takes_no_time_or_stack(spark):
     got = [r[0] for r in df.orderBy("i").select(scrubbed(F.col("t"))).collect()]
     assert time.time() - began < 10
     assert got[0] == "[email]" and got[1:3] == texts[1:3] and got[4:] == ["[email][email] x.y@z", "[phone] or [email]."]
+
+
+def test_style_remarks_are_told_from_facts(spark):
+    said = [
+        (1, 0, "user", "Make it shorter"), (1, 1, "assistant", "draft"), (1, 2, "user", "Too wordy and a bit stiff; no bullets please"), (1, 3, "assistant", "draft"),
+        (1, 4, "user", "Shorter, and the date is wrong: it was 1990"), (1, 5, "assistant", "d"), (1, 6, "user", "More formal. Actually she lives elsewhere"), (1, 7, "user", "more casual"),
+        (2, 0, "assistant", "d"), (2, 1, "user", "warmer, my therapy went well"), (2, 2, "assistant", "d"), (2, 3, "user", None), (2, 4, "assistant", "d"), (2, 5, "user", "Less JARGON."),
+    ]
+    turns = spark.createDataFrame(said, "conv_id int, turn int, role string, text string")
+    got = sorted((r.conv_id, r.turn, r.kind) for r in corrections(turns).collect())
+    assert got == [(1, 2, "format"), (1, 2, "length"), (1, 2, "tone"), (2, 5, "wording")]

@@ -3,6 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from memoria.operators import notes
 from memoria.sources import files, transcripts
 from memoria.streaming import changes, live
 
@@ -205,3 +206,32 @@ def test_graph_sink_and_forced_index(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "edges")).collect()] == [(1, 2)] and spark.read.parquet(str(tmp_path / "vertices")).count() == 2
     items = spark.createDataFrame([("p", "1"), ("q", "2")], "path string, sha string")
     assert files.reindexed(items, items.limit(1)).count() == 1 and files.reindexed(items, items, force=True).count() == 2
+
+
+def test_inbox_files_become_notes(spark, tmp_path):
+    rows = [("raw/a.md", "x", "talk\n---\ntitle: \"First note\"\naliases: [one, 'The First']\ndomain: maths\n---\nSee [[second]] and [[nowhere]]."), ("raw/b.md", "x", "\n## Second\n\nBack to [[The first|it]], [[Second]]."), ("raw/c.md", None, None), ("raw/d.md", "y", "# Second\nalone")]
+    files_ = spark.createDataFrame([(p, d, None, "sha", b) for p, d, b in rows], "path string, domain string, changed timestamp, sha string, body string")
+    made = notes.compiled(files_)
+    got = {r.path: r for r in made.collect()}
+    assert [(got[f"raw/{x}.md"].title, got[f"raw/{x}.md"].domain) for x in "abcd"] == [("First note", "maths"), ("Second", "x"), ("raw/c.md", "general"), ("Second", "y")]
+    assert got["raw/a.md"].aliases == ["one", "The First"] and len({r.name for r in got.values()}) == 4
+    assert got["raw/a.md"].note.startswith("---\ntitle: First note\naliases: [one, The First]\ndomain: maths\nupdated: \nprovenance: raw/a.md sha\n---\nSee")
+    edges = notes.note_edges(made)
+    name = {p: r.name for p, r in got.items()}
+    second = min(name["raw/b.md"], name["raw/d.md"])
+    want = {(name["raw/a.md"], second), (name["raw/b.md"], name["raw/a.md"])} | ({(name["raw/b.md"], second)} if second != name["raw/b.md"] else set())
+    assert {tuple(r) for r in edges.collect()} == want
+    lines = [tuple(r) for r in notes.index_lines(made, edges).collect()]
+    assert ("1 totals", "total_entities: 4") in lines and ("2 namespaces", "- maths: 1") in lines and ("4 orphans", f"- [[{name['raw/c.md']}]]") in lines
+    out = made.select(F.concat("domain", F.lit("/"), "name", F.lit(".md")).alias("name"), F.col("note").alias("body"))
+    assert files.write_files(out, str(tmp_path / "wiki")) == files.write_files(out, str(tmp_path / "wiki")) == 4
+    assert len(list((tmp_path / "wiki").rglob("*"))) == 4 + 4
+    assert (tmp_path / "wiki" / "maths" / f"{name['raw/a.md']}.md").read_text() == got["raw/a.md"].note
+
+
+def test_entities_beside_the_facts(spark, tmp_path):
+    rows = [("relationships", "Ann", "friend", False), ("relationships", " ann", "colleague", False), ("relationships", "Bob", "", False), ("intellectual_themes", "graphs", None, False), ("relationships", "Secret", "doctor", True), ("biography", "born", "x", False)]
+    facts = spark.createDataFrame(rows, "bucket string, statement string, evidence string, clinical boolean")
+    files.write_facts(facts, str(tmp_path))
+    got = spark.read.schema("entity string, kind string, roles array<string>, mentions bigint").json(str(tmp_path / "entities"))
+    assert sorted(tuple(r) for r in got.collect()) == [("Ann", "person", ["colleague", "friend"], 2), ("Bob", "person", [], 1), ("graphs", "theme", [], 1)]
