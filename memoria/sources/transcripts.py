@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from memoria.functions.text import trimmed
+
 #: Explicit schemas: unknown keys are dropped, nothing is inferred.
 #: A: the account export of claude.ai, conversations.json: a list of conversations with `chat_messages` in order; projects/*.json: a project with its `docs`.
 ASSISTANT_A = "uuid string, name string, chat_messages array<struct<sender:string,text:string,created_at:string>>"
@@ -19,7 +21,11 @@ PROJECT_A = "uuid string, name string, description string, docs array<struct<uui
 NODE_B = "struct<message:struct<author:struct<role:string>,content:struct<content_type:string,parts:array<string>>>,parent:string>"
 #: Where a conversation has a plain list of such messages instead, each is taken to follow the one before.
 ASSISTANT_B = f"conversation_id string, id string, title string, current_node string, mapping map<string,{NODE_B}>, messages array<struct<author:struct<role:string>,content:struct<content_type:string,parts:array<string>>>>"
-#: No published schema is known for the takeout of assistant activity; this is a plain list of turns.
+#: The activity file of a takeout (My Activity, as JSON): one entry a prompt, the prompt in `title` behind the word for it, the answer as HTML. No schema of it is published; these are the keys that its
+#: entries have.
+ACTIVITY = "header string, title string, time string, safeHtmlItem array<struct<html:string>>"
+PROMPTED = "Prompted "
+#: A plain list of turns, for other takeouts.
 TAKEOUT = "id string, turns array<struct<speaker:string,body:string>>"
 SPEAKER_LINE = r"^(User|Assistant):[ ]?(.*)$"
 
@@ -91,6 +97,19 @@ def read_takeout(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("id").alias("conv_id"), F.posexplode("turns").alias("turn", "m")).select("conv_id", "turn", F.lower("m.speaker").alias("role"), F.col("m.body").alias("text"))
 
 
+def read_activity(spark: SparkSession, path: str) -> DataFrame:
+    """Turns of an activity file: each entry is a conversation, named by its time, of a prompt and, where there is one, its answer without its tags. Entries that aren't prompts are left out."""
+    raw = spark.read.schema(ACTIVITY).json(path, multiLine=True).filter(F.startswith("title", F.lit(PROMPTED)))
+    html = F.array_join(F.transform("safeHtmlItem", lambda x: x["html"]), "\n")
+    plain = trimmed(F.regexp_replace(F.regexp_replace(html, r"(?i)<(?:br|/p|/li|/h[1-6])[^>]{0,200}>", "\n"), "<[^<>]*>", ""))
+    for mark, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(mark), F.lit(character))
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    asked = turn("user", F.substring("title", len(PROMPTED) + 1, F.length("title")))
+    turns = F.when(F.nullif(plain, F.lit("")).isNotNull(), F.array(asked, turn("assistant", plain))).otherwise(F.array(asked))
+    return raw.select(F.col("time").alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select("conv_id", "turn", "t.role", "t.text")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files with speaker lines."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("conv_id"), F.col("value").alias("body"))
@@ -117,6 +136,7 @@ def split_speakers(df: DataFrame, key: str, body: str) -> DataFrame:
 #: What each export is told by: a key that holds an array, or for the tree of messages an object.
 EXPORT_KEYS = {"export_a": "chat_messages", "export_b": "messages", "takeout": "turns"}
 TREE_KEY = "mapping"
+ACTIVITY_KEYS = ("header", "title", "time")
 
 
 def detected_format(raw: Column) -> Column:
@@ -126,6 +146,10 @@ def detected_format(raw: Column) -> Column:
     is_kind = lambda key, kind: F.schema_of_variant(held(key)).startswith(kind)
     found = F.when(v.isNull(), F.when(raw.rlike(r"(?m)^(User|Assistant):"), "transcript").otherwise("unknown"))
     found = found.when(is_kind(TREE_KEY, "OBJECT"), "export_b")
+    activity = F.lit(True)
+    for key in ACTIVITY_KEYS:
+        activity = activity & F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$[0].{key}", "variant")) == "STRING", F.lit(False))
+    found = found.when(activity, "activity")
     for name, key in EXPORT_KEYS.items():
         found = found.when(is_kind(key, "ARRAY"), name)
     return found.otherwise("json")

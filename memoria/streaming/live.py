@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from memoria.sources.shared import shared_folder
+from memoria.sources.transcripts import split_speakers
 
 
 def watch_text(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -63,13 +64,14 @@ def _run(stream: DataFrame, base: str, mode: str, each: Callable[[DataFrame], Da
 
 
 #: Files of the inbox are compiled to notes and then indexed; notes are indexed only, or each note would be compiled anew for ever.
-INBOX, NOTES = "raw", "wiki"
+#: Session transcripts are captured: split into turns.
+INBOX, NOTES, SESSIONS = "raw", "wiki", "sessions"
 
 
 def work_for(path: Column) -> Column:
-    """`compile` for files of the inbox, `index` for notes, null for what is neither; by the last of both folders in the path."""
-    last = F.try_element_at(F.filter(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), lambda p: p.isin(INBOX, NOTES)), F.lit(-1))
-    return F.when(last == INBOX, "compile").when(last == NOTES, "index")
+    """`compile` for files of the inbox, `index` for notes, `capture` for sessions, null for what is none of them; by the last of these folders in the path."""
+    last = F.try_element_at(F.filter(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), lambda p: p.isin(INBOX, NOTES, SESSIONS)), F.lit(-1))
+    return F.when(last == INBOX, "compile").when(last == NOTES, "index").when(last == SESSIONS, "capture")
 
 
 def kept_current(stream: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -99,6 +101,11 @@ def current(spark: SparkSession, table: str) -> DataFrame:
     return latest.filter("not v.gone").select("path", "v.changed", "v.work", "v.sha", "v.body")
 
 
+def captured_turns(spark: SparkSession, table: str) -> DataFrame:
+    """(path, turn, role, text) of the session transcripts in `table`, each in its latest version: a session captured again, longer, counts once."""
+    return split_speakers(current(spark, table).filter("work = 'capture'"), "path", "body")
+
+
 def compacted(spark: SparkSession, table: str) -> None:
     """Brings the table's batches, but for the last, down to one with the latest version of each path, so that `current` reads no history.
 

@@ -235,3 +235,24 @@ def test_entities_beside_the_facts(spark, tmp_path):
     files.write_facts(facts, str(tmp_path))
     got = spark.read.schema("entity string, kind string, roles array<string>, mentions bigint").json(str(tmp_path / "entities"))
     assert sorted(tuple(r) for r in got.collect()) == [("Ann", "person", ["colleague", "friend"], 2), ("Bob", "person", [], 1), ("graphs", "theme", [], 1)]
+
+
+def test_activity_of_a_takeout(spark, tmp_path):
+    entries = [{"header": "H", "title": "Prompted why & how", "time": "t1", "safeHtmlItem": [{"html": "<p>Because <b>1 &lt; 2</b></p><p>so</p>"}], "products": ["H"]}, {"header": "H", "title": "Prompted more", "time": "t2"}, {"header": "H", "title": "Visited x", "time": "t3"}]
+    (tmp_path / "MyActivity.json").write_text(json.dumps(entries))
+    rows = [tuple(r) for r in transcripts.read_activity(spark, str(tmp_path / "MyActivity.json")).orderBy("conv_id", "turn").collect()]
+    assert rows == [("t1", 0, "user", "why & how"), ("t1", 1, "assistant", "Because 1 < 2\nso"), ("t2", 0, "user", "more")]
+    raw = spark.createDataFrame([(json.dumps(entries),), ('[{"title":"x","time":1}]',)], "raw string")
+    assert [r[0] for r in raw.select(transcripts.detected_format(F.col("raw"))).collect()] == ["activity", "json"]
+
+
+def test_sessions_captured_again_count_once(spark, tmp_path):
+    (tmp_path / "sessions").mkdir()
+    where, table, point, listings = (str(tmp_path / x) for x in ("sessions", "table", "point", "listings"))
+    run = lambda: live.kept_current(changes.changed_files(spark, where, listings), table, point)
+    (tmp_path / "sessions" / "one.md").write_text("User: hi\nAssistant: yo")
+    run()
+    (tmp_path / "sessions" / "one.md").write_text("User: hi\nAssistant: yo\nUser: more")
+    (tmp_path / "sessions" / "two.txt").write_text("User: other")
+    run()
+    assert sorted((r.path[-7:], r.turn, r.role, r.text) for r in live.captured_turns(spark, table).collect()) == [("/one.md", 0, "user", "hi"), ("/one.md", 1, "assistant", "yo"), ("/one.md", 2, "user", "more"), ("two.txt", 0, "user", "other")]
