@@ -39,7 +39,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOP = 10
 #: Bytes of items' terms that are broadcast at once; about so many documents give the first thresholds; vectors of a bucket.
 BLOCK_BYTES, SEEDS, BUCKET = 8 << 20, 20_000, 2048
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Bounds are made in doubles: a score this much above one is still taken to be below it.
 SLACK = 1 + 1e-9
 
@@ -121,14 +121,12 @@ class Scoring:
         return min((least / (length * SLACK) if length else math.inf for least, length in zip(self.least.tolist(), self.lengths, strict=True)), default=math.inf)
 
 
-def entries(batch: pa.RecordBatch | pa.Table, scoring: Scoring) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def entries(n: pa.Array, terms: pa.Array, times: pa.Array, scoring: Scoring) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offsets, terms, impacts) of the vectors."""
-    column = lambda c: batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c)
-    lists = column("terms")
-    offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
-    n = np.repeat(column("n").to_numpy(zero_copy_only=False), np.diff(offsets))
-    terms, times = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, column("times")))
-    return offsets, terms, scoring.impacts(n, times)
+    offsets = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))).astype(np.int64)
+    of_document = np.repeat(n.to_numpy(zero_copy_only=False), np.diff(offsets))
+    term, time = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (terms, times))
+    return offsets, term, scoring.impacts(of_document, time)
 
 
 class Bucket:
@@ -186,12 +184,11 @@ def best_of(batches: Iterator[pa.RecordBatch], scoring: Scoring) -> Iterator[pa.
     best = [(none, none, none) for _ in scoring.terms]
     weights = np.zeros(len(scoring.weights), np.int64)
     for batch in batches:
-        offsets, terms, impacts = entries(batch, scoring)
-        ids = batch.column("doc_id")
-        missing, ids = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False)
-        for begin in range(0, len(offsets) - 1, BUCKET):
-            own = offsets[begin : begin + BUCKET + 1]
-            bucket = Bucket(own - own[0], terms[own[0] : own[-1]], impacts[own[0] : own[-1]], scoring)
+        for begin in range(0, batch.num_rows, BUCKET):
+            part = batch.slice(begin, BUCKET)
+            ids = part.column("doc_id")
+            missing, ids = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            bucket = Bucket(*entries(*(part.column(c) for c in ("n", "terms", "times")), scoring), scoring)
             for item, of_item in enumerate(scoring.terms):
                 if bucket.length * scoring.lengths[item] < least[item]:
                     continue
@@ -203,7 +200,7 @@ def best_of(batches: Iterator[pa.RecordBatch], scoring: Scoring) -> Iterator[pa.
                 weights[of_item] = 0
                 rows, scores = (x[scores >= max(least[item], 1)] for x in (rows, scores))
                 if len(rows):
-                    both = [np.concatenate(x) for x in zip(best[item], (scores, missing[begin + rows], ids[begin + rows]), strict=True)]
+                    both = [np.concatenate(x) for x in zip(best[item], (scores, missing[rows], ids[rows]), strict=True)]
                     order = np.lexsort((both[2], both[1], -both[0]))[: scoring.top]
                     best[item] = tuple(x[order] for x in both)
                     if len(order) == scoring.top:
@@ -222,9 +219,12 @@ def ranked_parts(vectors: DataFrame, scoring: Scoring) -> DataFrame:
 
     @F.arrow_udf("double")
     def length(n: pa.Array, terms: pa.Array, times: pa.Array) -> pa.Array:
-        offsets, term, impacts = entries(pa.Table.from_arrays([n, terms, times], names=["n", "terms", "times"]), sent.value)
-        values = sent.value.roots[term] * impacts
-        return pa.array(np.sqrt(np.bincount(np.repeat(np.arange(len(n)), np.diff(offsets)), values * values, len(n))))
+        out = [np.zeros(0)]
+        for begin in range(0, len(n), BUCKET):
+            offsets, term, impacts = entries(*(x.slice(begin, BUCKET) for x in (n, terms, times)), sent.value)
+            values = sent.value.roots[term] * impacts
+            out.append(np.sqrt(np.bincount(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), values * values, len(offsets) - 1)))
+        return pa.array(np.concatenate(out))
 
     df = vectors.withColumn("length", length("n", "terms", "times")).filter(F.col("length") >= scoring.shortest())
     df = df.sortWithinPartitions(F.desc("length")).drop("length")

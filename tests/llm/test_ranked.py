@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from memoria.llm import ranked, registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -64,9 +66,10 @@ def test_bounds_leave_out_what_cannot_score(spark):
     vectors = ranked.term_vectors(spark.createDataFrame(docs, "doc_id bigint, text string"), sorted({t for _, d in docs for t in d.split()}), "text").toArrow()
     held = Counter(vectors["terms"].combine_chunks().flatten().to_pylist())
     scoring = ranked.Scoring(sorted({t for _, d in docs for t in d.split()}), held, len(docs), 3000 * 40 + 200, [(1, [f"rare{j}" for j in range(20)] + ["w1", "w2"])], 10)
-    bucket = ranked.Bucket(*ranked.entries(vectors, scoring), scoring)
+    columns = (vectors[c].combine_chunks() for c in ("n", "terms", "times"))
+    bucket = ranked.Bucket(*ranked.entries(*columns, scoring), scoring)
     assert len(bucket.survivors(scoring.terms[0], scoring, 0)) > 1000
-    least = bucket.exact(bucket.survivors(scoring.terms[0], scoring, 0), (lambda w: w)(scoring.weights * [t in set(scoring.terms[0].tolist()) for t in range(len(scoring.weights))])).max()
+    least = bucket.exact(bucket.survivors(scoring.terms[0], scoring, 0), scoring.weights * np.isin(np.arange(len(scoring.weights)), scoring.terms[0])).max()
     assert len(bucket.survivors(scoring.terms[0], scoring, int(least))) == 10
     assert len(bucket.survivors(scoring.terms[0], scoring, int(least) * 2)) == 0
 
