@@ -79,7 +79,7 @@ SELECT query_id, doc_id, score, place::BIGINT AS place FROM r WHERE place <= 20
 def bm25_topk(t: Tables) -> DataFrame:
     """The 20 best documents for the words of each query item."""
     asked = t.benchmark.filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
-    return bm25(Terms(t.documents), asked, 20).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
+    return bm25(Terms(t.documents, asked=asked), asked, 20).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
 
 
 @query(f"""

@@ -134,8 +134,9 @@ def probes(t: Tables) -> DataFrame:
 
 def probe_results(t: Tables, with_ceiling: bool) -> DataFrame:
     """(profile, class, probes, injected, leaks): what retrieval returns for each probe, and how much of it ranks below the profile's ceiling."""
-    terms = Terms(t.documents.select("doc_id", "text", scope_rank(derived_scope(F.col("doc_id"))).alias("rank")))
-    asked = terms.rarest(probes(t).select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")), "query_id", PROBE_TERMS)
+    words = probes(t).select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
+    terms = Terms(t.documents.select("doc_id", "text", scope_rank(derived_scope(F.col("doc_id"))).alias("rank")), asked=words)
+    asked = terms.rarest(words, "query_id", PROBE_TERMS)
     own = probes(t).select(F.col("item_id").alias("query_id"), "profile", "class", "ceiling")
     if with_ceiling:
         asked = asked.join(own.select("query_id", F.col("ceiling").alias("least_rank")), "query_id")

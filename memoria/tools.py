@@ -33,9 +33,9 @@ def search_memory(items: DataFrame | Terms | Postings, prompt: str, profile: str
     if isinstance(items, Postings):
         asked = items.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(least_rank(profile)).alias("least_rank"), F.explode(tokens(F.lit(prompt))).alias("term"))
         return items.search(asked, k).select("doc_id", "score", F.col("place").cast("bigint").alias("place"))
-    terms = items if isinstance(items, Terms) else Terms(items.select("doc_id", "text", scope_rank(F.col("scope")).alias("rank")))
-    one = terms.rows.sparkSession.range(1)
+    one = (items.rows if isinstance(items, Terms) else items).sparkSession.range(1)
     asked = one.select(F.lit(0).alias("query_id"), F.lit(least_rank(profile)).alias("least_rank"), F.explode(tokens(F.lit(prompt))).alias("term"))
+    terms = items if isinstance(items, Terms) else Terms(items.select("doc_id", "text", scope_rank(F.col("scope")).alias("rank")), asked=asked)
     return bm25(terms, asked, k).select("doc_id", "score", F.col("place").cast("bigint").alias("place"))
 
 
@@ -132,6 +132,6 @@ def user_profile(facets: DataFrame, per_bucket: int = SETTINGS.top_k, quarantine
 def recall_persona(facets: DataFrame, prompt: str, k: int = SETTINGS.top_k, direct: bool = False, quarantined: list[str] | None = None, words: list[str] | None = None) -> DataFrame:
     """(facet_id, score, place): facets(facet_id, bucket, statement) for a prompt; clinical ones only if it asks for them directly."""
     own = facets if direct else facets.filter(facet_is_open(F.col("statement"), F.col("bucket"), quarantined or ["health_wellbeing"], words))
-    terms = Terms(own.select(F.col("facet_id").alias("doc_id"), F.col("statement").alias("text")))
     asked = facets.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.explode(tokens(F.lit(prompt))).alias("term"))
+    terms = Terms(own.select(F.col("facet_id").alias("doc_id"), F.col("statement").alias("text")), asked=asked)
     return bm25(terms, asked, k).select(F.col("doc_id").alias("facet_id"), "score", F.col("place").cast("bigint").alias("place"))

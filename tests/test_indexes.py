@@ -108,3 +108,18 @@ def test_shares_in_blocks(spark, monkeypatch):
     got = {r.k: r.best for r in best_shares(d, spark.createDataFrame(asked, "k bigint, words array<string>"), "k").collect()}
     want = {i: round(max(len(set(w) & set(x or [])) / len(w) for x in docs), 6) for i, w in asked if w}
     assert got == {i: s for i, s in want.items() if s}
+
+
+def test_rows_of_asked_words_alone_rank_as_all_rows(spark, monkeypatch):
+    from memoria.operators import lexical
+
+    rng = random.Random(9)
+    rows = [*world(rng, 200), (900, None, 3), (901, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, rank int")
+    asked = spark.createDataFrame([(q, f"w{rng.randint(0, 60)}") for q in range(5) for _ in range(5)], "query_id bigint, term string")
+    every, own = Terms(docs), Terms(docs, asked=asked)
+    ranked = lambda terms: sorted(tuple(r) for r in bm25(terms, asked, 6).collect())
+    assert (every.n, every.mean_length) == (own.n, own.mean_length) and ranked(every) == ranked(own)
+    assert own.rows.select("term").distinct().count() <= 25 < every.rows.select("term").distinct().count()
+    monkeypatch.setattr(lexical, "MOST_ASKED", 3)
+    assert ranked(Terms(docs, asked=asked)) == ranked(every)
