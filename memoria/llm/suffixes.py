@@ -17,7 +17,7 @@ of consecutive windows with one anchor; items part a text's windows, some forty
 4. Removed ranges go back to their documents.
 
 Texts cross the network twice, compressed. A hot copy group shrinks in step 1 and 2 to an item for each task. A task of step 3 holds
-one part's runs, compressed, and up to GROUP_ITEMS different surroundings of one gram; of a gram with more of them the windows are
+one part's runs, compressed, of each a block of RUN_BLOCK items unpacked, and up to GROUP_ITEMS different surroundings of one gram; of a gram with more of them the windows are
 dealt by their own hashes and meet by aggregation.
 
 Defined cases: a null text counts as empty; matches never cross documents; rows that share doc_id and text count as one
@@ -45,6 +45,8 @@ SEGMENT = 1 << 20
 PLACE_BITS = 22
 #: Parts of the hash range for each shuffle partition, so that parts differ little.
 PARTS_PER_TASK = 8
+#: Items of a run that are packed, and unpacked, together.
+RUN_BLOCK = 1024
 #: Different items of one gram that a task compares at once.
 GROUP_ITEMS = 4096
 
@@ -276,10 +278,16 @@ def _send_runs(parts: int):
                     kept.append(x)
                 strings = [x[0] for x in kept]
                 shared = _shared(strings)
-                docs, doc = np.unique([x[5] for x in kept], return_inverse=True)
-                rest = b"".join(s[n:] for s, n in zip(strings, shared.tolist(), strict=True))
-                arrays = (ids[docs], tags[docs], doc.astype(np.uint32), np.array([x[4] for x in kept], np.uint32), np.array([x[1] for x in kept], np.uint8), shared, np.array([len(s) for s in strings], np.uint8))
-                out.append((part, SEARCH, _zip(*arrays, data=rest)))
+                sizes = np.array([len(s) for s in strings], np.uint8)
+                blocks = []
+                for i in range(0, len(kept), RUN_BLOCK):
+                    own_ = kept[i : i + RUN_BLOCK]
+                    docs, doc = np.unique([x[5] for x in own_], return_inverse=True)
+                    rest = b"".join(s[n:] for s, n in zip(strings[i : i + RUN_BLOCK], shared[i : i + RUN_BLOCK].tolist(), strict=True))
+                    place, left = np.array([x[4] for x in own_], np.uint32), np.array([x[1] for x in own_], np.uint8)
+                    packed = _zip(ids[docs], tags[docs], doc.astype(np.uint32), place, left, shared[i : i + RUN_BLOCK], sizes[i : i + RUN_BLOCK], data=rest)
+                    blocks.append(len(packed).to_bytes(8, "little") + packed)
+                out.append((part, SEARCH, b"".join(blocks)))
             if again:
                 rows, start, end = np.array(again).T
                 docs, doc = np.unique(rows, return_inverse=True)
@@ -290,14 +298,18 @@ def _send_runs(parts: int):
 
 
 def read_run(blob: bytes) -> Iterator[tuple[int, bytes, tuple]]:
-    """(prefix shared with the one before, string, (bytes left of the anchor, doc_id, tag, first window)) in order."""
-    (ids, tags, doc, place, left, shared, sizes), rest = _unzip(blob)
-    ids, tags = ids.view(np.int64)[doc].tolist(), tags.view(np.int64)[doc].tolist()
-    at, string = 0, b""
-    for i, (n, size) in enumerate(zip(shared.tolist(), sizes.tolist(), strict=True)):
-        string = string[:n] + rest[at : at + size - n]
-        at += size - n
-        yield n, string, (int(left[i]), ids[i], tags[i], int(place[i]))
+    """(prefix shared with the one before, string, (bytes left of the anchor, doc_id, tag, first window)) in order; one block is unpacked at a time."""
+    begin, string = 0, b""
+    while begin < len(blob):
+        end = begin + 8 + int.from_bytes(blob[begin : begin + 8], "little")
+        (ids, tags, doc, place, left, shared, sizes), rest = _unzip(blob[begin + 8 : end])
+        ids, tags = ids.view(np.int64)[doc].tolist(), tags.view(np.int64)[doc].tolist()
+        at = 0
+        for i, (n, size) in enumerate(zip(shared.tolist(), sizes.tolist(), strict=True)):
+            string = string[:n] + rest[at : at + size - n]
+            at += size - n
+            yield n, string, (int(left[i]), ids[i], tags[i], int(place[i]))
+        begin = end
 
 
 def merged(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int, bytes, tuple]]:
