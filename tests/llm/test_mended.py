@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from memoria.llm import decontaminate, langid, quality, secrets, suffixes
+from test_corpus import brute_repeats, frame, prose
 
 
 def test_op1_repeated_rows_cost_no_square(spark):
@@ -98,3 +99,35 @@ def test_op7_network_and_mean_over_windows_against_loops(spark):
         parts = [raw[a : a + langid.WINDOW].ljust(langid.WINDOW, b"\0") for a in range(0, len(raw), langid.WINDOW)]
         mean = np.mean([loop_probabilities(net, p) for p in parts], axis=0)
         assert rows[i].lang_pred == net.langs[int(mean.argmax())] and abs(rows[i].score - mean.max()) < 1e-4
+
+
+def test_op1_runs_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = prose(rng, 60)
+    rows = [(i, prose(rng, 20) + shared[rng.randint(0, 40) :] + prose(rng, 20)) for i in range(25)]
+    monkeypatch.setattr(suffixes, "RUN_BLOCK", 3)
+    want = brute_repeats(rows)
+    got = suffixes.without_repeats(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == {d: v[:3] for (d, _), v in want.items()}
+
+
+def test_op1_text_of_several_segments(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(20_000)]
+    text = " ".join(rng.choices(words, k=150_000))
+    edge = suffixes.SEGMENT
+    assert len(text) > edge
+    long = text[: edge - 150] + text[500:900] + text[edge - 150 :]
+    other = text[edge - 60 : edge + 200] + " end of the other one, which has words of its own"
+    seen, want = set(), {}
+    for doc_id, t in ((1, long), (2, other)):
+        gone = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - 99):
+            if (w := t[i : i + 100]) in seen:
+                gone[i] += 1
+                gone[i + 100] -= 1
+            seen.add(w)
+        mask = np.cumsum(gone[:-1]) > 0
+        want[doc_id] = (int(mask.sum()), "".join(c for c, m in zip(t, mask, strict=True) if not m).encode())
+    got = suffixes.without_repeats(frame(spark, [(1, long), (2, other)])).collect()
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in got} == want and want[1][0] >= 400 and want[2][0] >= 200

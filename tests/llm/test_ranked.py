@@ -43,14 +43,35 @@ def world(rng, n):
 
 
 def test_ranks_are_those_of_all_scores(spark, monkeypatch):
-    for seed, bucket, seeds in ((1, 16, 50), (2, 64, 0), (3, ranked.BUCKET, ranked.SEEDS)):
-        monkeypatch.setattr(ranked, "BUCKET", bucket)
+    for seed, seeds in ((1, 50), (2, 0), (3, ranked.SEEDS)):
         monkeypatch.setattr(ranked, "SEEDS", seeds)
         docs, items = world(random.Random(seed), 400)
         df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
         assert found(ranked.ranked(df, spark.createDataFrame(items, "item_id bigint, text string"))) == brute(docs, items)
 
 
+def test_small_buckets_in_any_order(spark, monkeypatch):
+    docs, items = world(random.Random(6), 300)
+    wanted = [(i, ranked_terms(t)) for i, t in sorted(set(items), key=str) if ranked_terms(t)]
+    vocabulary = sorted({t for _, terms in wanted for t in terms})
+    vectors = ranked.term_vectors(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), vocabulary, "text").toArrow()
+    held = Counter(vectors["terms"].combine_chunks().flatten().to_pylist())
+    n_docs, n_terms = sum(n > 0 for n in vectors["n"].to_pylist()), sum(vectors["n"].to_pylist())
+    outs = []
+    for bucket in (7, 64, 5000):
+        monkeypatch.setattr(ranked, "BUCKET", bucket)
+        scoring = ranked.Scoring(vocabulary, held, n_docs, n_terms, wanted, 10)
+        outs.append({tuple(r.values()) for b in ranked.best_of(iter(vectors.combine_chunks().to_batches()), scoring) for r in b.to_pylist()})
+    assert outs[0] == outs[1] == outs[2]
+    got = Counter((i, s) for _, i, _, s in outs[0])
+    distinct = {(i, t) for i, t in items}
+    assert got == Counter({(i, s): n for (i, s), n in sum((Counter((i, s) for i, _, _, s in brute(docs, [x]).elements()) for x in distinct), Counter()).items()})
+
+
+def ranked_terms(text):
+    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))))
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ranked, "BLOCK_BYTES", 600)
     docs, items = world(random.Random(4), 60)
