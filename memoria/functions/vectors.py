@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memoria.sources.shared import written
+from memoria.sources.shipping import ship_package
 
 #: Bytes of the vectors of a block: at 1,000 dimensions 128 of them.
 BLOCK_BYTES = 1 << 20
@@ -89,6 +90,7 @@ def packed(rows: DataFrame) -> DataFrame:
                 arrays = [pa.array(c, pa.int32()) for c in columns[:2]] + [pa.array(c, pa.binary()) for c in columns[2:]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["cell", "size", *PARTS])
 
+    ship_package(rows.sparkSession)
     return rows.mapInArrow(pack, BLOCK)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memoria.functions.vectors import _unit, as_queries, best_pairs, matrix, nearest, packed
+from memoria.sources.shipping import ship_package
 
 SAMPLE, CALIBRATION = 50_000, 300
 #: Cells where no number is given: the root of the number of vectors, within these bounds.
@@ -43,6 +44,7 @@ class Cells:
 
     def ordered(self, spark: SparkSession, vector: Column, count: int) -> Column:
         """The `count` closest cells of a vector, closest first; null for a vector that the index can't hold."""
+        ship_package(spark)
         sent = spark.sparkContext.broadcast(self.centres)
 
         @F.arrow_udf("array<int>")

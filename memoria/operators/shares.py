@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memoria.sources.shipping import ship_package
+
 #: Bytes of questions' words that are sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
 
@@ -55,6 +57,7 @@ def best_shares(docs: DataFrame, questions: DataFrame, key: str) -> DataFrame:
     Questions go to the tasks in blocks of BLOCK_BYTES, and each task gives one row a question, so no pairs of question and document are made. Words are
     given once in each array; a key that several questions share takes the largest share of any.
     """
+    ship_package(docs.sparkSession)
     parts = [docs.select("words").mapInArrow(_best(docs.sparkSession.sparkContext.broadcast(block)), "key bigint, share double") for block in _blocks(questions, key)]
     if not parts:
         return questions.select(key, F.lit(0.0).alias("best")).limit(0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from memoria.functions.text import chunks, tokens
 from memoria.operators.notes import entities
+from memoria.sources.shipping import ship_package
 
 #: Folder names that are never read.
 EXCLUDED_FOLDERS = [
@@ -185,4 +186,5 @@ def write_files(files: DataFrame, folder: str) -> int:
                 store.move(part, path)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
+    ship_package(files.sparkSession)
     return files.filter("name is not null").select("name", "body").mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memoria.functions.text import trimmed
+from memoria.sources.shipping import ship_package
 
 #: Explicit schemas: unknown keys are dropped, nothing is inferred.
 #: A: the account export of claude.ai, conversations.json: a list of conversations with `chat_messages` in order; projects/*.json: a project with its `docs`.
@@ -75,6 +76,8 @@ def read_export_b(spark: SparkSession, path: str, branches: bool = False) -> Dat
     A node without a message (the root is one) is no turn; turns count from 0 along a branch, those of another branch from where it leaves the ones before.
     """
 
+    ship_package(spark)
+
     @F.arrow_udf("array<struct<branch:bigint,depth:bigint,place:int>>")
     def walked(ids: pa.Array, parents: pa.Array, current: pa.Array) -> pa.Array:
         rows = zip(ids.to_pylist(), parents.to_pylist(), current.to_pylist(), strict=True)

@@ -15,6 +15,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from memoria.sources.shipping import ship_package
+
 CHANGES = "path string, changed timestamp, gone boolean, body string"
 
 
@@ -118,5 +120,6 @@ class Changes(DataSource):
 
 def changed_files(spark: SparkSession, folder: str, listings: str, suffixes: str = ".md,.txt") -> DataFrame:
     """(path, changed, gone, body) of files below `folder` that are new, changed or gone; `listings` is kept beside the stream's checkpoint."""
+    ship_package(spark)
     spark.dataSource.register(Changes)
     return spark.readStream.format("changed_files").option("listings", listings).option("suffixes", suffixes).load(folder)
