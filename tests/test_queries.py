@@ -37,8 +37,12 @@ def test_query_matches_sql(spark, small, db, name):
     pd.testing.assert_frame_equal(normal(got, want), normal(want, got))
 
 
+#: Queries that SQL can't express: held against brute force in test_beyond_sql.py.
+WITHOUT_SQL = {"communities", "vector_index_topk", "sketched_drift"}
+
+
 def test_every_query_has_sql_or_is_known():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) - WITHOUT_SQL == set(catalog.oracle_sql())
 
 
 def test_no_leak_under_any_ceiling(spark, small):
