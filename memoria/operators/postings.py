@@ -1,77 +1,226 @@
 """A saved index over words: postings in blocks, with what a block can add to a score at most.
 
 Documents are dealt by the hash of their id into ranges of about RANGE documents; a block has the documents of one range that have one word. Blocks lie in
-folders by the hash of the word, so a search reads the folders of its own words alone. Each block keeps the largest number of times its word occurs in
-one of its documents and the shortest document's length, which bound the word's part of a score whatever the mean length comes to be, so
+folders by segment and by the hash of the word, so a search reads the folders of its own words alone. Each block keeps the largest number of times its word
+occurs in one of its documents and the shortest document's length, which bound the word's part of a score whatever the mean length comes to be, so
 documents can be added without writing anything anew.
 
 A search sums these bounds by range. The ranges that promise most are scored first and give the k-th best score so far; of the others only those
-whose bound reaches it are read. Documents need different ids; those with a null id are left out.
+whose bound reaches it are read.
+
+Documents that change or go are not cut out of their blocks: a row says that they are dead in their segment, and searches leave them out of scores, counts
+and lengths, so ranks equal those of an index made anew. Bounds then stand a little high, which only costs reading. `compact` merges
+segments of like size, and those with many dead documents, into new ones without these; `vacuum` deletes what no search reads any more.
+
+What is added, replaced, removed or merged at once counts from the row in `segments` on, which is written last: what a lost driver left behind is never read. There
+is one writer at a time, any number of searches beside it. Documents that are added have ids that differ; those with a null id are left out.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from math import log
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from memoria.functions.text import tokens
 from memoria.operators.lexical import B, K1, term_rows
-from memoria.sources.shared import written
+from memoria.sources.shared import delete_folder, exists, folders, written
 
 PARTS, RANGE = 64, 2048
 #: Ranges of each query that are scored first.
 FIRST = 2
 #: Scores are rounded to six digits, bounds are not.
 SLACK = 1e-5
+#: So many segments of like size (within this factor) are merged, and any of which one document in DEAD is dead.
+FAN, DEAD = 4, 4
+#: `replaces` are segments that this one stands for, `docs` and `words` count what it was written with, `batch` names the stream's batch it came by.
+SEGMENTS = "segment string, docs bigint, words bigint, replaces array<string>, batch string"
+
+
+@dataclass
+class State:
+    """What an index holds at a moment: its live segments, which no other replaces (`compact` bounds their number), and the names of all finished ones."""
+
+    live: list[Row]
+    done: list[str]
+
+    @property
+    def names(self) -> list[str]:
+        return [r["segment"] for r in self.live]
 
 
 def part_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def new_segment() -> str:
+    return f"s{uuid.uuid4().hex}"  # never to be read as a number
+
+
+def range_of(ranges: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("bigint")
+
+
 @dataclass
 class Postings:
     spark: SparkSession
     path: str
 
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_range: int = RANGE) -> None:
-        """Adds documents (with their `rank`, if they have one) as a segment of their own."""
-        segment = uuid.uuid4().hex
+        """Adds documents (with their `rank`, if they have one) that the index doesn't have, as a segment of their own."""
+        segment = new_segment()
+        self._commit(segment, *self._write(segment, docs, doc_id, text, per_range))
+
+    def replace(self, docs: DataFrame, gone: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", per_range: int = RANGE, batch: str | None = None) -> None:
+        """Puts documents in place of those of the same ids, new ones too, and takes out those of gone(doc_id); all of it counts at once.
+
+        Of rows with one id that with the last text (then rank) by order counts. An id that is in both stays. With the name of a batch that has been put in before, nothing happens.
+        """
+        if batch is not None and not self.segments().filter(F.col("batch") == batch).isEmpty():
+            return
+        state = self.state()
+        ranked = ["rank"] if "rank" in docs.columns else []
+        one = docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.struct(F.col(text).alias("text"), *ranked)).alias("v"))
+        one = written(one.select("doc_id", "v.*"), "replacing")
+        ids = one.select("doc_id")
+        if gone is not None:
+            ids = ids.unionByName(gone.select("doc_id").filter("doc_id is not null")).distinct()
+        segment = new_segment()
+        if state.live:
+            dead = self.documents(state).join(ids.select(F.col("doc_id").cast(self._id_type())), "doc_id", "left_semi").withColumn("by", F.lit(segment))
+            dead.write.partitionBy("by").mode("append").parquet(f"{self.path}/dead")
+        self._commit(segment, *self._write(segment, one, "doc_id", "text", per_range), batch=batch)
+
+    def remove(self, gone: DataFrame) -> None:
+        """Takes out the documents of gone(doc_id)."""
+        self.replace(gone.select("doc_id", F.lit("").alias("text")).limit(0), gone)
+
+    def compact(self, per_range: int = RANGE) -> int:
+        """Merges segments of like size where there are FAN of them, and those with many dead documents; gives the number of segments merged.
+
+        Every document is so rewritten a number of times that grows with the logarithm of their number.
+        """
+        state = self.state()
+        dead = {r["segment"]: r["n"] for r in self._dead(state).groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}
+        tiers: dict[int, list[str]] = {}
+        for r in state.live:
+            tiers.setdefault(int(log(max(r["docs"] - dead.get(r["segment"], 0), 1), FAN)), []).append(r["segment"])
+        old = {s for own in tiers.values() if len(own) >= FAN for s in own} | {r["segment"] for r in state.live if dead.get(r["segment"], 0) * DEAD >= max(r["docs"], 1)}
+        if not old:
+            return 0
+        segment = new_segment()
+        docs = written(self.documents(state).filter(F.col("segment").isin(*old)).select("doc_id", "length"), "merged-documents")
+        ranges = docs.count() // per_range + 1
+        whole = self.blocks(state).filter(F.col("segment").isin(*old)).select("segment", "range", "term", F.inline("docs"))
+        self._write_blocks(segment, self._alive(whole, state).select("doc_id", "rank", "length", "term", "tf"), ranges)
+        counts = self._write_documents(segment, docs, ranges)
+        self._commit(segment, *counts, replaces=sorted(old))
+        return len(old)
+
+    def vacuum(self) -> None:
+        """Deletes what belongs to segments that others replace or that were never finished. Nothing may write or search beside it."""
+        state = self.state()
+        told = [r["by"] for r in self._dead(state, "by").select("by").distinct().collect()]
+        for kind, key, kept in (("blocks", "segment", state.names), ("documents", "segment", state.names), ("dead", "by", told)):
+            for name in folders(self.spark, f"{self.path}/{kind}"):
+                if name.startswith(f"{key}=") and name.removeprefix(f"{key}=") not in kept:
+                    delete_folder(self.spark, f"{self.path}/{kind}/{name}")
+
+    def segments(self) -> DataFrame:
+        return self._rows("segments", SEGMENTS)
+
+    def state(self) -> State:
+        rows = self.segments().collect()
+        replaced = {s for r in rows for s in r["replaces"]}
+        return State([r for r in rows if r["segment"] not in replaced], [r["segment"] for r in rows])
+
+    def documents(self, state: State | None = None) -> DataFrame:
+        """(doc_id, length, range, segment) of the documents that the index has."""
+        state = state or self.state()
+        rows = self._rows("documents", f"doc_id {self._id_type()}, length bigint, range bigint, segment string")
+        return self._alive(rows.filter(F.col("segment").isin(*state.names)), state)
+
+    def blocks(self, state: State | None = None, parts: list[int] | None = None) -> DataFrame:
+        """The blocks of live segments, all or those in some folders of words; dead documents are still in them."""
+        docs = f"array<struct<doc_id: {self._id_type()}, tf: bigint, length: bigint, rank: bigint>>"
+        rows = self._rows("blocks", f"term string, range bigint, docs {docs}, n bigint, most bigint, shortest bigint, top_rank bigint, segment string, part int")
+        rows = rows if parts is None else rows.filter(F.col("part").isin(parts))
+        return rows.filter(F.col("segment").isin(*(state or self.state()).names))
+
+    def own_blocks(self, asked: DataFrame, state: State | None = None) -> DataFrame:
+        """The blocks that have one of the words of asked(term), read from the folders of these words alone."""
+        words = asked.select("term", part_of(F.col("term")).alias("part")).distinct()
+        parts = [r["part"] for r in words.select("part").distinct().collect()]  # PARTS at most
+        return self.blocks(state, parts).join(words, ["part", "term"], "left_semi")
+
+    def _rows(self, kind: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{kind}"
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
+    def _id_type(self) -> str:
+        """The type of ids, which the first documents settle."""
+        path = f"{self.path}/shape"
+        return self.spark.read.parquet(path).schema["doc_id"].dataType.simpleString() if exists(self.spark, path) else "bigint"
+
+    def _dead(self, state: State, *more: str) -> DataFrame:
+        """(segment, range, doc_id, length): documents of live segments that are replaced or gone."""
+        rows = self._rows("dead", f"doc_id {self._id_type()}, length bigint, range bigint, segment string, by string")
+        return rows.filter(F.col("by").isin(*state.done) & F.col("segment").isin(*state.names)).select("segment", "range", "doc_id", "length", *more)
+
+    def _alive(self, rows: DataFrame, state: State) -> DataFrame:
+        """rows(segment, range, doc_id, ...) without the dead ones."""
+        return rows.join(self._dead(state).drop("length"), ["segment", "range", "doc_id"], "left_anti")
+
+    def _write(self, segment: str, docs: DataFrame, doc_id: str, text: str, per_range: int) -> tuple[int, int]:
         own = docs.filter(F.col(doc_id).isNotNull())
-        n = own.count()
-        ranges = n // per_range + 1
-        rows = term_rows(own, doc_id, text)
+        if not exists(self.spark, f"{self.path}/shape"):
+            own.select(F.col(doc_id).alias("doc_id")).limit(0).write.parquet(f"{self.path}/shape")
+        own = own.withColumn(doc_id, F.col(doc_id).cast(self._id_type()))
+        ranges = own.count() // per_range + 1
+        self._write_blocks(segment, term_rows(own, doc_id, text), ranges)
+        lengths = own.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.size(tokens(F.col(text))), F.lit(0)), F.lit(0)).cast("bigint").alias("length"))
+        return self._write_documents(segment, lengths, ranges)
+
+    def _write_blocks(self, segment: str, rows: DataFrame, ranges: int) -> None:
         rank = F.col("rank").cast("bigint") if "rank" in rows.columns else F.lit(None).cast("bigint")
-        keyed = rows.select(part_of(F.col("term")).alias("part"), "term", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).alias("range"), F.struct("doc_id", "tf", "length", rank.alias("rank")).alias("doc"))
+        doc = F.struct("doc_id", F.col("tf").cast("bigint").alias("tf"), F.col("length").cast("bigint").alias("length"), rank.alias("rank"))
+        keyed = rows.select(part_of(F.col("term")).alias("part"), "term", range_of(ranges).alias("range"), doc.alias("doc"))
         blocks = keyed.groupBy("part", "term", "range").agg(
             F.collect_list("doc").alias("docs"), F.count(F.lit(1)).alias("n"), F.max("doc.tf").alias("most"), F.min("doc.length").alias("shortest"), F.max("doc.rank").alias("top_rank")
         )
-        blocks = blocks.withColumn("segment", F.lit(segment))
-        blocks.repartitionByRange("part", "term").sortWithinPartitions("part", "term", "range").write.partitionBy("part").mode("append").parquet(f"{self.path}/blocks")
-        # Last, so that a segment counts only when it is whole.
-        lengths = self.blocks().filter(F.col("segment") == segment).select(F.explode("docs.tf").alias("tf")).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
-        lengths.select(F.lit(segment).alias("segment"), F.lit(n).cast("bigint").alias("docs"), F.col("words").cast("bigint").alias("words")).coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
+        dealt = blocks.repartitionByRange("part", "term").sortWithinPartitions("part", "term", "range").withColumn("segment", F.lit(segment))
+        dealt.write.partitionBy("segment", "part").mode("append").parquet(f"{self.path}/blocks")
 
-    def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blocks")
+    def _write_documents(self, segment: str, lengths: DataFrame, ranges: int) -> tuple[int, int]:
+        rows = lengths.select("doc_id", "length", range_of(ranges).alias("range"), F.lit(segment).alias("segment"))
+        rows.write.partitionBy("segment").mode("append").parquet(f"{self.path}/documents")
+        own = self._rows("documents", f"doc_id {self._id_type()}, length bigint, range bigint, segment string").filter(F.col("segment") == segment)
+        counts = own.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+        return counts["docs"], counts["words"]
 
-    def own_blocks(self, asked: DataFrame) -> DataFrame:
-        """The blocks of whole segments that have one of the words of asked(term), read from the folders of these words alone."""
-        words = asked.select("term", part_of(F.col("term")).alias("part")).distinct()
-        parts = [r["part"] for r in words.select("part").distinct().collect()]  # PARTS at most
-        segments = self.spark.read.parquet(f"{self.path}/segments").select("segment")
-        return self.blocks().filter(F.col("part").isin(parts)).join(words, ["part", "term"], "left_semi").join(segments, "segment", "left_semi")
+    def _commit(self, segment: str, docs: int, words: int, replaces: list[str] | None = None, batch: str | None = None) -> None:
+        self.spark.createDataFrame([(segment, docs, words, replaces or [], batch)], SEGMENTS).coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
 
     def search(self, asked: DataFrame, keep: int) -> DataFrame:
         """(query_id, doc_id, [rank,] score, place): as `bm25` gives them, for asked(query_id, term[, least_rank])."""
-        totals = self.spark.read.parquet(f"{self.path}/segments").agg(F.sum("docs").alias("n"), F.sum("words").alias("words")).first()
-        n, mean = totals["n"] or 0, ((totals["words"] or 0) / max(totals["n"] or 0, 1)) or 1.0
+        state = self.state()
+        dead = self._dead(state).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+        n, all_words = sum(r["docs"] for r in state.live) - dead["n"], sum(r["words"] for r in state.live) - dead["words"]
+        mean = (all_words / max(n, 1)) or 1.0
         asked = asked.distinct() if "least_rank" in asked.columns else asked.distinct().withColumn("least_rank", F.lit(None).cast("bigint"))
-        blocks = self.own_blocks(asked)
-        df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+        blocks = self.own_blocks(asked, state)
+        df = blocks.select("term", "n")
+        if dead["n"]:
+            # Only blocks of ranges that have dead documents are counted document by document.
+            touched = self._dead(state).select("segment", "range").distinct()
+            lost = blocks.join(touched, ["segment", "range"], "left_semi").select("term", "segment", "range", F.inline("docs"))
+            lost = lost.join(self._dead(state).select("segment", "range", "doc_id"), ["segment", "range", "doc_id"], "left_semi")
+            df = df.unionByName(lost.select("term", F.lit(-1).cast("bigint").alias("n")))
+        df = df.groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0")
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         words = written(asked.join(df, "term").select("query_id", "term", "least_rank", idf.alias("idf")), "asked")
 
@@ -85,8 +234,8 @@ class Postings:
 
         def scored(ranges: DataFrame) -> DataFrame:
             own = words.join(ranges.select("query_id", "segment", "range"), "query_id")
-            docs = own.join(blocks, ["term", "segment", "range"]).select("query_id", "least_rank", "idf", F.inline("docs"))
-            docs = docs.filter(F.col("least_rank").isNull() | (F.col("rank") >= F.col("least_rank")))
+            docs = own.join(blocks, ["term", "segment", "range"]).select("segment", "range", "query_id", "least_rank", "idf", F.inline("docs"))
+            docs = (self._alive(docs, state) if dead["n"] else docs).filter(F.col("least_rank").isNull() | (F.col("rank") >= F.col("least_rank")))
             return docs.groupBy("query_id", "doc_id", "rank").agg(F.round(F.sum(gain(F.col("tf"), F.col("length"))), 6).alias("score"))
 
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

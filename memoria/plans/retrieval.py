@@ -98,6 +98,25 @@ def saved_index_topk(t: Tables) -> DataFrame:
     return index.search(asked, K).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
 
 
+@query(f"""
+WITH {BM25_SQL}, q AS (
+  SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark WHERE item_id % 100 = 0
+), s AS (SELECT query_id, doc_id, round(sum(gain), 6) AS score FROM q JOIN gain USING (term) GROUP BY query_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s)
+SELECT query_id, doc_id, score, place::BIGINT AS place FROM r WHERE place <= {K}
+""")
+def edited_index_topk(t: Tables) -> DataFrame:
+    """The same from a saved index whose documents first had the text of others, and then got their own, some of them twice, while others came and went."""
+    index = Postings(t.spark, f"{shared_folder(t.spark)}/postings-{uuid.uuid4().hex}")
+    docs = t.documents.select("doc_id", "text")
+    index.add(docs.select((F.col("doc_id") * 2).alias("doc_id"), "text"))
+    index.replace(docs.filter("doc_id % 2 = 0"))
+    index.replace(docs, docs.select((F.col("doc_id") * 2).alias("doc_id")))
+    index.compact()
+    asked = t.benchmark.filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
+    return index.search(asked, K).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
+
+
 def vector_index(t: Tables) -> Cells:
     return build(ranked_vectors(t), f"{shared_folder(t.spark)}/cells-{uuid.uuid4().hex}", keep=K)
 

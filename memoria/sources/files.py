@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from memoria.functions.text import chunks, tokens
 from memoria.operators.notes import entities
+from memoria.sources.shared import exists
 from memoria.sources.shipping import ship_package
 
 #: Folder names that are never read.
@@ -101,13 +102,6 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], out:
     new.write.mode("overwrite").parquet(out)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in any store that Spark can reach."""
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 #: Folders that the keys of an upserted table are dealt to, unless its first write says otherwise.
 PARTS = 64
 

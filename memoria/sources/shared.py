@@ -26,3 +26,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _place(spark, path)
+    return store.exists(place)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where there is no such folder."""
+    store, place = _place(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place) if f.isDirectory()] if store.exists(place) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    store, place = _place(spark, path)
+    store.delete(place, True)

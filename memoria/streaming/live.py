@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from memoria.sources.shared import shared_folder
+from memoria.operators.postings import Postings
+from memoria.sources.shared import delete_folder, shared_folder, written
 from memoria.sources.transcripts import split_speakers
 
 
@@ -101,6 +102,27 @@ def current(spark: SparkSession, table: str) -> DataFrame:
     return latest.filter("not v.gone").select("path", "v.changed", "v.work", "v.sha", "v.body")
 
 
+def kept_indexed(stream: DataFrame, index: Postings, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Runs a stream of changed files (path, changed[, gone], body) into a saved index by path, so that a search sees each file as it is now and nothing of files that are gone.
+
+    A batch counts at once or not at all, and one that is run again after a failure changes nothing. Segments are merged as batches come in. `every` is as in `kept_current`.
+    The stream must always come with the same checkpoint, which names its batches.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        rows = written(batch.select("path", "changed", (F.col("gone") if "gone" in batch.columns else F.lit(False)).alias("gone"), "body"), "changed")
+        latest = rows.groupBy("path").agg(F.max_by(F.struct("gone", "body"), F.struct("changed", "gone", "body")).alias("v")).select(F.col("path").alias("doc_id"), "v.*")
+        index.replace(latest.filter("not gone").select("doc_id", F.col("body").alias("text")), latest.filter("gone").select("doc_id"), batch=f"{checkpoint}#{batch_id}")
+        index.compact()
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    if every is not None:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def captured_turns(spark: SparkSession, table: str) -> DataFrame:
     """(path, turn, role, text) of the session transcripts in `table`, each in its latest version: a session captured again, longer, counts once."""
     return split_speakers(current(spark, table).filter("work = 'capture'"), "path", "body")
@@ -111,8 +133,6 @@ def compacted(spark: SparkSession, table: str) -> None:
 
     Older batches go only when the new one stands, and until then say nothing that it doesn't; a path that is gone keeps a row without a body.
     """
-    from memoria.sources.shared import written
-
     rows = spark.read.parquet(table)
     batches = sorted(r["batch"] for r in rows.select("batch").distinct().collect())
     if len(batches) < 3:
@@ -121,10 +141,8 @@ def compacted(spark: SparkSession, table: str) -> None:
     latest = rows.filter(F.col("batch").isin(old)).groupBy("path").agg(F.max_by(F.struct("changed", "gone", "work", "sha", "body"), F.struct("batch", "changed")).alias("v"))
     kept = written(latest.select("path", "v.*"), "compacted")
     kept.write.mode("overwrite").parquet(f"{table}/batch={into}")
-    jvm = spark._jvm
     for batch in old[:-1]:
-        place = jvm.org.apache.hadoop.fs.Path(f"{table}/batch={batch}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete_folder(spark, f"{table}/batch={batch}")
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Saved indexes and what is searched by parts, against brute force."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -12,6 +13,7 @@ from memoria.operators import cells, postings
 from memoria.operators.lexical import Terms, bm25
 from memoria.operators.pins import pinned
 from memoria.operators.shares import best_shares
+from memoria.streaming import changes, live
 from memoria.tools import search_memory
 
 
@@ -64,6 +66,72 @@ def test_postings_in_segments_rank_as_terms_made_at_once(spark, tmp_path):
     assert rows(index.search(asked.drop("least_rank"), 7)) == rows(bm25(Terms(docs), asked.drop("least_rank"), 7))
 
 
+def test_postings_follow_edits(spark, tmp_path):
+    rng = random.Random(5)
+    now: dict[int, tuple] = {}
+    index = postings.Postings(spark, str(tmp_path / "p"))
+    schema = "doc_id bigint, text string, rank int"
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([(q, f"w{rng.randint(0, 30)}", q % 6) for q in range(8) for _ in range(5)], "query_id bigint, term string, least_rank bigint")
+    rows = lambda found: sorted((r.query_id, r.place, r.doc_id, r.score) for r in found.collect())
+
+    def holds():
+        assert rows(index.search(asked, 5)) == rows(bm25(Terms(df(list(now.values()))), asked, 5))
+        assert sorted((r.doc_id, r.length) for r in index.documents().collect()) == sorted((i, len((t or "").split())) for i, t, _ in now.values())
+
+    assert index.search(asked, 5).count() == 0
+    index.add(df([]))
+    first = world(rng, 300)
+    now |= {r[0]: r for r in first}
+    index.add(df(first), per_range=16)
+    holds()
+    for step in range(4):
+        new = [(i, t, r) for (_, t, r), i in zip(world(rng, 60), rng.sample(range(360), 60), strict=True)]
+        new[0] = (new[0][0], None, 3)
+        gone = rng.sample(sorted(now), 20) + [9999]
+        lost = set(gone) - {i for i, *_ in new}
+        # A row twice, a null id, and ids that are both put in and taken out.
+        index.replace(df([*new, new[5], (None, "w1", 5)]), spark.createDataFrame([(i,) for i in [*gone, None]], "doc_id bigint"), per_range=16, batch=f"b{step}")
+        index.replace(df([(1, "w1 w2", 5)]), batch=f"b{step}")  # the same batch again
+        now = {i: v for i, v in now.items() if i not in lost} | {r[0]: r for r in new}
+        if step in (1, 3):
+            holds()
+    index.remove(spark.createDataFrame([(i,) for i in list(now)[:30]], "doc_id bigint"))
+    for i in list(now)[:30]:
+        del now[i]
+    held = len(index.state().live)
+    assert index.compact(per_range=16) > 1 and len(index.state().live) < held
+    holds()
+    before = sum(len(p) for _, _, p in os.walk(tmp_path / "p"))
+    (tmp_path / "p" / "blocks" / "segment=sleft" / "part=3").mkdir(parents=True)
+    index.vacuum()
+    assert sum(len(p) for _, _, p in os.walk(tmp_path / "p")) < before and not (tmp_path / "p" / "blocks" / "segment=sleft").exists()
+    holds()
+    # What isn't finished doesn't count.
+    index._write("sunfinished", df([(5000, "w1 w2 w3", 5)]), "doc_id", "text", 16)
+    index.documents().withColumn("by", F.lit("sunfinished")).write.partitionBy("by").mode("append").parquet(f"{index.path}/dead")
+    holds()
+
+
+def test_a_search_sees_files_as_they_are(spark, tmp_path):
+    folder, index = tmp_path / "in", postings.Postings(spark, str(tmp_path / "index"))
+    folder.mkdir()
+    (folder / "a.md").write_text("apples and pears")
+    (folder / "b.md").write_text("pears alone")
+    stream = lambda: changes.changed_files(spark, str(folder), str(tmp_path / "listings"))
+    run = lambda: live.kept_indexed(stream(), index, str(tmp_path / "point"))
+    find = lambda *words: {r.doc_id.rsplit("/", 1)[1] for r in index.search(spark.createDataFrame([(1, w) for w in words], "query_id bigint, term string"), 9).collect()}
+    run()
+    assert find("pears") == {"a.md", "b.md"}
+    (folder / "a.md").write_text("quinces, changed")
+    (folder / "b.md").unlink()
+    (folder / "c.md").write_text("plums")
+    run()
+    run()
+    assert (find("pears", "apples"), find("quinces", "plums")) == (set(), {"a.md", "c.md"})
+    assert index.documents().count() == 2
+
+
 def test_a_prompt_reads_only_the_folders_of_its_words(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"word{i % 90} common other{i}", ["clinical", "public", "professional"][i % 3]) for i in range(600)], "doc_id bigint, text string, scope string")
     ranked = docs.withColumn("rank", F.when(F.col("scope") == "clinical", 1).when(F.col("scope") == "public", 5).otherwise(4))
