@@ -4,11 +4,15 @@ Centres are fitted on a sample of at most about SAMPLE vectors; every vector is
 cell. Vectors added later go into the same cells. How many cells a search probes is found by holding about CALIBRATION stored vectors, as queries, against all
 vectors: the fewest cells that hold the wanted share of true neighbours. `memoria.functions.vectors.nearest` stays the exact way.
 
+Vectors that change or go stay in their cells until the index is built anew from `stored`, but rows say up to which write they are dead, and no search sees them. A write counts from its row in
+`writes` on, which comes last, so what a lost driver left behind is never read. One writer at a time, any number of searches beside it.
+
 Vectors are of one length (that of most in the sample); null ones and others aren't stored, and a query of another length finds nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,17 +20,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memoria.functions.vectors import _unit, as_queries, best_pairs, matrix, nearest, packed
+from memoria.sources.shared import exists, written
 from memoria.sources.shipping import ship_package
 
 SAMPLE, CALIBRATION = 50_000, 300
 #: Cells where no number is given: the root of the number of vectors, within these bounds.
 FEWEST, MOST = 4, 4096
 RECALL = 0.95
+WRITES = "write string, at bigint, batch string"
 
 
 def hash_share(column: Column, share: float) -> Column:
@@ -60,13 +66,52 @@ class Cells:
         return closest(vector)
 
     def add(self, vectors: DataFrame) -> None:
-        """Puts vectors(id, vector[, rank]) into their cells; a cell of many vectors is dealt to many files."""
-        placed = vectors.withColumn("cell", F.get(self.ordered(vectors.sparkSession, F.col("vector"), 1), 0)).filter("cell is not null")
+        """Puts vectors(id, vector[, rank]) that the index doesn't have into their cells; a cell of many vectors is dealt to many files."""
+        self._put(vectors, None, None)
+
+    def replace(self, vectors: DataFrame, gone: DataFrame | None = None, batch: str | None = None) -> None:
+        """Puts vectors in place of those of the same ids, new ones too, and takes out those of gone(id); all of it counts at once.
+
+        Of rows with one id that with the largest vector (then rank) by order counts, null and unfit ones least; where the index can't hold it, the id is taken out. An id
+        that is in both stays. With the name of a batch that has been put in before, nothing happens.
+        """
+        spark = vectors.sparkSession
+        if batch is not None and any(r["batch"] == batch for r in self._writes(spark)):
+            return
+        ranked = ["rank"] if "rank" in vectors.columns else []
+        fit = F.coalesce(F.size("vector") == self.centres.shape[1], F.lit(False))
+        one = vectors.filter("id is not null").groupBy("id").agg(F.max(F.struct(fit.alias("fit"), "vector", *ranked)).alias("v"))
+        one = written(one.select("id", "v.vector", *[f"v.{c}" for c in ranked]), "replacing")
+        ids = one.select("id")
+        self._put(one, ids if gone is None else ids.unionByName(gone.select("id").filter("id is not null")).distinct(), batch)
+
+    def remove(self, vectors: DataFrame, gone: DataFrame) -> None:
+        """Takes out gone(id); `vectors` tells the columns alone."""
+        self.replace(vectors.limit(0), gone)
+
+    def _put(self, vectors: DataFrame, dead: DataFrame | None, batch: str | None) -> None:
+        spark, write = vectors.sparkSession, f"w{uuid.uuid4().hex}"
+        at = 1 + max((r["at"] for r in self._writes(spark)), default=0)
+        placed = vectors.withColumn("cell", F.get(self.ordered(spark, F.col("vector"), 1), 0)).filter("cell is not null").withColumns({"write": F.lit(write), "at": F.lit(at).cast("bigint")})
         placed.repartitionByRange("cell", "id").write.partitionBy("cell").mode("append").parquet(f"{self.path}/vectors")
+        if dead is not None:
+            dead.select("id", F.lit(at).cast("bigint").alias("dead_before"), F.lit(write).alias("write")).write.mode("append").parquet(f"{self.path}/dead")
+        spark.createDataFrame([(write, at, batch)], WRITES).coalesce(1).write.mode("append").parquet(f"{self.path}/writes")
+
+    def _writes(self, spark: SparkSession) -> list[Row]:
+        """A row for each write since the index was built."""
+        path = f"{self.path}/writes"
+        return spark.read.schema(WRITES).parquet(path).collect() if exists(spark, path) else []
 
     def stored(self, spark: SparkSession) -> DataFrame:
-        schema = spark.read.parquet(f"{self.path}/shape").schema.add("cell", "integer")
-        return spark.read.schema(schema).parquet(f"{self.path}/vectors")
+        """(id, vector[, rank], cell) of the vectors that the index has."""
+        schema = spark.read.parquet(f"{self.path}/shape").schema.add("write", "string").add("at", "long").add("cell", "integer")
+        done = [r["write"] for r in self._writes(spark)]
+        rows = spark.read.schema(schema).parquet(f"{self.path}/vectors").filter(F.col("write").isin(*done))
+        if exists(spark, f"{self.path}/dead"):
+            dead = spark.read.parquet(f"{self.path}/dead").filter(F.col("write").isin(*done)).groupBy("id").agg(F.max("dead_before").alias("dead_before"))
+            rows = rows.join(dead, "id", "left").filter(F.col("dead_before").isNull() | (F.col("at") >= F.col("dead_before"))).drop("dead_before")
+        return rows.drop("write", "at")
 
     def search(self, queries: DataFrame, keep: int, probes: int | None = None) -> DataFrame:
         """(query_id, id, score, place): the `keep` closest vectors in the probed cells for each of queries(query_id, vector[, least_rank]).
@@ -103,8 +148,8 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, keep: int = 4
     index = Cells(path, _unit(np.array(centres, np.float64).reshape(len(centres), size)), len(centres))
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centres)]
     spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
-    own.limit(0).write.parquet(f"{path}/shape")
-    index.add(own)
+    own.select("id", "vector", *(["rank"] if "rank" in own.columns else [])).limit(0).write.parquet(f"{path}/shape")
+    index.add(own.select("id", "vector", *(["rank"] if "rank" in own.columns else [])))
     index.probes = calibrated(index, spark, n, keep, recall)
     spark.createDataFrame([(index.probes,)], "probes int").coalesce(1).write.parquet(f"{path}/probes")
     return index

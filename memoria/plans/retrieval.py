@@ -144,6 +144,25 @@ def vector_index_recall(t: Tables) -> DataFrame:
     return both.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count(F.lit(1))).alias("reached"))
 
 
+@query(f"""
+WITH {VECTORS_SQL}, s AS (
+  SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score
+  FROM v JOIN v q ON q.id % 100 = 0 WHERE v.rank >= {rank_of('professional')}
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s)
+SELECT query_id, id, score, place::BIGINT AS place FROM r WHERE place <= {K} AND score >= {FIXTURE_THRESHOLD}
+""")
+def edited_vectors_topk(t: Tables) -> DataFrame:
+    """`dense_topk_scoped` from an index whose ids first had the vectors of others, and then got their own while others went; all cells are probed, so the rows are exact."""
+    own = ranked_vectors(t)
+    others = own.withColumn("id", F.col("id") * 2)
+    index = build(others, f"{shared_folder(t.spark)}/cells-{uuid.uuid4().hex}", keep=K)
+    index.replace(own.filter("id % 2 = 0"))
+    index.replace(own, others.select("id"))
+    asked = vector_queries(t).withColumn("least_rank", F.lit(rank_of(PROFILES["work"])).cast("bigint"))
+    found = index.search(asked, K, probes=len(index.centres)).filter(F.col("score") >= FIXTURE_THRESHOLD)
+    return found.select("query_id", "id", "score", F.col("place").cast("bigint").alias("place"))
+
+
 RARE = 8
 
 

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memoria.functions.text import is_clinical, tokens
 from memoria.functions.vectors import nearest
 from memoria.model import PROFILES, SCOPES, SETTINGS, scope_rank
+from memoria.operators.cells import Cells
 from memoria.operators.lexical import Terms, bm25
 from memoria.operators.postings import Postings
 from memoria.sources.shared import shared_folder
@@ -39,12 +40,18 @@ def search_memory(items: DataFrame | Terms | Postings, prompt: str, profile: str
     return bm25(terms, asked, k).select("doc_id", "score", F.col("place").cast("bigint").alias("place"))
 
 
-def search_vectors(vectors: DataFrame, vector: list[float], profile: str = "work", k: int = SETTINGS.top_k, threshold: float = SETTINGS.threshold) -> DataFrame:
-    """(id, score, place): the k of vectors(id, vector, scope) closest to a vector that the profile may see and that reach the threshold."""
-    spark = vectors.sparkSession
+def search_vectors(vectors: DataFrame | Cells, vector: list[float], profile: str = "work", k: int = SETTINGS.top_k, threshold: float = SETTINGS.threshold) -> DataFrame:
+    """(id, score, place): the k of vectors(id, vector, scope) closest to a vector that the profile may see and that reach the threshold.
+
+    A saved index of vectors with their rank can be given instead, of which only the cells around the vector are read; of the k it may miss some.
+    """
+    spark = SparkSession.active() if isinstance(vectors, Cells) else vectors.sparkSession
     asked = spark.createDataFrame([(0, [float(x) for x in vector], least_rank(profile))], "query_id bigint, vector array<double>, least_rank bigint")
-    ranked = vectors.select("id", "vector", scope_rank(F.col("scope")).cast("bigint").alias("rank"))
-    found = nearest(ranked, asked, k).filter(F.col("score") >= threshold)
+    if isinstance(vectors, Cells):
+        found = vectors.search(asked, k)
+    else:
+        found = nearest(vectors.select("id", "vector", scope_rank(F.col("scope")).cast("bigint").alias("rank")), asked, k)
+    found = found.filter(F.col("score") >= threshold)
     return found.select("id", "score", F.col("place").cast("bigint").alias("place"))
 
 

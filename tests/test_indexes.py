@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from memoria.functions.vectors import nearest
+from memoria.model import scope_rank
 from memoria.operators import cells, postings
 from memoria.operators.lexical import Terms, bm25
 from memoria.operators.pins import pinned
 from memoria.operators.shares import best_shares
 from memoria.streaming import changes, live
-from memoria.tools import search_memory
+from memoria.tools import search_memory, search_vectors
 
 
 def vectors_around(rng, groups, each, size=16):
@@ -42,6 +43,51 @@ def test_cells_find_what_all_vectors_give(spark, tmp_path):
     assert {r.id for r in again.search(mine, 2, probes=1).collect()} == {rows[0][0], 7000}
 
 
+def test_cells_follow_edits(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    now = {r[0]: r for r in vectors_around(rng, 8, 30)}
+    schema = "id bigint, vector array<double>, rank bigint"
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    index = cells.build(df(list(now.values())), str(tmp_path / "index"), cells=8)
+    for step in range(2):
+        new = [(int(i), v, k) for i, (_, v, k) in zip(rng.permutation(300)[:40], vectors_around(rng, 8, 5), strict=True)]
+        gone = [int(i) for i in rng.permutation(240)[:25]] + [9999]
+        # A row twice, null ids, an id whose vector can't be held and one that has such a row beside a good one.
+        odd = [new[3], (None, new[0][1], 5), (new[0][0], [1.0], 5), (new[1][0], None, 5)]
+        index.replace(df([*new, *odd]), spark.createDataFrame([(i,) for i in [*gone, None]], "id bigint"), batch=f"b{step}")
+        index.replace(df([(7, new[0][1], 5)]), batch=f"b{step}")
+        now = {i: v for i, v in now.items() if i not in set(gone)} | {r[0]: r for r in new}
+    bad = next(iter(now))
+    index.replace(df([(bad, [1.0, 2.0], 5)]))
+    index.remove(df([]), spark.createDataFrame([(sorted(now)[-1],)], "id bigint"))
+    now = {i: v for i, v in now.items() if i not in (bad, sorted(now)[-1])}
+    assert sorted((r.id, r.vector, r["rank"]) for r in index.stored(spark).collect()) == sorted(now.values())
+    asked = df(list(now.values())).filter("id % 7 = 0").select(F.col("id").alias("query_id"), "vector", (F.col("id") % 5).alias("least_rank"))
+    ranked = lambda found: sorted((r.query_id, r.place, r.id, r.score) for r in found.collect())
+    want = ranked(nearest(df(list(now.values())), asked, 4))
+    assert ranked(index.search(asked, 4, probes=8)) == want
+    # Built anew of what it has.
+    again = cells.build(index.stored(spark).drop("cell"), str(tmp_path / "again"), cells=8)
+    assert ranked(again.search(asked, 4, probes=8)) == want
+    # What isn't finished doesn't count.
+    os.rename(tmp_path / "again" / "writes", tmp_path / "again" / "kept")
+    again.replace(df([(1, [0.5] * 16, 5)]))
+    os.rename(tmp_path / "again" / "writes", tmp_path / "again" / "lost")
+    os.rename(tmp_path / "again" / "kept", tmp_path / "again" / "writes")
+    assert ranked(again.search(asked, 4, probes=8)) == want
+
+
+def test_a_vector_is_searched_in_a_saved_index(spark, tmp_path):
+    rows = vectors_around(np.random.default_rng(2), 5, 20)
+    scopes = ["clinical", "private", "personal", "professional", "public"]
+    df = spark.createDataFrame([(i, v, scopes[k - 1]) for i, v, k in rows], "id bigint, vector array<double>, scope string")
+    index = cells.build(df.select("id", "vector", scope_rank(F.col("scope")).cast("bigint").alias("rank")), str(tmp_path / "index"), cells=5)
+    index.probes = 5
+    for profile in ("work", "nobody"):
+        got = [tuple(r) for r in search_vectors(index, rows[3][1], profile, 6, -1.0).orderBy("place").collect()]
+        assert got == [tuple(r) for r in search_vectors(df, rows[3][1], profile, 6, -1.0).orderBy("place").collect()]
+
+
 def test_an_index_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "id bigint, vector array<double>")
     index = cells.build(df, str(tmp_path / "none"))
