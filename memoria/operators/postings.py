@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memoria.functions.text import tokens
-from memoria.operators.lexical import B, K1, term_rows
+from memoria.operators.lexical import B, K1
 from memoria.sources.shared import delete_folder, exists, folders, written
 
-PARTS, RANGE = 64, 2048
+PARTS, RANGE, GROUP = 64, 2048, 64
 #: Ranges of each query that are scored first.
 FIRST = 2
 #: Scores are rounded to six digits, bounds are not.
@@ -116,7 +116,7 @@ class Postings:
         docs = written(self.documents(state).filter(F.col("segment").isin(*old)).select("doc_id", "length"), "merged-documents")
         ranges = docs.count() // per_range + 1
         whole = self.blocks(state).filter(F.col("segment").isin(*old)).select("segment", "range", "term", F.inline("docs"))
-        self._write_blocks(segment, self._alive(whole, state).select("doc_id", "rank", "length", "term", "tf"), ranges)
+        self._write_blocks(segment, self._alive(whole, state).withColumn("range", range_of(ranges)), ranges)
         counts = self._write_documents(segment, docs, ranges)
         self._commit(segment, *counts, replaces=sorted(old))
         return len(old)
@@ -181,18 +181,24 @@ class Postings:
             own.select(F.col(doc_id).alias("doc_id")).limit(0).write.parquet(f"{self.path}/shape")
         own = own.withColumn(doc_id, F.col(doc_id).cast(self._id_type()))
         ranges = own.count() // per_range + 1
-        self._write_blocks(segment, term_rows(own, doc_id, text), ranges)
+        rank = F.col("rank").cast("bigint") if "rank" in own.columns else F.lit(None).cast("bigint")
+        named = own.select(F.col(doc_id).alias("doc_id"), rank.alias("rank"), F.col(text).alias("text")).withColumn("range", range_of(ranges))
+        # A range's texts lie in one task, so its words are counted and its blocks made there; only texts and whole blocks cross the network.
+        words = named.repartition("range").select("range", "doc_id", "rank", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words").cast("bigint"))
+        keys = ["range", "doc_id", "rank", "length"]
+        self._write_blocks(segment, words.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")), ranges)
         lengths = own.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.size(tokens(F.col(text))), F.lit(0)), F.lit(0)).cast("bigint").alias("length"))
         return self._write_documents(segment, lengths, ranges)
 
     def _write_blocks(self, segment: str, rows: DataFrame, ranges: int) -> None:
-        rank = F.col("rank").cast("bigint") if "rank" in rows.columns else F.lit(None).cast("bigint")
-        doc = F.struct("doc_id", F.col("tf").cast("bigint").alias("tf"), F.col("length").cast("bigint").alias("length"), rank.alias("rank"))
-        keyed = rows.select(part_of(F.col("term")).alias("part"), "term", range_of(ranges).alias("range"), doc.alias("doc"))
+        """Writes the blocks of rows(range, doc_id, rank, length, term, tf); a folder is dealt to about one file for GROUP ranges, and so are the blocks of a frequent word."""
+        doc = F.struct("doc_id", F.col("tf").cast("bigint").alias("tf"), F.col("length").cast("bigint").alias("length"), "rank")
+        keyed = rows.select(part_of(F.col("term")).alias("part"), "term", "range", doc.alias("doc"))
         blocks = keyed.groupBy("part", "term", "range").agg(
             F.collect_list("doc").alias("docs"), F.count(F.lit(1)).alias("n"), F.max("doc.tf").alias("most"), F.min("doc.length").alias("shortest"), F.max("doc.rank").alias("top_rank")
         )
-        dealt = blocks.repartitionByRange("part", "term").sortWithinPartitions("part", "term", "range").withColumn("segment", F.lit(segment))
+        group = F.pmod(F.xxhash64("term", F.floor(F.col("range") / GROUP)), F.lit(ranges // GROUP + 1))
+        dealt = blocks.repartition("part", group).sortWithinPartitions("part", "term", "range").withColumn("segment", F.lit(segment))
         dealt.write.partitionBy("segment", "part").mode("append").parquet(f"{self.path}/blocks")
 
     def _write_documents(self, segment: str, lengths: DataFrame, ranges: int) -> tuple[int, int]:
