@@ -29,7 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: that of the smallest id."""
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: that of the smallest id.
+
+    Pairs are found by SimHash and multi-index hashing, and verified over whole shingle sets.
+    """
     ship_package(spark)
     return keep_one(docs, mark=near_duplicates).select(*docs.columns)
 

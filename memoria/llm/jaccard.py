@@ -1,10 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: segments of MinHashes find pairs, whole shingle sets decide.
+"""Near-duplicates by the Jaccard similarity of five-word shingles: SimHash and multi-index hashing find pairs, whole shingle sets decide.
 
-Each distinct set of shingles is one class, so copies fall together before any search. A class is put into one table
-for each segment of SEGMENT_HASHES MinHashes; two sets of similarity 0.8 share one of SEGMENTS segments but for 7 pairs in a
-million, more similar ones nearly always. Buckets with the same members are searched once. What a bucket holds is verified over
-the whole sets, in integers; it gives the links of a spanning forest of its verified links, which joins the same classes. A bucket
-with more than BLOCK_HASHES hashes is cut into blocks, and each two blocks are compared in a group of their own.
+Each distinct set of shingles is one class, so copies fall together before any search. A class has a fingerprint of
+192 bits or more, each the majority over its shingles' hashes, in segments of `bits` bits; there is one table for each segment. A class
+is put into a table under its own segment and under those one bit away at the WEAK places whose majorities are closest, where the fingerprint of
+a similar set differs most likely; so the balls of two classes meet up to two bits apart. What shares a bucket is compared over
+FILTER_WORDS words. Two sets of similarity 0.8 are within a cosine of 0.89, an angle of 27 degrees, 0.15 of the bits; TABLES has as many segments as let no such pair
+of any size be missed more than 7 times in a million by simulated odds; segments grow with the rows, so that a bucket's chance members don't.
+
+Of what is close in a bucket, few classes give their pairs and many a group. Both are verified over the whole sets, in
+integers, which gives the links of a spanning forest of the verified links, which joins the same classes. Groups with the same members are searched
+once; one with more than BLOCK_HASHES hashes is cut into blocks, and each two blocks are compared in a group of their own.
 
 Defined cases: words are parted by blanks, ASCII letters in lower case; a text of fewer than five words is one shingle; null and
 blank texts are one class; null and repeated ids are as in `simhash`; extra columns are kept, whatever their names; texts are whole however long, their shingle sets being
@@ -13,7 +18,7 @@ single values; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,31 @@ from memoria.llm.common import NULL_ID, shuffle_width, written
 from memoria.llm.simhash import LOWER, components, labelled
 
 SHINGLE_WORDS = 5
-SEGMENTS, SEGMENT_HASHES = 30, 5
-#: Hashes of one block of a bucket.
+#: Bits of a segment: number of tables for sets of any size, and for those of SMALL shingles at most, whose majorities are often ties.
+TABLES = {8: (8, 10), 10: (11, 16), 12: (15, 24), 14: (21, 36), 16: (29, 56), 18: (40, 86), 20: (56, 130), 22: (77, 192), 24: (108, 288)}
+SMALL = 20
+#: Places of a segment whose bit is flipped in lookups.
+WEAK = 3
+#: Rows of the input for each value of a segment.
+LOAD = 64
+#: Words of the fingerprint that members of a bucket are compared over, and the bits that may differ in them: of two larger sets, and where one is of SMALL shingles at most.
+FILTER_WORDS, FILTER_BITS = 3, (57, 62)
+#: Different sets of fewer shingles are less similar than 0.8.
+LEAST = 4
+#: Close members of a bucket up to this many give pairs, more a group.
+PAIRED = 8
+#: Rows of a bucket that are compared all at once.
+AT_ONCE = 1024
+#: Hashes of one block of a group.
 BLOCK_HASHES = 1 << 20
-CHUNK = 1 << 12
-_SALT, _ODD, _ODD2 = np.random.default_rng(42).integers(0, 2**64, (3, SEGMENTS * SEGMENT_HASHES, 1), np.uint64, endpoint=False) | np.uint64(1)
+#: Shingles that a byte counts.
+CHUNK = 255
+#: Bits of a key behind table and segment: five for the place that was flipped (NONE: none), the others for the set's size.
+TAIL, SIZE, NONE = 24, (1 << 19) - 1, 31
+_WORDS = max(-(-bits * most // 64) for bits, (_, most) in TABLES.items())
+_SALT, _ODD, _ODD2 = np.random.default_rng(42).integers(0, 2**64, (3, _WORDS), np.uint64, endpoint=False) | np.uint64(1)
+MARKS = "doc_id bigint, tag bigint, print bigint, size bigint, sketch binary"
+ENTRIES = "key bigint, print bigint, " + ", ".join(f"w{i} bigint" for i in range(FILTER_WORDS))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -42,27 +67,172 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles)))
 
 
-def segment_keys(hashes: np.ndarray) -> list[int]:
-    """One key for each segment of the set's MinHashes; none of an empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(SEGMENTS * SEGMENT_HASHES, 2**64 - 1, np.uint64)
+def segment_bits(rows: int) -> int:
+    return next((bits for bits in TABLES if LOAD << bits >= rows), max(TABLES))
+
+
+def fingerprint_words(bits: int, tables: int) -> int:
+    return max(FILTER_WORDS, -(-bits * tables // 64))
+
+
+def majorities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Of each fingerprint bit, how many more of the hashes have it set than not."""
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        x = (hashes[None, at : at + CHUNK] ^ _SALT) * _ODD
+        x = (hashes[at : at + CHUNK, None] ^ _SALT[:words]) * _ODD[:words]
         x ^= x >> np.uint64(32)
-        x *= _ODD2
-        np.minimum(least, x.min(1), out=least)
-    return [xxhash.xxh64_intdigest(s.tobytes(), i) for i, s in enumerate(least.reshape(SEGMENTS, SEGMENT_HASHES))]
+        x *= _ODD2[:words]
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return 2 * ones - len(hashes)
+
+
+def sketch(hashes: np.ndarray, bits: int) -> bytes:
+    """The fingerprint's bytes, then each segment's weak places."""
+    tables = TABLES[bits][len(hashes) <= SMALL]
+    over = majorities(hashes, fingerprint_words(bits, tables))
+    weak = np.argsort(np.abs(over[: bits * tables]).reshape(tables, bits), axis=1, kind="stable")[:, :WEAK]
+    return np.packbits(over > 0).tobytes() + weak.astype(np.uint8).tobytes()
+
+
+def segment_keys(sketches: np.ndarray, sizes: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """For each sketch its keys: table, value of the segment, the place that was flipped and the size (SIZE at most)."""
+    n, words = len(sketches), fingerprint_words(bits, tables)
+    set_ = np.unpackbits(sketches[:, : 8 * words], axis=1)[:, : bits * tables].reshape(n, tables, bits)
+    value = set_ @ (np.int64(1) << np.arange(bits))
+    weak = sketches[:, 8 * words :].reshape(n, tables, WEAK).astype(np.int64)
+    values = np.concatenate([value[:, :, None], value[:, :, None] ^ (1 << weak)], axis=2)
+    places = np.concatenate([np.full((n, tables, 1), NONE), weak], axis=2)
+    tail = places * (SIZE + 1) + np.minimum(sizes, SIZE)[:, None, None]
+    keys = (((np.arange(tables)[None, :, None] << 24) | values) << TAIL) | tail
+    return keys.reshape(n, -1)
 
 
 def _signed(rows: list) -> pa.Array:
     return pa.array([np.array(r, np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
 
 
-def _marks(texts: pa.Array) -> pa.Array:
-    """Class, number of shingles, segment keys."""
-    sets = [shingle_set(t.as_py()) for t in texts]
-    return _signed([[xxhash.xxh64_intdigest(s.tobytes()), len(s), *segment_keys(s)] for s in sets])
+def _marks(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Class, number of shingles and sketch of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, sketches = [], [], []
+            for text in batch.column("text"):
+                hashes = shingle_set(text.as_py())
+                prints.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                sketches.append(sketch(hashes, bits))
+            columns = [batch.column("doc_id"), batch.column("tag"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "print", "size", "sketch"])
+
+    return run
+
+
+def _entries(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each class under all its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes = (batch.column(c).to_numpy() for c in ("print", "size"))
+            sketches = batch.column("sketch").to_numpy(zero_copy_only=False)
+            for tables, which in zip(TABLES[bits], (sizes > SMALL, sizes <= SMALL), strict=True):
+                chosen = np.flatnonzero(which)
+                for at in range(0, len(chosen), 256):
+                    some = chosen[at : at + 256]
+                    bytes_ = np.frombuffer(b"".join(sketches[some]), np.uint8).reshape(len(some), -1)
+                    keys = segment_keys(bytes_, sizes[some], bits, tables)
+                    words = bytes_[:, : 8 * FILTER_WORDS].copy().view(np.int64)
+                    times = keys.shape[1]
+                    columns = [pa.array(c) for c in (keys.ravel(), np.repeat(prints[some], times), *np.repeat(words, times, axis=0).T.copy())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "print", *(f"w{i}" for i in range(FILTER_WORDS))])
+
+    return run
+
+
+class Bucket:
+    """Classes under one value of a segment, by place."""
+
+    def __init__(self, keys: np.ndarray, words: np.ndarray):
+        place = (keys & ((1 << TAIL) - 1)) // (SIZE + 1)
+        self.entry = place == NONE
+        self.own = (keys >> TAIL) ^ np.where(self.entry, 0, 1 << place)
+        self.sizes, self.words = keys & SIZE, words
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of `a` (rows) and `b` (columns) are close and of like size; those of one own value meet under it alone."""
+        differ = np.bitwise_count(self.words[0][a][:, None] ^ self.words[0][b])
+        for w in self.words[1:]:
+            differ += np.bitwise_count(w[a][:, None] ^ w[b])
+        near = differ <= max(FILTER_BITS)
+        x, y = np.nonzero(near)
+        i, j = a[x], b[y]
+        least, most = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
+        alike = (differ[x, y] <= np.where(least > SMALL, *FILTER_BITS)) & (5 * least >= 4 * most)
+        near[x, y] = alike & ((self.own[i] != self.own[j]) | (self.entry[i] & self.entry[j]))
+        return near
+
+
+def close_groups(keys: np.ndarray, prints: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Pairs or groups of one bucket's classes that are joined by closeness."""
+    bucket = Bucket(keys, words)
+    everything = np.arange(len(keys))
+    if len(keys) <= AT_ONCE:
+        near = bucket.close(everything, everything)
+        np.fill_diagonal(near, False)
+        left = np.flatnonzero(near.any(1))
+    else:
+        near, left = None, everything
+    groups = []
+    while len(left):
+        joined, left = [left[0]], left[1:]
+        for x in joined:
+            if not len(left):
+                break
+            hit = near[x, left] if near is not None else bucket.close(np.array([x]), left)[0]
+            joined += left[hit].tolist()
+            left = left[~hit]
+        if len(joined) == 1:
+            continue
+        members = np.array(joined)
+        if len(members) > PAIRED:
+            groups.append(np.sort(prints[members]))
+        else:
+            a, b = np.nonzero(np.triu(bucket.close(members, members), 1))
+            groups += [np.sort(prints[[x, y]]) for x, y in zip(members[a].tolist(), members[b].tolist(), strict=True)]
+    return groups
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries come sorted by key; gives the members of groups, each under a hash of all of them."""
+    held, bucket = [], None
+
+    def close(parts: list[np.ndarray]) -> list[np.ndarray]:
+        table = np.concatenate(parts, axis=1)
+        return close_groups(table[0], table[1], table[2:].view(np.uint64)) if table.shape[1] > 1 else []
+
+    def out(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if groups:
+            names = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in groups], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(g) for g in groups])), pa.array(np.concatenate(groups))], names=["key", "print"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.stack([c.to_numpy() for c in batch.columns])
+        buckets = table[0] >> TAIL
+        starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+        groups = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True):
+            if buckets[s] != bucket:
+                if held:
+                    groups += close(held)
+                held, bucket = [], buckets[s]
+            held.append(table[:, s:e])
+        held = [h.copy() for h in held]
+        yield from out(groups)
+    if held:
+        yield from out(close(held))
 
 
 def _sets(texts: pa.Array) -> pa.Array:
@@ -122,17 +292,24 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def links(classes: DataFrame, texts: DataFrame, block: int = BLOCK_HASHES) -> DataFrame:
+def candidates(classes: DataFrame, bits: int) -> DataFrame:
+    """(key, print): groups of classes that share a bucket and are close there; `classes` are (print, size, sketch)."""
+    width = shuffle_width(classes.sparkSession)
+    entries = classes.filter(F.col("size") >= LEAST).select("print", "size", "sketch").mapInArrow(_entries(bits), ENTRIES)
+    dealt = entries.repartition(width, F.shiftright("key", TAIL)).sortWithinPartitions("key")
+    return dealt.mapInArrow(_candidates, "key bigint, print bigint").distinct()
+
+
+def links(classes: DataFrame, texts: DataFrame, bits: int, block: int = BLOCK_HASHES) -> DataFrame:
     """(a, b): enough links between classes to join all that are linked.
 
-    `classes` are (print, doc_id, tag, marks), the text of each being that of the row of `texts` (doc_id, tag, text).
+    `classes` are (print, doc_id, tag, size, sketch), the text of each being that of the row of `texts` (doc_id, tag, text).
     """
     spark = classes.sparkSession
-    rows = classes.select("print", F.col("marks")[1].alias("size"), F.explode(F.slice("marks", 3, SEGMENTS)).alias("key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("print")).alias("content"), F.sum("size").alias("total"))
-    once = buckets.filter("n > 1").groupBy("n", "content", "total").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("total") / F.lit(block)).cast("int").alias("blocks")
-    members = written(rows.join(once.select("key", blocks), "key").select("key", "blocks", "print"), "jaccard-members")
+    members = written(candidates(classes, bits), "jaccard-members")
+    totals = members.join(classes.select("print", "size"), "print").groupBy("key").agg(F.sum("size").alias("total"))
+    large = totals.filter(F.col("total") > block).select("key", F.ceil(F.col("total") / F.lit(block)).cast("int").alias("blocks"))
+    members = members.join(large, "key", "left").select("key", F.coalesce("blocks", F.lit(1)).alias("blocks"), "print")
 
     wanted = members.select("print").distinct().join(classes.select("print", "doc_id", "tag"), "print")
     sets = texts.join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("print", F.arrow_udf(_sets, "array<bigint>")("text").alias("hashes"))
@@ -147,9 +324,9 @@ def links(classes: DataFrame, texts: DataFrame, block: int = BLOCK_HASHES) -> Da
 def near_duplicates(docs: DataFrame, text_col: str = "text", block: int = BLOCK_HASHES) -> DataFrame:
     """(doc_id, tag, print, root, component_id) for each row, as `simhash.near_duplicates`; print is the hash of the shingle set."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    marked = written(texts.select("doc_id", "tag", F.arrow_udf(_marks, "array<bigint>")("text").alias("marks")), "jaccard-marks")
-    prints = marked.select("doc_id", "tag", F.col("marks")[0].alias("print"))
-    least = marked.groupBy(F.col("marks")[0].alias("print")).agg(F.min(F.struct("doc_id", "tag")).alias("c"), F.first("marks").alias("marks"), F.count(F.lit(1)).alias("rows"))
-    classes = written(least.select("print", "c.doc_id", "c.tag", "marks", "rows"), "jaccard-classes")
-    found = components(links(classes, texts, block))
-    return labelled(prints, classes.select("print", F.col("doc_id").alias("first_doc"), "rows"), found)
+    bits = segment_bits(texts.count())
+    marked = written(texts.mapInArrow(_marks(bits), MARKS), "jaccard-marks")
+    least = marked.groupBy("print").agg(F.min(F.struct("doc_id", "tag")).alias("c"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+    classes = written(least.select("print", "c.doc_id", "c.tag", "size", "sketch", "rows"), "jaccard-classes")
+    found = components(links(classes, texts, bits, block))
+    return labelled(marked.select("doc_id", "tag", "print"), classes.select("print", F.col("doc_id").alias("first_doc"), "rows"), found)

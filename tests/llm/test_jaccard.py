@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from memoria.llm import jaccard
@@ -53,3 +54,78 @@ def test_stage_keeps_one_of_each_component(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == set(brute_components(rows))
+
+
+def alike_sets(rng, least):
+    """Two sets of `least` shared hashes that are as unlike as a similarity of 0.8 allows."""
+    apart = least // 4
+    mine = rng.integers(0, apart + 1)
+    hashes = rng.integers(0, 2**64, least + apart, np.uint64)
+    return np.sort(hashes[: least + mine]), np.sort(np.r_[hashes[:least], hashes[least + mine :]])
+
+
+def test_fingerprint_bits_are_majorities_of_hashes():
+    hashes = np.random.default_rng(1).integers(0, 2**64, 700, np.uint64)
+    counts = [0] * 128
+    for h in hashes.tolist():
+        for w in range(2):
+            x = (h ^ int(jaccard._SALT[w])) * int(jaccard._ODD[w]) % 2**64
+            x = (x ^ x >> 32) * int(jaccard._ODD2[w]) % 2**64
+            x ^= x >> 29
+            for i, byte in enumerate(x.to_bytes(8, "little")):
+                for k in range(8):
+                    counts[64 * w + 8 * i + k] += 1 if byte >> (7 - k) & 1 else -1
+    assert jaccard.majorities(hashes, 2).tolist() == counts
+
+
+def entries(sets, bits):
+    """(key, class, words) of every set, classes being places."""
+    rows = []
+    for i, s in enumerate(sets):
+        tables = jaccard.TABLES[bits][len(s) <= jaccard.SMALL]
+        sketch = np.frombuffer(jaccard.sketch(s, bits), np.uint8)[None]
+        words = sketch[0, : 8 * jaccard.FILTER_WORDS].copy().view(np.uint64)
+        rows += [(k, i, words) for k in jaccard.segment_keys(sketch, np.array([len(s)]), bits, tables)[0].tolist()]
+    return rows
+
+
+def grouped(rows):
+    buckets = {}
+    for row in sorted(rows, key=lambda r: r[:2]):
+        buckets.setdefault(row[0] >> jaccard.TAIL, []).append(row)
+    for rows in buckets.values():
+        yield from (g.tolist() for g in jaccard.close_groups(*(np.array(c) for c in list(zip(*rows, strict=True))[:2]), np.array([r[2] for r in rows]).T))
+
+
+@pytest.mark.parametrize("bits", [8, 12, 16])
+def test_pairs_at_the_limit_share_a_bucket_and_are_close(bits):
+    rng = np.random.default_rng(bits)
+    pairs = [alike_sets(rng, int(least)) for least in [4] * 40 + [8] * 40 + rng.integers(5, 400, 120).tolist()]
+    found = {tuple(g) for g in grouped(entries([s for p in pairs for s in p], bits)) if len(g) == 2}
+    assert {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= found
+
+
+@pytest.mark.parametrize("at_once", [1024, 4])
+def test_groups_are_those_of_the_balls(monkeypatch, at_once):
+    monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
+    rng = np.random.default_rng(2)
+    sets = [s for least in rng.integers(4, 100, 60).tolist() for s in alike_sets(rng, least)]
+    rows = entries(sets, 8)
+    balls = [{k >> jaccard.TAIL for k, i, _ in rows if i == x} for x in range(len(sets))]
+    words = {i: [int(w) for w in ws] for _, i, ws in rows}
+
+    def close(x, y):
+        least, most = sorted((len(sets[x]), len(sets[y])))
+        limit = jaccard.FILTER_BITS[0 if least > jaccard.SMALL else 1]
+        return 5 * least >= 4 * most and sum((a ^ b).bit_count() for a, b in zip(words[x], words[y], strict=True)) <= limit
+
+    want = {(x, y) for y in range(len(sets)) for x in range(y) if balls[x] & balls[y] and close(x, y)}
+    assert len(want) > 50 and {tuple(g) for g in grouped(rows)} == want
+
+
+def test_many_close_classes_are_one_group():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 300, np.uint64)
+    sets = [np.sort(np.r_[base, rng.integers(0, 2**64, 5, np.uint64)]) for _ in range(40)]
+    groups = list(grouped(entries(sets, 8)))
+    assert any(len(g) > jaccard.PAIRED for g in groups) and {i for g in groups for i in g} == set(range(40))
