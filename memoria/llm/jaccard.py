@@ -8,8 +8,9 @@ FILTER_WORDS words. Two sets of similarity 0.8 are within a cosine of 0.89, an a
 of any size be missed more than 7 times in a million by simulated odds; segments grow with the rows, so that a bucket's chance members don't.
 
 Of what is close in a bucket, few classes give their pairs and many a group. Both are verified over the whole sets, in
-integers, which gives the links of a spanning forest of the verified links, which joins the same classes. Groups with the same members are searched
-once; one with more than BLOCK_HASHES hashes is cut into blocks, and each two blocks are compared in a group of their own.
+integers, which gives the links of a spanning forest of the verified links, which joins the same classes. Groups that have classes in common
+are one group, where that is small or takes no more than they do apart, so that each set is sent once; of the others, those with the same members are searched
+once. One with more than BLOCK_HASHES hashes is cut into blocks, each two of which are compared in a group of their own.
 
 Defined cases: words are parted by blanks, ASCII letters in lower case; a text of fewer than five words is one shingle; null and
 blank texts are one class; null and repeated ids are as in `simhash`; extra columns are kept, whatever their names; texts are whole however long, their shingle sets being
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoria.llm.common import NULL_ID, shuffle_width, written
+from memoria.llm.common import NULL_ID, joined_by_key, perhaps_in, shuffle_width, written
 from memoria.llm.simhash import LOWER, components, labelled
 
 SHINGLE_WORDS = 5
@@ -45,6 +46,8 @@ LEAST = 4
 PAIRED = 8
 #: Rows of a bucket that are compared all at once.
 AT_ONCE = 1024
+#: Classes times hashes of groups that are joined in any case.
+JOINED_WORK = 1 << 30
 #: Hashes of one block of a group.
 BLOCK_HASHES = 1 << 20
 #: Shingles that a byte counts.
@@ -300,23 +303,41 @@ def candidates(classes: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInArrow(_candidates, "key bigint, print bigint").distinct()
 
 
+def joined_groups(members: DataFrame, classes: DataFrame, block: int = BLOCK_HASHES, limit: int = JOINED_WORK) -> DataFrame:
+    """(key, print): groups that have classes in common as one group, if it is one block of `limit` work at most or neither its work nor the hashes sent exceed theirs; the others as in `members`."""
+    sizes = classes.select("print", "size")
+    total, n = F.sum("size").alias("total"), F.count(F.lit(1)).alias("times")
+    work = F.col("times") * F.col("total")
+    sent = F.col("total") * F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(block)) - 1)
+    groups = members.join(sizes, "print").groupBy("key").agg(F.min("print").alias("a"), total, n)
+    edges = members.join(groups.select("key", "a"), "key").filter(F.col("print") > F.col("a")).select("a", F.col("print").alias("b")).distinct()
+    found = components(edges).withColumnRenamed("node", "print")
+    apart = groups.withColumnRenamed("a", "print").join(found, "print").groupBy("root").agg(F.sum(work).alias("works"), F.sum(sent).alias("sents"))
+    joins = (F.col("total") <= block) & (work <= limit) | (work <= F.col("works")) & (sent <= F.col("sents"))
+    roots = written(found.join(sizes, "print").groupBy("root").agg(total, n).join(apart, "root").select("root", "times", joins.alias("joins")), "jaccard-roots")
+    joined = joined_by_key(found, roots, "root").filter("joins").select("print", "root")
+    return members.join(joined, "print", "left").select(F.coalesce("root", "key").alias("key"), "print").distinct()
+
+
 def links(classes: DataFrame, texts: DataFrame, bits: int, block: int = BLOCK_HASHES) -> DataFrame:
     """(a, b): enough links between classes to join all that are linked.
 
     `classes` are (print, doc_id, tag, size, sketch), the text of each being that of the row of `texts` (doc_id, tag, text).
     """
     spark = classes.sparkSession
-    members = written(candidates(classes, bits), "jaccard-members")
-    totals = members.join(classes.select("print", "size"), "print").groupBy("key").agg(F.sum("size").alias("total"))
+    found = written(candidates(classes, bits), "jaccard-members")
+    members = written(joined_groups(found, classes, block), "jaccard-groups").join(classes.select("print", "doc_id", "tag", "size"), "print")
+    totals = members.groupBy("key").agg(F.sum("size").alias("total"))
     large = totals.filter(F.col("total") > block).select("key", F.ceil(F.col("total") / F.lit(block)).cast("int").alias("blocks"))
-    members = members.join(large, "key", "left").select("key", F.coalesce("blocks", F.lit(1)).alias("blocks"), "print")
+    members = members.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
-    wanted = members.select("print").distinct().join(classes.select("print", "doc_id", "tag"), "print")
-    sets = texts.join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("print", F.arrow_udf(_sets, "array<bigint>")("text").alias("hashes"))
+    wanted = written(members.select("doc_id", "tag").distinct(), "jaccard-wanted")
+    chosen = perhaps_in(texts, wanted).join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
+    sets = chosen.select("doc_id", "tag", F.arrow_udf(_sets, "array<bigint>")("text").alias("hashes"))
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
     dealt = members.withColumn("own", own).withColumn("other", F.explode(others))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "print").join(sets, "print")
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "print", "doc_id", "tag").join(sets, ["doc_id", "tag"])
     groups = dealt.repartition(shuffle_width(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
     return groups.select("key", "low", "high", "print", "hashes").mapInArrow(_linked, "a bigint, b bigint").distinct()
 

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from memoria.llm import jaccard
+from memoria.llm import common, jaccard
 
 
 def shingles(text):
@@ -129,3 +130,56 @@ def test_many_close_classes_are_one_group():
     sets = [np.sort(np.r_[base, rng.integers(0, 2**64, 5, np.uint64)]) for _ in range(40)]
     groups = list(grouped(entries(sets, 8)))
     assert any(len(g) > jaccard.PAIRED for g in groups) and {i for g in groups for i in g} == set(range(40))
+
+
+def test_sets_of_alike_texts_are_sent_once(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(10):
+        base = [word() for _ in range(200)]
+        for _ in range(12):
+            base[rng.randrange(200)] = word()
+            texts.append(" ".join(base))
+
+    def sent(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("key")], names=["a", "b"])
+
+    monkeypatch.setattr(jaccard, "_linked", sent)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("doc_id", "xxhash64(text) AS tag", "text")
+    marks = docs.mapInArrow(jaccard._marks(8), jaccard.MARKS).collect()
+    rows = jaccard.links(spark.createDataFrame(marks, jaccard.MARKS), docs, 8).collect()
+    assert len(rows) == len({r.a for r in rows}) > 100
+
+
+def groups_of(spark, groups, size, **limits):
+    members = spark.createDataFrame([(k, p) for k, g in enumerate(groups) for p in g], "key bigint, print bigint")
+    classes = spark.createDataFrame([(p, size) for p in {p for g in groups for p in g}], "print bigint, size bigint")
+    found = {}
+    for r in jaccard.joined_groups(members, classes, **limits).collect():
+        found.setdefault(r.key, []).append(r.print)
+    return sorted(sorted(g) for g in found.values())
+
+
+def test_groups_with_classes_in_common_are_one(spark):
+    assert groups_of(spark, [[10, 11], [11, 12], [12, 13], [20, 21], [30, 31, 32], [30, 32]], 9) == [[10, 11, 12, 13], [20, 21], [30, 31, 32]]
+
+
+def test_large_groups_are_joined_where_that_saves_work(spark):
+    chain = [[i, i + 1] for i in range(10, 20)]
+    assert groups_of(spark, chain, 9, limit=50) == chain
+    again = [[p for p in range(10, 20) if p != i] for i in range(10, 20)]
+    assert groups_of(spark, again, 9, limit=50) == [list(range(10, 20))]
+    assert groups_of(spark, again, 9, limit=50, block=10) == [list(range(10, 20))]
+    assert groups_of(spark, chain, 9, block=50) == chain
+
+
+def test_rows_that_may_have_a_key_are_all_that_have(spark):
+    rows = spark.range(200_000).selectExpr("id - 100000 AS a", "CASE WHEN id % 2 = 0 THEN 'x' ELSE 'y' END AS b", "id")
+    keys = common.written(rows.filter("id % 10 = 0").select("a", "b"), "keys")
+    got = {r.id for r in common.perhaps_in(rows, keys).select("id").collect()}
+    assert set(range(0, 200_000, 10)) <= got and len(got) < 200_000 * (0.1 + 1.2 * 0.9 / common.KEY_BITS)
+    assert common.perhaps_in(rows, common.written(keys.limit(0), "keys")).isEmpty()
+    one = common.written(keys.filter("a = 0"), "keys")
+    assert 100_000 in {r.id for r in common.perhaps_in(rows, one).select("id").collect()}
