@@ -4,6 +4,7 @@ import math
 import os
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from memoria.operators import cells, postings
 from memoria.operators.lexical import Terms, bm25
 from memoria.operators.pins import pinned
 from memoria.operators.shares import best_shares
+from memoria.sources.shared import shared_folder
 from memoria.streaming import changes, live
 from memoria.tools import search_memory, search_vectors
 
@@ -159,6 +161,24 @@ def test_postings_follow_edits(spark, tmp_path):
     holds()
 
 
+def test_replacing_copies_no_texts_and_dead_segments_are_not_read(spark, tmp_path):
+    docs = spark.createDataFrame(world(random.Random(6), 300), "doc_id bigint, text string, rank int")
+    asked = spark.createDataFrame([(1, "w1"), (1, "w7"), (2, "w3"), (2, "")], "query_id bigint, term string")
+    rows = lambda found: sorted((r.query_id, r.place, r.doc_id, r.score) for r in found.collect())
+    shared = Path(shared_folder(spark))
+    index = postings.Postings(spark, str(tmp_path / "p"))
+    index.add(docs.withColumn("text", F.lit("w1 w2 w3")))
+    first, before = index.state().names, {p.name for p in shared.iterdir()}
+    index.replace(docs)
+    made = [p for p in shared.iterdir() if p.name not in before and any(p.glob("*.parquet"))]
+    assert not [p for p in made if "text" in spark.read.parquet(str(p)).columns]
+    for file in (tmp_path / "p" / "blocks" / f"segment={first[0]}").rglob("part-*.parquet"):
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+        file.write_bytes(b"no longer a table")
+    assert index.compact() == 1 and not set(first) & set(index.state().names)
+    assert rows(index.search(asked, 5)) == rows(bm25(Terms(docs), asked, 5))
+
+
 def test_a_search_sees_files_as_they_are(spark, tmp_path):
     folder, index = tmp_path / "in", postings.Postings(spark, str(tmp_path / "index"))
     folder.mkdir()
