@@ -257,3 +257,25 @@ def test_rows_of_asked_words_alone_rank_as_all_rows(spark, monkeypatch):
     assert own.rows.select("term").distinct().count() <= 25 < every.rows.select("term").distinct().count()
     monkeypatch.setattr(lexical, "MOST_ASKED", 3)
     assert ranked(Terms(docs, asked=asked)) == ranked(every)
+
+
+def test_many_words_asked_for_make_their_rows_alone(spark, monkeypatch):
+    from memoria.operators import lexical
+
+    rng = random.Random(10)
+    docs = spark.createDataFrame([*world(rng, 200), (900, None, 3), (901, "", 3)], "doc_id bigint, text string, rank int")
+    asked = spark.createDataFrame([(q, f"w{rng.randint(0, 60)}") for q in range(5) for _ in range(5)], "query_id bigint, term string")
+    every = Terms(docs)
+    monkeypatch.setattr(lexical, "MOST_ASKED", 3)
+    monkeypatch.setattr(lexical, "ASKED_BYTES", 100)
+    own = Terms(docs, asked=asked)
+    ranked = lambda terms: sorted(tuple(r) for r in bm25(terms, asked, 6).collect())
+    assert own.rows.select("term").distinct().count() <= 25
+    assert (every.n, every.mean_length) == (own.n, own.mean_length) and ranked(every) == ranked(own)
+    rare = sorted(tuple(r) for r in every.rarest(asked, "query_id", 2, at_least=2).collect())
+    counts = lexical.document_counts(docs)
+    assert rare == sorted(tuple(r) for r in lexical.rarest(counts, asked, "query_id", 2, at_least=2).drop("df").collect())
+    # Scored where documents lie, in blocks of queries and of pairs.
+    monkeypatch.setattr(lexical, "PAIRS", 7)
+    lying = lexical.bm25_where_lying(docs.select("doc_id", "text"), asked.join(counts, "term"), 6)
+    assert sorted((r.query_id, r.doc_id, r.score, r.place) for r in lying.collect()) == sorted((r.query_id, r.doc_id, r.score, r.place) for r in bm25(every, asked, 6).collect())
